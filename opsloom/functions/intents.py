@@ -137,10 +137,13 @@ def topic_flags(message: Column) -> Column:
 
 def topic_boost(category: Column, recent_flags: Column) -> Column:
     """0.05 per recent message on the topic of ``category``, at most 0.15."""
+
+    def on_topic(name: str) -> Column:
+        return F.size(F.filter(recent_flags, lambda f: f[name] == 1))
+
     hits = F.lit(0)
-    for name in reversed(CATEGORIES):
-        count = F.size(F.filter(recent_flags, lambda f, n=name: f[n] == 1))
-        hits = F.when(category == name, count).otherwise(hits)
+    for name in CATEGORIES:
+        hits = F.when(category == name, on_topic(name)).otherwise(hits)
     return F.least(hits * BOOST_STEP, F.lit(BOOST_CAP))
 
 

@@ -129,10 +129,14 @@ def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, tex
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))[:MAX_KEYWORDS]
     toks = F.col("__tokens")
+
+    def occurrences(term: str) -> Column:
+        return F.size(F.filter(toks, lambda t: t == term))
+
     counted = corpus.select(id_col, tokens(F.lower(F.col(text))).alias("__tokens")).select(
         id_col,
         F.size(toks).alias("__length"),
-        *[F.size(F.filter(toks, lambda t, w=w: t == w)).alias(f"__tf{i}") for i, w in enumerate(terms)],
+        *[occurrences(w).alias(f"__tf{i}") for i, w in enumerate(terms)],
     )
     stats = counted.agg(
         F.count("*").alias("n"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["queries_text"]
+_MODULES = ["queries_text", "queries_search"]
 
 
 def all_queries():
