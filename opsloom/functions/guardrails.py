@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
-from opsloom.functions.text import UNICODE, UNICODE_NOCASE, flag, strip, tokens
+from opsloom.functions.text import UNICODE, UNICODE_NOCASE, flag, let, strip, tokens
 
 # --- fixed values -----------------------------------------------------------
 INJECTION_PATTERNS = [
@@ -93,55 +93,37 @@ def risk_score(message: Column) -> Column:
     return F.least(score, F.lit(1.0))
 
 
-def screen_input(
-    df: DataFrame,
-    message: str,
-    result: str = "validation",
+def validate_input(
+    message: Column,
     max_length: int = MAX_MESSAGE_LENGTH,
     injection_patterns: Sequence[str] = tuple(INJECTION_PATTERNS),
     blocked_patterns: Sequence[str] = tuple(BLOCKED_PATTERNS),
-) -> DataFrame:
-    """Add ``result: struct<is_safe, reason, risk_score>``; the first failing check decides.
+) -> Column:
+    """``struct<is_safe, reason, risk_score>``; the first failing check decides.
 
-    Three narrow steps: the cheap cascade picks a verdict, the risk score is
-    computed once and only for rows without one, then both become the struct.
+    Cheap checks come first in one ``CASE``, so a row stops at its verdict and
+    the risk score is computed once, only where no earlier check failed.
     """
-    col = F.col(message)
-    empty = col.isNull() | (F.length(col) == 0)
-    verdict = (
-        F.when(empty, "empty")
-        .when(F.length(col) > max_length, "long")
-        .when(any_pattern(col, injection_patterns), "injection")
-        .when(any_pattern(col, blocked_patterns), "blocked")
-        .otherwise("scored")
-    )
-    scored = F.col("__verdict") == "scored"
-    risk = (
-        F.when(scored, F.col("__risk"))
-        .when(F.col("__verdict") == "long", 0.3)
-        .when(F.col("__verdict") == "injection", 0.9)
-        .when(F.col("__verdict") == "blocked", 0.8)
-        .otherwise(0.0)
-    )
-    reason = (
-        F.when(scored & (F.col("__risk") > RISK_LIMIT), "Message flagged as potentially harmful")
-        .when(F.col("__verdict") == "long", f"Message exceeds maximum length of {max_length} characters")
-        .when(F.col("__verdict") == "injection", "Potential prompt injection detected")
-        .when(F.col("__verdict") == "blocked", "Message contains blocked content")
-    )
-    return (
-        df.withColumn("__verdict", verdict)
-        .withColumn("__risk", F.when(scored, risk_score(col)))
-        .withColumn("__reason", reason)
-        .withColumn(
-            result,
-            F.struct(
-                F.isnull("__reason").alias("is_safe"),
-                F.col("__reason").alias("reason"),
-                risk.alias("risk_score"),
-            ),
+
+    def verdict(reason: str | None, risk: float | Column) -> Column:
+        score = risk if isinstance(risk, Column) else F.lit(risk)
+        return F.struct(
+            F.lit(reason is None).alias("is_safe"),
+            F.lit(reason).cast("string").alias("reason"),
+            score.cast("double").alias("risk_score"),
         )
-        .drop("__verdict", "__risk", "__reason")
+
+    def by_risk(risk: Column) -> Column:
+        flagged = verdict("Message flagged as potentially harmful", risk)
+        return F.when(risk > RISK_LIMIT, flagged).otherwise(verdict(None, risk))
+
+    too_long = f"Message exceeds maximum length of {max_length} characters"
+    return (
+        F.when(message.isNull() | (F.length(message) == 0), verdict(None, 0.0))
+        .when(F.length(message) > max_length, verdict(too_long, 0.3))
+        .when(any_pattern(message, injection_patterns), verdict("Potential prompt injection detected", 0.9))
+        .when(any_pattern(message, blocked_patterns), verdict("Message contains blocked content", 0.8))
+        .otherwise(let(risk_score(message), by_risk))
     )
 
 
@@ -180,19 +162,17 @@ def pii_counts(text: Column, patterns: Mapping[str, str] | None = None) -> Colum
 
 
 def redact_output(
-    df: DataFrame,
-    text: str,
-    sources: str | None = None,
+    text: Column,
     filter_pii: bool = True,
     filter_credentials: bool = True,
     custom_patterns: Mapping[str, str] | None = None,
-) -> DataFrame:
-    """Redact ``text`` in place and add ``pii_removed`` and ``filtered_types``.
+) -> Column:
+    """``struct<text, pii_removed, filtered_types>`` of a response.
 
     Kinds are handled one after the other, each on the text the previous one
-    left, so a later kind cannot match inside a marker it would otherwise
-    share.  Every kind is one narrow projection guarded by a search: a text
-    without matches is scanned once and never rebuilt.
+    left, so a later kind cannot match what an earlier one replaced.  Each
+    step searches first: a text without matches is scanned once per kind and
+    never rebuilt.
     """
     stages: list[tuple[str, str, str]] = []
     if filter_pii:
@@ -202,27 +182,29 @@ def redact_output(
         for pattern in CREDENTIAL_PATTERNS:
             stages.append(("credential", UNICODE_NOCASE + pattern, CREDENTIAL_REPLACEMENT))
 
-    counts: list[str] = []
-    out = df.withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    for i, (_, pattern, replacement) in enumerate(stages):
-        count = f"__redacted_{i}"
-        counts.append(count)
-        found = F.col(text).rlike(pattern)
-        out = out.withColumns(
-            {
-                count: F.when(found, F.regexp_count(F.col(text), F.lit(pattern))).otherwise(0),
-                text: F.when(found, F.regexp_replace(text, pattern, replacement)).otherwise(F.col(text)),
-            }
-        )
-    total, kinds = F.lit(0), []
-    for count, (name, _, _) in zip(counts, stages):
-        total = total + F.col(count)
-        kinds.append(F.when(F.col(count) > 0, F.lit(name)))
-    types = F.array_distinct(F.array_compact(F.array(*kinds))) if kinds else F.array().cast("array<string>")
-    out = out.withColumns({"pii_removed": total, "filtered_types": types})
-    if sources is not None:
-        out = out.withColumn(sources, redact_sources(F.col(sources), custom_patterns))
-    return out.drop(*counts)
+    def stage(name: str, pattern: str, marker: str) -> Callable[[Column], Column]:
+        def apply(state: Column) -> Column:
+            t = state["text"]
+            replaced = F.struct(
+                F.regexp_replace(t, pattern, marker).alias("text"),
+                (state["pii_removed"] + F.regexp_count(t, F.lit(pattern))).alias("pii_removed"),
+                F.array_union(state["filtered_types"], F.array(F.lit(name))).alias("filtered_types"),
+            ).cast(_REDACTED)
+            return F.when(t.rlike(pattern), replaced).otherwise(state)
+
+        return apply
+
+    state = F.struct(
+        F.coalesce(text, F.lit("")).alias("text"),
+        F.lit(0).alias("pii_removed"),
+        F.array().cast("array<string>").alias("filtered_types"),
+    ).cast(_REDACTED)
+    for name, pattern, marker in stages:
+        state = let(state, stage(name, pattern, marker))
+    return state
+
+
+_REDACTED = "struct<text:string,pii_removed:int,filtered_types:array<string>>"
 
 
 def is_acceptable_request(message: Column) -> Column:

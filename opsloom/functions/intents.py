@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from opsloom.functions.text import UNICODE_NOCASE, contains_any, count_flags, flag
+from opsloom.functions.text import UNICODE_NOCASE, contains_any, count_flags, flag, let
 
 # --- fixed values -----------------------------------------------------------
 #: in the order that breaks ties
@@ -99,25 +99,28 @@ CATEGORIES = list(INTENT_PATTERNS)
 
 def intent_scores(message: Column) -> Column:
     """``struct`` of one score per category; with no signal at all, ``query`` gets 0.5."""
-    lowered = F.lower(message)
-    matched = {
-        name: count_flags([lowered.rlike(UNICODE_NOCASE + p) for p in patterns])
-        for name, patterns in INTENT_PATTERNS.items()
-    }
-
-    def score(n: Column) -> Column:
-        return F.when(n > 0, F.least(F.lit(0.4) + n * 0.2, F.lit(0.95))).otherwise(0.0)
 
-    fields = []
-    for name in CATEGORIES:
-        value = score(matched[name])
-        if name == "query":
-            others = F.lit(0)
-            for other in CATEGORIES:
-                others = others + matched[other]
-            value = F.when(others == 0, 0.5).otherwise(value)
-        fields.append(value.alias(name))
-    return F.struct(*fields)
+    def matched(lowered: Column) -> Column:
+        return F.struct(
+            *[
+                count_flags([lowered.rlike(UNICODE_NOCASE + p) for p in patterns]).alias(name)
+                for name, patterns in INTENT_PATTERNS.items()
+            ]
+        )
+
+    def scores(n: Column) -> Column:
+        total = F.lit(0)
+        for name in CATEGORIES:
+            total = total + n[name]
+        fields = []
+        for name in CATEGORIES:
+            value = F.when(n[name] > 0, F.least(F.lit(0.4) + n[name] * 0.2, F.lit(0.95))).otherwise(0.0)
+            if name == "query":
+                value = F.when(total == 0, 0.5).otherwise(value)
+            fields.append(value.alias(name))
+        return F.struct(*fields)
+
+    return let(let(F.lower(message), matched), scores)
 
 
 def best_intent(scores: Column) -> Column:

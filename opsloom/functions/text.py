@@ -7,6 +7,8 @@ means the same thing to other regex engines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: makes ``\b \w \\s \\d`` in a pattern cover all scripts
@@ -25,6 +27,15 @@ SPACE_CHARS = (
 LINE_END = r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}])"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body names it.
+
+    Chains of such steps stay linear even where the optimizer copies a whole
+    expression, for example to push a filter below it.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends."""
     return F.btrim(text, F.lit(SPACE_CHARS))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from opsloom.functions.prompts import (
     EXCERPT_LIMIT, answer_confidence, chat_messages, citations, context_entry, context_text, tool_text, user_prompt,
 )
+from opsloom.operators.skew import explode_rows
 
 FALLBACK_DOCUMENTS = 3
 
@@ -34,7 +35,7 @@ def attribute(responses: DataFrame, documents: DataFrame, key: str = "response_i
     its first citation.  A response that cites nothing usable is credited with
     its top three documents, without excerpts.
     """
-    cited = responses.select(key, F.posexplode(citations(F.col(text))).alias("__pos", "__number")).select(
+    cited = explode_rows(responses, [key], citations(F.col(text)), "__pos", "__number").select(
         key, "__pos", F.expr("try_cast(__number AS bigint)").alias("__rank")
     )
     # one row per response and number first: a number cited over and over joins once

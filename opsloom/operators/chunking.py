@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from opsloom.functions.text import chunk_id, nonempty, strip
+from opsloom.operators.skew import explode_rows
 
 # --- fixed values -----------------------------------------------------------
 PROSE_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
@@ -316,18 +317,12 @@ def chunk_documents(
     )
     label = F.when(as_prose, "prose").otherwise(strategy)
     kept = keep or []
-    return (
-        staged.withColumn("__split", split)
-        .withColumn(
-            "__chunks",
-            F.when(needs_split, _as_chunks(F.coalesce("__split", no_texts), label)).otherwise(F.col("__structured")),
-        )
-        .select(F.col("doc_id").alias("document_id"), *kept, F.posexplode("__chunks").alias("chunk_index", "__c"))
-        .select(
-            chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"),
-            "document_id",
-            "chunk_index",
-            *kept,
-            "__c.*",
-        )
+    chunks = F.when(needs_split, _as_chunks(F.coalesce("__split", no_texts), label)).otherwise(F.col("__structured"))
+    rows = explode_rows(staged.withColumn("__split", split), ["doc_id", *kept], chunks, "chunk_index", "__c")
+    return rows.select(
+        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"),
+        F.col("doc_id").alias("document_id"),
+        "chunk_index",
+        *kept,
+        "__c.*",
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.functions import claims as C
-from opsloom.operators.skew import lookup
+from opsloom.functions.text import let
+from opsloom.operators.skew import explode_rows, lookup
 
 MIN_GROUNDED_RATIO = 0.8
 GROUNDING_THRESHOLD = 0.7
@@ -14,12 +15,12 @@ SHOWN_UNGROUNDED = 3
 
 def term_claim_rows(responses: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per claim of the term detector: kept columns, claim_index, claim."""
-    return responses.select(*keep, F.posexplode(C.term_claims(F.col(text))).alias("claim_index", "claim"))
+    return explode_rows(responses, keep, C.term_claims(F.col(text)), "claim_index", "claim")
 
 
 def overlap_claim_rows(responses: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per distinct claim of the overlap detector."""
-    return responses.select(*keep, F.posexplode(C.overlap_claims(F.col(text))).alias("claim_index", "claim"))
+    return explode_rows(responses, keep, C.overlap_claims(F.col(text)), "claim_index", "claim")
 
 
 def check_terms(
@@ -37,72 +38,66 @@ def check_terms(
     ``ungrounded_count``, ``confidence_score``, ``is_grounded`` and
     ``explanation``.
     """
-    # each intermediate is its own column, so that nothing is evaluated per claim twice
     no_sources = F.array().cast("array<string>")
     given = F.coalesce(F.col(sources), no_sources) if sources else no_sources
+    evidence = F.struct(F.lower(F.array_join(F.col(context), " ")).alias("text"))
 
-    def checked(claim: Column) -> Column:
-        return F.struct(
-            claim.alias("text"),
-            C.key_terms(F.lower(claim)).alias("terms"),
-            C.numbers(claim).alias("numbers"),
-        )
+    def with_numbers(e: Column) -> Column:
+        return F.struct(e["text"].alias("text"), C.numbers(e["text"]).alias("numbers"))
+
+    def claim_verdicts(e: Column) -> Column:
+        def verdict(claim: Column) -> Column:
+            parts = F.struct(C.key_terms(F.lower(claim)).alias("terms"), C.numbers(claim).alias("numbers"))
+
+            def scored(c: Column) -> Column:
+                sure = C.term_confidence(c["terms"], c["numbers"], e["text"], e["numbers"])
+                return F.struct(c["terms"].alias("terms"), sure.alias("sure"))
+
+            def judged(c: Column) -> Column:
+                grounded = (F.size(c["terms"]) == 0) | (c["sure"] >= threshold)
+                source = F.when(grounded & (F.size(c["terms"]) > 0), C.supporting_source(c["terms"], given))
+                return F.struct(
+                    claim.alias("text"), grounded.alias("grounded"), c["sure"].alias("confidence"), source.alias("source")
+                )
+
+            return let(let(parts, scored), judged)
 
-    def judged(c: Column) -> Column:
-        sure = C.term_confidence(c["terms"], c["numbers"], F.col("__context"), F.col("__numbers"))
-        return F.struct(c["text"].alias("text"), c["terms"].alias("terms"), sure.alias("confidence"))
+        return F.transform(C.term_claims(F.col(text)), verdict).cast(_CLAIMS)
 
-    def verdict(c: Column) -> Column:
-        grounded = (F.size(c["terms"]) == 0) | (c["confidence"] >= threshold)
-        source = C.supporting_source(c["terms"], F.col("__sources"))
+    empty = F.col(text).isNull() | (F.length(text) == 0) | F.col(context).isNull() | (F.size(context) == 0)
+    claims = F.when(~empty, let(let(evidence, with_numbers), claim_verdicts))
+
+    def counted(c: Column) -> Column:
+        found = F.coalesce(c, F.array().cast(_CLAIMS))
         return F.struct(
-            c["text"].alias("text"),
-            grounded.alias("grounded"),
-            c["confidence"].alias("confidence"),
-            F.when(grounded & (F.size(c["terms"]) > 0), source).alias("source"),
+            c.isNull().alias("empty"), found.alias("claims"), F.size(found).alias("n"),
+            F.size(F.filter(found, lambda x: x["grounded"])).alias("g"),
         )
 
-    empty = (
-        F.col(text).isNull() | (F.length(text) == 0) | F.col(context).isNull() | (F.size(context) == 0)
-    )
-    n, g = F.size("claims"), F.col("grounded_count")
-    shown = F.transform(
-        F.slice(F.filter("claims", lambda c: ~c["grounded"]), 1, SHOWN_UNGROUNDED),
-        lambda c: F.concat(F.lit("'"), c["text"], F.lit("'")),
-    )
-    ratio = F.concat(g.cast("string"), F.lit("/"), n.cast("string"))
-    explanation = (
-        F.when(F.col("__empty"), "Empty response or context")
-        .when(n == 0, "No verifiable claims found")
-        .when(F.col("is_grounded"), F.concat(ratio, F.lit(" claims are grounded in context")))
-        .otherwise(
-            F.concat(
-                F.lit("Only "), ratio, F.lit(" claims grounded. Ungrounded: ["), F.array_join(shown, ", "), F.lit("]")
-            )
+    def rated(s: Column) -> Column:
+        score = F.when(s["empty"], 0.0).otherwise(F.coalesce(F.try_divide(s["g"], s["n"]), F.lit(1.0)))
+        passed = ~s["empty"] & (score >= min_ratio)
+        shown = F.transform(
+            F.slice(F.filter(s["claims"], lambda c: ~c["grounded"]), 1, SHOWN_UNGROUNDED),
+            lambda c: F.concat(F.lit("'"), c["text"], F.lit("'")),
         )
-    )
-    return (
-        responses.withColumns(
-            {
-                "__empty": empty,
-                "__context": F.lower(F.array_join(F.col(context), " ")),
-                "__sources": given,
-                "__claims": F.when(~empty, F.transform(C.term_claims(F.col(text)), checked)),
-            }
+        ratio = F.concat(s["g"].cast("string"), F.lit("/"), s["n"].cast("string"))
+        explanation = (
+            F.when(s["empty"], "Empty response or context")
+            .when(s["n"] == 0, "No verifiable claims found")
+            .when(passed, F.concat(ratio, F.lit(" claims are grounded in context")))
+            .otherwise(
+                F.concat(
+                    F.lit("Only "), ratio, F.lit(" claims grounded. Ungrounded: ["), F.array_join(shown, ", "), F.lit("]")
+                )
+            )
         )
-        .withColumn("__numbers", C.numbers(F.col("__context")))
-        .withColumn("__judged", F.transform("__claims", judged))
-        .withColumn("claims", F.coalesce(F.transform("__judged", verdict), F.array().cast(_CLAIMS)))
-        .withColumn("grounded_count", F.size(F.filter("claims", lambda c: c["grounded"])))
-        .withColumn("ungrounded_count", n - g)
-        .withColumn(
-            "confidence_score",
-            F.when(F.col("__empty"), 0.0).otherwise(F.coalesce(F.try_divide(g, n), F.lit(1.0))),
+        return F.struct(
+            s["claims"].alias("claims"), s["g"].alias("grounded_count"), (s["n"] - s["g"]).alias("ungrounded_count"),
+            score.alias("confidence_score"), passed.alias("is_grounded"), explanation.alias("explanation"),
         )
-        .withColumn("is_grounded", ~F.col("__empty") & (F.col("confidence_score") >= min_ratio))
-        .withColumn("explanation", explanation)
-        .drop("__empty", "__context", "__sources", "__claims", "__numbers", "__judged")
-    )
+
+    return responses.withColumn("__v", let(let(claims, counted), rated)).select(*responses.columns, "__v.*")
 
 
 _CLAIMS = "array<struct<text:string,grounded:boolean,confidence:double,source:string>>"
@@ -126,28 +121,32 @@ def check_overlap(
     Adds ``claim_count``, ``grounding_score``, ``ungrounded_claims``,
     ``is_grounded`` and ``recommendation``.
     """
-    tokens = F.transform(F.coalesce(F.col(evidence), F.array().cast("array<string>")), C.token_set)
-    with_words = F.transform(
-        C.overlap_claims(F.col(text)),
-        lambda c: F.struct(c.alias("text"), C.overlap_keywords(c).alias("words")),
+    texts = F.coalesce(F.col(evidence), F.array().cast("array<string>"))
+    worded = F.coalesce(
+        F.transform(
+            C.overlap_claims(F.col(text)),
+            lambda c: F.struct(c.alias("text"), C.overlap_keywords(c).alias("words")),
+        ),
+        F.array().cast(_WORDED),
     )
-    open_claims = F.filter("__claims", lambda c: ~C.is_supported(c["words"], F.col("__tokens")))
-    n, bad = F.col("claim_count"), F.size("ungrounded_claims")
-    score = F.coalesce(F.try_divide(n - bad, n), F.lit(1.0))
-    return (
-        responses.withColumns({"__tokens": tokens, "__claims": F.coalesce(with_words, F.array().cast(_WORDED))})
-        .withColumn("ungrounded_claims", F.transform(open_claims, lambda c: c["text"]))
-        .withColumn("claim_count", F.size("__claims"))
-        .withColumn("grounding_score", score)
-        .withColumn("is_grounded", F.col("grounding_score") >= threshold)
-        .withColumn(
-            "recommendation",
-            F.when(n == 0, "No factual claims detected").otherwise(
-                C.recommendation(F.col("grounding_score"), bad, threshold)
-            ),
+
+    def judged(s: Column) -> Column:
+        unsupported = F.filter(s["claims"], lambda c: ~C.is_supported(c["words"], s["tokens"]))
+        return F.struct(
+            F.size(s["claims"]).alias("n"), F.transform(unsupported, lambda c: c["text"]).alias("open")
         )
-        .drop("__tokens", "__claims")
-    )
+
+    def rated(s: Column) -> Column:
+        bad = F.size(s["open"])
+        score = F.coalesce(F.try_divide(s["n"] - bad, s["n"]), F.lit(1.0))
+        advice = F.when(s["n"] == 0, "No factual claims detected").otherwise(C.recommendation(score, bad, threshold))
+        return F.struct(
+            s["n"].alias("claim_count"), score.alias("grounding_score"), s["open"].alias("ungrounded_claims"),
+            (score >= threshold).alias("is_grounded"), advice.alias("recommendation"),
+        )
+
+    pair = F.struct(worded.alias("claims"), F.transform(texts, C.token_set).alias("tokens"))
+    return responses.withColumn("__v", let(let(pair, judged), rated)).select(*responses.columns, "__v.*")
 
 
 _WORDED = "array<struct<text:string,words:array<string>>>"
@@ -169,9 +168,9 @@ def check_overlap_rows(
     claims = responses.select(key, worded.alias("claim_words"))
     given = lookup(evidence.select(key, "evidence"), claims, key, ["claim_words"])
     tokens = F.array(F.col("__tokens"))
+    tokenized = given.withColumn("__tokens", C.token_set(F.col("evidence")))
     marks = (
-        given.withColumn("__tokens", C.token_set(F.col("evidence")))
-        .select(key, F.posexplode("claim_words").alias("claim_index", "words"), "__tokens")
+        explode_rows(tokenized, [key, "__tokens"], "claim_words", "claim_index", "words")
         .where((F.size("words") > 0) & C.is_supported(F.col("words"), tokens))
         .select(key, "claim_index")
         .distinct()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.functions import intents as I
-from opsloom.operators.skew import lookback
+from opsloom.functions.text import let
+from opsloom.operators.skew import explode_rows, lookback
 
 AVAILABLE_TOOLS = [
     "network_health_check", "network_config", "ticket_creator", "ticket_query", "sla_monitor",
@@ -23,34 +24,37 @@ def classify(
     tools = AVAILABLE_TOOLS if available_tools is None else available_tools
     available = F.array(*[F.lit(t) for t in tools]) if tools else F.array().cast("array<string>")
     message = F.col(text)
-    scored = messages.withColumn("__scores", I.intent_scores(message)).withColumn(
-        "__best", I.best_intent(F.col("__scores"))
-    )
-    confidence = F.col("__best.confidence")
-    if recent:
-        boost = I.topic_boost(F.col("__best.category"), F.col(recent))
-        confidence = F.least(confidence + boost, F.lit(1.0))
-    planned = F.when(F.col("requires_tools"), I.planned_tools(F.col("category"), available)).otherwise(
-        F.array().cast("array<string>")
-    )
-    calls = F.transform(
-        "__planned",
-        lambda t: F.struct(
-            t.alias("tool_name"),
-            I.tool_parameters(t, message, F.col("entities")).alias("params"),
-            I.tool_reason(t, F.col("category")).alias("reason"),
-        ),
-    )
-    return (
-        scored.withColumns(
-            {"category": F.col("__best.category"), "confidence": confidence, "entities": I.extract_entities(message)}
+
+    def judged(best: Column) -> Column:
+        confidence = best["confidence"]
+        if recent:
+            confidence = F.least(confidence + I.topic_boost(best["category"], F.col(recent)), F.lit(1.0))
+        return F.struct(best["category"].alias("category"), confidence.alias("confidence"))
+
+    def planned(j: Column) -> Column:
+        needed = I.requires_tools(j["category"], j["confidence"])
+        names = F.when(needed, I.planned_tools(j["category"], available)).otherwise(F.array().cast("array<string>"))
+        return F.struct(
+            j["category"].alias("category"), j["confidence"].alias("confidence"),
+            I.extract_entities(message).alias("entities"), needed.alias("requires_tools"), names.alias("names"),
+        )
+
+    def complete(p: Column) -> Column:
+        def call(tool: Column) -> Column:
+            return F.struct(
+                tool.alias("tool_name"),
+                I.tool_parameters(tool, message, p["entities"]).alias("params"),
+                I.tool_reason(tool, p["category"]).alias("reason"),
+            )
+
+        return F.struct(
+            *[p[name].alias(name) for name in ("category", "confidence", "entities", "requires_tools")],
+            F.transform(p["names"], call).alias("tool_calls"),
+            I.reasoning_text(p["category"], p["entities"], p["names"]).alias("reasoning"),
         )
-        .withColumn("requires_tools", I.requires_tools(F.col("category"), F.col("confidence")))
-        .withColumn("__planned", planned)
-        .withColumn("tool_calls", calls)
-        .withColumn("reasoning", I.reasoning_text(F.col("category"), F.col("entities"), F.col("__planned")))
-        .drop("__scores", "__best", "__planned")
-    )
+
+    intent = let(let(let(let(I.intent_scores(message), I.best_intent), judged), planned), complete)
+    return messages.withColumn("__intent", intent).select(*messages.columns, "__intent.*")
 
 
 def with_recent_topics(
@@ -63,6 +67,4 @@ def with_recent_topics(
 
 def planned_calls(classified: DataFrame, key: str) -> DataFrame:
     """One row per planned tool call: key, call_index, tool_name, params, reason."""
-    return classified.select(key, F.posexplode("tool_calls").alias("call_index", "__c")).select(
-        key, "call_index", "__c.*"
-    )
+    return explode_rows(classified, [key], "tool_calls", "call_index", "__c").select(key, "call_index", "__c.*")

@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 HOT_SHARE = 1000
 
 
+def explode_rows(rows: DataFrame, keep: list[str], items: Column | str, index: str, element: str) -> DataFrame:
+    """One row per array element with its position; rows without elements disappear.
+
+    The outer form keeps the optimizer from inferring a filter on the array's
+    size, which would evaluate a costly array twice.
+    """
+    return rows.select(*keep, F.posexplode_outer(items).alias(index, element)).where(F.col(index).isNotNull())
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys of ``rows`` that hold more than 1/1000 of all rows: at most 999 of them.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["queries_text", "queries_search"]
+_MODULES = ["queries_text", "queries_search", "queries_chat"]
 
 
 def all_queries():

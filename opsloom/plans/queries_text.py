@@ -140,10 +140,8 @@ def _screen_sql(source: str, key: str, t: str) -> str:
 
 
 def _screened(df, key, text):
-    v = F.col("validation")
-    return R.screen_input(df.select(key, text), text).select(
-        key, v["is_safe"].alias("is_safe"), v["reason"].alias("reason"), F.round(v["risk_score"], 6).alias("risk_score")
-    )
+    checked = df.select(key, R.validate_input(F.col(text)).alias("v")).select(key, "v.*")
+    return checked.withColumn("risk_score", F.round("risk_score", 6))
 
 
 @query("input_screen_documents", _screen_sql("documents", "doc_id", "text"))
@@ -212,8 +210,10 @@ def _redact_sql(source: str, key: str, t: str) -> str:
 
 
 def _redacted(df, key, text):
-    out = R.redact_output(df.select(key, F.col(text).alias("redacted")), "redacted")
-    return out.select(key, "redacted", "pii_removed", F.array_join("filtered_types", ",").alias("filtered_types"))
+    out = df.select(key, R.redact_output(F.col(text)).alias("r"))
+    return out.select(
+        key, F.col("r.text").alias("redacted"), "r.pii_removed", F.array_join("r.filtered_types", ",").alias("filtered_types")
+    )
 
 
 @query("pii_redact_documents", _redact_sql("documents", "doc_id", "text"))
