@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from opsloom.functions.text import WORD, contains_any, strip, tokens
+from opsloom.functions.text import WORD, contains_any, let, strip, tokens
 
 # --- fixed values -----------------------------------------------------------
 HEDGES = ["might", "maybe", "perhaps", "possibly", "could be", "i think", "i believe", "it seems"]
@@ -57,9 +57,11 @@ def term_claims(text: Column) -> Column:
     """Sentences that state something: long enough, not hedged, with a digit or a definitive word."""
 
     def is_claim(sentence: Column) -> Column:
-        lowered = F.lower(sentence)
-        definite = sentence.rlike(r"\p{Nd}") | contains_any(lowered, DEFINITIVE_WORDS)
-        return (F.length(sentence) >= MIN_SENTENCE) & ~contains_any(lowered, HEDGES) & definite
+        def stated(lowered: Column) -> Column:
+            definite = contains_any(lowered, DEFINITIVE_WORDS) | sentence.rlike(r"\p{Nd}")
+            return definite & ~contains_any(lowered, HEDGES)
+
+        return (F.length(sentence) >= MIN_SENTENCE) & let(F.lower(sentence), stated)
 
     return F.filter(F.transform(F.split(text, SENTENCE_END), strip), is_claim)
 
@@ -103,12 +105,8 @@ def overlap_claims(text: Column) -> Column:
     """Distinct sentences with a digit, a status word or a configuration word."""
 
     def is_claim(sentence: Column) -> Column:
-        lowered = F.lower(sentence)
-        return (F.length(sentence) > 0) & (
-            sentence.rlike(DIGIT)
-            | contains_any(lowered, STATUS_WORDS)
-            | contains_any(lowered, CONFIG_WORDS)
-        )
+        known = let(F.lower(sentence), lambda low: contains_any(low, [*STATUS_WORDS, *CONFIG_WORDS]))
+        return (F.length(sentence) > 0) & (sentence.rlike(DIGIT) | known)
 
     sentences = F.transform(F.split(text, r"\."), strip)
     return F.array_distinct(F.filter(sentences, is_claim))

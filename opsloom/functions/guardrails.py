@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from opsloom.functions.text import UNICODE, UNICODE_NOCASE, flag, let, strip, tokens
+from opsloom.functions.text import UNICODE, UNICODE_NOCASE, contains_any, flag, fold, let, strip, tokens
 
 # --- fixed values -----------------------------------------------------------
 INJECTION_PATTERNS = [
@@ -69,27 +69,69 @@ CREDENTIAL_PATTERNS = [
 CREDENTIAL_REPLACEMENT = "[CREDENTIAL REDACTED]"
 # --- end of fixed values ----------------------------------------------------
 
+#: text that every match of a pattern contains: a plain search for it comes
+#: before the pattern, so that most texts never reach the pattern
+REQUIRED_WORDS = dict(
+    zip(
+        INJECTION_PATTERNS,
+        [
+            ["ignore"], ["disregard"], ["forget"], ["now"], ["act"], ["pretend"], ["roleplay"],
+            ["prompt", "instructions"], ["prompt", "instructions"], ["anything"], ["dan"], ["developer"], ["bypass"],
+            ["execute"], ["run"], ["eval"], ["exec"],
+        ],
+    )
+) | dict(
+    zip(
+        BLOCKED_PATTERNS,
+        [
+            ["network", "system", "server"],
+            ["malware", "virus", "ransomware", "trojan"],
+            ["passwords", "credentials", "secrets", "keys"],
+            ["database", "customer"],
+        ],
+    )
+)
+PII_SIGNS = {
+    "phone_us": r"[0-9]{4}",
+    "phone_intl": r"\+[1-9]",
+    "email": r"@",
+    "ipv4": r"[0-9]\.[0-9]",
+    "ipv6": r"[0-9a-fA-F]:[0-9a-fA-F]",
+    "ssn": r"[0-9]-[0-9]",
+    "credit_card": r"[0-9]{13}",
+    "mac_address": r"[0-9A-Fa-f][:-][0-9A-Fa-f]",
+}
+CREDENTIAL_WORDS = ["password", "api", "secret", "access", "bearer"]
+
 
-def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """Case-insensitive search for any of the patterns, as one alternation."""
-    return text.rlike(UNICODE_NOCASE + "(?:" + "|".join(patterns) + ")")
+def any_pattern(folded: Column, patterns: Sequence[str]) -> Column:
+    """Search for any of the patterns in a folded text (see :func:`fold`)."""
+    found = F.lit(False)
+    for pattern in patterns:
+        if pattern in REQUIRED_WORDS:
+            hit = contains_any(folded, REQUIRED_WORDS[pattern]) & folded.rlike(UNICODE + pattern)
+        else:
+            hit = folded.rlike(UNICODE_NOCASE + pattern)
+        found = found | hit
+    return found
 
 
 def risk_score(message: Column) -> Column:
     """Additive risk of a message, at most 1."""
-    lowered = F.lower(message)
-    all_words = tokens(lowered)
-    special = F.length(F.regexp_replace(message, r"[\p{L}\p{N}\s\x0B\x1C-\x1F\x85\p{Z}]", ""))
+    special = F.regexp_count(message, F.lit(r"[^\p{L}\p{N}\s\x0B\x1C-\x1F\x85\p{Z}]"))
     newlines = F.length(message) - F.length(F.translate(message, "\n", ""))
-    repeated = F.try_divide(F.size(F.array_distinct(all_words)), F.size(all_words)) < 0.3
-    score = (
-        flag(special > F.length(message) * 0.3) * 0.2
-        + flag(newlines > 20) * 0.15
-        + flag(repeated) * 0.2
-    )
-    for marker in RISK_MARKERS:
-        score = score + flag(lowered.contains(marker)) * 0.1
-    score = score + flag(message.rlike(BASE64_RUN)) * 0.15
+    score = flag(special > F.length(message) * 0.3) * 0.2 + flag(newlines > 20) * 0.15
+
+    def from_words(lowered: Column) -> Column:
+        def repetitive(words: Column) -> Column:
+            return F.try_divide(F.size(F.array_distinct(words)), F.size(words)) < 0.3
+
+        total = score + flag(let(tokens(lowered), repetitive)) * 0.2
+        for marker in RISK_MARKERS:
+            total = total + flag(lowered.contains(marker)) * 0.1
+        return total
+
+    score = let(F.lower(message), from_words) + flag(message.rlike(BASE64_RUN)) * 0.15
     return F.least(score, F.lit(1.0))
 
 
@@ -117,13 +159,18 @@ def validate_input(
         flagged = verdict("Message flagged as potentially harmful", risk)
         return F.when(risk > RISK_LIMIT, flagged).otherwise(verdict(None, risk))
 
+    def by_content(folded: Column) -> Column:
+        return (
+            F.when(any_pattern(folded, injection_patterns), verdict("Potential prompt injection detected", 0.9))
+            .when(any_pattern(folded, blocked_patterns), verdict("Message contains blocked content", 0.8))
+            .otherwise(let(risk_score(message), by_risk))
+        )
+
     too_long = f"Message exceeds maximum length of {max_length} characters"
     return (
         F.when(message.isNull() | (F.length(message) == 0), verdict(None, 0.0))
         .when(F.length(message) > max_length, verdict(too_long, 0.3))
-        .when(any_pattern(message, injection_patterns), verdict("Potential prompt injection detected", 0.9))
-        .when(any_pattern(message, blocked_patterns), verdict("Message contains blocked content", 0.8))
-        .otherwise(let(risk_score(message), by_risk))
+        .otherwise(let(fold(message), by_content))
     )
 
 
@@ -138,10 +185,22 @@ def sanitize(message: Column, max_length: int = MAX_MESSAGE_LENGTH) -> Column:
 def redact_pii(text: Column, patterns: Mapping[str, str] | None = None) -> Column:
     """Replace personal data only (used for source references)."""
     for name, pattern in {**PII_PATTERNS, **(patterns or {})}.items():
-        text = F.regexp_replace(text, UNICODE + pattern, replacement_for(name))
+        text = let(text, _replacing(name, pattern))
     return text
 
 
+def _replacing(name: str, pattern: str) -> Callable[[Column], Column]:
+    def apply(t: Column) -> Column:
+        return F.when(_sign(t, name), F.regexp_replace(t, UNICODE + pattern, replacement_for(name))).otherwise(t)
+
+    return apply
+
+
+def _sign(text: Column, name: str) -> Column:
+    """Cheap test that a text may hold personal data of a kind."""
+    return text.rlike(PII_SIGNS[name]) if name in PII_SIGNS else F.lit(True)
+
+
 def redact_sources(sources: Column, patterns: Mapping[str, str] | None = None) -> Column:
     """:func:`redact_pii` over an array of source references."""
     return F.transform(sources, lambda s: redact_pii(s, patterns))
@@ -155,7 +214,10 @@ def replacement_for(name: str) -> str:
 def pii_counts(text: Column, patterns: Mapping[str, str] | None = None) -> Column:
     """``map<type, count>`` of personal data on the raw text; absent types left out."""
     entries = [
-        F.struct(F.lit(name).alias("k"), F.regexp_count(text, F.lit(UNICODE + pattern)).alias("v"))
+        F.struct(
+            F.lit(name).alias("k"),
+            F.when(_sign(text, name), F.regexp_count(text, F.lit(UNICODE + pattern))).otherwise(0).alias("v"),
+        )
         for name, pattern in {**PII_PATTERNS, **(patterns or {})}.items()
     ]
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"] > 0))
@@ -174,15 +236,20 @@ def redact_output(
     step searches first: a text without matches is scanned once per kind and
     never rebuilt.
     """
-    stages: list[tuple[str, str, str]] = []
+    # markers hold no digits, signs or credential words, so those can be
+    # looked for in the original text as well as in the current one
+    given = F.coalesce(text, F.lit(""))
+    stages: list[tuple[str, str, str, Callable[[Column], Column]]] = []
     if filter_pii:
         for name, pattern in {**PII_PATTERNS, **(custom_patterns or {})}.items():
-            stages.append((name, UNICODE + pattern, replacement_for(name)))
+            stages.append((name, UNICODE + pattern, replacement_for(name), lambda t, low, n=name: _sign(t, n)))
     if filter_credentials:
-        for pattern in CREDENTIAL_PATTERNS:
-            stages.append(("credential", UNICODE_NOCASE + pattern, CREDENTIAL_REPLACEMENT))
+        for pattern, word in zip(CREDENTIAL_PATTERNS, CREDENTIAL_WORDS):
+            stages.append(
+                ("credential", UNICODE_NOCASE + pattern, CREDENTIAL_REPLACEMENT, lambda t, low, w=word: low.contains(w))
+            )
 
-    def stage(name: str, pattern: str, marker: str) -> Callable[[Column], Column]:
+    def stage(name: str, pattern: str, marker: str, possible, low: Column) -> Callable[[Column], Column]:
         def apply(state: Column) -> Column:
             t = state["text"]
             replaced = F.struct(
@@ -190,18 +257,21 @@ def redact_output(
                 (state["pii_removed"] + F.regexp_count(t, F.lit(pattern))).alias("pii_removed"),
                 F.array_union(state["filtered_types"], F.array(F.lit(name))).alias("filtered_types"),
             ).cast(_REDACTED)
-            return F.when(t.rlike(pattern), replaced).otherwise(state)
+            return F.when(possible(t, low) & t.rlike(pattern), replaced).otherwise(state)
 
         return apply
 
-    state = F.struct(
-        F.coalesce(text, F.lit("")).alias("text"),
-        F.lit(0).alias("pii_removed"),
-        F.array().cast("array<string>").alias("filtered_types"),
-    ).cast(_REDACTED)
-    for name, pattern, marker in stages:
-        state = let(state, stage(name, pattern, marker))
-    return state
+    def run(low: Column) -> Column:
+        state = F.struct(
+            given.alias("text"),
+            F.lit(0).alias("pii_removed"),
+            F.array().cast("array<string>").alias("filtered_types"),
+        ).cast(_REDACTED)
+        for name, pattern, marker, possible in stages:
+            state = let(state, stage(name, pattern, marker, possible, low))
+        return state
+
+    return let(fold(given), run)
 
 
 _REDACTED = "struct<text:string,pii_removed:int,filtered_types:array<string>>"

@@ -43,7 +43,7 @@ def strip(text: Column) -> Column:
 
 def nonempty(items: Column) -> Column:
     """Drop empty strings from an array."""
-    return F.filter(items, lambda x: F.length(x) > 0)
+    return F.array_remove(items, "")
 
 
 def tokens(text: Column) -> Column:
@@ -58,9 +58,24 @@ def words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their terminators; an empty text has none."""
+    # nearly all texts end their lines with plain line feeds: no pattern needed
+    unusual = text.rlike(r"[\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]")
+    plain = F.when(text.endswith("\n"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
     body = F.regexp_replace(text, LINE_END + r"\z", "")
-    empty = F.array().cast("array<string>")
-    return F.when(F.length(text) == 0, empty).otherwise(F.split(body, LINE_END))
+    return (
+        F.when(F.length(text) == 0, F.array().cast("array<string>"))
+        .when(~unusual, F.split(plain, "\n"))
+        .otherwise(F.split(body, LINE_END))
+    )
+
+
+def fold(text: Column) -> Column:
+    """Lower case, with the four letters that fold to ASCII ones replaced first.
+
+    A plain lower-case search on the result finds what a case-insensitive
+    search finds in the original.
+    """
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:

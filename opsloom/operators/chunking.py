@@ -201,7 +201,9 @@ def pack_lines(text: Column, limit: int = MAX_SECTION) -> Column:
 
 def split_sections(text: Column) -> Column:
     """``array<struct<title, body>>``: text between headers, and the text before them if long."""
-    pattern = "(?dimU)" + "|".join(f"(?:{p})" for p in SECTION_PATTERNS)
+    # all patterns start the same way: state it once
+    start = "(?:^|\\n)"
+    pattern = f"(?dimU){start}(?:" + "|".join(p.removeprefix(start) for p in SECTION_PATTERNS) + ")"
     marked = F.split(F.regexp_replace(text, pattern, f"{_MARK}$0{_TITLE_END}"), _MARK)
 
     def section(part: Column) -> Column:

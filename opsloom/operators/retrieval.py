@@ -131,7 +131,7 @@ def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, tex
     toks = F.col("__tokens")
 
     def occurrences(term: str) -> Column:
-        return F.size(F.filter(toks, lambda t: t == term))
+        return F.size(toks) - F.size(F.array_remove(toks, term))
 
     counted = corpus.select(id_col, tokens(F.lower(F.col(text))).alias("__tokens")).select(
         id_col,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.plans.catalog import table
+from opsloom.plans.catalog import table, texts
 
 _U = "CAST(user_id AS STRING)"
 _E = "CAST(event_id AS STRING)"
@@ -144,9 +144,14 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
 }
 
 
+#: derived inputs whose rows are read as text
+_TEXTS = {"chat", "files", "configs", "tickets"}
+
+
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = DERIVED[name]
-    return table(spark, sf_dir, base).selectExpr(*columns)
+    rows = texts(spark, sf_dir, base) if name in _TEXTS else table(spark, sf_dir, base)
+    return rows.selectExpr(*columns)
 
 
 def derived_sql(name: str) -> str:

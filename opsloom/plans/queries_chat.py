@@ -8,7 +8,7 @@ from opsloom.functions import intents as I
 from opsloom.operators import audit as U
 from opsloom.operators import conversation as V
 from opsloom.operators import intents as N
-from opsloom.plans.catalog import query, table
+from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import lit
 
@@ -37,7 +37,7 @@ _BEST = "CASE " + " ".join(f"WHEN {c} = {_TOP} THEN '{c}'" for c in I.CATEGORIES
 
 @query("intent_scores_conversations", _scores_sql("conversations", "conv_id, turn", "text"))
 def intent_scores_conversations(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", I.intent_scores(F.col("text")).alias("s"))
+    rows = texts(spark, sf_dir, "conversations").select("conv_id", "turn", I.intent_scores(F.col("text")).alias("s"))
     return rows.select("conv_id", "turn", "s.*")
 
 

@@ -12,7 +12,7 @@ from opsloom.operators import collections as L
 from opsloom.operators import embedding as E
 from opsloom.operators import retrieval as R
 from opsloom.operators.metrics import histogram, HISTOGRAM_BOUNDS
-from opsloom.plans.catalog import query, table
+from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import sql_list, tokens_sql
 
@@ -122,7 +122,7 @@ def _bm25_sql(k: int, where: str = "true") -> str:
 
 @query("bm25_topk", _bm25_sql(10))
 def bm25_topk(spark, sf_dir):
-    return R.bm25_top_k(table(spark, sf_dir, "documents"), TERMS, 10, "doc_id", "text")
+    return R.bm25_top_k(texts(spark, sf_dir, "documents", "doc_id", "text"), TERMS, 10, "doc_id", "text")
 
 
 def _fused_sql(semantic: str, keyword: str, key: str) -> str:
@@ -163,7 +163,7 @@ def hybrid_search(spark, sf_dir):
     holds text and vector in one row and needs no join.
     """
     (_, probe), = _probes(spark, sf_dir, [0])
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("lang").alias("region"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("lang").alias("region"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     corpus = docs.join(vectors, "doc_id")
     return R.hybrid_search(corpus, probe, keyword_terms=TERMS, filters={"region": "en"}, id_col="doc_id")
@@ -199,7 +199,7 @@ _BUCKET = "CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64"
 )
 def embed_documents(spark, sf_dir):
     """Vectors of all texts from the offline provider, as non-zero components."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
     out = E.embed_column(docs, "text", E.HashingProvider(64)).select("doc_id", F.posexplode("embedding").alias("dim", "w"))
     return out.where(F.col("w") > 0).select(
         "doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("w").cast("double"), 4).alias("weight")

@@ -11,7 +11,7 @@ from opsloom.operators import chunking as K
 from opsloom.operators import grounding as G
 from opsloom.operators.collections import document_type_counts
 from opsloom.operators.skew import lookback
-from opsloom.plans.catalog import query, table
+from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import TRIM, lit, sql_list, tokens_sql
 from opsloom.sources import files as S
@@ -82,7 +82,7 @@ def type_counts(spark, sf_dir):
     """,
 )
 def text_statistics(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").selectExpr(
+    pages = texts(spark, sf_dir, "pages").selectExpr(
         "page_id", "html || chr(10) || 'Region: r' || CAST(page_id % 9 AS STRING) AS t"
     )
     stats = S.text_statistics(F.col("t"))
@@ -99,7 +99,7 @@ def text_statistics(spark, sf_dir):
     """,
 )
 def upload_types(spark, sf_dir):
-    kinds = table(spark, sf_dir, "pages").selectExpr(
+    kinds = texts(spark, sf_dir, "pages").selectExpr(
         "CASE page_id % 4 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/json' "
         "ELSE 'image/png' END AS content_type"
     )
@@ -146,7 +146,7 @@ def _screened(df, key, text):
 
 @query("input_screen_documents", _screen_sql("documents", "doc_id", "text"))
 def input_screen_documents(spark, sf_dir):
-    return _screened(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _screened(texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("input_screen_chat", _screen_sql(CHAT, "message_id", "content"))
@@ -156,7 +156,7 @@ def input_screen_chat(spark, sf_dir):
 
 @query("input_risk", f"SELECT doc_id, round({_risk_sql('text')}, 6) AS risk_score FROM documents")
 def input_risk(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(R.risk_score(F.col("text")), 6).alias("risk_score"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.round(R.risk_score(F.col("text")), 6).alias("risk_score"))
 
 
 @query(
@@ -167,7 +167,7 @@ def input_risk(spark, sf_dir):
     """,
 )
 def input_sanitize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = texts(spark, sf_dir, "documents").selectExpr(
         "doc_id",
         "replace(replace(text, '. ', '.' || chr(9) || '   ' || chr(7)), ',', chr(10) || chr(10) || chr(10) || chr(10)) AS t",
     )
@@ -183,7 +183,7 @@ def input_sanitize(spark, sf_dir):
     """,
 )
 def request_limits(spark, sf_dir):
-    texts = derive(spark, sf_dir, "chat").select("content").unionAll(table(spark, sf_dir, "documents").select("text"))
+    texts = derive(spark, sf_dir, "chat").select("content").unionAll(texts(spark, sf_dir, "documents").select("text"))
     ok = R.is_acceptable_request(F.col("content"))
     return texts.agg(F.count_if(ok).alias("good_messages"), F.count_if(~ok).alias("bad_messages"))
 
@@ -218,7 +218,7 @@ def _redacted(df, key, text):
 
 @query("pii_redact_documents", _redact_sql("documents", "doc_id", "text"))
 def pii_redact_documents(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _redacted(texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("pii_redact_chat", _redact_sql(CHAT, "message_id", "content"))
@@ -236,7 +236,7 @@ def pii_redact_chat(spark, sf_dir):
     + ") WHERE n > 0 GROUP BY 1, 2",
 )
 def pii_totals_by_source(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return (
         docs.select("source", F.explode(R.pii_counts(F.col("text"))).alias("type", "n"))
         .groupBy("source", "type")
@@ -300,13 +300,13 @@ def _terms_sql(t: str) -> str:
     """,
 )
 def claims_terms(spark, sf_dir):
-    rows = G.term_claim_rows(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    rows = G.term_claim_rows(texts(spark, sf_dir, "documents"), "text", ["doc_id"])
     return rows.select("doc_id", "claim", F.array_join(C.key_terms(F.lower("claim")), " ").alias("key_terms"))
 
 
 @query("claims_overlap", f"SELECT doc_id, unnest({_overlap_claims_sql('text')}) AS claim FROM documents")
 def claims_overlap(spark, sf_dir):
-    return G.overlap_claim_rows(table(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "claim")
+    return G.overlap_claim_rows(texts(spark, sf_dir, "documents"), "text", ["doc_id"]).select("doc_id", "claim")
 
 
 def _with_evidence(spark, sf_dir):
@@ -408,7 +408,7 @@ _SECTIONED = "replace(text, chr(10), chr(10) || 'Section ' || CAST(doc_id % 40 A
     """,
 )
 def chunk_sections(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SECTIONED.format(s="STRING")).alias("t"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.expr(_SECTIONED.format(s="STRING")).alias("t"))
     return docs.select("doc_id", F.inline(K.split_sections(F.col("t"))))
 
 
@@ -443,7 +443,7 @@ def chunk_documents(spark, sf_dir):
 @query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
     """Section chunks with sentence packing, from texts that have section headers."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.expr(_SECTIONED.format(s="STRING")).alias("content"),
         F.lit("sla").alias("document_type"),
     )
@@ -453,7 +453,7 @@ def chunk_semantic(spark, sf_dir):
 @query("pack_lines")
 def pack_lines(spark, sf_dir):
     """Line-bounded packing of whole documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(K.pack_lines(F.col("text"), 500)).alias("chunk_index", "content"))
 
 
@@ -465,7 +465,7 @@ def pack_lines(spark, sf_dir):
     """,
 )
 def markdown_headers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = texts(spark, sf_dir, "documents").selectExpr(
         "doc_id", "'intro' || chr(10) || repeat('#', CAST(doc_id % 8 AS INT)) || ' Head ' || source || chr(10) || text AS t"
     )
     return docs.select("doc_id", K.section_header(F.col("t")).alias("section_header"))

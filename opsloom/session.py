@@ -56,3 +56,16 @@ def cut_lineage(df, label: str):
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widen(df, *keys: str):
+    """Spread the rows of a few files over all cores before costly work per row.
+
+    A handful of small files is read by a handful of tasks, whatever comes
+    after.  Inputs with many files already have enough tasks and pass through
+    untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) * 4 > cores:
+        return df
+    return df.repartition(cores, *keys)
