@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opsloom.functions.text import tokens
+from opsloom.functions.text import let, tokens
 from opsloom.functions.vectors import MAX_PROBES, probe_scores
 
 # --- fixed values -----------------------------------------------------------
@@ -128,36 +128,37 @@ def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, tex
     its own term counts.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))[:MAX_KEYWORDS]
-    toks = F.col("__tokens")
 
-    def occurrences(term: str) -> Column:
-        return F.size(toks) - F.size(F.array_remove(toks, term))
+    def counts(toks: Column) -> Column:
+        found = [(F.size(toks) - F.size(F.array_remove(toks, t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+        return F.struct(F.size(toks).alias("length"), *found)
 
-    counted = corpus.select(id_col, tokens(F.lower(F.col(text))).alias("__tokens")).select(
-        id_col,
-        F.size(toks).alias("__length"),
-        *[occurrences(w).alias(f"__tf{i}") for i, w in enumerate(terms)],
-    )
+    counted = corpus.select(id_col, let(tokens(F.lower(F.col(text))), counts).alias("d"))
     stats = counted.agg(
         F.count("*").alias("n"),
-        F.avg("__length").alias("mean_length"),
-        *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
+        F.avg("d.length").alias("mean_length"),
+        *[F.count_if(F.col(f"d.tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
     )
-    any_term = F.lit(False)
-    score = F.lit(0.0)
-    s = F.col("__stats")
-    for i in range(len(terms)):
-        tf, df = F.col(f"__tf{i}"), s[f"df{i}"]
-        any_term = any_term | (tf > 0)
-        idf = F.log(F.lit(1.0) + (s["n"] - df + 0.5) / (df + 0.5))
-        length_part = F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("__length") / s["mean_length"]
-        score = score + idf * (tf * (BM25_K1 + 1.0)) / (tf + F.lit(BM25_K1) * length_part)
+
+    def score(d: Column) -> Column:
+        s = F.col("__stats")
+        total, hits = F.lit(0.0), F.lit(0)
+        for i in range(len(terms)):
+            tf, df = d[f"tf{i}"], s[f"df{i}"]
+            idf = F.log(F.lit(1.0) + (s["n"] - df + 0.5) / (df + 0.5))
+            length_part = F.lit(1.0 - BM25_B) + F.lit(BM25_B) * d["length"] / s["mean_length"]
+            total = total + idf * (tf * (BM25_K1 + 1.0)) / (tf + F.lit(BM25_K1) * length_part)
+            hits = hits + tf
+        return F.when(hits > 0, F.round(total, SCORE_DIGITS))
+
+    # documents without any term have no score and sort last; they are dropped
+    # after the limit, as an earlier filter would count the tokens twice
     best = (
-        counted.where(any_term)
-        .withColumn("__stats", stats.select(F.struct("*")).scalar())
-        .select(id_col, F.round(score, SCORE_DIGITS).alias("score"))
-        .orderBy(F.desc("score"), id_col)
+        counted.withColumn("__stats", stats.select(F.struct("*")).scalar())
+        .select(id_col, score(F.col("d")).alias("score"))
+        .orderBy(F.desc_nulls_last("score"), id_col)
         .limit(k)
+        .where(F.col("score").isNotNull())
     )
     return with_rank(best, "score", id_col)
 

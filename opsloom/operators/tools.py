@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from opsloom.functions.text import flag
 from opsloom.operators import operations as O
 
 logger = logging.getLogger(__name__)
@@ -232,45 +233,39 @@ def sla_monitor_tool(compliance: DataFrame, regions: DataFrame) -> Tool:
     :func:`opsloom.operators.operations.sla_at_risk` and ``sla_breaches``.
     """
 
-    def rollups(by: list[str]) -> DataFrame:
-        status = compliance.groupBy(*by).agg(
-            F.count("*").alias("total_services"),
-            F.count_if("is_compliant").alias("compliant"),
-            F.count_if(~F.col("is_compliant")).alias("non_compliant"),
-            F.count_if(
-                ~F.col("is_compliant") & (F.col("current_availability") < F.col("target_availability") + 0.1)
-            ).alias("at_risk"),
-        )
-        margins = compliance.select(*by).distinct().join(
-            O.sla_at_risk(compliance).groupBy(*by).agg(F.count("*").alias("count")), by, "left"
-        )
-        breaches = compliance.groupBy(*by).agg(
-            F.count_if(F.col("breach_count_30d") > 0).alias("services_with_breaches"),
-            F.sum("breach_count_30d").alias("total_breaches_30d"),
-        )
+    names = ["total_services", "compliant", "non_compliant", "at_risk", "near", "breached", "breaches"]
+    bad = ~F.col("is_compliant")
+    close = F.col("current_availability") < F.col("target_availability") + 0.1
+    level = O.S.risk_level(
+        F.col("current_availability") - F.col("target_availability"), F.col("target_latency_ms") - F.col("current_latency_ms")
+    )
+    conditions = [F.lit(True), ~bad, bad, bad & close, level.isNotNull(), F.col("breach_count_30d") > 0]
+    values = [flag(c).cast("bigint") for c in conditions] + [F.col("breach_count_30d")]
+    per_service = compliance.select("region", "service_id", *[v.alias(n) for v, n in zip(values, names)])
 
-        def shaped(df: DataFrame, check: str, fields: list[str], summary: Column) -> DataFrame:
-            service = F.col("service_id") if "service_id" in by else F.lit(None).cast("string")
-            return df.select(
-                F.col("region").alias("r"), service.alias("s"), F.lit(check).alias("c"),
-                F.to_json(F.struct("region", *fields)).alias("data"), summary.alias("summary"),
-            )
+    def answers(rows: DataFrame) -> DataFrame:
+        """Three answers per row, one for each kind of check."""
 
-        zero = F.lit(0).cast("bigint")
-        margins = margins.withColumn("count", F.coalesce("count", zero))
-        return (
-            shaped(
-                status, "status", ["total_services", "compliant", "non_compliant", "at_risk"],
-                F.format_string("Region %s: %d/%d services compliant, %d at risk", "region", "compliant", "total_services", "at_risk"),
-            )
-            .unionByName(shaped(margins, "at_risk", ["count"], F.format_string("Found %d services at risk of SLA breach in %s", "count", "region")))
-            .unionByName(
-                shaped(
-                    breaches, "breaches", ["services_with_breaches", "total_breaches_30d"],
-                    F.format_string("%d services had %d total breaches in last 30 days", "services_with_breaches", "total_breaches_30d"),
-                )
-            )
+        def answer(check: str, fields: dict[str, str], summary: Column) -> Column:
+            data = F.to_json(F.struct("region", *[F.col(c).alias(n) for n, c in fields.items()]))
+            return F.struct(F.lit(check).alias("c"), data.alias("data"), summary.alias("summary"))
+
+        status = F.format_string(
+            "Region %s: %d/%d services compliant, %d at risk", "region", "compliant", "total_services", "at_risk"
+        )
+        near = F.format_string("Found %d services at risk of SLA breach in %s", "near", "region")
+        breached = F.format_string("%d services had %d total breaches in last 30 days", "breached", "breaches")
+        three = F.array(
+            answer("status", {n: n for n in names[:4]}, status),
+            answer("at_risk", {"count": "near"}, near),
+            answer("breaches", {"services_with_breaches": "breached", "total_breaches_30d": "breaches"}, breached),
         )
+        return rows.select(F.col("region").alias("r"), F.col("service_id").alias("s"), F.inline(three))
+
+    per_region = per_service.groupBy("region").agg(
+        F.lit(None).cast("string").alias("service_id"), *[F.sum(n).alias(n) for n in names]
+    )
+    table = answers(per_region).unionByName(answers(per_service))
 
     def run(requests: DataFrame) -> DataFrame:
         check = F.coalesce(_param("check_type"), F.lit("status"))
@@ -281,7 +276,6 @@ def sla_monitor_tool(compliance: DataFrame, regions: DataFrame) -> Tool:
             F.when(check.isin("status", "at_risk", "breaches"), check).otherwise("status").alias("check_type"),
         )
         known = O.known_region(asked, regions)
-        table = rollups(["region"]).unionByName(rollups(["region", "service_id"]))
         good = known.where(F.col("error").isNull()).drop("error").join(
             table,
             (F.col("region") == F.col("r")) & F.col("service_id").eqNullSafe(F.col("s")) & (F.col("check_type") == F.col("c")),

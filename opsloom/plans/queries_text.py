@@ -183,9 +183,9 @@ def input_sanitize(spark, sf_dir):
     """,
 )
 def request_limits(spark, sf_dir):
-    texts = derive(spark, sf_dir, "chat").select("content").unionAll(texts(spark, sf_dir, "documents").select("text"))
+    messages = derive(spark, sf_dir, "chat").select("content").unionAll(texts(spark, sf_dir, "documents").select("text"))
     ok = R.is_acceptable_request(F.col("content"))
-    return texts.agg(F.count_if(ok).alias("good_messages"), F.count_if(~ok).alias("bad_messages"))
+    return messages.agg(F.count_if(ok).alias("good_messages"), F.count_if(~ok).alias("bad_messages"))
 
 
 # --- redaction --------------------------------------------------------------
