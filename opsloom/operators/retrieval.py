@@ -51,8 +51,12 @@ def read_probes(vectors: DataFrame, id_col: str, vector_col: str) -> list[tuple]
 
 def score_against(corpus: DataFrame, vector: str, probes: Sequence[Sequence[float]]) -> DataFrame:
     """Add ``scores``: rounded cosine similarity with each probe, floored at zero."""
-    floor = lambda s: F.round(F.greatest(s, F.lit(0.0)), SCORE_DIGITS)
-    return corpus.withColumn("scores", F.transform(probe_scores(F.col(vector), probes), floor))
+
+    def floored(s: Column) -> Column:
+        # greatest() would turn a missing score into zero
+        return F.when(s.isNotNull(), F.round(F.greatest(s, F.lit(0.0)), SCORE_DIGITS))
+
+    return corpus.withColumn("scores", F.transform(probe_scores(F.col(vector), probes), floored))
 
 
 def vector_top_k(corpus: DataFrame, probe: Sequence[float], k: int, id_col: str, vector: str = "embedding") -> DataFrame:
