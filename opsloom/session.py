@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import opsloom
+
 #: SQL settings every operator assumes; safe to set on a running session.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,7 +21,12 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`SQL_SETTINGS` to an existing session."""
+    """Apply :data:`SQL_SETTINGS` to an existing session.
+
+    The package's few Python functions are sent to the executors by value, so
+    it need not be installed there.
+    """
+    cloudpickle.register_pickle_by_value(opsloom)
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
