@@ -58,4 +58,5 @@ def probe_scores(vector: Column, probes: Sequence[Sequence[float]]) -> Column:
         offsets = pa.array(np.arange(len(vectors) + 1) * unit.shape[1], type=pa.int32())
         return pa.ListArray.from_arrays(offsets, flat_out)
 
-    return score(vector)
+    # planned as non-deterministic so that a filter on the score does not score twice
+    return score.asNondeterministic()(vector)

@@ -49,37 +49,47 @@ def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+def _bucket_column(buckets: int) -> str:
+    # the folder name states the layout, so a merge cannot mistake it
+    return f"bucket_of_{buckets}"
+
+
 def write_collection(rows: DataFrame, path: str, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
-    """Store a collection as Parquet, one folder per key bucket."""
-    bucketed = rows.withColumn("bucket", bucket_of(F.col(key), buckets))
-    # the second key spreads a bucket over several writers
-    spread = F.pmod(F.hash(key), F.lit(8))
-    bucketed.repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Store a collection as Parquet, one folder per key bucket.
+
+    Choose ``buckets`` so that one holds a few gigabytes.  Rows are rebalanced
+    by bucket: large buckets are split over several writers, small ones share.
+    """
+    name = _bucket_column(buckets)
+    bucketed = rows.withColumn(name, bucket_of(F.col(key), buckets))
+    bucketed.hint("rebalance", name).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def read_collection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def merge_into(spark: SparkSession, path: str, incoming: DataFrame, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
+def merge_into(spark: SparkSession, path: str, incoming: DataFrame, key: str = "chunk_id") -> None:
     """Upsert ``incoming`` into a stored collection, rewriting touched buckets only.
 
     The merged buckets are first written to the shared scratch folder, so the
     job never overwrites what it still reads.
     """
-    incoming = incoming.withColumn("bucket", bucket_of(F.col(key), buckets))
-    # at most `buckets` numbers come to the driver
-    touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]
+    stored = read_collection(spark, path)
+    name = next(c for c in stored.columns if c.startswith("bucket_of_"))
+    incoming = incoming.withColumn(name, bucket_of(F.col(key), int(name.rsplit("_", 1)[1])))
+    # one number per bucket comes to the driver
+    touched = [r[0] for r in incoming.select(name).distinct().collect()]
     if not touched:
         return
-    stored = read_collection(spark, path).where(F.col("bucket").isin(touched))
     staging = scratch_dir(spark, "merge")
-    upsert(stored, incoming, key).write.partitionBy("bucket").parquet(staging)
+    merged = upsert(stored.where(F.col(name).isin(touched)), incoming, key)
+    merged.hint("rebalance", name).write.partitionBy(name).parquet(staging)
     (
         spark.read.parquet(staging)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
+        .partitionBy(name)
         .parquet(path)
     )
 

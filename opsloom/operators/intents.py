@@ -58,11 +58,10 @@ def classify(
 
 
 def with_recent_topics(
-    messages: DataFrame, session: str = "session_id", order: str = "ts", text: str = "content",
-    span: int = 1024, output: str = "recent",
+    messages: DataFrame, session: str = "session_id", order: str = "ts", text: str = "content", output: str = "recent"
 ) -> DataFrame:
     """Add the topic flags of the four messages before each one in its session."""
-    return lookback(messages, [session], order, I.topic_flags(F.col(text)), I.BOOST_WINDOW, span, output)
+    return lookback(messages, [session], order, I.topic_flags(F.col(text)), I.BOOST_WINDOW, output)
 
 
 def planned_calls(classified: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: a key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE
 HOT_SHARE = 1000
+#: and a key with fewer rows than this is no burden to one task
+HOT_ROWS = 100_000
 
 
 def explode_rows(rows: DataFrame, keep: list[str], items: Column | str, index: str, element: str) -> DataFrame:
@@ -17,18 +19,26 @@ def explode_rows(rows: DataFrame, keep: list[str], items: Column | str, index: s
     return rows.select(*keep, F.posexplode_outer(items).alias(index, element)).where(F.col(index).isNotNull())
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """Keys of ``rows`` that hold more than 1/1000 of all rows: at most 999 of them.
+def hot_keys(
+    rows: DataFrame, keys: str | list[str], share: int = HOT_SHARE, min_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Keys of ``rows`` that hold more than 1/1000 of all rows (and many): at most 999 of them.
 
     The count is pre-aggregated before its shuffle, so finding a hot key costs
     no more than finding a cold one.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    keys = [keys] if isinstance(keys, str) else keys
+    known = rows
+    for key in keys:
+        known = known.where(F.col(key).isNotNull())
+    counts = known.groupBy(*keys).agg(F.count("*").alias("__n"))
     total = counts.agg(F.sum("__n").alias("total")).scalar()
-    return counts.where(F.col("__n") * HOT_SHARE > total).select(key)
+    return counts.where((F.col("__n") > min_rows) & (F.col("__n") * share > total)).select(*keys)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str, columns: list[str], min_rows: int = HOT_ROWS
+) -> DataFrame:
     """Left join ``rows`` with ``table`` (unique ``key``) for ``columns``.
 
     Rows of hot keys get their values from a broadcast of just those keys'
@@ -36,7 +46,7 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, columns: list[str]) -> D
     replaced by a spread-out one that matches nothing, so that the shuffled
     join only carries an even load.  Null keys are spread the same way.
     """
-    hot = table.join(F.broadcast(hot_keys(rows, key)), key, "left_semi")
+    hot = table.join(F.broadcast(hot_keys(rows, key, min_rows=min_rows)), key, "left_semi")
     hot = hot.select(
         F.col(key).alias("__hot_key"),
         F.struct(*columns).alias("__hot"),
@@ -59,52 +69,72 @@ def lookback(
     order: str,
     payload: Column,
     n: int,
-    span: int = 1024,
     output: str = "recent",
+    share: int = HOT_SHARE,
+    cuts: int = HOT_SHARE,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the payloads of the ``n`` rows before each row of its group, oldest first.
 
-    ``order`` is a number or a timestamp, unique within a group.  A plain
-    window would pull a whole group into one task; here the group is cut into
-    stretches of ``span`` units of ``order`` (seconds for a timestamp), and
-    each stretch is handed the last ``n`` payloads of the stretches before it:
+    ``order`` is a number or a time stamp, unique within a group.  A plain
+    window would pull a whole group into one task.  Here each hot group (there
+    are fewer than ``share``) is cut at its own quantiles into ``cuts``
+    stretches of about equal size, and every stretch is handed the last ``n``
+    payloads of the stretches before it:
 
-    1. the last ``n`` rows of each stretch, by a limited window;
-    2. per group one small row per stretch, from which each stretch's
+    1. quantiles of each hot group, as mergeable sketches;
+    2. the last ``n`` rows of each stretch, by a limited window;
+    3. per hot group one small row per stretch, from which each stretch's
        hand-over is collected (any ``n`` earlier stretches hold enough rows);
-    3. the plain window over ``(group, stretch)``.
+    4. the plain window over ``(group, stretch)``.
+
+    Other groups are one stretch.  Without hot groups, steps 1 to 3 work on
+    nothing.
     """
     dtype = dict(rows.dtypes)[order]
     position = F.col(order)
     if dtype.startswith("timestamp"):
-        position = F.unix_seconds(position.cast("timestamp"))
-    base = rows.withColumn("__stretch", F.floor(position / F.lit(span)).cast("long")).withColumn("__payload", payload)
+        position = F.unix_micros(position.cast("timestamp"))
+    base = rows.withColumn("__at", position)
+    hot = F.broadcast(hot_keys(rows, keys, share, min_rows))
+    fractions = [i / cuts for i in range(1, cuts)]
+    bounds = (
+        base.join(hot, keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.array_distinct(F.percentile_approx("__at", fractions, 10 * cuts)).alias("__bounds"))
+    )
+    # at most `share` rows of `cuts` numbers
+    at = F.col("__at")
+    base = (
+        base.join(F.broadcast(bounds), keys, "left")
+        .withColumn("__payload", payload)
+        .withColumn("__stretch", F.coalesce(F.size(F.filter("__bounds", lambda b: b < at)), F.lit(0)))
+    )
     stretch_keys = [*keys, "__stretch"]
 
-    newest = Window.partitionBy(*stretch_keys).orderBy(F.col(order).desc())
+    newest = Window.partitionBy(*stretch_keys).orderBy(F.col("__at").desc())
     tails = (
-        base.select(*stretch_keys, F.struct(F.col(order).alias("at"), F.col("__payload").alias("value")).alias("__tail"))
-        .withColumn(order, F.col("__tail.at"))
+        base.where(F.col("__bounds").isNotNull())
+        .select(*stretch_keys, "__at", "__payload")
         .withColumn("__rn", F.row_number().over(newest))
         .where(F.col("__rn") <= n)
         .groupBy(*stretch_keys)
-        .agg(F.collect_list("__tail").alias("__tails"))
+        .agg(F.collect_list(F.struct("__at", "__payload")).alias("__tails"))
     )
-    # the entry point of a stretch needs no value of its own: only earlier ones
     earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(-n, -1)
-    handed = tails.select(
-        *stretch_keys,
-        F.slice(
-            F.sort_array(F.flatten(F.collect_list("__tails").over(earlier)), asc=False), 1, n
-        ).alias("__handed"),
+    held = F.flatten(F.collect_list("__tails").over(earlier))
+    newest_first = F.array_sort(
+        held, lambda x, y: F.when(x["__at"] > y["__at"], -1).when(x["__at"] < y["__at"], 1).otherwise(0)
     )
-    halo = handed.select(*stretch_keys, F.explode("__handed").alias("__h")).select(
-        *stretch_keys, F.col("__h.at").alias(order), F.col("__h.value").alias("__payload"), F.lit(True).alias("__halo")
+    halo = (
+        tails.select(*stretch_keys, F.slice(newest_first, 1, n).alias("__handed"))
+        .select(*stretch_keys, F.inline("__handed"))
+        .withColumn("__halo", F.lit(True))
     )
-    merged = base.withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
-    before = Window.partitionBy(*stretch_keys).orderBy(order).rowsBetween(-n, -1)
+    merged = base.drop("__bounds").withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    before = Window.partitionBy(*stretch_keys).orderBy("__at").rowsBetween(-n, -1)
     return (
         merged.withColumn(output, F.collect_list("__payload").over(before))
         .where(~F.col("__halo"))
-        .drop("__stretch", "__payload", "__halo")
+        .drop("__stretch", "__payload", "__halo", "__at")
     )

@@ -54,7 +54,7 @@ def ingest(
 
     stored = _stored(spark, collection_path, "chunk_id string")
     counts = cut_lineage(L.merge_counts(chunks, stored), "counts")
-    if "bucket" in stored.columns:
+    if any(c.startswith("bucket_of_") for c in stored.columns):
         L.merge_into(spark, collection_path, ready)
     else:
         L.write_collection(ready, collection_path)

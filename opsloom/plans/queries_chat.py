@@ -99,8 +99,8 @@ def _topic_sql(category: str) -> str:
     """,
 )
 def intent_with_context(spark, sf_dir):
-    """Confidence raised by the four messages before each one; long sessions are cut into days."""
-    chat = N.with_recent_topics(derive(spark, sf_dir, "chat"), span=86400)
+    """Confidence raised by the four messages before each one in its session."""
+    chat = N.with_recent_topics(derive(spark, sf_dir, "chat"))
     return N.classify(chat, recent="recent").select("message_id", "category", F.round("confidence", 6).alias("confidence"))
 
 

@@ -26,7 +26,7 @@ def _elements(spark, sf_dir):
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     joined = derive(spark, sf_dir, "elements").join(
-        F.broadcast(nations.select("n_nationkey", "r_name")), F.col("s_nationkey") == F.col("n_nationkey")
+        nations.select("n_nationkey", "r_name"), F.col("s_nationkey") == F.col("n_nationkey")
     )
     return joined.select(F.col("r_name").alias("region"), "element_id", "status", "availability")
 

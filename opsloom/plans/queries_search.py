@@ -295,15 +295,15 @@ def ingestion_summary(spark, sf_dir):
 
 
 # --- answers ----------------------------------------------------------------
-def _ranked_documents(spark, sf_dir):
-    """Ranked documents per answer: the lines of an order."""
+def _ranked_documents(spark, sf_dir, k=10):
+    """The top ten documents per answer, as a retrieval returns them: lines of an order."""
     order = Window.partitionBy("response_id").orderBy("l_linenumber", "l_partkey", "relevance")
-    return derive(spark, sf_dir, "ranked").withColumn("rank", F.row_number().over(order))
+    return derive(spark, sf_dir, "ranked").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 _RANKED_SQL = (
     f"(SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY l_linenumber, l_partkey, relevance) AS rank "
-    f"FROM {derived_sql('ranked')})"
+    f"FROM {derived_sql('ranked')} QUALIFY rank <= 10)"
 )
 
 

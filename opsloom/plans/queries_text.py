@@ -312,7 +312,7 @@ def claims_overlap(spark, sf_dir):
 def _with_evidence(spark, sf_dir):
     """Each chat message with the six before it in its session as evidence."""
     chat = derive(spark, sf_dir, "chat")
-    return lookback(chat, ["session_id"], "ts", F.col("content"), 6, span=86400, output="evidence")
+    return lookback(chat, ["session_id"], "ts", F.col("content"), 6, "evidence")
 
 
 _EVIDENCE_SQL = f"""(SELECT *, list(content) OVER (PARTITION BY session_id ORDER BY ts ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS evidence FROM {CHAT})"""

@@ -80,7 +80,7 @@ def test_search_keywords(one):
 def test_topic_boost(spark):
     msgs = [(0, "status check"), (1, "health"), (2, "performance"), (3, "check"), (4, "nothing"), (5, "what is the status of x")]
     df = spark.createDataFrame([("s", t, c) for t, c in msgs], "session_id string, ts int, content string")
-    out = {r.ts: r for r in N.classify(N.with_recent_topics(df, span=2), recent="recent").collect()}
+    out = {r.ts: r for r in N.classify(N.with_recent_topics(df), recent="recent").collect()}
     # of the four before the last, three are on topic: 0.6 + 0.15
     assert out[5].confidence == pytest.approx(0.75)
     assert out[1].confidence == pytest.approx(0.5)

@@ -25,11 +25,11 @@ def test_merge_into_rewrites_touched_buckets_only(spark, tmp_path):
     update = spark.createDataFrame([("c5", "new"), ("x1", "new")], "chunk_id string, content string")
     counts = L.merge_counts(update, L.read_collection(spark, path)).first()
     assert (counts.stored, counts.updated, counts.skipped) == (1, 1, 0)
-    before = {f: os.path.getmtime(os.path.join(path, f)) for f in os.listdir(path) if f.startswith("bucket=")}
+    before = {f: os.path.getmtime(os.path.join(path, f)) for f in os.listdir(path) if f.startswith("bucket_of_64=")}
     L.merge_into(spark, path, update)
     after = _rows(L.read_collection(spark, path))
     assert len(after) == 201 and [r for r in after if r[1] == "new"] == [("c5", "new"), ("x1", "new")]
-    touched = {f"bucket={r.b}" for r in update.select(L.bucket_of(F.col("chunk_id")).alias("b")).collect()}
+    touched = {f"bucket_of_64={r.b}" for r in update.select(L.bucket_of(F.col("chunk_id")).alias("b")).collect()}
     unchanged = [f for f in before if f not in touched]
     assert unchanged and all(os.path.getmtime(os.path.join(path, f)) == before[f] for f in unchanged)
     L.merge_into(spark, path, update)
