@@ -97,7 +97,7 @@ def lookback(
         position = F.unix_micros(position.cast("timestamp"))
     base = rows.withColumn("__at", position)
     hot = F.broadcast(hot_keys(rows, keys, share, min_rows))
-    fractions = [i / cuts for i in range(1, cuts)]
+    fractions = F.expr("array(" + ", ".join(f"{i / cuts}D" for i in range(1, cuts)) + ")")
     bounds = (
         base.join(hot, keys, "left_semi")
         .groupBy(*keys)
