@@ -8,15 +8,15 @@ faster than the interpreted column form.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: probes are sent to every task, so their number is checked
-MAX_PROBES = 64
+MAX_PROBES = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,28 +35,70 @@ def similarity_from_distance(distance: Column) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - distance)
 
 
-def probe_scores(vector: Column, probes: Sequence[Sequence[float]]) -> Column:
-    """Cosine of ``vector`` with each probe, as an ``array<double>``."""
+def _unit_probes(probes: Sequence[Sequence[float]]) -> np.ndarray:
+    """Probes scaled to length one, one per column."""
     if not 1 <= len(probes) <= MAX_PROBES:
         raise ValueError(f"between 1 and {MAX_PROBES} probes, got {len(probes)}")
     matrix = np.asarray(probes, dtype="float64")
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    unit = (matrix / np.where(norms > 0, norms, 1.0)).T
-    width = matrix.shape[1]
+    return (matrix / np.where(norms > 0, norms, 1.0)).T
+
+
+def _cosines(vectors: pa.Array, unit: np.ndarray) -> np.ndarray:
+    """Cosine of each vector with each probe; NaN where a vector is null or of another width."""
+    lengths = np.asarray(vectors.value_lengths().fill_null(0))
+    good = np.flatnonzero(lengths == unit.shape[0])
+    out = np.full((len(vectors), unit.shape[1]), np.nan)
+    if len(good):
+        flat = vectors.take(pa.array(good)).flatten()
+        block = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, unit.shape[0])
+        size = np.linalg.norm(block, axis=1, keepdims=True)
+        out[good] = (block / np.where(size > 0, size, 1.0)) @ unit
+    return out
+
+
+def probe_scores(vector: Column, probes: Sequence[Sequence[float]]) -> Column:
+    """Cosine of ``vector`` with each probe, as an ``array<double>``."""
+    unit = _unit_probes(probes)
 
     @arrow_udf("array<double>")
     def score(vectors: pa.Array) -> pa.Array:
-        lengths = np.asarray(vectors.value_lengths().fill_null(0))
-        good = np.flatnonzero(lengths == width)
-        out = np.full((len(vectors), unit.shape[1]), np.nan)
-        if len(good):
-            flat = vectors.take(pa.array(good)).flatten()
-            block = flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, width)
-            size = np.linalg.norm(block, axis=1, keepdims=True)
-            out[good] = (block / np.where(size > 0, size, 1.0)) @ unit
-        flat_out = pa.array(out.ravel(), from_pandas=True)
+        flat = pa.array(_cosines(vectors, unit).ravel(), from_pandas=True)
         offsets = pa.array(np.arange(len(vectors) + 1) * unit.shape[1], type=pa.int32())
-        return pa.ListArray.from_arrays(offsets, flat_out)
+        return pa.ListArray.from_arrays(offsets, flat)
 
     # planned as non-deterministic so that a filter on the score does not score twice
     return score.asNondeterministic()(vector)
+
+
+def local_top_k(
+    rows: DataFrame, id_col: str, vector: str, probes: Sequence[Sequence[float]], k: int, digits: int
+) -> DataFrame:
+    """The best ``k`` rows per probe of every Arrow batch: probe number, id, similarity.
+
+    Each overall winner is among its batch's winners, so ranking what is left
+    gives the exact result; only ``k`` rows per probe and batch go on.
+    """
+    unit = _unit_probes(probes)
+    id_type = dict(rows.dtypes)[id_col]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.round(np.maximum(_cosines(batch.column(1), unit), 0.0), digits)
+            ids = batch.column(0)
+            for p in range(unit.shape[1]):
+                s = scores[:, p]
+                kept = np.flatnonzero(~np.isnan(s))
+                if len(kept) > k:
+                    # everything that ties with the k-th stays until ids decide
+                    kept = kept[s[kept] >= np.partition(s[kept], -k)[-k]]
+                table = pa.table({"id": ids.take(pa.array(kept)), "s": s[kept]})
+                table = table.sort_by([("s", "descending"), ("id", "ascending")]).slice(0, k)
+                for part in table.to_batches():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(part.num_rows, p, dtype="int32")), part.column(0), part.column(1)],
+                        names=["probe", id_col, "similarity"],
+                    )
+
+    schema = f"probe int, `{id_col}` {id_type}, similarity double"
+    return rows.select(id_col, vector).mapInArrow(best, schema)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsloom.functions.text import let, tokens
-from opsloom.functions.vectors import MAX_PROBES, probe_scores
+from opsloom.functions.vectors import MAX_PROBES, local_top_k, probe_scores
 
 # --- fixed values -----------------------------------------------------------
 RRF_K = 60
@@ -85,15 +85,13 @@ def multi_probe_top_k(
 ) -> DataFrame:
     """Top ``k`` per probe in one scan: probe, id, similarity, rank.
 
-    ``probes`` are ``(probe_id, vector)`` pairs, at most 64 per scan.  The rank
-    limit is applied inside every partition before the shuffle.
+    ``probes`` are ``(probe_id, vector)`` pairs, a bounded number per scan.
+    Every batch passes on its own best ``k`` per probe and nothing else.
     """
     names = F.array(*[F.lit(p[0]) for p in probes])
-    scored = score_against(corpus.select(id_col, vector), vector, [p[1] for p in probes])
-    pairs = scored.select(id_col, F.explode(F.arrays_zip(names.alias("probe"), F.col("scores"))).alias("p"))
-    flat = pairs.select(id_col, F.col("p.probe").alias("probe"), F.col("p.scores").alias("similarity"))
-    ranked = with_rank(flat.where(F.col("similarity").isNotNull()), "similarity", id_col, "probe")
-    return ranked.where(F.col("rank") <= k)
+    near = local_top_k(corpus, id_col, vector, [p[1] for p in probes], k, SCORE_DIGITS)
+    named = near.withColumn("probe", F.get(names, F.col("probe")))
+    return with_rank(named, "similarity", id_col, "probe").where(F.col("rank") <= k)
 
 
 def best_per_group(
@@ -116,12 +114,19 @@ def keyword_vector_leg(
     """
     probes = list(enumerate(keyword_vectors[:MAX_KEYWORDS]))
     fetched = multi_probe_top_k(corpus, probes, k, id_col, vector)
-    first = fetched.groupBy(id_col).agg(
-        F.min(F.struct("probe", "rank", "similarity")).alias("hit")
+    return _first_hits(fetched.withColumn("__q", F.lit(0)), "__q", k, id_col).drop("__q")
+
+
+def _first_hits(fetched: DataFrame, question: str, k: int, id_col: str) -> DataFrame:
+    """First-hit rule per question over a few fetched rows: question, id, similarity, rank."""
+    first = fetched.groupBy(question, id_col).agg(F.min(F.struct("probe", "rank", "similarity")).alias("hit"))
+    order = Window.partitionBy(question).orderBy(F.desc("similarity"), "probe", "fetched")
+    flat = first.select(
+        question, id_col, F.col("hit.probe").alias("probe"), F.col("hit.rank").alias("fetched"), F.col("hit.similarity").alias("similarity")
+    )
+    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        question, id_col, "similarity", "rank"
     )
-    best = first.select(id_col, "hit.*").orderBy(F.desc("similarity"), "probe", "rank").limit(k)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("similarity"), "probe", "rank")
-    return best.select(id_col, "similarity", F.row_number().over(order).alias("rank"))
 
 
 def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, text: str = "content") -> DataFrame:
@@ -167,15 +172,20 @@ def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, tex
     return with_rank(best, "score", id_col)
 
 
-def fuse_ranks(semantic: DataFrame, keyword: DataFrame | None, k: int, id_col: str) -> DataFrame:
+def fuse_ranks(
+    semantic: DataFrame, keyword: DataFrame | None, k: int, id_col: str, question: str | None = None
+) -> DataFrame:
     """Weighted reciprocal-rank fusion of two ranked legs: id, relevance, method, rank.
 
-    Inputs carry ``id_col`` and ``rank``.  Relevance is ten times the fused
-    score, at most 1; ties go to the document listed first (semantic leg first).
+    Inputs carry ``id_col`` and ``rank`` (and ``question``, to fuse several
+    searches at once).  Relevance is ten times the fused score, at most 1; ties
+    go to the document listed first (semantic leg first).
     """
+    keys = [question] if question else []
 
     def leg(hits: DataFrame, weight: float, ord_: int, name: str) -> DataFrame:
         return hits.select(
+            *keys,
             id_col,
             (F.lit(weight) / (F.lit(RRF_K) + F.col("rank"))).alias("part"),
             F.struct(F.lit(ord_).alias("leg"), F.col("rank").alias("rank")).alias("seen"),
@@ -186,17 +196,42 @@ def fuse_ranks(semantic: DataFrame, keyword: DataFrame | None, k: int, id_col: s
     if keyword is not None:
         legs = legs.unionByName(leg(keyword, KEYWORD_WEIGHT, 1, "keyword"))
     method = F.when(F.min("method") != F.max("method"), "hybrid").otherwise(F.min("method"))
-    fused = legs.groupBy(id_col).agg(
-        F.sum("part").alias("__score"), F.min("seen").alias("__seen"), method.alias("method")
+    fused = legs.groupBy(*keys, id_col).agg(
+        F.round(F.sum("part"), 12).alias("__score"), F.min("seen").alias("__seen"), method.alias("method")
     )
-    order = [F.desc("__score"), F.col("__seen")]
-    top = fused.withColumn("__score", F.round("__score", 12)).orderBy(*order).limit(k)
-    return top.select(
+    # both legs were cut to a few rows per question
+    order = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ranked = fused.withColumn("rank", F.row_number().over(order.orderBy(F.desc("__score"), "__seen")))
+    return ranked.where(F.col("rank") <= k).select(
+        *keys,
         id_col,
         F.round(F.least(F.col("__score") * RELEVANCE_SCALE, F.lit(1.0)), SCORE_DIGITS).alias("relevance"),
         "method",
-        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("rank"),
+        "rank",
+    )
+
+
+def search_many(
+    corpus: DataFrame, questions: Sequence[tuple], top_k: int = TOP_K, id_col: str = "chunk_id", vector: str = "embedding"
+) -> DataFrame:
+    """Hybrid search for several questions in one scan: question, id, relevance, method, rank.
+
+    ``questions`` are ``(question_id, vector, keyword_vectors)``.
+    """
+    fetch = top_k * OVERFETCH
+    probes, owners = [], []
+    for q, (_, query, keywords) in enumerate(questions):
+        for ord_, probe in enumerate([query, *keywords[:MAX_KEYWORDS]]):
+            owners.append((q, ord_))
+            probes.append((len(probes), probe))
+    found = multi_probe_top_k(corpus, probes, fetch, id_col, vector)
+    owner = F.array(*[F.struct(F.lit(q).alias("q"), F.lit(o).alias("o")) for q, o in owners])
+    placed = found.withColumn("__owner", F.get(owner, F.col("probe"))).select(
+        F.get(F.array(*[F.lit(q[0]) for q in questions]), F.col("__owner.q")).alias("question"),
+        F.col("__owner.o").alias("probe"), id_col, "similarity", "rank",
     )
+    keyword = _first_hits(placed.where(F.col("probe") > 0), "question", fetch, id_col)
+    return fuse_ranks(placed.where(F.col("probe") == 0), keyword, top_k, id_col, "question")
 
 
 def hybrid_search(

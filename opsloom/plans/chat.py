@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opsloom.functions import prompts as P
 from opsloom.functions.guardrails import redact_output, validate_input
+from opsloom.functions.intents import search_keywords
 from opsloom.operators import attribution as A
 from opsloom.operators import conversation as V
 from opsloom.operators import intents as N
@@ -32,27 +33,33 @@ class ChatResult:
     messages: DataFrame
 
 
+#: turns per batch: a question and its keywords are probes of one scan
+MAX_TURNS = 64
+
+
 def retrieve(turns: DataFrame, corpus: DataFrame, provider: EmbeddingProvider, top_k: int = R.TOP_K) -> DataFrame:
-    """Ranked documents per turn: response_id, rank, relevance and the chunk.
+    """Ranked documents per turn: response_id, rank, relevance, method and the chunk.
 
-    One scan of the corpus serves up to 64 questions; a larger batch is
-    refused, so callers hand over turns in batches of that size.
+    ``turns``: response_id, content, region.  One scan of the corpus serves all
+    questions on the same region, keyword probes included.  A batch of more
+    than 64 questions is refused, so callers hand over turns in such batches.
     """
-    questions = turns.select("response_id", "content").limit(R.MAX_PROBES + 1).collect()
-    if len(questions) > R.MAX_PROBES:
-        raise ValueError(f"at most {R.MAX_PROBES} turns per batch")
-    if not questions:
-        schema = "response_id string, chunk_id string, similarity double, rank int"
-        hits = turns.sparkSession.createDataFrame([], schema)
-    else:
-        vectors = call_with_retry(provider, [q["content"] for q in questions])
-        probes = [(q["response_id"], v) for q, v in zip(questions, vectors)]
-        hits = R.multi_probe_top_k(corpus, probes, top_k, "chunk_id").withColumnRenamed("probe", "response_id")
+    keywords = F.slice(search_keywords(F.col("content")), 1, R.MAX_KEYWORDS)
+    asked = turns.select("response_id", "content", "region", keywords.alias("keywords")).limit(MAX_TURNS + 1).collect()
+    if len(asked) > MAX_TURNS:
+        raise ValueError(f"at most {MAX_TURNS} turns per batch")
+    schema = f"question string, chunk_id {dict(corpus.dtypes)['chunk_id']}, relevance double, method string, rank int"
+    hits = turns.sparkSession.createDataFrame([], schema)
+    for region in sorted({a["region"] for a in asked}, key=str):
+        own = [a for a in asked if a["region"] == region]
+        texts = [t for a in own for t in [a["content"], *a["keywords"]]]
+        vectors = iter(call_with_retry(provider, texts))
+        questions = [(a["response_id"], next(vectors), [next(vectors) for _ in a["keywords"]]) for a in own]
+        wanted = R.metadata_filter(corpus, {"region": region} if region else None)
+        hits = hits.unionByName(R.search_many(wanted, questions, top_k))
     # at most 64 x top_k rows
-    part = F.lit(R.SEMANTIC_WEIGHT) / (F.lit(R.RRF_K) + F.col("rank"))
-    relevance = F.least(part * R.RELEVANCE_SCALE, F.lit(1.0))
     return corpus.join(F.broadcast(hits), "chunk_id").select(
-        "response_id", "rank", relevance.alias("relevance"), "chunk_id", "source_path", "content"
+        F.col("question").alias("response_id"), "rank", "relevance", "method", "chunk_id", "source_path", "content"
     )
 
 

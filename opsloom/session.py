@@ -17,6 +17,8 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # long texts: bound a batch by its size, not by its rows alone
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
 
@@ -67,13 +69,13 @@ def cut_lineage(df, label: str):
 
 
 def widen(df, *keys: str):
-    """Spread the rows of a few files over all cores before costly work per row.
+    """Spread the rows of a small scan over all cores before costly work per row.
 
     A handful of small files is read by a handful of tasks, whatever comes
-    after.  Inputs with many files already have enough tasks and pass through
-    untouched, without a shuffle.
+    after.  A scan that already has a task per core passes through untouched,
+    without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) * 4 > cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)

@@ -53,8 +53,29 @@ def test_odd_vectors_are_skipped(spark):
 def test_probe_count_is_checked(corpus):
     with pytest.raises(ValueError):
         probe_scores(F.col("embedding"), [[1.0] * 8] * (MAX_PROBES + 1))
+    wide = corpus.select("chunk_id", F.explode(F.array(F.lit(1), F.lit(2))), "embedding")
     with pytest.raises(ValueError):
-        R.read_probes(corpus, "chunk_id", "embedding")
+        R.read_probes(wide, "chunk_id", "embedding")
+
+
+def test_many_probes_equal_single_ones(corpus, vectors):
+    probes = [(i, list(vectors[i])) for i in range(5)] + [(5, [0.0] * 8)]
+    got = {}
+    for r in R.multi_probe_top_k(corpus.repartition(7), probes, 4, "chunk_id").collect():
+        got.setdefault(r.probe, {})[r["rank"]] = r.chunk_id
+    for i in range(5):
+        assert [got[i][n] for n in range(1, 5)] == [f"c{j:03d}" for j in _top(vectors, vectors[i], 4)]
+    # a zero probe scores zero everywhere: ids decide the tie
+    assert [got[5][n] for n in range(1, 5)] == ["c000", "c001", "c002", "c003"]
+
+
+def test_search_many_equals_single_searches(corpus, vectors):
+    questions = [(f"q{i}", list(vectors[i]), [list(vectors[i + 10]), list(vectors[i + 20])]) for i in range(3)] + [("bare", list(vectors[9]), [])]
+    many = R.search_many(corpus, questions, 4)
+    for name, probe, keywords in questions:
+        single = R.hybrid_search(corpus, probe, keyword_vectors=keywords, top_k=4).orderBy("rank")
+        got = many.where(F.col("question") == name).orderBy("rank").drop("question")
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in single.collect()], name
 
 
 def test_column_cosine(spark):
