@@ -130,9 +130,27 @@ def planned_tool_calls(spark, sf_dir):
     )
 
 
-@query("intent_reasoning")
+_OPEN, _BETWEEN, _CLOSE = "['", "', '", "']"
+_ENTITY_LIST = ", ".join(
+    f"CASE WHEN {k} <> '' THEN {lit(k + ': ' + _OPEN)} || replace({k}, '|', {lit(_BETWEEN)}) || {lit(_CLOSE)} END"
+    for k in I.ENTITY_PATTERNS
+)
+
+
+@query(
+    "intent_reasoning",
+    f"""
+    WITH found AS (SELECT message_id, {", ".join(f"{_entity_sql(k)} AS {k}" for k in I.ENTITY_PATTERNS)} FROM {CHAT}),
+    shown AS (SELECT message_id, concat_ws(', ', {_ENTITY_LIST}) AS ents FROM found),
+    best AS (SELECT message_id, {_BEST} AS category, {_TOP} AS confidence FROM ({_scores_sql(CHAT, "message_id", "content")}))
+    SELECT message_id, 'Classified as ''' || category || ''' intent.' || CASE WHEN ents <> '' THEN ' Extracted entities: ' || ents || '.' ELSE '' END
+      || CASE WHEN category = 'diagnostic' AND confidence > 0.5 THEN ' Will call tools: network_health_check, network_config.'
+              WHEN category = 'action' AND confidence > 0.5 THEN ' Will call tools: ticket_creator.' ELSE ' No tool calls needed, using knowledge base.' END AS reasoning
+    FROM best JOIN shown USING (message_id)
+    """,
+)
 def intent_reasoning(spark, sf_dir):
-    """Explanation text per message (its list notation is checked in the tests)."""
+    """Explanation text per message."""
     return N.classify(derive(spark, sf_dir, "chat")).select("message_id", "reasoning")
 
 

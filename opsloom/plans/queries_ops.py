@@ -179,9 +179,18 @@ def sla_breach_totals(spark, sf_dir):
     return O.breach_totals(O.sla_breaches(_compliance(spark, sf_dir)))
 
 
-@query("sla_breach_details")
+@query(
+    "sla_breach_details",
+    f"""
+    SELECT service_id, concat_ws('; ',
+      CASE WHEN NOT availability_compliant THEN 'Availability ' || CAST(current_availability AS VARCHAR) || '% below target ' || CAST(target_availability AS VARCHAR) || '%' END,
+      CASE WHEN NOT latency_compliant THEN 'Latency ' || CAST(current_latency_ms AS VARCHAR) || 'ms exceeds target ' || CAST(target_latency AS VARCHAR) || 'ms' END,
+      CASE WHEN NOT error_rate_compliant THEN 'Error rate ' || CAST(current_error_rate AS VARCHAR) || '% exceeds target ' || CAST(target_error_rate AS VARCHAR) || '%' END) AS details
+    FROM ({_COMPLIANCE_SQL})
+    """,
+)
 def sla_breach_details(spark, sf_dir):
-    """Breach sentences per service (number formats are checked in the tests)."""
+    """Breach sentences per service."""
     return _compliance(spark, sf_dir).select("service_id", F.array_join("breach_details", "; ").alias("details"))
 
 
@@ -425,6 +434,27 @@ def metric_tool_latency(spark, sf_dir):
     return M.histogram(rows, "s", _TOOL, ["tool_name"]).withColumn("total", F.round("total", 4))
 
 
+_LLM = M.HISTOGRAM_BOUNDS["llm_latency_seconds"]
+
+
+@query("metric_llm_latency", _histogram_sql("(SELECT 'llm' AS model, value / 20 AS s FROM events)", "s", "model", _LLM))
+def metric_llm_latency(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("'llm' AS model", "value / 20 AS s")
+    return M.histogram(rows, "s", _LLM, ["model"]).withColumn("total", F.round("total", 4))
+
+
+_CONFIDENCE = M.HISTOGRAM_BOUNDS["confidence_score"]
+
+
+@query(
+    "metric_confidence",
+    _histogram_sql("(SELECT event_type AS endpoint, least(value / 128, 1) AS c FROM events)", "c", "endpoint", _CONFIDENCE),
+)
+def metric_confidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").selectExpr("event_type AS endpoint", "least(value / 128, 1D) AS c")
+    return M.histogram(rows, "c", _CONFIDENCE, ["endpoint"]).withColumn("total", F.round("total", 4))
+
+
 @query(
     "metric_tool_calls",
     "SELECT event_type AS tool_name, CASE WHEN value > 100 THEN 'error' ELSE 'success' END AS status, count(*) AS value FROM events GROUP BY 1, 2",

@@ -10,7 +10,7 @@ from opsloom.functions import text as T
 from opsloom.operators import chunking as K
 from opsloom.operators import grounding as G
 from opsloom.operators.collections import document_type_counts
-from opsloom.operators.skew import lookback
+from opsloom.operators.skew import explode_rows, lookback
 from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import TRIM, lit, sql_list, tokens_sql
@@ -394,19 +394,17 @@ def grounding_evidence_rows(spark, sf_dir):
 _SECTIONED = "replace(text, chr(10), chr(10) || 'Section ' || CAST(doc_id % 40 AS {s}) || ': scope of work' || chr(10))"
 
 
-@query(
-    "chunk_sections",
-    f"""
+_SECTIONS_SQL = f"""
     WITH marked AS (SELECT doc_id, string_split(regexp_replace(t, '(?im)(?:^|\\n)(?:Article|Section|Clause)\\s+\\d+[:\\.\\s][^\\n]+', '@@@@\\0####', 'g'), '@@@@') AS parts
                     FROM (SELECT doc_id, {_SECTIONED.format(s="VARCHAR")} AS t FROM documents)),
     pieces AS (SELECT doc_id, len(parts) AS n, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM marked),
     sections AS (
-      SELECT doc_id, CAST(NULL AS VARCHAR) AS title, part AS body FROM pieces WHERE n = 1
-      UNION ALL SELECT doc_id, NULL, {TRIM.format("part")} FROM pieces WHERE n > 1 AND i = 1 AND length(part) > 200
-      UNION ALL SELECT doc_id, {TRIM.format("split_part(part, '####', 1)")}, {TRIM.format("split_part(part, '####', 2)")} FROM pieces WHERE i > 1)
-    SELECT doc_id, title, body FROM sections WHERE length(body) > 0
-    """,
-)
+      SELECT doc_id, i, CAST(NULL AS VARCHAR) AS title, part AS body FROM pieces WHERE n = 1
+      UNION ALL SELECT doc_id, i, NULL, {TRIM.format("part")} FROM pieces WHERE n > 1 AND i = 1 AND length(part) > 200
+      UNION ALL SELECT doc_id, i, {TRIM.format("split_part(part, '####', 1)")}, {TRIM.format("split_part(part, '####', 2)")} FROM pieces WHERE i > 1)"""
+
+
+@query("chunk_sections", _SECTIONS_SQL + " SELECT doc_id, title, body FROM sections WHERE length(body) > 0")
 def chunk_sections(spark, sf_dir):
     docs = texts(spark, sf_dir, "documents").select("doc_id", F.expr(_SECTIONED.format(s="STRING")).alias("t"))
     return docs.select("doc_id", F.inline(K.split_sections(F.col("t"))))
@@ -440,9 +438,42 @@ def chunk_documents(spark, sf_dir):
     return K.chunk_documents(docs)
 
 
+def _pack_sql(items: str, limit: int, extra: int, joiner: str, carry: bool) -> str:
+    """Greedy packing as a list reduction: every item starts as a pack of its own."""
+    start = f"list_transform({items}, lambda s: {{'done': CAST([] AS VARCHAR[]), 'open': [s], 'n': length(s) + {extra}}})"
+    kept = "[acc.open[-1]]" if carry else "CAST([] AS VARCHAR[])"
+    kept_n = "length(acc.open[-1])" if carry else "0"
+    step = (
+        f"lambda acc, x: CASE WHEN acc.n + x.n > {limit} THEN {{'done': list_append(acc.done, array_to_string(acc.open, {joiner})), "
+        f"'open': list_concat({kept}, x.open), 'n': {kept_n} + x.n}} "
+        f"ELSE {{'done': acc.done, 'open': list_concat(acc.open, x.open), 'n': acc.n + x.n}} END"
+    )
+    return f"list_transform([list_reduce({start}, {step})], lambda r: list_append(r.done, array_to_string(r.open, {joiner})))[1]"
+
+
+_SENTENCES = "string_split(regexp_replace(body, '([.!?])\\s+', '\\1@@@@', 'g'), '@@@@')"
+
+
+@query(
+    "chunk_semantic_sections",
+    f"""
+    {_SECTIONS_SQL},
+    packed AS (SELECT doc_id, i, title AS section_header, CASE WHEN length(body) > 2000 THEN {_pack_sql(_SENTENCES, 2000, 0, "' '", True)}
+               WHEN length(body) >= 200 THEN [body] ELSE [] END AS chunks FROM sections WHERE length(body) > 0),
+    flat AS (SELECT doc_id, section_header, i, generate_subscripts(chunks, 1) AS j, unnest(chunks) AS content FROM packed)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, section_header, content FROM flat
+    """,
+)
+def chunk_semantic_sections(spark, sf_dir):
+    """Section chunks with sentence packing, before any fall-back to the splitter."""
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.expr(_SECTIONED.format(s="STRING")).alias("t"))
+    rows = explode_rows(docs, ["doc_id"], K.semantic_chunks(K.split_sections(F.col("t"))), "chunk_index", "c")
+    return rows.select("doc_id", "chunk_index", "c.section_header", "c.content")
+
+
 @query("chunk_semantic")
 def chunk_semantic(spark, sf_dir):
-    """Section chunks with sentence packing, from texts that have section headers."""
+    """The same with the fall-back, as documents of type ``sla`` are chunked."""
     docs = texts(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), F.expr(_SECTIONED.format(s="STRING")).alias("content"),
         F.lit("sla").alias("document_type"),
@@ -450,11 +481,17 @@ def chunk_semantic(spark, sf_dir):
     return K.chunk_documents(docs)
 
 
-@query("pack_lines")
+@query(
+    "pack_lines",
+    f"""
+    SELECT doc_id, generate_subscripts(ps, 1) - 1 AS chunk_index, unnest(ps) AS content
+    FROM (SELECT doc_id, {_pack_sql("string_split(text, chr(10))", 500, 1, "chr(10)", False)} AS ps FROM documents)
+    """,
+)
 def pack_lines(spark, sf_dir):
     """Line-bounded packing of whole documents."""
     docs = texts(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(K.pack_lines(F.col("text"), 500)).alias("chunk_index", "content"))
+    return explode_rows(docs, ["doc_id"], K.pack_lines(F.col("text"), 500), "chunk_index", "content")
 
 
 @query(
