@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opsloom.functions.text import let
+
 #: a key is hot when it holds more than one row in HOT_SHARE, so there are fewer than HOT_SHARE
 HOT_SHARE = 1000
 #: and a key with fewer rows than this is no burden to one task
@@ -63,6 +65,15 @@ def lookup(
     return joined.select(*rows.columns, *[values[c].alias(c) for c in columns])
 
 
+_BLOCK = 32
+
+
+def _bounds_below(at: Column) -> Column:
+    """How many of the sorted ``__bounds`` lie below ``at``: whole blocks first, then within one block."""
+    blocks = F.size(F.filter("__blocks", lambda b: b < at)) * _BLOCK
+    return let(blocks, lambda n: n + F.size(F.filter(F.slice("__bounds", n + 1, F.lit(_BLOCK)), lambda b: b < at)))
+
+
 def lookback(
     rows: DataFrame,
     keys: list[str],
@@ -102,13 +113,14 @@ def lookback(
         base.join(hot, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.array_distinct(F.percentile_approx("__at", fractions, 10 * cuts)).alias("__bounds"))
+        .withColumn("__blocks", F.filter("__bounds", lambda b, i: i % _BLOCK == _BLOCK - 1))
     )
     # at most `share` rows of `cuts` numbers
     at = F.col("__at")
     base = (
         base.join(F.broadcast(bounds), keys, "left")
         .withColumn("__payload", payload)
-        .withColumn("__stretch", F.coalesce(F.size(F.filter("__bounds", lambda b: b < at)), F.lit(0)))
+        .withColumn("__stretch", F.coalesce(_bounds_below(at), F.lit(0)))
     )
     stretch_keys = [*keys, "__stretch"]
 
@@ -131,7 +143,7 @@ def lookback(
         .select(*stretch_keys, F.inline("__handed"))
         .withColumn("__halo", F.lit(True))
     )
-    merged = base.drop("__bounds").withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    merged = base.drop("__bounds", "__blocks").withColumn("__halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     before = Window.partitionBy(*stretch_keys).orderBy("__at").rowsBetween(-n, -1)
     return (
         merged.withColumn(output, F.collect_list("__payload").over(before))

@@ -18,7 +18,7 @@ def _brute(rows, n):
     return out
 
 
-@pytest.mark.parametrize("share, cuts", [(1000, 1000), (1000, 7), (4, 50), (4, 2), (1, 10)])
+@pytest.mark.parametrize("share, cuts", [(1000, 1000), (1000, 7), (4, 50), (4, 150), (4, 2), (1, 10)])
 def test_lookback_equals_plain_window(spark, share, cuts):
     # one session holds most rows; gaps leave empty stretches
     rows = [("hot", t * (1 + t % 3), f"h{t}") for t in range(0, 400, 2)]
