@@ -14,8 +14,14 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; ``sql`` is its DuckDB twin, if one can state it."""
+def query(name: str, sql: str | None = None, ints: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is its DuckDB twin, if one can state it.
+
+    ``ints`` names columns that are 32-bit in Spark and 64-bit in the twin.
+    """
+    if sql is not None and ints:
+        casts = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in ints)
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
     def add(fn: Query) -> Query:
         if name in QUERIES:

@@ -310,6 +310,7 @@ _PROPOSED = "replace(config, ' mtu 1500', ' mtu 9000') || chr(10) || 'ntp server
           len(list_filter(cur, lambda x: list_contains(prop, x))) AS u, array_to_string(list_filter(prop, lambda x: NOT list_contains(cur, x)), '|') AS added FROM pairs)
     SELECT config_id, a AS added_count, r AS removed_count, u AS unchanged_count, a + r AS change_count, added FROM d
     """,
+    ints=("added_count", "removed_count", "unchanged_count", "change_count"),
 )
 def config_diff(spark, sf_dir):
     pairs = derive(spark, sf_dir, "configs").selectExpr("config_id", "config AS current_config", f"{_PROPOSED} AS proposed_config")
@@ -415,7 +416,9 @@ _DOCS_FOUND = M.HISTOGRAM_BOUNDS["rag_documents_retrieved"]
 
 @query(
     "metric_documents_histogram",
-    _histogram_sql("(SELECT 'orders' AS source, l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL)", "n", "source", _DOCS_FOUND),
+    _histogram_sql("(SELECT 'orders' AS source, l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL)", "n", "source", _DOCS_FOUND).replace(
+        "round(sum(n), 4)", "CAST(sum(n) AS BIGINT)"
+    ),
 )
 def metric_documents_histogram(spark, sf_dir):
     per = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))

@@ -42,7 +42,7 @@ def _ranked(sql: str, k: int, score: str = "similarity", key: str = "vec_id") ->
     )
 
 
-@query("semantic_topk", _ranked(_scores_sql(0), 10))
+@query("semantic_topk", _ranked(_scores_sql(0), 10), ints=("rank",))
 def semantic_topk(spark, sf_dir):
     (_, probe), = _probes(spark, sf_dir, [0])
     return R.vector_top_k(table(spark, sf_dir, "embeddings"), probe, 10, "vec_id")
@@ -53,6 +53,7 @@ def semantic_topk(spark, sf_dir):
     _ranked(
         _scores_sql(0, "e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source LIKE '%rc1%')"), 10
     ),
+    ints=("rank",),
 )
 def semantic_topk_filtered(spark, sf_dir):
     """Metadata filter before ranking; by convention vec_id stands for doc_id here."""
@@ -69,6 +70,7 @@ def semantic_topk_filtered(spark, sf_dir):
     "semantic_topk_per_label",
     f"SELECT vec_id, label, similarity, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank "
     f"FROM ({_scores_sql(0)}) QUALIFY rank <= 3",
+    ints=("rank",),
 )
 def semantic_topk_per_label(spark, sf_dir):
     (_, probe), = _probes(spark, sf_dir, [0])
@@ -82,7 +84,7 @@ _MULTI = " UNION ALL ".join(
 )
 
 
-@query("multi_probe_topk", _MULTI)
+@query("multi_probe_topk", _MULTI, ints=("rank",))
 def multi_probe_topk(spark, sf_dir):
     probes = [(i, v) for i, (_, v) in enumerate(_probes(spark, sf_dir, QUERY_IDS[1:]))]
     out = R.multi_probe_top_k(table(spark, sf_dir, "embeddings"), probes, 10, "vec_id")
@@ -97,7 +99,7 @@ _KEYWORD_LEG = f"""
 """
 
 
-@query("keyword_vector_leg", _KEYWORD_LEG)
+@query("keyword_vector_leg", _KEYWORD_LEG, ints=("rank",))
 def keyword_vector_leg(spark, sf_dir):
     vectors = [v for _, v in _probes(spark, sf_dir, QUERY_IDS[1:])]
     return R.keyword_vector_leg(table(spark, sf_dir, "embeddings"), vectors, 10, "vec_id")
@@ -120,7 +122,7 @@ def _bm25_sql(k: int, where: str = "true") -> str:
     """
 
 
-@query("bm25_topk", _bm25_sql(10))
+@query("bm25_topk", _bm25_sql(10), ints=("rank",))
 def bm25_topk(spark, sf_dir):
     return R.bm25_top_k(texts(spark, sf_dir, "documents", "doc_id", "text"), TERMS, 10, "doc_id", "text")
 
@@ -137,7 +139,7 @@ def _fused_sql(semantic: str, keyword: str, key: str) -> str:
     """
 
 
-@query("rank_fusion", _fused_sql(_ranked(_scores_sql(0), 10), _KEYWORD_LEG, "vec_id"))
+@query("rank_fusion", _fused_sql(_ranked(_scores_sql(0), 10), _KEYWORD_LEG, "vec_id"), ints=("rank",))
 def rank_fusion(spark, sf_dir):
     """Vector leg and keyword-vector leg fused: the search as it runs on a chunk table."""
     probes = [v for _, v in _probes(spark, sf_dir, QUERY_IDS)]
@@ -155,6 +157,7 @@ def rank_fusion(spark, sf_dir):
         _bm25_sql(10, "lang = 'en' AND doc_id IN (SELECT vec_id FROM embeddings)"),
         "doc_id",
     ),
+    ints=("rank",),
 )
 def hybrid_search(spark, sf_dir):
     """The flagship: filter, vector top-k, BM25 top-k, weighted rank fusion.
@@ -323,6 +326,7 @@ _RANKED_SQL = (
     SELECT response_id, row_number() OVER (PARTITION BY response_id ORDER BY pos) AS position, source_path AS document, relevance, excerpt
     FROM (SELECT * FROM explicit UNION ALL SELECT * FROM fallback)
     """,
+    ints=("position",),
 )
 def attribute_sources(spark, sf_dir):
     return A.attribute(derive(spark, sf_dir, "answers"), _ranked_documents(spark, sf_dir))

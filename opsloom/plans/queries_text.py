@@ -80,6 +80,7 @@ def type_counts(spark, sf_dir):
            nullif(regexp_extract(t, '(?i)region[:\\s]+([\\p{L}\\p{N}_]+)', 1), '') AS region
     FROM (SELECT page_id, html || chr(10) || 'Region: r' || CAST(page_id % 9 AS VARCHAR) AS t FROM pages)
     """,
+    ints=("line_count", "char_count"),
 )
 def text_statistics(spark, sf_dir):
     pages = texts(spark, sf_dir, "pages").selectExpr(
@@ -216,19 +217,19 @@ def _redacted(df, key, text):
     )
 
 
-@query("pii_redact_documents", _redact_sql("documents", "doc_id", "text"))
+@query("pii_redact_documents", _redact_sql("documents", "doc_id", "text"), ints=("pii_removed",))
 def pii_redact_documents(spark, sf_dir):
     return _redacted(texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("pii_redact_chat", _redact_sql(CHAT, "message_id", "content"))
+@query("pii_redact_chat", _redact_sql(CHAT, "message_id", "content"), ints=("pii_removed",))
 def pii_redact_chat(spark, sf_dir):
     return _redacted(derive(spark, sf_dir, "chat"), "message_id", "content")
 
 
 @query(
     "pii_totals_by_source",
-    "SELECT source, type, sum(n) AS found FROM ("
+    "SELECT source, type, CAST(sum(n) AS BIGINT) AS found FROM ("
     + " UNION ALL ".join(
         f"SELECT source, '{n}' AS type, len(regexp_extract_all(text, {lit(p)})) AS n FROM documents"
         for n, p in R.PII_PATTERNS.items()
@@ -336,6 +337,7 @@ _EVIDENCE_SQL = f"""(SELECT *, list(content) OVER (PARTITION BY session_id ORDER
            CASE WHEN len(b.evidence) IS NULL OR len(b.evidence) = 0 THEN false WHEN n IS NULL THEN true ELSE g::DOUBLE / n >= 0.8::DOUBLE END AS is_grounded
     FROM base b LEFT JOIN counts USING (message_id)
     """,
+    ints=("grounded_count", "ungrounded_count"),
 )
 def grounding_terms(spark, sf_dir):
     out = G.check_terms(_with_evidence(spark, sf_dir), "content", "evidence")
@@ -369,6 +371,7 @@ def _overlap_verdict_sql(evidence_rows: str, responses: str) -> str:
     _overlap_verdict_sql(
         f"SELECT message_id, unnest(evidence) AS evidence FROM {_EVIDENCE_SQL}", f"SELECT message_id, content FROM {CHAT}"
     ),
+    ints=("claim_count",),
 )
 def grounding_overlap(spark, sf_dir):
     out = G.check_overlap(_with_evidence(spark, sf_dir), "content", "evidence")
@@ -378,7 +381,7 @@ def grounding_overlap(spark, sf_dir):
 _DOC_EVIDENCE = f"SELECT message_id, content AS evidence FROM {CHAT} WHERE message_id % 2 = 1 UNION ALL SELECT event_id - event_id % 2, 'value ' || props || ' compliant below' FROM events"
 
 
-@query("grounding_evidence_rows", _overlap_verdict_sql(_DOC_EVIDENCE.replace("SELECT message_id, content", "SELECT message_id - 1 AS message_id, content", 1), f"SELECT message_id, content FROM {CHAT}"))
+@query("grounding_evidence_rows", _overlap_verdict_sql(_DOC_EVIDENCE.replace("SELECT message_id, content", "SELECT message_id - 1 AS message_id, content", 1), f"SELECT message_id, content FROM {CHAT}"), ints=("claim_count",))
 def grounding_evidence_rows(spark, sf_dir):
     """Each even message is checked against the next message and two tool results."""
     chat = derive(spark, sf_dir, "chat")
@@ -419,6 +422,7 @@ def chunk_sections(spark, sf_dir):
            CASE WHEN starts_with(unnest(bs), 'interface') THEN 'interface' ELSE 'routing' END AS config_block_type
     FROM blocks
     """,
+    ints=("chunk_index",),
 )
 def chunk_config_blocks(spark, sf_dir):
     configs = derive(spark, sf_dir, "configs").select(
@@ -463,6 +467,7 @@ _SENTENCES = "string_split(regexp_replace(body, '([.!?])\\s+', '\\1@@@@', 'g'),
     flat AS (SELECT doc_id, section_header, i, generate_subscripts(chunks, 1) AS j, unnest(chunks) AS content FROM packed)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, section_header, content FROM flat
     """,
+    ints=("chunk_index",),
 )
 def chunk_semantic_sections(spark, sf_dir):
     """Section chunks with sentence packing, before any fall-back to the splitter."""
@@ -487,6 +492,7 @@ def chunk_semantic(spark, sf_dir):
     SELECT doc_id, generate_subscripts(ps, 1) - 1 AS chunk_index, unnest(ps) AS content
     FROM (SELECT doc_id, {_pack_sql("string_split(text, chr(10))", 500, 1, "chr(10)", False)} AS ps FROM documents)
     """,
+    ints=("chunk_index",),
 )
 def pack_lines(spark, sf_dir):
     """Line-bounded packing of whole documents."""
