@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from opsloom.functions.text import UNICODE, UNICODE_NOCASE, contains_any, flag, fold, let, strip, tokens
+from opsloom.functions.text import UNICODE, UNICODE_NOCASE, contains_any, count_newlines, flag, fold, let, strip, tokens
 
 # --- fixed values -----------------------------------------------------------
 INJECTION_PATTERNS = [
@@ -69,6 +69,8 @@ CREDENTIAL_PATTERNS = [
 CREDENTIAL_REPLACEMENT = "[CREDENTIAL REDACTED]"
 # --- end of fixed values ----------------------------------------------------
 
+#: a run is looked for at its start only, not again at each of its characters
+_RUN_START = r"(?<![A-Za-z0-9+/])"
 #: text that every match of a pattern contains: a plain search for it comes
 #: before the pattern, so that most texts never reach the pattern
 REQUIRED_WORDS = dict(
@@ -119,7 +121,7 @@ def any_pattern(folded: Column, patterns: Sequence[str]) -> Column:
 def risk_score(message: Column) -> Column:
     """Additive risk of a message, at most 1."""
     special = F.regexp_count(message, F.lit(r"[^\p{L}\p{N}\s\x0B\x1C-\x1F\x85\p{Z}]"))
-    newlines = F.length(message) - F.length(F.translate(message, "\n", ""))
+    newlines = count_newlines(message)
     score = flag(special > F.length(message) * 0.3) * 0.2 + flag(newlines > 20) * 0.15
 
     def from_words(lowered: Column) -> Column:
@@ -131,7 +133,7 @@ def risk_score(message: Column) -> Column:
             total = total + flag(lowered.contains(marker)) * 0.1
         return total
 
-    score = let(F.lower(message), from_words) + flag(message.rlike(BASE64_RUN)) * 0.15
+    score = let(F.lower(message), from_words) + flag(message.rlike(_RUN_START + BASE64_RUN)) * 0.15
     return F.least(score, F.lit(1.0))
 
 

@@ -75,7 +75,14 @@ def fold(text: Column) -> Column:
     A plain lower-case search on the result finds what a case-insensitive
     search finds in the original.
     """
-    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def count_newlines(text: Column) -> Column:
+    """Number of line feeds."""
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from opsloom.functions.text import document_id
+from opsloom.functions.text import count_newlines, document_id
 
 # --- fixed values -----------------------------------------------------------
 EXTENSION_TYPES = {
@@ -94,8 +94,7 @@ def detected_region(content: Column) -> Column:
 
 def text_statistics(content: Column) -> dict[str, Column]:
     """Line count (line feeds plus one), character count and region of a text."""
-    feeds = F.length(content) - F.length(F.translate(content, "\n", ""))
-    return {"line_count": feeds + 1, "char_count": F.length(content), "region": detected_region(content)}
+    return {"line_count": count_newlines(content) + 1, "char_count": F.length(content), "region": detected_region(content)}
 
 
 def normalized_newlines(text: Column) -> Column:
