@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.functions.prompts import (
     EXCERPT_LIMIT, answer_confidence, chat_messages, citations, context_entry, context_text, tool_text, user_prompt,
 )
+from opsloom.functions.text import let
 from opsloom.operators.skew import explode_rows
 
 FALLBACK_DOCUMENTS = 3
@@ -34,35 +35,46 @@ def attribute(responses: DataFrame, documents: DataFrame, key: str = "response_i
     are ranks; numbers out of range are ignored and a source counts once, at
     its first citation.  A response that cites nothing usable is credited with
     its top three documents, without excerpts.
+
+    Each response states the ranks it may need (those it cites and the first
+    three), so one join on ``(key, rank)`` brings all of them, spread evenly
+    however many documents a response has.  What is then grouped per response
+    is bounded by the citations in its text.
     """
-    cited = explode_rows(responses, [key], citations(F.col(text)), "__pos", "__number").select(
-        key, "__pos", F.expr("try_cast(__number AS bigint)").alias("__rank")
-    )
-    # one row per response and number first: a number cited over and over joins once
-    cited = cited.where("__rank IS NOT NULL").groupBy(key, "__rank").agg(F.min("__pos").alias("__pos"))
-    found = documents.join(
-        cited, (documents[key] == cited[key]) & (documents["rank"] == cited["__rank"])
-    ).select(
-        documents[key], "__pos", F.col("source_path").alias("document"), "relevance",
+    first = F.array(*[F.lit(i).cast("bigint") for i in range(1, FALLBACK_DOCUMENTS + 1)])
+
+    def wanted(numbers: Column) -> Column:
+        cited = F.transform(
+            F.array_distinct(numbers),
+            lambda n: F.struct(n.try_cast("bigint").alias("__rank"), F.array_position(numbers, n).alias("__pos")),
+        )
+        nowhere = F.lit(None).cast("bigint")
+        return F.concat(cited, F.transform(first, lambda r: F.struct(r.alias("__rank"), nowhere.alias("__pos"))))
+
+    asked = responses.select(key, F.explode(let(citations(F.col(text)), wanted)).alias("w")).select(key, "w.*")
+    # only the excerpt of a text travels to the join
+    narrow = documents.select(
+        key,
+        F.col("rank").cast("bigint").alias("__rank"),
+        F.col("source_path").alias("document"),
+        "relevance",
         F.substring("content", 1, EXCERPT_LIMIT).alias("excerpt"),
     )
-    explicit = found.groupBy(key, "document").agg(
-        F.min("__pos").alias("__pos"),
-        F.min_by("relevance", "__pos").alias("relevance"),
-        F.min_by("excerpt", "__pos").alias("excerpt"),
-    )
-    top = (
-        documents.where(F.col("rank") <= FALLBACK_DOCUMENTS)
-        .join(responses.select(key), key, "left_semi")
-        .join(explicit.select(key).distinct(), key, "left_anti")
-        .groupBy(key, F.col("source_path").alias("document"))
-        .agg(F.min("rank").alias("__pos"), F.min_by("relevance", "rank").alias("relevance"))
-        .withColumn("excerpt", F.lit(None).cast("string"))
-    )
-    both = explicit.unionByName(top)
-    # at most one row per document of a top-k result: small windows
-    position = F.row_number().over(Window.partitionBy(key).orderBy("__pos"))
-    return both.select(key, position.alias("position"), "document", "relevance", "excerpt")
+    entry = F.struct("__pos", "__rank", "document", "relevance", "excerpt")
+    grouped = asked.where("__rank IS NOT NULL").join(narrow, [key, "__rank"]).groupBy(key).agg(F.collect_list(entry).alias("__d"))
+
+    def chosen(found: Column) -> Column:
+        cited = F.sort_array(F.filter(found, lambda d: d["__pos"].isNotNull()))
+        top = F.sort_array(F.filter(found, lambda d: d["__pos"].isNull()))
+        bare = F.transform(top, lambda d: d.withField("excerpt", F.lit(None).cast("string")))
+        return F.when(F.size(cited) > 0, cited).otherwise(bare)
+
+    def once(listed: Column) -> Column:
+        names = F.transform(listed, lambda d: d["document"])
+        return F.filter(listed, lambda d, i: F.array_position(names, d["document"]) == i + 1)
+
+    rows = explode_rows(grouped, [key], let(let(F.col("__d"), chosen), once), "__i", "d")
+    return rows.select(key, (F.col("__i") + 1).alias("position"), "d.document", "d.relevance", "d.excerpt")
 
 
 def confidence(responses: DataFrame, documents: DataFrame, tool_calls: DataFrame, key: str = "response_id") -> DataFrame:

@@ -13,7 +13,7 @@ from opsloom.operators import embedding as E
 from opsloom.operators import retrieval as R
 from opsloom.operators.metrics import histogram, HISTOGRAM_BOUNDS
 from opsloom.plans.catalog import query, table, texts
-from opsloom.plans.derived import derive, derived_sql
+from opsloom.plans.derived import DERIVED, derive, derived_sql
 from opsloom.plans.sqltext import sql_list, tokens_sql
 
 QUERY_IDS = [0, 1, 2, 3, 4, 5]
@@ -299,9 +299,15 @@ def ingestion_summary(spark, sf_dir):
 
 # --- answers ----------------------------------------------------------------
 def _ranked_documents(spark, sf_dir, k=10):
-    """The top ten documents per answer, as a retrieval returns them: lines of an order."""
-    order = Window.partitionBy("response_id").orderBy("l_linenumber", "l_partkey", "relevance")
-    return derive(spark, sf_dir, "ranked").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The top ten documents per answer, as a retrieval returns them: lines of an order.
+
+    Ranked before the texts are made, so that only narrow rows are shuffled.
+    """
+    base, columns = DERIVED["ranked"]
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount")
+    lines = table(spark, sf_dir, base).select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    ranked = lines.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.selectExpr(*columns, "rank")
 
 
 _RANKED_SQL = (
