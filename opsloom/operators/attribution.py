@@ -69,11 +69,13 @@ def attribute(responses: DataFrame, documents: DataFrame, key: str = "response_i
         bare = F.transform(top, lambda d: d.withField("excerpt", F.lit(None).cast("string")))
         return F.when(F.size(cited) > 0, cited).otherwise(bare)
 
-    def once(listed: Column) -> Column:
-        names = F.transform(listed, lambda d: d["document"])
-        return F.filter(listed, lambda d, i: F.array_position(names, d["document"]) == i + 1)
+    def named(listed: Column) -> Column:
+        return F.struct(listed.alias("all"), F.transform(listed, lambda d: d["document"]).alias("names"))
 
-    rows = explode_rows(grouped, [key], let(let(F.col("__d"), chosen), once), "__i", "d")
+    def once(n: Column) -> Column:
+        return F.filter(n["all"], lambda d, i: F.array_position(n["names"], d["document"]) == i + 1)
+
+    rows = explode_rows(grouped, [key], let(let(let(F.col("__d"), chosen), named), once), "__i", "d")
     return rows.select(key, (F.col("__i") + 1).alias("position"), "d.document", "d.relevance", "d.excerpt")
 
 
