@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -49,17 +52,26 @@ def get_spark(app_name: str = "opsloom", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder for intermediate results.
+    """A fresh folder for intermediate results, in the shared folder named by ``spark.checkpoint.dir``.
 
-    It lies in the shared folder named by ``spark.checkpoint.dir``.  Only when
-    the cluster names none (tests on one machine) is a local folder made.
+    Only on one machine (local mode, as in tests) may the setting be missing;
+    the folder then made is removed when the program ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="opsloom-")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _local_scratch() -> str:
+    base = tempfile.mkdtemp(prefix="opsloom-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def cut_lineage(df, label: str):
     """Write ``df`` to the shared folder and read it back (survives lost executors)."""
     spark = df.sparkSession
