@@ -20,10 +20,11 @@ from opsloom.llm.vectors import matrix, ordered_product, usable
 from opsloom.session import cut_lineage
 
 K = 20
-#: vectors the lists and the rotation are fitted to, at most about
-SAMPLE = 16_384
+#: vectors the lists are fitted to, at most about; those among them that give a query its first threshold
+SAMPLE, PILOTS = 16_384, 4096
 MOST_LISTS = 1024
-PROBES = 24
+#: share of the true neighbours, within the sample, that the probed lists must hold; queries this is measured with
+RECALL, TRIALS = 0.95, 256
 #: rows of a list, and queries, that meet in one task group
 BLOCK, QUERIES = 4096, 1024
 #: components of a column block; significance of the abandoning test
@@ -33,12 +34,16 @@ _SEED = 11
 
 @dataclass
 class Lists:
-    """A fitted index: rotation, centroids, and the scale that gives all vectors one norm."""
+    """A fitted index: rotation, centroids, the scale that gives all vectors one norm, and some placed rows."""
 
     scale: float
     norm: float
     rotation: np.ndarray
     centroids: np.ndarray
+    probes: int
+    sizes: np.ndarray
+    pilot_ids: np.ndarray
+    pilots: np.ndarray
 
     def place(self, vectors: np.ndarray, query: bool = False) -> np.ndarray:
         """Scaled vectors with the norm-levelling component (0 for queries), rotated."""
@@ -51,6 +56,24 @@ class Lists:
         distance = (self.centroids**2).sum(axis=1) - 2.0 * placed @ self.centroids.T
         return np.argsort(distance, axis=1, kind="stable")[:, :count]
 
+    def probed(self, placed: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, float]]:
+        """For each query, the lists to scan and a first distance threshold.
+
+        There are always lists enough to hold ``k`` candidates many times over.
+        The threshold is a distance within which the pilots of these lists
+        alone count twice ``k``: it can be too large, never too small.
+        """
+        near = self.nearest(placed, len(self.centroids))
+        enough = (np.cumsum(self.sizes[near], axis=1) < 4 * k).sum(axis=1) + 1
+        homes = self.nearest(self.pilots, 1)[:, 0]
+        for query, own, lists, count in zip(placed, ids, near, np.maximum(enough, self.probes)):
+            lists = lists[:count]
+            inside = np.zeros(len(self.centroids), bool)
+            inside[lists] = True
+            part = self.pilots[inside[homes] & (self.pilot_ids != own)] - query
+            distances = np.einsum("ij,ij->i", part, part)
+            yield lists, np.partition(distances, 2 * k - 1)[2 * k - 1] if len(part) >= 2 * k else np.inf
+
 
 def _cluster(rows: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
     """Lloyd's centroids; an empty cluster takes the row farthest from its own."""
@@ -69,32 +92,53 @@ def _cluster(rows: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(rows: DataFrame, width: int, n: int, largest: float, sample: int = SAMPLE) -> Lists:
-    """Fit rotation and lists to a hash sample of about ``sample`` vectors (all, if there are fewer)."""
+def _probes(lists: Lists, vectors: np.ndarray, k: int, recall: float) -> int:
+    """How many lists hold ``recall`` of the true neighbours of some sampled vectors."""
+    trials = vectors[:: max(1, len(vectors) // TRIALS)][:TRIALS]
+    near = lists.nearest(lists.place(trials, query=True), len(lists.centroids))
+    turn = np.argsort(near, axis=1)
+    own = lists.nearest(lists.place(vectors), 1)[:, 0]
+    product = trials @ vectors.T
+    best = np.argsort(-product, axis=1, kind="stable")[:, 1 : k + 1]
+    turns = np.sort(np.take_along_axis(turn, own[best], axis=1).ravel())
+    return int(turns[math.ceil(recall * len(turns)) - 1]) + 1 if len(turns) else 1
+
+
+def fit(rows: DataFrame, width: int, n: int, largest: float, k: int = K, recall: float = RECALL, sample: int = SAMPLE) -> Lists:
+    """Fit an index to a hash sample of about ``sample`` vectors (all, if there are fewer).
+
+    The number of lists grows with the square root of the rows; how many of
+    them a query probes is measured on the sample, so poorly clustered vectors
+    get more probes, not less recall.
+    """
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / F.lit(largest)) * (x / F.lit(largest)))
     norm = rows.agg(F.max(squares)).first()[0]
-    share = F.pmod(F.xxhash64(F.lit(_SEED), "vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(share * n < sample).orderBy("vec_id") if n > sample else rows.orderBy("vec_id")
-    vectors = matrix(chosen.toPandas()["vector"], width)
+    draw = F.xxhash64(F.lit(_SEED), "vec_id")
+    share = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.where(share * n < sample).orderBy(draw, "vec_id", "vector").toPandas()
+    ids, vectors = chosen["vec_id"].to_numpy(), matrix(chosen["vector"], width)
     rotation, _ = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((width + 1, width + 1)))
-    lists = Lists(largest, float(norm), rotation, np.empty((0, width + 1)))
+    none = np.empty((0, width + 1))
+    lists = Lists(largest, float(norm), rotation, none, 1, np.zeros(0), ids[:PILOTS], none)
     placed = lists.place(vectors) if len(vectors) else np.zeros((1, width + 1))
     distinct = np.unique(placed, axis=0)
-    lists.centroids = _cluster(distinct, min(len(distinct), MOST_LISTS, max(1, math.isqrt(n))))
+    lists.centroids = _cluster(distinct, min(len(distinct), MOST_LISTS, max(1, math.isqrt(n) // 4)))
+    lists.sizes = np.bincount(lists.nearest(placed, 1)[:, 0], minlength=len(lists.centroids))
+    lists.pilots = placed[: len(lists.pilot_ids)]
+    lists.probes = _probes(lists, vectors, k, recall)
     return lists
 
 
-def scan(query: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> np.ndarray:
+def scan(query: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int, limit: float = np.inf) -> np.ndarray:
     """Indexes of candidates that may be among the ``k`` nearest of a placed query; ``own`` marks rows left out.
 
     ``columns`` holds the candidates in vertical layout.  Rows are taken in
-    runs; the k-th distance so far is the threshold.  After each column block,
+    runs; the k-th distance so far, at most ``limit``, is the threshold.  After each column block,
     a candidate is abandoned if its distance, scaled up to all components,
     exceeds the threshold beyond chance.
     """
     width, rows = columns.shape
     kept, distances = np.empty(0, np.int64), np.empty(0)
-    limit = np.inf
     for start in range(0, rows, 512):
         alive = start + np.flatnonzero(~own[start : start + 512])
         so_far = np.zeros(len(alive))
@@ -109,14 +153,14 @@ def scan(query: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int) -> np.
                 break
         kept, distances = np.r_[kept, alive], np.r_[distances, so_far]
         if len(kept) >= k:
-            limit = np.partition(distances, k - 1)[k - 1]
+            limit = min(limit, np.partition(distances, k - 1)[k - 1])
             near = distances <= limit * (1.0 + 1e-9) + 1e-12
             kept, distances = kept[near], distances[near]
     return kept
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, probes: int = PROBES
+    vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each row of ``queries``.
 
@@ -138,7 +182,7 @@ def search(
     spark = vectors.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = spark.sparkContext.broadcast(fit(rows, width, n, largest))
+    lists = spark.sparkContext.broadcast(fit(rows, width, n, largest, k, recall))
 
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,14 +192,14 @@ def search(
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             placed = lists.value.place(matrix(batch["vector"], width), query=True)
-            near = lists.value.nearest(placed, probes).astype("int32")
-            yield batch.assign(lists=list(near))
+            turns = list(lists.value.probed(placed, batch["vec_id"].to_numpy(), k))
+            yield batch.assign(limit=[t[1] for t in turns], lists=[t[0].astype("int32") for t in turns])
 
     index = cut_lineage(rows.mapInPandas(assigned, "vec_id long, vector array<double>, list int"), "ann-index")
     asked, own_width, asked_n, _ = usable(queries, id_col, vector_col, zeros=False)
     asked = asked.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    probing = asked.mapInPandas(probed, "vec_id long, vector array<double>, lists array<int>")
-    probing = cut_lineage(probing.select("vec_id", "vector", F.explode("lists").alias("list")), "ann-probes")
+    probing = asked.mapInPandas(probed, "vec_id long, vector array<double>, limit double, lists array<int>")
+    probing = cut_lineage(probing.select("vec_id", "vector", "limit", F.explode("lists").alias("list")), "ann-probes")
 
     # at most MOST_LISTS rows each
     blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -175,8 +219,9 @@ def search(
         columns, raw_columns = np.ascontiguousarray(lists.value.place(raw).T), np.ascontiguousarray(raw.T)
         found = []
         vectors_of = matrix(asking["vector"], width)
-        for query_id, vector, placed in zip(asking["vec_id"].to_numpy(), vectors_of, lists.value.place(vectors_of, query=True)):
-            near = scan(placed, ids == query_id, columns, k)
+        places = lists.value.place(vectors_of, query=True)
+        for query_id, vector, placed, limit in zip(asking["vec_id"].to_numpy(), vectors_of, places, asking["limit"].to_numpy()):
+            near = scan(placed, ids == query_id, columns, k, limit)
             score = ordered_product(vector, raw_columns[:, near])
             order = np.lexsort((ids[near], -score))[:k]
             found.append((np.full(len(order), query_id), ids[near][order], score[order]))
@@ -185,6 +230,6 @@ def search(
         query_ids, vec_ids, scores = map(np.concatenate, zip(*found))
         return pd.DataFrame({"query_id": query_ids, "vec_id": vec_ids, "score": scores})
 
-    met = left.select(*group, "vec_id", "vector").groupBy(*group).cogroup(right.select(*group, "vec_id", "vector").groupBy(*group)).applyInPandas(scanned, schema)
+    met = left.select(*group, "vec_id", "vector", "limit").groupBy(*group).cogroup(right.select(*group, "vec_id", "vector").groupBy(*group)).applyInPandas(scanned, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

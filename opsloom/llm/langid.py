@@ -21,6 +21,8 @@ SEED = 7
 #: about so many documents of a language are learned from, at most
 SAMPLE_PER_LANG = 3000
 UNKNOWN = "und"
+#: cosines of unrelated vectors of this width lie within about 0.03
+LEAST = 0.05
 _SPACE = ord(" ")
 #: symbols, documents and trigrams handled at once in a task
 _SLICE, _DOCS, _GRAMS = 1 << 18, 256, 4096
@@ -174,7 +176,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, least: float = 0.1) -> DataFrame:
+def known_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents with a recognised language, columns unchanged; a null ``lang`` is filled in.
 
     Rejected are texts without letters and those whose cosine with every
