@@ -16,8 +16,10 @@ from opsloom.session import cut_lineage
 BITS = 64
 SHINGLE = 4
 RADIUS = 4
-#: what the pipeline links: shingles of five words
-PIPELINE_SHINGLE, PIPELINE_RADIUS = 5, 4
+#: near copies by word shingles: width, least Jaccard similarity, shingles kept for it (standard error 0.025 beyond)
+NEAR_SHINGLE, NEAR_LEAST, SKETCH = 5, 0.8, 256
+#: bits within which all pairs meet, and steps in which pairs that meet are taken as candidates
+NEAR_RADIUS, NEAR_LIMITS = 7, (4, 8, 12)
 SEED = 42
 #: members of one index bucket that are compared pair by pair; larger buckets are linked through ball centres
 BUCKET = 16_384
@@ -25,37 +27,63 @@ BUCKET = 16_384
 _FOLD = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 
 
-def fingerprint_text(text: str | None, words: int = SHINGLE) -> int:
-    """SimHash of a whole text as an unsigned number; 0 without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, repeats included; none for a text without words."""
     import xxhash
 
     # bytes.split() without arguments splits at exactly [\x20\x09-\x0D]
     parts = (text or "").encode("utf-8", "replace").translate(_FOLD).split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined, lengths = b" ".join(parts), np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     wide = min(words, len(parts))
     starts, ends = (ends - lengths)[: len(parts) - wide + 1].tolist(), ends[wide - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    step = 1 << 16
-    for at in range(0, len(starts), step):
-        pairs = zip(starts[at : at + step], ends[at : at + step])
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(starts)).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns with ``fp``: the fingerprint of every whole text as a signed 64-bit number."""
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bit by bit, what more than half of the hashes have set; 0 without hashes."""
+    ones, step = np.zeros(BITS, np.int64), 1 << 16
+    for at in range(0, len(hashes), step):
+        octets = hashes[at : at + step].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def sketch(hashes: np.ndarray, size: int) -> bytes:
+    """The ``size`` least distinct hashes (their upper halves), which stand for the set of shingles."""
+    return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:size].tobytes()
+
+
+def similarity(a: bytes, b: bytes, size: int) -> float:
+    """Jaccard similarity of two shingle sets: exact below ``size`` shingles, else from the least of the union."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    union = np.union1d(x, y)
+    if max(len(x), len(y)) == size:
+        union = union[:size]
+    return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union) if len(union) else 1.0
+
+
+def fingerprints(docs: DataFrame, words: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",), sketch_size: int = 0) -> DataFrame:
+    """The ``keep`` columns with ``fp``, the fingerprint of every whole text as a signed number, and a ``sketch`` if asked for."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint_text(t, words) for t in batch.columns[-1].to_pylist()]
-            fps = pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*keep, "fp"])
-
+            fps, sketches = [], []
+            for text in batch.columns[-1].to_pylist():
+                hashes = shingle_hashes(text, words)
+                fps.append(fingerprint(hashes))
+                sketches.append(sketch(hashes, sketch_size) if sketch_size else None)
+            column = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            more = [pa.array(sketches, pa.binary())] if sketch_size else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column, *more], names)
+
+    names = [*keep, "fp"] + ["sketch"] * bool(sketch_size)
     schema = docs.select(*keep).schema.add("fp", "long")
+    if sketch_size:
+        schema = schema.add("sketch", "binary")
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(hashed, schema)
 
 
@@ -81,40 +109,41 @@ def variant_keys(fp: Column, radius: int = RADIUS) -> Column:
     return F.array(*keys)
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+def _forest(keys: np.ndarray, fps: np.ndarray, limits: tuple[int, ...]) -> np.ndarray:
     """Edges that connect what the close pairs of each run of equal keys connect, without a cycle.
 
     Rows are sorted by key.  All pairs of a run are compared, at growing
-    distances in the run; a pair inside one tree already adds nothing.
+    distances in the run; a pair inside one tree already adds nothing.  With
+    several growing ``limits``, closer pairs become edges first.
     """
     n = len(keys)
-    parent, tree = list(range(n)), np.arange(n)
+    parent, tree = np.arange(n), np.arange(n)
     found: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
-        return i
-
-    at = np.arange(n)
-    for lag in range(1, n):
-        at = at[at < n - lag]
-        at = at[keys[at] == keys[at + lag]]
-        if not len(at):
-            break
-        apart = np.bitwise_count(fps[at] ^ fps[at + lag]) <= radius
-        near = at[apart & (tree[at] != tree[at + lag])]
-        joined = False
-        for i, j in zip(near.tolist(), (near + lag).tolist()):
-            x, y = root(i), root(j)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                found.append((i, j))
-                joined = True
-        if joined and len(at) > 1:
-            tree = np.array([root(i) for i in range(n)]) if n < 4096 else _roots(np.array(parent))
-            parent = tree.tolist()
+        return int(i)
+
+    for limit in limits:
+        at = np.arange(n)
+        for lag in range(1, n):
+            at = at[at < n - lag]
+            at = at[keys[at] == keys[at + lag]]
+            if not len(at):
+                break
+            close = np.bitwise_count(fps[at] ^ fps[at + lag]) <= limit
+            near = at[close & (tree[at] != tree[at + lag])]
+            before = len(found)
+            for i, j in zip(near.tolist(), (near + lag).tolist()):
+                x, y = root(i), root(j)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((i, j))
+            if len(found) > before:
+                parent = _roots(parent)
+                tree = parent.copy()
     return np.array(found, dtype=np.int64).reshape(-1, 2)
 
 
@@ -126,7 +155,7 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
-def _linked_runs(radius: int, bucket: int):
+def _linked_runs(limits: tuple[int, ...], bucket: int):
     """Task body: sorted ``(key, fp)`` rows in, edges ``(a, b)`` out; members of oversized runs as ``(a, null)``."""
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +168,7 @@ def _linked_runs(radius: int, bucket: int):
             large = fps[size_of > bucket]
             some = (size_of > 1) & (size_of <= bucket)
             fps = fps[some]
-            pairs = _forest(keys[some], fps.view(np.uint64), radius)
+            pairs = _forest(keys[some], fps.view(np.uint64), limits)
             a, b = fps[pairs[:, 0]], fps[pairs[:, 1]]
             return pd.DataFrame(
                 {"a": np.r_[np.minimum(a, b), large], "b": pd.array(np.r_[np.maximum(a, b), large], dtype="Int64"), "large": np.r_[np.zeros(len(a), bool), np.ones(len(large), bool)]}
@@ -164,49 +193,46 @@ def _centres(radius: int) -> Column:
     return F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m) for m in near])
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``) that connect all those at most ``radius`` bits apart.
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limits: tuple[int, ...] = (RADIUS,), bucket: int = BUCKET) -> DataFrame:
+    """Edges ``a, b`` between distinct fingerprints (column ``fp``) that connect those at most ``limits[-1]`` bits apart.
 
-    Fingerprints meet by an equality shuffle on their variants; each bucket is
-    verified and only a spanning forest of its links is returned, never all
-    pairs.  Members of a bucket above ``bucket`` are linked another way, as
-    exact: two fingerprints are at most ``radius`` (even) apart if and only if
-    some centre is at most half as far from both, so all members that share a
-    centre are linked to the least of them.  That costs a fixed number of rows
-    for each member, however large the bucket.
+    All pairs up to ``radius`` bits meet, and many beyond: by an equality
+    shuffle on their variants.  Each bucket is verified and only a spanning
+    forest of its links is returned, never all pairs.  Members of a bucket
+    above ``bucket`` are linked another way, exact up to four bits: two
+    fingerprints are at most four bits apart if and only if some centre is at
+    most two from both, so all members that share a centre are linked to the
+    least of them.  That costs a fixed number of rows for each member, however
+    large the bucket.
     """
-    if radius % 2:
-        raise ValueError("the radius must be even")
     rows = distinct.select(F.explode(variant_keys(F.col("fp"), radius)).alias("key"), "fp")
-    met = rows.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(_linked_runs(radius, bucket), "a long, b long, large boolean")
-    met = cut_lineage(met, "simhash-links")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
+    met = cut_lineage(sorted_rows.mapInPandas(_linked_runs(limits, bucket), "a long, b long, large boolean"), "simhash-links")
     crowded = met.where("large").select(F.col("a").alias("fp")).distinct()
-    centred = crowded.select(F.explode(_centres(radius)).alias("mask"), "fp").select((F.col("fp").bitwiseXOR(F.col("mask"))).alias("centre"), "fp")
+    centred = crowded.select(F.explode(_centres(RADIUS)).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"), "fp")
     least = centred.groupBy("centre").agg(F.min("fp").alias("a"))
     through = centred.join(least, "centre").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
     return met.where(~F.col("large")).select("a", "b").unionByName(through).distinct()
 
 
-def fingerprint_groups(hashed: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def fingerprint_groups(distinct: DataFrame, links: DataFrame) -> DataFrame:
     """``fp, component`` for every fingerprint of a written table: ``component`` is its least fingerprint."""
-    distinct = cut_lineage(hashed.select("fp").distinct(), "distinct-fingerprints")
-    labels = components(fingerprint_links(distinct, radius, bucket))
-    named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
+    named = distinct.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
     return cut_lineage(named.select("fp", F.coalesce("label", "fp").alias("component")), "fingerprint-groups")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """One row per document: ``doc_id, fingerprint, component_id``.
 
     Equal fingerprints are one node; the component is named by the smallest
-    ``doc_id`` that can be reached over links of at most ``radius`` bits.
+    ``doc_id`` that can be reached over links of at most four bits.
     Null, empty and blank texts have fingerprint 0 and link like any other;
     shorter texts than a shingle are one shingle.  A null ``doc_id`` takes part
     but names no component (null, if all are null).  Repeated rows stay.
     """
     hashed = cut_lineage(fingerprints(docs, words), "fingerprints")
-    groups = fingerprint_groups(hashed, radius, bucket)
-    firsts = hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    firsts = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    groups = fingerprint_groups(firsts.select("fp"), fingerprint_links(firsts.select("fp"), bucket=bucket))
     labelled = cut_lineage(groups.join(firsts, "fp"), "labelled")
     named = cut_lineage(labelled.groupBy("component").agg(F.min("first_id").alias("component_id")), "named")
     of_fp = cut_lineage(labelled.join(named, "component").select("fp", "component_id"), "components")
@@ -215,18 +241,42 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     )
 
 
-def one_of_each(docs: DataFrame, words: int = PIPELINE_SHINGLE, radius: int = PIPELINE_RADIUS) -> DataFrame:
-    """The documents without near copies, columns unchanged: of each component one row stays.
+def similar_links(links: DataFrame, hashed: DataFrame, least: float, size: int) -> DataFrame:
+    """The links whose two shingle sets have a Jaccard similarity of ``least`` or more."""
+    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
+    sketches = hashed.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
+    sketches = cut_lineage(sketches, "sketches")
+    of_a = sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("of_a"))
+    of_b = sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("of_b"))
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            good = [similarity(x, y, size) >= least for x, y in zip(batch["of_a"], batch["of_b"])]
+            yield batch.loc[np.array(good, bool), ["a", "b"]]
+
+    return links.join(of_a, "a").join(of_b, "b").mapInPandas(similar, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_LEAST) -> DataFrame:
+    """The documents without near copies, columns unchanged: of each group one row stays.
+
+    Groups are connected by equal fingerprints and by pairs whose word shingles
+    have a Jaccard similarity of ``least`` or more.  Fingerprints find the
+    pairs: four segments, so that all pairs up to seven bits apart meet, and
+    most of those up to twelve; the closest of each bucket are verified.
 
-    It is a row with the smallest ``doc_id`` (a null one comes last); of several
-    with that id the one with the smallest text hash, then row hash.  Only the
-    ids and hashes of the rows that stay meet the texts, in one join.
+    The row that stays is one with the smallest ``doc_id`` (a null one comes
+    last); of several with that id the one with the smallest text hash, then
+    row hash.  Only ids and hashes of the rows that stay meet the texts, in one
+    join.  Texts without words are one group.
     """
     rows = docs.withColumns({"__r1": F.xxhash64("doc_id", "text"), "__r2": F.xxhash64(F.lit(1), "doc_id", "text")})
-    hashed = cut_lineage(fingerprints(rows, words, ("doc_id", "__r1", "__r2")), "fingerprints")
+    hashed = cut_lineage(fingerprints(rows, words, ("doc_id", "__r1", "__r2"), SKETCH), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__r1", "__r2")).alias("first")
-    of_fp = hashed.groupBy("fp").agg(first)
-    chosen = fingerprint_groups(hashed, radius).join(of_fp, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    firsts = cut_lineage(hashed.groupBy("fp").agg(first), "distinct-fingerprints")
+    links = cut_lineage(fingerprint_links(firsts.select("fp"), NEAR_RADIUS, NEAR_LIMITS), "near-links")
+    groups = fingerprint_groups(firsts.select("fp"), similar_links(links, hashed, least, SKETCH))
+    chosen = groups.join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first"))
     stays = chosen.select("first.__r1", "first.__r2").hint("shuffle_hash")
     repeated = Window.partitionBy("__r1", "__r2").orderBy(F.xxhash64(*docs.columns))
     kept = rows.join(stays, ["__r1", "__r2"], "left_semi").withColumn("__copy", F.row_number().over(repeated))
