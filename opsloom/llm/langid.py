@@ -136,8 +136,10 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANG, width: int = WIDTH, se
     return {lang: v / np.linalg.norm(v) for lang, v in sorted(found.items()) if v.any()}
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the cosine with that language cut to 0..1.
+def identify(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], width: int = WIDTH, seed: int = SEED, names_out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (or ``names_out``), the cosine with that language cut to 0..1.
 
     Only the text is looked at.  Texts that are null or without letters, and
     all texts when nothing was learned, are ``und`` with score 0.
@@ -156,11 +158,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], width: int = WI
                 some = np.flatnonzero(rows.any(axis=1))
                 langs[start + some] = np.array(names, object)[best[some]]
                 scores[start + some] = np.clip(cosine[some, best[some]], 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores)], [*kept, *names_out])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names_out]
     rows = docs.select(*kept, F.col("text").alias("__text"))
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(names_out[0], "string").add(names_out[1], "double")
     return rows.mapInArrow(predicted, schema)
 
 
@@ -182,6 +184,6 @@ def known_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
     Rejected are texts without letters and those whose cosine with every
     language is below ``least``: noise, not merely short or mixed texts.
     """
-    plain = docs.drop("lang_pred", "score")
-    found = identify(plain, learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*plain.columns)
+    found = identify(docs, learn(docs), names_out=("__lang", "__score"))
+    known = found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least))
+    return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)

@@ -140,24 +140,36 @@ def _kept(text: Column, bitmap: Column) -> Column:
     return let(words, lambda ws: F.array_join(F.filter(lines, lambda x, i: stays(ws, i)), "\n"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with their kept lines as text, plus ``n_lines`` (before) and ``n_dropped``.
+def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``docs`` with the bitmap of each text as ``__bitmap`` and ``__dropped`` (null: all lines stay).
 
     Texts are shuffled once; the bitmaps are the small, hashed side of the join.
     """
-    text = _text(docs)
     right = bitmaps.select(
-        F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("n_dropped").alias("__dropped"), F.col("bitmap").alias("__bitmap")
+        F.col("doc_id").alias("__id"),
+        F.col("version").alias("__version"),
+        F.col("n_dropped").alias("__dropped"),
+        F.col("bitmap").alias("__bitmap"),
     ).hint("shuffle_hash")
-    joined = docs.join(right, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    out = joined.withColumn("n_lines", F.size(F.split(body, "\n", -1)).cast("long")).withColumn(
-        "n_dropped", F.coalesce("__dropped", F.lit(0)).cast("long")
+    own = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(_text(docs)) == F.col("__version"))
+    return docs.join(right, own, "left").drop("__id", "__version")
+
+
+def _new_text() -> Column:
+    body = F.coalesce("text", F.lit(""))
+    return F.when(F.col("__bitmap").isNull(), body).otherwise(_kept(body, F.col("__bitmap")))
+
+
+def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``doc_id, n_lines`` (before), ``n_dropped`` and the kept lines as ``text``, one row per document."""
+    return _joined(docs.select("doc_id", "text"), bitmaps).select(
+        "doc_id",
+        F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
+        F.coalesce("__dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        _new_text().alias("text"),
     )
-    kept = F.when(F.col("__bitmap").isNull(), body).otherwise(_kept(body, F.col("__bitmap")))
-    return with_text(out, kept).drop("__id", "__version", "__dropped", "__bitmap")
 
 
 def dedup_lines(docs: DataFrame, **limits: int) -> DataFrame:
-    """Documents without their repeated lines; every document stays, if only with an empty text."""
-    return apply_bitmaps(docs, keep_bitmaps(docs, **limits)).select(*docs.columns)
+    """Documents without their repeated lines, columns unchanged; every document stays, if only with an empty text."""
+    return with_text(_joined(docs, keep_bitmaps(docs, **limits)), _new_text()).select(*docs.columns)

@@ -61,7 +61,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
+    kept = lines.kept_lines(docs, lines.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

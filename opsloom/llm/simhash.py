@@ -278,6 +278,7 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     groups = fingerprint_groups(firsts.select("fp"), similar_links(links, hashed, least, SKETCH))
     chosen = groups.join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first"))
     stays = chosen.select("first.__r1", "first.__r2").hint("shuffle_hash")
-    repeated = Window.partitionBy("__r1", "__r2").orderBy(F.xxhash64(*docs.columns))
+    hashable = [name for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    repeated = Window.partitionBy("__r1", "__r2").orderBy(F.xxhash64(*hashable))
     kept = rows.join(stays, ["__r1", "__r2"], "left_semi").withColumn("__copy", F.row_number().over(repeated))
     return kept.where(F.col("__copy") == 1).select(*docs.columns)
