@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-#: probes are sent to every task, so their number is checked
+#: probes of one scan: they are sent to every task
 MAX_PROBES = 512
 
 
@@ -57,6 +58,18 @@ def _cosines(vectors: pa.Array, unit: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_cosines(asking: pd.Series, rows: pd.Series) -> np.ndarray:
+    """Cosine of each vector of one column with each of another; NaN where one is null or the widths differ."""
+    out = np.full((len(asking), len(rows)), np.nan)
+    width_a, width_b = (np.array([-1 if v is None else len(v) for v in side]) for side in (asking, rows))
+    for width in np.intersect1d(width_a[width_a > 0], width_b):
+        a, b = np.flatnonzero(width_a == width), np.flatnonzero(width_b == width)
+        one, other = (np.stack([np.asarray(side.iloc[i], "float64") for i in at]) for side, at in ((asking, a), (rows, b)))
+        one, other = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (one, other))
+        out[np.ix_(a, b)] = one @ other.T
+    return out
+
+
 def probe_scores(vector: Column, probes: Sequence[Sequence[float]]) -> Column:
     """Cosine of ``vector`` with each probe, as an ``array<double>``."""
     unit = _unit_probes(probes)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opsloom.functions import claims as C
 from opsloom.functions.text import let
 from opsloom.operators.skew import explode_rows, lookup
+from opsloom.session import cut_lineage
 
 MIN_GROUNDED_RATIO = 0.8
 GROUNDING_THRESHOLD = 0.7
@@ -165,7 +166,8 @@ def check_overlap_rows(
     Returns key, claim_count, grounding_score, is_grounded, recommendation.
     """
     worded = F.transform(C.overlap_claims(F.col(text)), C.overlap_keywords)
-    claims = responses.select(key, worded.alias("claim_words"))
+    # read three times below
+    claims = cut_lineage(responses.select(key, worded.alias("claim_words")), "claims")
     given = lookup(evidence.select(key, "evidence"), claims, key, ["claim_words"])
     tokens = F.array(F.col("__tokens"))
     tokenized = given.withColumn("__tokens", C.token_set(F.col("evidence")))

@@ -64,6 +64,23 @@ def with_recent_topics(
     return lookback(messages, [session], order, I.topic_flags(F.col(text)), I.BOOST_WINDOW, output)
 
 
+def category_in_context(
+    messages: DataFrame, key: str, session: str = "session_id", order: str = "ts", text: str = "content"
+) -> DataFrame:
+    """Category and confidence of each message, raised by the four before it: key, category, confidence.
+
+    Messages are judged where they lie; only scores and topic flags, no texts,
+    are shuffled to their sessions.
+    """
+    message = F.col(text)
+    judged = messages.select(
+        key, session, order, let(I.intent_scores(message), I.best_intent).alias("__best"), I.topic_flags(message).alias("__flags")
+    )
+    seen = lookback(judged, [session], order, F.col("__flags"), I.BOOST_WINDOW, "__recent")
+    raised = F.col("__best.confidence") + I.topic_boost(F.col("__best.category"), F.col("__recent"))
+    return seen.select(key, F.col("__best.category").alias("category"), F.least(raised, F.lit(1.0)).alias("confidence"))
+
+
 def planned_calls(classified: DataFrame, key: str) -> DataFrame:
     """One row per planned tool call: key, call_index, tool_name, params, reason."""
     return explode_rows(classified, [key], "tool_calls", "call_index", "__c").select(key, "call_index", "__c.*")

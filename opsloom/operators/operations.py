@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opsloom.functions import configs as G
 from opsloom.functions import services as S
@@ -12,36 +10,39 @@ from opsloom.functions.text import lines
 
 
 # --- dimensions: fixed, a few dozen rows at most ----------------------------
-def topology(spark: SparkSession) -> DataFrame:
-    """One row per node: region, element_id, core_router, edge_routers."""
-    rows = spark.createDataFrame(
-        S.TOPOLOGY, "region string, first int, last int, core_router string, edge_routers array<string>"
-    )
+def topology(ranges: DataFrame) -> DataFrame:
+    """One row per node (region, element_id, core_router, edge_routers) from one row per region.
+
+    ``ranges``: region, first, last (node numbers), core_router, edge_routers.
+    """
     nodes = F.explode(F.sequence("first", "last"))
-    return rows.select("region", nodes.alias("n"), "core_router", "edge_routers").select(
+    return ranges.select("region", nodes.alias("n"), "core_router", "edge_routers").select(
         "region", F.concat(F.lit("node-"), F.col("n")).alias("element_id"), "core_router", "edge_routers"
     )
 
 
-def services(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(S.SERVICES, "region string, service_id string, service_name string, tier string")
+_METRICS = {"availability": "target_availability", "latency": "target_latency_ms", "error_rate": "target_error_rate"}
 
 
 def sla_thresholds(spark: SparkSession) -> DataFrame:
-    """One row per tier with its three targets and their measurement windows."""
-    tiers: dict[str, dict[str, tuple]] = {}
-    for tier, metric, target, _, window in S.SLA_THRESHOLDS:
+    """One row per tier with its three targets and their measurement windows; the row of a null tier is the default."""
+    found = [*S.SLA_THRESHOLDS, *((None, *rest) for rest in S.DEFAULT_SLA_THRESHOLDS)]
+    tiers: dict[str | None, dict[str, tuple]] = {}
+    for tier, metric, target, _, window in found:
         tiers.setdefault(tier, {})[metric] = (target, window)
-    metrics = ["availability", "latency", "error_rate"]
-    rows = [
-        (tier, *[by_metric[m][0] for m in metrics], *[by_metric[m][1] for m in metrics])
-        for tier, by_metric in tiers.items()
-    ]
-    return spark.createDataFrame(
-        rows,
-        "tier string, target_availability double, target_latency_ms double, target_error_rate double, "
-        "window_availability string, window_latency string, window_error_rate string",
-    )
+    rows = [(tier, *[m[n][0] for n in _METRICS], *[m[n][1] for n in _METRICS]) for tier, m in tiers.items()]
+    targets = ", ".join(f"{t} double" for t in _METRICS.values())
+    windows = ", ".join(f"window_{m} string" for m in _METRICS)
+    return spark.createDataFrame(rows, f"tier string, {targets}, {windows}")
+
+
+def with_thresholds(services: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Add each service's targets and windows; a tier that is null or unknown gets the default ones."""
+    names = [c for c in thresholds.columns if c != "tier"]
+    own = thresholds.where(F.col("tier").isNotNull()).select("tier", F.struct(*names).alias("__own"))
+    default = thresholds.where(F.col("tier").isNull()).select(F.struct(*names)).scalar()
+    chosen = F.coalesce("__own", default)
+    return services.join(F.broadcast(own), "tier", "left").select(*services.columns, *[chosen[n].alias(n) for n in names])
 
 
 def validation_rules(spark: SparkSession) -> DataFrame:
@@ -67,11 +68,14 @@ def network_health(elements: DataFrame) -> DataFrame:
         F.bround(F.avg("availability"), 2).alias("overall_availability"),
         F.count_if(F.col("status") != "operational").alias("degraded"),
     )
-    summary = F.format_string(
-        "Region %s: %d elements, availability: %.2f%%, degraded: %d",
-        "region", "total_elements", "overall_availability", "degraded",
-    )
-    return rolled.withColumn("summary", summary)
+    return rolled.withColumn("summary", health_summary())
+
+
+def health_summary() -> Column:
+    """The sentence on a region's rollup; without elements there is no availability."""
+    known = F.col("overall_availability").isNotNull()
+    shown = F.when(known, F.format_string("%.2f%%", "overall_availability")).otherwise("n/a")
+    return F.format_string("Region %s: %d elements, availability: %s, degraded: %d", "region", "total_elements", shown, "degraded")
 
 
 def known_region(requests: DataFrame, regions: DataFrame) -> DataFrame:
@@ -87,40 +91,61 @@ def known_region(requests: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 # --- service levels ---------------------------------------------------------
-def sla_measurements(samples: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Per service: availability, latency, error rate, breach count and last breach.
+def sla_measurements(samples: DataFrame, thresholds: DataFrame, as_of: Column) -> DataFrame:
+    """Per service: availability, latency, error rate, breaches of 30 days and the last breach.
 
     ``samples``: region, service_id, service_name, tier, ts, latency_ms,
-    is_error, is_available.  Each metric is measured in the window its
-    threshold names; an hourly window whose mean latency exceeds the target is
-    one breach.  Both steps pre-aggregate, so a busy service is no hot spot.
+    is_error, is_available.  Each metric is measured over the window its
+    threshold names, back from ``as_of``: an hour, a day or 30 days; without a
+    sample there it is null.  A clock hour of the last 30 days whose mean
+    latency exceeds the target is one breach.  A service appears with its first
+    sample up to ``as_of``, however old.  Both steps pre-aggregate, so a busy
+    service is no hot spot.
     """
     ids = ["region", "service_id", "service_name", "tier"]
-    hourly = samples.groupBy(*ids, F.date_trunc("hour", "ts").alias("hour")).agg(
-        F.sum("latency_ms").alias("__latency"),
-        F.avg("latency_ms").alias("__hour_latency"),
-        F.count("*").alias("__n"),
-        F.count_if("is_error").alias("__errors"),
-        F.count_if("is_available").alias("__available"),
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+
+    def within(seconds: Column | int) -> Column:
+        return F.col("__age") < F.lit(1_000_000).cast("long") * seconds
+
+    def seconds(metric: str) -> Column:
+        window = F.col(f"window_{metric}")
+        pairs = [(window == name, F.lit(value)) for name, value in S.WINDOW_SECONDS.items()]
+        return F.coalesce(*[F.when(c, v) for c, v in pairs])
+
+    recent = with_thresholds(samples.withColumn("__age", age).where(F.col("__age") >= 0), thresholds)
+
+    def counted(metric: str, value: Column) -> tuple[Column, Column]:
+        inside = within(seconds(metric))
+        return F.sum(F.when(inside, value)).alias(f"__{metric}"), F.count_if(inside).alias(f"__{metric}_n")
+
+    in_breach_time = within(S.BREACH_DAYS * 86_400)
+    hourly = recent.groupBy(*ids, "target_latency_ms", F.date_trunc("hour", "ts").alias("hour")).agg(
+        *counted("availability", F.col("is_available").cast("int")),
+        *counted("latency", F.col("latency_ms")),
+        *counted("error_rate", F.col("is_error").cast("int")),
+        F.avg(F.when(in_breach_time, F.col("latency_ms"))).alias("__hour_latency"),
     )
-    targets = F.broadcast(thresholds.select("tier", F.col("target_latency_ms").alias("__target")))
-    breach = F.col("__hour_latency") > F.col("__target")
-    return (
-        hourly.join(targets, "tier")
-        .groupBy(*ids)
-        .agg(
-            F.round(F.sum("__available") * 100.0 / F.sum("__n"), 3).alias("current_availability"),
-            F.round(F.sum("__latency") / F.sum("__n"), 1).alias("current_latency_ms"),
-            F.round(F.sum("__errors") * 100.0 / F.sum("__n"), 2).alias("current_error_rate"),
-            F.count_if(breach).alias("breach_count_30d"),
-            F.max(F.when(breach, F.col("hour"))).alias("last_breach"),
-        )
+    breach = F.col("__hour_latency") > F.col("target_latency_ms")
+
+    def ratio(metric: str, factor: float) -> Column:
+        return F.sum(f"__{metric}") * factor / F.nullif(F.sum(f"__{metric}_n"), F.lit(0))
+
+    return hourly.groupBy(*ids).agg(
+        F.round(ratio("availability", 100.0), 3).alias("current_availability"),
+        F.round(ratio("latency", 1.0), 1).alias("current_latency_ms"),
+        F.round(ratio("error_rate", 100.0), 2).alias("current_error_rate"),
+        F.count_if(breach).alias("breach_count_30d"),
+        F.max(F.when(breach, F.col("hour"))).alias("last_breach"),
     )
 
 
 def sla_compliance(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Add targets, a verdict per metric, the overall verdict and breach details."""
-    targets = F.broadcast(thresholds.select("tier", "target_availability", "target_latency_ms", "target_error_rate"))
+    """Add targets, a verdict per metric, the overall verdict and breach details.
+
+    A metric without samples in its window breaks no target.
+    """
+    targets = thresholds.select("tier", *_METRICS.values())
     avail, latency, errors = F.col("current_availability"), F.col("current_latency_ms"), F.col("current_error_rate")
     t_avail, t_latency, t_errors = F.col("target_availability"), F.col("target_latency_ms"), F.col("target_error_rate")
     details = F.array_compact(
@@ -139,13 +164,17 @@ def sla_compliance(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
             ),
         )
     )
+
+    def verdict(ok: Column) -> Column:
+        return F.coalesce(ok, F.lit(True))
+
     return (
-        measured.join(targets, "tier")
+        with_thresholds(measured, targets)
         .withColumns(
             {
-                "availability_compliant": S.availability_ok(avail, t_avail),
-                "latency_compliant": S.latency_ok(latency, t_latency),
-                "error_rate_compliant": S.error_rate_ok(errors, t_errors),
+                "availability_compliant": verdict(S.availability_ok(avail, t_avail)),
+                "latency_compliant": verdict(S.latency_ok(latency, t_latency)),
+                "error_rate_compliant": verdict(S.error_rate_ok(errors, t_errors)),
             }
         )
         .withColumn(
@@ -338,21 +367,3 @@ def diff_configs(pairs: DataFrame, current: str = "current_config", proposed: st
         )
         .drop("__current", "__proposed", "__new", "__gone")
     )
-
-
-def device_config(requests: DataFrame) -> DataFrame:
-    """The fixed configuration answer for ``element_id``, or the fixed validation answer."""
-    element = F.coalesce("element_id", F.lit("unknown"))
-    is_get = F.coalesce("action", F.lit("get")) == "get"
-    shown = F.concat(
-        F.lit('{"element_id": '), F.to_json(F.array(element)).substr(F.lit(2), F.length(F.to_json(F.array(element))) - 2),
-        F.lit(", " + json.dumps(S.DEVICE_CONFIG)[1:]),
-    )
-    return requests.withColumns(
-        {
-            "data": F.when(is_get, shown).otherwise(json.dumps(S.DEVICE_VALIDATION)),
-            "summary": F.when(
-                is_get, F.concat(F.lit("Retrieved config for "), element, F.lit(": 2 interfaces, OSPF routing"))
-            ).otherwise(F.concat(F.lit("Config validation for "), element, F.lit(": passed with 1 warning"))),
-        }
-    )

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsloom.functions.text import let, tokens
-from opsloom.functions.vectors import MAX_PROBES, local_top_k, probe_scores
+from opsloom.functions.vectors import MAX_PROBES, local_top_k, pair_cosines, probe_scores
 
 # --- fixed values -----------------------------------------------------------
 RRF_K = 60
@@ -42,10 +45,10 @@ def metadata_filter(corpus: DataFrame, filters: dict | None) -> DataFrame:
 
 
 def read_probes(vectors: DataFrame, id_col: str, vector_col: str) -> list[tuple]:
-    """Bring a few probe vectors to the driver; refuses more than :data:`MAX_PROBES`."""
+    """Bring a few probe vectors to the driver; :func:`nearest_to_each` takes any number as a table."""
     rows = vectors.select(id_col, vector_col).orderBy(id_col).limit(MAX_PROBES + 1).collect()
     if len(rows) > MAX_PROBES:
-        raise ValueError(f"at most {MAX_PROBES} probe vectors per scan")
+        raise ValueError(f"more than {MAX_PROBES} probe vectors: pass them as a table to nearest_to_each")
     return [(r[0], list(r[1])) for r in rows]
 
 
@@ -83,15 +86,73 @@ def with_rank(hits: DataFrame, score: str, id_col: str, partition: str | None =
 def multi_probe_top_k(
     corpus: DataFrame, probes: Sequence[tuple], k: int, id_col: str, vector: str = "embedding"
 ) -> DataFrame:
-    """Top ``k`` per probe in one scan: probe, id, similarity, rank.
+    """Top ``k`` per probe: probe, id, similarity, rank.
 
-    ``probes`` are ``(probe_id, vector)`` pairs, a bounded number per scan.
-    Every batch passes on its own best ``k`` per probe and nothing else.
+    ``probes`` are ``(probe_id, vector)`` pairs held by the caller; they are
+    sent to the tasks in blocks, one scan for each block.  Every batch passes
+    on its own best ``k`` per probe and nothing else.
     """
-    names = F.array(*[F.lit(p[0]) for p in probes])
-    near = local_top_k(corpus, id_col, vector, [p[1] for p in probes], k, SCORE_DIGITS)
-    named = near.withColumn("probe", F.get(names, F.col("probe")))
-    return with_rank(named, "similarity", id_col, "probe").where(F.col("rank") <= k)
+
+    def near(block: Sequence[tuple]) -> DataFrame:
+        names = F.array(*[F.lit(p[0]) for p in block])
+        found = local_top_k(corpus, id_col, vector, [p[1] for p in block], k, SCORE_DIGITS)
+        return found.withColumn("probe", F.get(names, F.col("probe")))
+
+    blocks = [near(probes[i : i + MAX_PROBES]) for i in range(0, len(probes), MAX_PROBES)]
+    return with_rank(reduce(DataFrame.unionByName, blocks), "similarity", id_col, "probe").where(F.col("rank") <= k)
+
+
+#: rows of a corpus, and probes, that meet in one task group
+CORPUS_BLOCK, PROBE_BLOCK = 8192, 512
+
+
+def nearest_to_each(
+    probes: DataFrame, corpus: DataFrame, k: int, keys: list[str], id_col: str, vector: str = "embedding", match: str | None = None
+) -> DataFrame:
+    """Top ``k`` of a corpus for every row of a table of probes: keys, id, similarity, rank.
+
+    ``probes`` has the ``keys`` that name a probe and a ``vector``; there may be
+    any number of them.  Both sides are cut into blocks by a hash, and each
+    block of probes meets each block of the corpus in one task group, which
+    passes on its best ``k`` per probe.  With ``match``, a probe sees only rows
+    whose value of that column equals its own; a null value sees all.
+    """
+    blocks = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    turns = max(1, -(-probes.count() // PROBE_BLOCK))
+    matched = [match] if match else []
+
+    def spread(names: list[str], count: int) -> Column:
+        return F.pmod(F.xxhash64(*names), F.lit(count)).cast("int")
+
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    group = ["__block", "__turn"]
+    left = probes.select(*keys, vector, *matched).withColumn("__turn", spread(keys, turns)).withColumn("__block", each(blocks))
+    right = corpus.select(id_col, vector, *matched).withColumn("__block", spread([id_col], blocks)).withColumn("__turn", each(turns))
+
+    def met(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        scores = np.round(np.maximum(pair_cosines(asking[vector], rows[vector]), 0.0), SCORE_DIGITS)
+        parts = []
+        for at in range(len(asking)):
+            own = scores[at].copy()
+            if match and not pd.isna(asking[match].iloc[at]):
+                own[(rows[match] != asking[match].iloc[at]).to_numpy()] = np.nan
+            kept = np.flatnonzero(~np.isnan(own))
+            if len(kept) > k:
+                # everything that ties with the k-th stays until ids decide
+                kept = kept[own[kept] >= np.partition(own[kept], -k)[-k]]
+            best = pd.DataFrame({id_col: rows[id_col].iloc[kept], "similarity": own[kept]})
+            best = best.sort_values(["similarity", id_col], ascending=[False, True]).head(k)
+            parts.append(best.assign(**{key: asking[key].iloc[at] for key in keys}))
+        columns = [*keys, id_col, "similarity"]
+        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+
+    types = dict(probes.dtypes) | {id_col: dict(corpus.dtypes)[id_col]}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, id_col]) + ", similarity double"
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(met, schema)
+    order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), id_col)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def best_per_group(
@@ -114,10 +175,10 @@ def keyword_vector_leg(
     """
     probes = list(enumerate(keyword_vectors[:MAX_KEYWORDS]))
     fetched = multi_probe_top_k(corpus, probes, k, id_col, vector)
-    return _first_hits(fetched.withColumn("__q", F.lit(0)), "__q", k, id_col).drop("__q")
+    return first_hits(fetched.withColumn("__q", F.lit(0)), "__q", k, id_col).drop("__q")
 
 
-def _first_hits(fetched: DataFrame, question: str, k: int, id_col: str) -> DataFrame:
+def first_hits(fetched: DataFrame, question: str, k: int, id_col: str) -> DataFrame:
     """First-hit rule per question over a few fetched rows: question, id, similarity, rank."""
     first = fetched.groupBy(question, id_col).agg(F.min(F.struct("probe", "rank", "similarity")).alias("hit"))
     order = Window.partitionBy(question).orderBy(F.desc("similarity"), "probe", "fetched")
@@ -130,13 +191,13 @@ def _first_hits(fetched: DataFrame, question: str, k: int, id_col: str) -> DataF
 
 
 def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, text: str = "content") -> DataFrame:
-    """Top ``k`` documents by BM25 over a few query terms: id, score, rank.
+    """Top ``k`` documents by BM25 over all query terms: id, score, rank.
 
     Two scans and no token shuffle: one aggregates corpus size, mean length and
     document frequencies to a single row, the other scores each document from
     its own term counts.
     """
-    terms = list(dict.fromkeys(t.lower() for t in terms))[:MAX_KEYWORDS]
+    terms = list(dict.fromkeys(t.lower() for t in terms))
 
     def counts(toks: Column) -> Column:
         found = [(F.size(toks) - F.size(F.array_remove(toks, t))).alias(f"tf{i}") for i, t in enumerate(terms)]
@@ -230,7 +291,7 @@ def search_many(
         F.get(F.array(*[F.lit(q[0]) for q in questions]), F.col("__owner.q")).alias("question"),
         F.col("__owner.o").alias("probe"), id_col, "similarity", "rank",
     )
-    keyword = _first_hits(placed.where(F.col("probe") > 0), "question", fetch, id_col)
+    keyword = first_hits(placed.where(F.col("probe") > 0), "question", fetch, id_col)
     return fuse_ranks(placed.where(F.col("probe") == 0), keyword, top_k, id_col, "question")
 
 
@@ -243,19 +304,27 @@ def hybrid_search(
     filters: dict | None = None,
     semantic_only: bool = False,
     id_col: str = "chunk_id",
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Search a corpus with ``id_col``, ``content``, ``embedding`` and metadata columns.
 
+    Where vectors are kept apart from texts (``vectors``: ``id_col`` and
+    ``embedding``), each leg ranks all of its own rows and the fusion joins
+    them; filters then apply to the vectors through the ids of the corpus.
+
     The keyword leg uses keyword vectors when given, otherwise BM25 over
     ``keyword_terms``; without either (or with ``semantic_only``) the vector
     leg alone is ranked.
     """
     corpus = metadata_filter(corpus, filters)
     fetch = top_k * OVERFETCH
-    semantic = vector_top_k(corpus, probe, fetch, id_col)
+    embedded = corpus
+    if vectors is not None:
+        embedded = vectors.join(corpus.select(id_col), id_col, "left_semi") if filters else vectors
+    semantic = vector_top_k(embedded, probe, fetch, id_col)
     keyword = None
     if not semantic_only and keyword_vectors:
-        keyword = keyword_vector_leg(corpus, keyword_vectors, fetch, id_col)
+        keyword = keyword_vector_leg(embedded, keyword_vectors, fetch, id_col)
     elif not semantic_only and keyword_terms:
         keyword = bm25_top_k(corpus, keyword_terms, fetch, id_col)
     return fuse_ranks(semantic, keyword, top_k, id_col)

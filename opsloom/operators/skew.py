@@ -38,30 +38,38 @@ def hot_keys(
     return counts.where((F.col("__n") > min_rows) & (F.col("__n") * share > total)).select(*keys)
 
 
+def _found(hot: DataFrame) -> DataFrame | None:
+    """Hot keys, looked for once: fewer than ``share`` rows as a table of literals, or None where there are none."""
+    keys = hot.collect()
+    return hot.sparkSession.createDataFrame(keys, hot.schema) if keys else None
+
+
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, columns: list[str], min_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Left join ``rows`` with ``table`` (unique ``key``) for ``columns``.
+    """Left join ``rows`` with a stored ``table`` (unique ``key``) for ``columns``.
 
     Rows of hot keys get their values from a broadcast of just those keys'
     entries (fewer than 1000 by construction).  Their shuffle key is then
     replaced by a spread-out one that matches nothing, so that the shuffled
     join only carries an even load.  Null keys are spread the same way.
     """
-    hot = table.join(F.broadcast(hot_keys(rows, key, min_rows=min_rows)), key, "left_semi")
-    hot = hot.select(
-        F.col(key).alias("__hot_key"),
-        F.struct(*columns).alias("__hot"),
-    )
-    cold = table.select(F.col(key).cast("string").alias("__cold_key"), F.struct(*columns).alias("__cold"))
     hashable = [name for name, dtype in rows.dtypes if "map<" not in dtype and "variant" not in dtype]
-    spread = F.concat_ws(":", F.lit("\x00"), F.spark_partition_id(), F.xxhash64(*hashable))
-    staged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn(
-        "__join_key",
-        F.when(F.col("__hot_key").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(spread),
-    )
+    spread = F.concat(F.lit("\x00:"), F.xxhash64(*hashable).cast("string"))
+    cold = table.select(F.col(key).cast("string").alias("__cold_key"), F.struct(*columns).alias("__cold"))
+    found = _found(hot_keys(rows, key, min_rows=min_rows))
+    if found is None:
+        staged = rows.withColumn("__join_key", F.coalesce(F.col(key).cast("string"), spread))
+        values = F.col("__cold")
+    else:
+        hot = table.join(F.broadcast(found), key, "left_semi")
+        hot = hot.select(F.col(key).alias("__hot_key"), F.struct(*columns).alias("__hot"))
+        staged = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").withColumn(
+            "__join_key",
+            F.when(F.col("__hot_key").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(spread),
+        )
+        values = F.when(F.col("__hot_key").isNotNull(), F.col("__hot")).otherwise(F.col("__cold"))
     joined = staged.join(cold, F.col("__join_key") == F.col("__cold_key"), "left")
-    values = F.when(F.col("__hot_key").isNotNull(), F.col("__hot")).otherwise(F.col("__cold"))
     return joined.select(*rows.columns, *[values[c].alias(c) for c in columns])
 
 
@@ -99,15 +107,19 @@ def lookback(
        hand-over is collected (any ``n`` earlier stretches hold enough rows);
     4. the plain window over ``(group, stretch)``.
 
-    Other groups are one stretch.  Without hot groups, steps 1 to 3 work on
-    nothing.
+    Other groups are one stretch.  Hot groups are looked for first, by a
+    pre-aggregated count; without any, the plain window is all there is.
     """
+    found = _found(hot_keys(rows, keys, share, min_rows))
+    if found is None:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(-n, -1)
+        return rows.withColumn(output, F.collect_list(payload).over(before))
     dtype = dict(rows.dtypes)[order]
     position = F.col(order)
     if dtype.startswith("timestamp"):
         position = F.unix_micros(position.cast("timestamp"))
     base = rows.withColumn("__at", position)
-    hot = F.broadcast(hot_keys(rows, keys, share, min_rows))
+    hot = F.broadcast(found)
     fractions = F.expr("array(" + ", ".join(f"{i / cuts}D" for i in range(1, cuts)) + ")")
     bounds = (
         base.join(hot, keys, "left_semi")

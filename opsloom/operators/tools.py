@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.functions.text import flag
 from opsloom.operators import operations as O
+from opsloom.session import scratch_dir
 
 logger = logging.getLogger(__name__)
 
 #: result columns a tool returns besides request_id
 RESULT_COLUMNS = ["data", "summary", "error"]
+_NO_TOOL = "__none"
+#: what a ticket's status can be; other values are looked up like any key
+TICKET_STATUS = ["new", "in_progress", "resolved", "closed"]
 
 
 @dataclass(frozen=True)
@@ -54,15 +58,23 @@ class ToolRegistry:
         return [tool.schema() for tool in self._tools.values()]
 
     def execute(self, requests: DataFrame) -> DataFrame:
-        """Run every request (request_id, tool_name, params) with its tool.
+        """Run every request (request_id, tool_name, params) with its tool: one row for each.
 
         Returns request_id, tool_name, status, data, summary, error.  Requests
-        for unknown tools become error rows.  A tool that cannot even be
-        planned turns its requests into error rows too.
+        for unknown tools, or for none, become error rows.  A tool that cannot
+        even be planned turns its requests into error rows too.
+
+        The requests are written once to the shared folder, a part for each
+        tool name, so every tool reads its own and their source is read once.
         """
+        path = scratch_dir(requests.sparkSession, "requests")
+        known = F.when(F.col("tool_name").isin(list(self._tools)), F.col("tool_name"))
+        routed = requests.select("request_id", "tool_name", "params").withColumn("tool", F.coalesce(known, F.lit(_NO_TOOL)))
+        routed.write.partitionBy("tool").parquet(path)
+        stored = requests.sparkSession.read.schema(routed.schema).parquet(path)
         parts = []
         for name, tool in self._tools.items():
-            own = requests.where(F.col("tool_name") == name).select("request_id", "params")
+            own = stored.where(F.col("tool") == name).select("request_id", "params")
             try:
                 out = tool.run(own).select("request_id", *RESULT_COLUMNS)
             except Exception as error:  # noqa: BLE001 - the contract is an error row
@@ -75,11 +87,12 @@ class ToolRegistry:
                 )
             status = F.when(F.col("error").isNull(), "success").otherwise("error")
             parts.append(out.withColumns({"tool_name": F.lit(name), "status": status}))
-        unknown = requests.where(~F.col("tool_name").isin(list(self._tools))).select(
+        asked = F.coalesce("tool_name", F.lit("null"))
+        unknown = stored.where(F.col("tool") == _NO_TOOL).select(
             "request_id",
             F.lit("{}").alias("data"),
-            F.format_string("Tool '%s' not found", "tool_name").alias("summary"),
-            F.concat(F.lit("Unknown tool: "), "tool_name").alias("error"),
+            F.format_string("Tool '%s' not found", asked).alias("summary"),
+            F.concat(F.lit("Unknown tool: "), asked).alias("error"),
             "tool_name",
             F.lit("error").alias("status"),
         )
@@ -107,14 +120,21 @@ def _data_error(df: DataFrame, message: Column, summary: Column) -> DataFrame:
 
 
 def network_health_tool(elements: DataFrame, regions: DataFrame) -> Tool:
-    """Region rollup, or one element's row when ``element_id`` is given."""
+    """Region rollup, or one element's row when ``element_id`` is given.
+
+    A region without elements has a rollup of zero elements.  The rollup has a
+    row for each configured region, a fixed dimension.
+    """
 
     def run(requests: DataFrame) -> DataFrame:
         asked = requests.select("request_id", _param("region").alias("region"), _param("element_id").alias("element_id"))
         known = O.known_region(asked, regions)
         good = known.where(F.col("error").isNull())
-        rolled = F.broadcast(O.network_health(elements.join(F.broadcast(regions.select("region").distinct()), "region")))
-        whole = good.where(F.col("element_id").isNull()).join(rolled, "region")
+        named = F.broadcast(regions.select("region").distinct())
+        normal = elements.withColumn("region", O.S.normalize_region(F.col("region")))
+        rolled = named.join(O.network_health(normal.join(named, "region", "left_semi")).drop("summary"), "region", "left")
+        rolled = F.broadcast(rolled.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("total_elements", "degraded")}))
+        whole = good.where(F.col("element_id").isNull()).join(rolled, "region").withColumn("summary", O.health_summary())
         one = good.where(F.col("element_id").isNotNull()).join(elements, ["region", "element_id"], "left")
         shown = F.concat_ws("", "element_id", F.lit(": "), "status", F.lit(", availability: "), F.col("availability").cast("string"), F.lit("%"))
         bad = known.where(F.col("error").isNotNull())
@@ -133,19 +153,6 @@ def network_health_tool(elements: DataFrame, regions: DataFrame) -> Tool:
     )
 
 
-def network_config_tool() -> Tool:
-    def run(requests: DataFrame) -> DataFrame:
-        asked = requests.select("request_id", _param("element_id").alias("element_id"), _param("action").alias("action"))
-        return O.device_config(asked).select("request_id", "data", "summary", F.lit(None).cast("string").alias("error"))
-
-    return Tool(
-        "network_config",
-        "Configuration of a network element, or a check of proposed changes.",
-        run,
-        {"element_id": {"type": "string"}, "action": {"type": "string"}, "proposed_config": {"type": "object", "required": False}},
-    )
-
-
 def ticket_creator_tool(now: Column | None = None) -> Tool:
     def run(requests: DataFrame) -> DataFrame:
         fields = ["title", "description", "priority", "category", "region"]
@@ -196,18 +203,26 @@ def ticket_query_tool(tickets: DataFrame) -> Tool:
         absent = by_id.where(F.col("status").isNull())
         missing = F.format_string("Ticket %s not found", "ticket_id")
 
-        any_value = F.lit(None).cast("string")
-        flat = tickets.select("status", F.explode(F.array_distinct("affected_elements")).alias("element"))
-        n = F.count("*").alias("count")
+        # each ticket counts under its status and any, and under each of its elements and any
+        def or_any(values: Column) -> Column:
+            return F.explode(F.concat(F.array(F.lit(None).cast("string")), values))
+
         counts = (
-            tickets.agg(n).select(any_value.alias("s"), any_value.alias("e"), "count")
-            .unionByName(tickets.groupBy(F.col("status").alias("s")).agg(n).select("s", any_value.alias("e"), "count"))
-            .unionByName(flat.groupBy(F.col("element").alias("e")).agg(n).select(any_value.alias("s"), "e", "count"))
-            .unionByName(flat.groupBy(F.col("status").alias("s"), F.col("element").alias("e")).agg(n))
+            tickets.select("status", or_any(F.array_distinct(F.coalesce("affected_elements", F.array()))).alias("e"))
+            .select("e", or_any(F.array("status")).alias("s"))
+            .groupBy("s", "e")
+            .agg(F.count("*").alias("count"))
+        )
+        # requests that name no element share a few keys: their answers are one row per known status
+        plain = F.col("__element").isNull() & (F.col("__status").isNull() | F.col("__status").isin(TICKET_STATUS))
+        few = counts.where(F.col("e").isNull() & (F.col("s").isNull() | F.col("s").isin(TICKET_STATUS)))
+        searched = asked.where(F.col("ticket_id").isNull())
+        same = F.col("__status").eqNullSafe(F.col("s")) & F.col("__element").eqNullSafe(F.col("e"))
+        searched = (
+            searched.where(plain).join(F.broadcast(few), same, "left")
+            .unionByName(searched.where(~plain).join(counts.where(F.col("e").isNotNull() | ~F.col("s").isin(TICKET_STATUS)), same, "left"))
+            .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
         )
-        searched = asked.where(F.col("ticket_id").isNull()).join(
-            counts, F.col("__status").eqNullSafe(F.col("s")) & F.col("__element").eqNullSafe(F.col("e")), "left"
-        ).withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
         return (
             _result(found, shown, F.format_string("Found ticket %s: %s", "ticket_id", "status"))
             .unionByName(_data_error(absent, missing, missing))
@@ -220,7 +235,7 @@ def ticket_query_tool(tickets: DataFrame) -> Tool:
         run,
         {
             "ticket_id": {"type": "string", "required": False},
-            "status": {"type": "string", "enum": ["new", "in_progress", "resolved", "closed"], "required": False},
+            "status": {"type": "string", "enum": TICKET_STATUS, "required": False},
             "element_id": {"type": "string", "required": False},
         },
     )
@@ -265,7 +280,9 @@ def sla_monitor_tool(compliance: DataFrame, regions: DataFrame) -> Tool:
     per_region = per_service.groupBy("region").agg(
         F.lit(None).cast("string").alias("service_id"), *[F.sum(n).alias(n) for n in names]
     )
-    table = answers(per_region).unionByName(answers(per_service))
+    # three answers for each configured region, a fixed dimension; a region without services has zeros
+    counted = regions.select("region").distinct().join(per_region, "region", "left")
+    of_region = F.broadcast(answers(counted.fillna(0, names)).drop("s"))
 
     def run(requests: DataFrame) -> DataFrame:
         check = F.coalesce(_param("check_type"), F.lit("status"))
@@ -276,11 +293,11 @@ def sla_monitor_tool(compliance: DataFrame, regions: DataFrame) -> Tool:
             F.when(check.isin("status", "at_risk", "breaches"), check).otherwise("status").alias("check_type"),
         )
         known = O.known_region(asked, regions)
-        good = known.where(F.col("error").isNull()).drop("error").join(
-            table,
-            (F.col("region") == F.col("r")) & F.col("service_id").eqNullSafe(F.col("s")) & (F.col("check_type") == F.col("c")),
-            "left",
-        )
+        good = known.where(F.col("error").isNull()).drop("error")
+        same = (F.col("region") == F.col("r")) & (F.col("check_type") == F.col("c"))
+        whole = good.where(F.col("service_id").isNull()).join(of_region, same, "left")
+        one = good.where(F.col("service_id").isNotNull()).join(answers(per_service), same & (F.col("service_id") == F.col("s")), "left")
+        good = whole.unionByName(one.drop("s"))
         no_service = good.where(F.col("data").isNull())
         bad = known.where(F.col("error").isNotNull())
         answered = good.where(F.col("data").isNotNull()).select(
@@ -352,11 +369,10 @@ def config_diff_tool() -> Tool:
 
 
 def default_registry(elements: DataFrame, tickets: DataFrame, compliance: DataFrame, regions: DataFrame) -> ToolRegistry:
-    """All seven tools over the given tables."""
+    """All tools over the given tables."""
     registry = ToolRegistry()
     for tool in (
         network_health_tool(elements, regions),
-        network_config_tool(),
         ticket_creator_tool(),
         ticket_query_tool(tickets),
         sla_monitor_tool(compliance, regions),

@@ -14,7 +14,7 @@ from opsloom.operators import attribution as A
 from opsloom.operators import conversation as V
 from opsloom.operators import intents as N
 from opsloom.operators import retrieval as R
-from opsloom.operators.embedding import EmbeddingProvider, call_with_retry
+from opsloom.operators.embedding import EmbeddingProvider, embed_column
 from opsloom.operators.tools import ToolRegistry
 from opsloom.session import cut_lineage
 
@@ -33,33 +33,23 @@ class ChatResult:
     messages: DataFrame
 
 
-#: turns per batch: a question and its keywords are probes of one scan
-MAX_TURNS = 64
-
-
 def retrieve(turns: DataFrame, corpus: DataFrame, provider: EmbeddingProvider, top_k: int = R.TOP_K) -> DataFrame:
     """Ranked documents per turn: response_id, rank, relevance, method and the chunk.
 
-    ``turns``: response_id, content, region.  One scan of the corpus serves all
-    questions on the same region, keyword probes included.  A batch of more
-    than 64 questions is refused, so callers hand over turns in such batches.
+    ``turns``: response_id, content, region.  A question and its keywords are
+    probes, embedded in the tasks; any number of turns is searched together.  A
+    turn with a region sees the chunks of that region only.
     """
     keywords = F.slice(search_keywords(F.col("content")), 1, R.MAX_KEYWORDS)
-    asked = turns.select("response_id", "content", "region", keywords.alias("keywords")).limit(MAX_TURNS + 1).collect()
-    if len(asked) > MAX_TURNS:
-        raise ValueError(f"at most {MAX_TURNS} turns per batch")
-    schema = f"question string, chunk_id {dict(corpus.dtypes)['chunk_id']}, relevance double, method string, rank int"
-    hits = turns.sparkSession.createDataFrame([], schema)
-    for region in sorted({a["region"] for a in asked}, key=str):
-        own = [a for a in asked if a["region"] == region]
-        texts = [t for a in own for t in [a["content"], *a["keywords"]]]
-        vectors = iter(call_with_retry(provider, texts))
-        questions = [(a["response_id"], next(vectors), [next(vectors) for _ in a["keywords"]]) for a in own]
-        wanted = R.metadata_filter(corpus, {"region": region} if region else None)
-        hits = hits.unionByName(R.search_many(wanted, questions, top_k))
-    # at most 64 x top_k rows
-    return corpus.join(F.broadcast(hits), "chunk_id").select(
-        F.col("question").alias("response_id"), "rank", "relevance", "method", "chunk_id", "source_path", "content"
+    region = F.when(F.col("region") != "", F.col("region")).alias("region")
+    asked = turns.select("response_id", region, F.posexplode(F.concat(F.array("content"), keywords)).alias("probe", "text"))
+    probes = cut_lineage(embed_column(asked, "text", provider).drop("text"), "questions")
+    fetch = top_k * R.OVERFETCH
+    near = R.nearest_to_each(probes, corpus, fetch, ["response_id", "probe"], "chunk_id", match="region")
+    keyword = R.first_hits(near.where(F.col("probe") > 0), "response_id", fetch, "chunk_id")
+    hits = R.fuse_ranks(near.where(F.col("probe") == 0), keyword, top_k, "chunk_id", "response_id")
+    return corpus.join(hits, "chunk_id").select(
+        "response_id", "rank", "relevance", "method", "chunk_id", "source_path", "content"
     )
 
 
@@ -93,10 +83,9 @@ def run_turns(
     calls = N.planned_calls(intents, "response_id").withColumn(
         "request_id", F.concat_ws(":", "response_id", "call_index")
     )
-    results = registry.execute(calls.select("request_id", "tool_name", "params")).withColumn(
-        "response_id", F.substring_index("request_id", ":", 1)
-    )
-    results = cut_lineage(results, "tools")
+    calls = cut_lineage(calls.select("request_id", "response_id", "tool_name", "params"), "calls")
+    results = registry.execute(calls.drop("response_id"))
+    results = cut_lineage(results.join(calls.select("request_id", "response_id"), "request_id"), "tools")
 
     documents = cut_lineage(retrieve(accepted, corpus, provider), "retrieved")
     contexts = A.response_context(documents)

@@ -115,13 +115,23 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN user_id % 2 = 0 THEN 'region_a' ELSE 'region_b' END AS region",
             "'svc-' || CAST(user_id AS STRING) AS service_id",
             "'Service ' || CAST(user_id AS STRING) AS service_name",
-            "CASE CAST(user_id % 3 AS INT) WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' ELSE 'bronze' END AS tier",
-            "ts",
+            # an unknown tier and none among them, and a third of the samples from before
+            "CASE CAST(user_id % 5 AS INT) WHEN 0 THEN 'gold' WHEN 1 THEN 'silver' WHEN 2 THEN 'bronze' WHEN 3 THEN 'platinum' END AS tier",
+            "CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 25 DAY ELSE ts END AS ts",
             "value * CASE WHEN user_id % 5 = 0 THEN 0.25 ELSE 0.5 END AS latency_ms",
             "event_type = 'error' AND user_id % 4 <> 0 AS is_error",
             "NOT (event_type = 'error' AND value > 150 AND user_id % 5 <> 0) AS is_available",
         ],
     ),
+    "topology": (
+        "region",
+        [
+            "'region_' || substr('abcdefghij', CAST(r_regionkey AS INT) + 1, 1) AS region",
+            "CAST(r_regionkey * 6 AS INT) AS first",
+            "CAST(r_regionkey * 6 + 5 AS INT) AS last",
+            "'cr-' || substr('abcdefghij', CAST(r_regionkey AS INT) + 1, 1) || '-01' AS core_router",
+        ],
+    ),
     "answers": (
         "orders",
         [
@@ -148,9 +158,10 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
 _TEXTS = {"chat", "files", "configs", "tickets"}
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, name: str, shuffled_next: bool = False) -> DataFrame:
+    """A derived input; ``shuffled_next`` says that its reader shuffles it anyway."""
     base, columns = DERIVED[name]
-    rows = texts(spark, sf_dir, base) if name in _TEXTS else table(spark, sf_dir, base)
+    rows = texts(spark, sf_dir, base) if name in _TEXTS and not shuffled_next else table(spark, sf_dir, base)
     return rows.selectExpr(*columns)
 
 

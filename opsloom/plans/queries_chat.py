@@ -100,8 +100,8 @@ def _topic_sql(category: str) -> str:
 )
 def intent_with_context(spark, sf_dir):
     """Confidence raised by the four messages before each one in its session."""
-    chat = N.with_recent_topics(derive(spark, sf_dir, "chat"))
-    return N.classify(chat, recent="recent").select("message_id", "category", F.round("confidence", 6).alias("confidence"))
+    out = N.category_in_context(derive(spark, sf_dir, "chat"), "message_id")
+    return out.withColumn("confidence", F.round("confidence", 6))
 
 
 _ELEMENT = " || '-' || ".join(f"regexp_extract(content, {lit('(?i)' + I.ENTITY_PATTERNS['element_id'][0])}, {g})" for g in (1, 2, 3))

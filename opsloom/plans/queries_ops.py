@@ -54,34 +54,39 @@ def network_degraded(spark, sf_dir):
     return O.degraded_elements(els)
 
 
-_TOPOLOGY_SQL = " UNION ALL ".join(
-    f"SELECT '{r}' AS region, 'node-' || CAST(n AS VARCHAR) AS element_id, '{core}' AS core_router FROM range({a}, {b + 1}) t(n)"
-    for r, a, b, core, _ in S.TOPOLOGY
-)
+TOPOLOGY = derived_sql("topology")
+
+
+def _topology(spark, sf_dir):
+    """Nodes of every region, from a table of node ranges."""
+    ranges = derive(spark, sf_dir, "topology").withColumn("edge_routers", F.array(F.replace("core_router", F.lit("cr-"), F.lit("er-"))))
+    return O.topology(ranges)
 
 
 @query(
     "topology_expand",
     f"""
-    SELECT t.region, t.element_id, t.core_router, count(*) AS samples, round(avg(value), 4) AS mean_value
-    FROM ({_TOPOLOGY_SQL}) t JOIN events e ON t.element_id = 'node-' || CAST(e.user_id % 30 AS VARCHAR) GROUP BY 1, 2, 3
+    SELECT region, 'node-' || CAST(n AS VARCHAR) AS element_id, core_router, count(user_id) AS samples, round(avg(value), 4) AS mean_value
+    FROM (SELECT region, core_router, unnest(range(first, last + 1)) AS n FROM {TOPOLOGY}) t LEFT JOIN events e ON n = e.user_id % 30 GROUP BY ALL
     """,
 )
 def topology_expand(spark, sf_dir):
-    """Measurements placed on the nodes of the configured topology."""
+    """Measurements placed on the nodes of the configured topology; nodes without any stay."""
     ev = table(spark, sf_dir, "events").select(
         F.concat(F.lit("node-"), (F.col("user_id") % 30).cast("string")).alias("element_id"), "value"
     )
     per_node = ev.groupBy("element_id").agg(F.count("*").alias("samples"), F.sum("value").alias("__v"))
-    out = F.broadcast(O.topology(spark)).join(per_node, "element_id")
-    return out.select("region", "element_id", "core_router", "samples", F.round(F.col("__v") / F.col("samples"), 4).alias("mean_value"))
+    out = _topology(spark, sf_dir).join(per_node, "element_id", "left")
+    return out.select(
+        "region", "element_id", "core_router", F.coalesce("samples", F.lit(0)).alias("samples"), F.round(F.col("__v") / F.col("samples"), 4).alias("mean_value")
+    )
 
 
 @query(
     "region_lookup",
-    """
+    f"""
     SELECT region, error, count(*) AS requests FROM (
-      SELECT region, CASE WHEN region NOT IN ('region_a', 'region_b') THEN 'Unknown region: ' || region END AS error
+      SELECT region, CASE WHEN region NOT IN (SELECT region FROM {TOPOLOGY}) THEN 'Unknown region: ' || region END AS error
       FROM (SELECT replace(lower(coalesce(CASE user_id % 4 WHEN 0 THEN 'Region A' WHEN 1 THEN 'REGION_B' WHEN 2 THEN 'region z' END, 'region_a')), ' ', '_') AS region FROM events))
     GROUP BY 1, 2
     """,
@@ -90,35 +95,55 @@ def region_lookup(spark, sf_dir):
     asked = table(spark, sf_dir, "events").selectExpr(
         "CASE user_id % 4 WHEN 0 THEN 'Region A' WHEN 1 THEN 'REGION_B' WHEN 2 THEN 'region z' END AS region"
     )
-    out = O.known_region(asked, O.topology(spark))
+    out = O.known_region(asked, _topology(spark, sf_dir))
     return out.groupBy("region", "error").agg(F.count("*").alias("requests"))
 
 
 # --- service levels ---------------------------------------------------------
-_TIERS = " UNION ALL ".join(
-    f"SELECT '{t}' AS tier, "
-    + ", ".join(f"CAST({target} AS DOUBLE) AS target_{m}" for tier, m, target, _, _ in S.SLA_THRESHOLDS if tier == t)
-    for t in ("gold", "silver", "bronze")
-)
-_MEASURED_SQL = f"""
-    SELECT region, service_id, service_name, tier,
-      round(sum(av) * 100.0::DOUBLE / sum(n), 3) AS current_availability, round(sum(lat) / sum(n), 1) AS current_latency_ms,
-      round(sum(er) * 100.0::DOUBLE / sum(n), 2) AS current_error_rate, count(*) FILTER (WHERE lat / n > target_latency) AS breach_count_30d,
-      max(CASE WHEN lat / n > target_latency THEN hour END) AS last_breach
-    FROM (SELECT region, service_id, service_name, tier, date_trunc('hour', ts) AS hour, sum(latency_ms) AS lat, count(*) AS n,
-            count(*) FILTER (WHERE is_error) AS er, count(*) FILTER (WHERE is_available) AS av FROM {SAMPLES} GROUP BY ALL)
-    JOIN ({_TIERS}) USING (tier) GROUP BY 1, 2, 3, 4
+#: the moment the service levels are looked at
+AS_OF = "2024-01-30 12:00:00"
+_AT = f"TIMESTAMP '{AS_OF}'"
+# written from the definition: gold, silver and bronze have targets, every other service the default ones;
+# availability looks back 30 days, error rate one day, latency one hour, breaches 30 days
+_TARGETS = """
+    (VALUES ('gold', 99.99::DOUBLE, 15.0::DOUBLE, 0.1::DOUBLE), ('silver', 99.95, 30.0, 1.0), ('bronze', 99.5, 50.0, 2.0))
+    AS targets(tier, target_availability, target_latency, target_error_rate)
+"""
+_TARGET_OF = """
+    coalesce(target_availability, 99.95::DOUBLE) AS target_availability, coalesce(target_latency, 30.0::DOUBLE) AS target_latency,
+    coalesce(target_error_rate, 1.0::DOUBLE) AS target_error_rate
 """
+
+
+def _recent(days: float) -> str:
+    return f"ts > {_AT} - INTERVAL {round(days * 24)} HOUR"
+
+
 _COMPLIANCE_SQL = f"""
-    SELECT *, availability_compliant AND latency_compliant AND error_rate_compliant AS is_compliant FROM (
-      SELECT *, current_availability >= target_availability AS availability_compliant, current_latency_ms <= target_latency AS latency_compliant,
-        current_error_rate <= target_error_rate AS error_rate_compliant FROM ({_MEASURED_SQL}) JOIN ({_TIERS}) USING (tier))
+    WITH s AS (SELECT x.*, {_TARGET_OF} FROM {SAMPLES} x LEFT JOIN {_TARGETS} USING (tier) WHERE ts <= {_AT}),
+    h AS (SELECT service_id, date_trunc('hour', ts) AS hour, avg(latency_ms) > any_value(target_latency) AS breach FROM s WHERE {_recent(30)} GROUP BY ALL),
+    b AS (SELECT service_id, count(*) AS breach_count_30d, max(hour) AS last_breach FROM h WHERE breach GROUP BY ALL),
+    m AS (
+      SELECT region, service_id, service_name, tier, any_value(target_availability) AS target_availability,
+        any_value(target_latency) AS target_latency, any_value(target_error_rate) AS target_error_rate,
+        round(100.0::DOUBLE * count(*) FILTER (WHERE is_available AND {_recent(30)}) / nullif(count(*) FILTER (WHERE {_recent(30)}), 0), 3) AS current_availability,
+        round(sum(latency_ms) FILTER (WHERE {_recent(1 / 24)}) / nullif(count(*) FILTER (WHERE {_recent(1 / 24)}), 0), 1) AS current_latency_ms,
+        round(100.0::DOUBLE * count(*) FILTER (WHERE is_error AND {_recent(1)}) / nullif(count(*) FILTER (WHERE {_recent(1)}), 0), 2) AS current_error_rate
+      FROM s GROUP BY region, service_id, service_name, tier),
+    c AS (
+      SELECT m.*, coalesce(breach_count_30d, 0) AS breach_count_30d, last_breach,
+        coalesce(current_availability >= target_availability, true) AS availability_compliant,
+        coalesce(current_latency_ms <= target_latency, true) AS latency_compliant,
+        coalesce(current_error_rate <= target_error_rate, true) AS error_rate_compliant
+      FROM m LEFT JOIN b USING (service_id))
+    SELECT *, availability_compliant AND latency_compliant AND error_rate_compliant AS is_compliant FROM c
 """
 
 
 def _compliance(spark, sf_dir):
     thresholds = O.sla_thresholds(spark)
-    return O.sla_compliance(O.sla_measurements(derive(spark, sf_dir, "samples"), thresholds), thresholds)
+    at = F.lit(AS_OF).cast("timestamp_ntz")
+    return O.sla_compliance(O.sla_measurements(derive(spark, sf_dir, "samples"), thresholds, at), thresholds)
 
 
 @query(
@@ -324,40 +349,49 @@ def config_diff(spark, sf_dir):
 @query(
     "tool_calls",
     f"""
-    WITH req AS (SELECT event_id AS request_id, user_id, event_id % 5 AS kind FROM events),
+    WITH req AS (SELECT event_id AS request_id, user_id, event_id % 8 AS kind, CASE WHEN user_id % 2 = 0 THEN 'region_a' ELSE 'region_b' END AS own FROM events),
     health AS (SELECT region, count(*) AS n, count(*) FILTER (WHERE status <> 'operational') AS bad FROM
       (SELECT CASE WHEN element_key % 2 = 0 THEN 'region_a' ELSE 'region_b' END AS region, status FROM {ELEMENTS}) GROUP BY 1),
     sla AS (SELECT region, count(*) AS n, count(*) FILTER (WHERE is_compliant) AS good FROM ({_COMPLIANCE_SQL}) GROUP BY 1)
     SELECT request_id, 'network_health_check' AS tool_name, 'success' AS status, CAST(n AS VARCHAR) || ' elements, ' || CAST(bad AS VARCHAR) || ' degraded' AS outcome
-      FROM req JOIN health ON health.region = CASE WHEN user_id % 2 = 0 THEN 'region_a' ELSE 'region_b' END WHERE kind = 0 AND user_id % 3 <> 0
-    UNION ALL SELECT request_id, 'network_health_check', 'success', 'Unknown region: nowhere' FROM req WHERE kind = 0 AND user_id % 3 = 0
-    UNION ALL SELECT request_id, 'ticket_query', 'success', CAST((SELECT count(*) FROM orders WHERE o_orderkey % 24 + 1 = user_id % 24 + 1 OR o_orderkey % 7 + 1 = user_id % 24 + 1) AS VARCHAR) || ' tickets' FROM req WHERE kind = 1
-    UNION ALL SELECT request_id, 'sla_monitor', 'success', CAST(good AS VARCHAR) || '/' || CAST(n AS VARCHAR) FROM req JOIN sla ON sla.region = CASE WHEN user_id % 2 = 0 THEN 'region_a' ELSE 'region_b' END WHERE kind = 2
+      FROM req JOIN health ON region = own WHERE kind = 0 AND user_id % 4 > 1
+    UNION ALL SELECT request_id, 'network_health_check', 'success', CASE user_id % 4 WHEN 0 THEN 'Unknown region: nowhere' ELSE '0 elements, 0 degraded' END FROM req WHERE kind = 0 AND user_id % 4 < 2
+    UNION ALL SELECT request_id, 'ticket_query', 'success', CAST((SELECT count(*) FROM orders WHERE o_orderkey % 24 + 1 = user_id % 24 + 1 OR o_orderkey % 7 + 1 = user_id % 24 + 1) AS VARCHAR) || ' tickets' FROM req WHERE kind = 1 AND user_id % 3 > 0
+    UNION ALL SELECT request_id, 'ticket_query', 'success', CAST((SELECT count(*) FROM orders) AS VARCHAR) || ' tickets' FROM req WHERE kind = 1 AND user_id % 3 = 0
+    UNION ALL SELECT request_id, 'sla_monitor', 'success', CAST(good AS VARCHAR) || '/' || CAST(n AS VARCHAR) FROM req JOIN sla ON region = own WHERE kind = 2
     UNION ALL SELECT request_id, 'config_diff', 'success', 'Config diff: +1 added, -0 removed' FROM req WHERE kind = 3
     UNION ALL SELECT request_id, 'capacity_planner', 'error', 'Unknown tool: capacity_planner' FROM req WHERE kind = 4
+    UNION ALL SELECT request_id, 'ticket_creator', 'success', CASE user_id % 3 WHEN 0 THEN 'CHG change-management' WHEN 1 THEN 'PRB noc-critical-team' ELSE 'INC noc-' || own END FROM req WHERE kind = 5
+    UNION ALL SELECT request_id, 'config_validator', 'success', CASE user_id % 3 WHEN 0 THEN 'Configuration invalid: 1 error(s), 0 warning(s)' WHEN 1 THEN 'No configuration provided'
+      ELSE 'Configuration valid with 1 warning(s). Best practices score: 96%' END FROM req WHERE kind = 6
+    UNION ALL SELECT request_id, NULL, 'error', 'Unknown tool: null' FROM req WHERE kind = 7
     """,
 )
 def tool_calls(spark, sf_dir):
-    """One tool request per event through the registry, unknown tools included."""
+    """One tool request per event through the registry: every tool, an empty region, unknown and missing tool names."""
     elements = derive(spark, sf_dir, "elements").selectExpr(
         "CASE WHEN element_key % 2 = 0 THEN 'region_a' ELSE 'region_b' END AS region", "element_id", "status", "availability"
     )
-    registry = W.default_registry(elements, _tickets(spark, sf_dir), _compliance(spark, sf_dir), O.topology(spark))
+    registry = W.default_registry(elements, _tickets(spark, sf_dir), _compliance(spark, sf_dir), _topology(spark, sf_dir))
     own = "CASE WHEN user_id % 2 = 0 THEN 'Region A' ELSE 'region_b' END"
     requests = table(spark, sf_dir, "events").selectExpr(
         "event_id AS request_id",
-        "CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'network_health_check' WHEN 1 THEN 'ticket_query' WHEN 2 THEN 'sla_monitor' "
-        "WHEN 3 THEN 'config_diff' ELSE 'capacity_planner' END AS tool_name",
-        "CASE CAST(event_id % 5 AS INT) "
-        f"WHEN 0 THEN map('region', CASE WHEN user_id % 3 = 0 THEN 'nowhere' ELSE {own} END) "
-        "WHEN 1 THEN map('element_id', concat('node-', user_id % 24 + 1)) "
+        "CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'network_health_check' WHEN 1 THEN 'ticket_query' WHEN 2 THEN 'sla_monitor' "
+        "WHEN 3 THEN 'config_diff' WHEN 4 THEN 'capacity_planner' WHEN 5 THEN 'ticket_creator' WHEN 6 THEN 'config_validator' END AS tool_name",
+        "CASE CAST(event_id % 8 AS INT) "
+        f"WHEN 0 THEN map('region', CASE user_id % 4 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'Region C' ELSE {own} END) "
+        "WHEN 1 THEN CASE WHEN user_id % 3 = 0 THEN map('status', 'new') ELSE map('element_id', concat('node-', user_id % 24 + 1)) END "
         f"WHEN 2 THEN map('region', {own}, 'check_type', 'status') "
         "WHEN 3 THEN map('current_config', props, 'proposed_config', concat(props, chr(10), 'new line')) "
+        f"WHEN 5 THEN map('title', concat('event ', event_id), 'region', replace(lower({own}), ' ', '_'), "
+        "'category', CASE user_id % 3 WHEN 0 THEN 'change' WHEN 1 THEN 'problem' ELSE 'incident' END, "
+        "'priority', CASE user_id % 3 WHEN 1 THEN 'critical' ELSE 'low' END) "
+        "WHEN 6 THEN map('config', CASE WHEN user_id % 3 = 1 THEN '' ELSE props END, 'strict_mode', CASE WHEN user_id % 3 = 0 THEN 'true' ELSE 'false' END) "
         "ELSE map('x', 'y') END AS params",
     )
     out = registry.execute(requests)
     data = F.from_json(
-        "data", "error string, total_elements long, degraded long, count long, compliant long, total_services long"
+        "data", "error string, total_elements long, degraded long, count long, compliant long, total_services long, ticket_id string, assignee string"
     )
     d = F.col("d")
     outcome = F.coalesce(
@@ -366,19 +400,15 @@ def tool_calls(spark, sf_dir):
         F.when(F.col("tool_name") == "network_health_check", F.format_string("%d elements, %d degraded", d["total_elements"], d["degraded"])),
         F.when(F.col("tool_name") == "ticket_query", F.format_string("%d tickets", d["count"])),
         F.when(F.col("tool_name") == "sla_monitor", F.format_string("%d/%d", d["compliant"], d["total_services"])),
+        F.when(
+            F.col("tool_name") == "ticket_creator",
+            F.concat_ws(" ", F.substring(d["ticket_id"], 1, 3), F.substring_index(d["assignee"], "@", 1)),
+        ),
         F.col("summary"),
     )
     return out.withColumn("d", data).select("request_id", "tool_name", "status", outcome.alias("outcome"))
 
 
-@query("device_configs", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Retrieved config for el-' || CAST(s_suppkey AS VARCHAR) || ': 2 interfaces, OSPF routing' ELSE 'Config validation for el-' || CAST(s_suppkey AS VARCHAR) || ': passed with 1 warning' END AS summary FROM supplier")
-def device_configs(spark, sf_dir):
-    asked = table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey", "concat('el-', s_suppkey) AS element_id", "CASE WHEN s_suppkey % 2 = 0 THEN 'get' ELSE 'validate' END AS action"
-    )
-    return O.device_config(asked).select("s_suppkey", "summary")
-
-
 # --- metrics ----------------------------------------------------------------
 @query(
     "metric_requests",

@@ -91,6 +91,22 @@ def multi_probe_topk(spark, sf_dir):
     return out.select("probe", "vec_id", "similarity", "rank")
 
 
+@query(
+    "questions_topk",
+    """
+    SELECT q.vec_id AS question, e.vec_id, round(greatest(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0), 6) AS similarity,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) AS rank
+    FROM embeddings q JOIN embeddings e ON q.label % 2 = 0 OR q.label = e.label QUALIFY rank <= 5
+    """,
+    ints=("rank",),
+)
+def questions_topk(spark, sf_dir):
+    """A table of questions: every vector asks; those of odd labels see their own label only."""
+    corpus = table(spark, sf_dir, "embeddings")
+    asked = corpus.select(F.col("vec_id").alias("question"), "embedding", F.when(F.col("label") % 2 == 1, F.col("label")).alias("label"))
+    return R.nearest_to_each(asked, corpus, 5, ["question"], "vec_id", match="label")
+
+
 _KEYWORD_LEG = f"""
     SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, probe, fetched) AS rank
     FROM (SELECT vec_id, probe, rank AS fetched, similarity FROM ({_MULTI})
@@ -154,7 +170,7 @@ def rank_fusion(spark, sf_dir):
         "SELECT vec_id AS doc_id, rank FROM ("
         + _ranked(_scores_sql(0, "e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), 10)
         + ")",
-        _bm25_sql(10, "lang = 'en' AND doc_id IN (SELECT vec_id FROM embeddings)"),
+        _bm25_sql(10, "lang = 'en'"),
         "doc_id",
     ),
     ints=("rank",),
@@ -162,14 +178,13 @@ def rank_fusion(spark, sf_dir):
 def hybrid_search(spark, sf_dir):
     """The flagship: filter, vector top-k, BM25 top-k, weighted rank fusion.
 
-    By convention ``vec_id`` is joined to ``doc_id``; a stored chunk table
-    holds text and vector in one row and needs no join.
+    By convention ``vec_id`` stands for ``doc_id``.  Texts and vectors are two
+    tables here, so each leg ranks all rows of its own.
     """
     (_, probe), = _probes(spark, sf_dir, [0])
     docs = texts(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), F.col("lang").alias("region"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    corpus = docs.join(vectors, "doc_id")
-    return R.hybrid_search(corpus, probe, keyword_terms=TERMS, filters={"region": "en"}, id_col="doc_id")
+    return R.hybrid_search(docs, probe, keyword_terms=TERMS, filters={"region": "en"}, id_col="doc_id", vectors=vectors)
 
 
 @query(
@@ -298,21 +313,21 @@ def ingestion_summary(spark, sf_dir):
 
 
 # --- answers ----------------------------------------------------------------
-def _ranked_documents(spark, sf_dir, k=10):
-    """The top ten documents per answer, as a retrieval returns them: lines of an order.
+def _ranked_documents(spark, sf_dir):
+    """All documents per answer, ranked as a retrieval returns them: lines of an order.
 
     Ranked before the texts are made, so that only narrow rows are shuffled.
     """
     base, columns = DERIVED["ranked"]
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_discount")
     lines = table(spark, sf_dir, base).select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
-    ranked = lines.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = lines.withColumn("rank", F.row_number().over(order))
     return ranked.selectExpr(*columns, "rank")
 
 
 _RANKED_SQL = (
     f"(SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY l_linenumber, l_partkey, relevance) AS rank "
-    f"FROM {derived_sql('ranked')} QUALIFY rank <= 10)"
+    f"FROM {derived_sql('ranked')})"
 )
 
 
@@ -344,18 +359,18 @@ def attribute_sources(spark, sf_dir):
     SELECT response_id, string_agg('[Source ' || CAST(rank AS VARCHAR) || ': ' || source_path || ' (relevance: ' || printf('%.2f', relevance) || ')]' || chr(10)
            || CASE WHEN length(content) > 1500 THEN substr(content, 1, 1500) || '...' ELSE content END,
            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
-    FROM {_RANKED_SQL} WHERE rank <= 5 GROUP BY 1
+    FROM {_RANKED_SQL} GROUP BY 1
     """,
 )
 def context_format(spark, sf_dir):
-    return A.response_context(_ranked_documents(spark, sf_dir), limit=5)
+    return A.response_context(_ranked_documents(spark, sf_dir))
 
 
 @query(
     "answer_confidence",
     f"""
-    WITH docs AS (SELECT response_id, count(*) AS n, avg(relevance) AS rel FROM (SELECT * FROM {_RANKED_SQL} WHERE rank <= 5) GROUP BY 1),
-    tools AS (SELECT event_id % 4000 AS response_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1)
+    WITH docs AS (SELECT response_id, count(*) AS n, avg(relevance) AS rel FROM {_RANKED_SQL} GROUP BY 1),
+    tools AS (SELECT event_id AS response_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1)
     SELECT a.o_orderkey AS response_id,
            round(CASE WHEN d.n IS NULL AND t.n IS NULL THEN 0.3
            ELSE least(1, least(coalesce(d.n, 0) / 3, 1) * 0.5 + least(coalesce(t.n, 0) / 2, 1) * 0.3 + coalesce(d.rel, 0) * 0.2) END, 6) AS confidence
@@ -363,8 +378,8 @@ def context_format(spark, sf_dir):
     """,
 )
 def answer_confidence(spark, sf_dir):
-    docs = _ranked_documents(spark, sf_dir).where(F.col("rank") <= 5)
-    tools = table(spark, sf_dir, "events").where("event_type = 'click'").selectExpr("event_id % 4000 AS response_id")
+    docs = _ranked_documents(spark, sf_dir)
+    tools = table(spark, sf_dir, "events").where("event_type = 'click'").selectExpr("event_id AS response_id")
     out = A.confidence(derive(spark, sf_dir, "answers"), docs, tools)
     return out.select("response_id", F.round("confidence", 6).alias("confidence"))
 

@@ -312,7 +312,7 @@ def claims_overlap(spark, sf_dir):
 
 def _with_evidence(spark, sf_dir):
     """Each chat message with the six before it in its session as evidence."""
-    chat = derive(spark, sf_dir, "chat")
+    chat = derive(spark, sf_dir, "chat", shuffled_next=True)
     return lookback(chat, ["session_id"], "ts", F.col("content"), 6, "evidence")
 
 

@@ -80,14 +80,19 @@ def cut_lineage(df, label: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: a scan of so many splits or fewer is one or a few small files
+_FEW_SPLITS = 8
+
+
 def widen(df, *keys: str):
-    """Spread the rows of a small scan over all cores before costly work per row.
+    """Spread the rows of a single small file over all cores before costly work per row.
 
-    A handful of small files is read by a handful of tasks, whatever comes
-    after.  A scan that already has a task per core passes through untouched,
-    without a shuffle.
+    A file of one row group is read by one task, however many there are.  Only
+    scans of a handful of splits are spread (about a gigabyte at most); larger
+    inputs stay as ``spark.sql.files.maxPartitionBytes`` cuts them, however
+    many cores the cluster has.  Results do not depend on it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() > min(_FEW_SPLITS, cores - 1):
         return df
     return df.repartition(cores, *keys)

@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = get_spark(
         "tests",
-        "local[4]",
+        os.environ.get("TEST_MASTER", "local[4]"),
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",

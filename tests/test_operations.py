@@ -138,11 +138,45 @@ def test_sla(compliance):
 
 
 def test_dimensions(spark):
-    t = O.topology(spark)
-    assert t.groupBy("region").count().where("count = 12").count() == 2
-    assert O.services(spark).count() == 5 and O.validation_rules(spark).count() == 8
-    assert {r.tier: r.target_latency_ms for r in O.sla_thresholds(spark).collect()} == {"gold": 15.0, "silver": 30.0, "bronze": 50.0}
-    assert len(S.DEFAULT_SLA_THRESHOLDS) == 3
+    t = O.topology(ranges(spark))
+    assert t.groupBy("region").count().where("count = 12").count() == 3
+    assert O.validation_rules(spark).count() == 8
+    found = {r.tier: (r.target_availability, r.target_latency_ms, r.target_error_rate) for r in O.sla_thresholds(spark).collect()}
+    assert found == {"gold": (99.99, 15.0, 0.1), "silver": (99.95, 30.0, 1.0), "bronze": (99.5, 50.0, 2.0), None: (99.95, 30.0, 1.0)}
+    windows = O.sla_thresholds(spark).select("window_availability", "window_latency", "window_error_rate").distinct().collect()
+    assert [tuple(w) for w in windows] == [("monthly", "hourly", "daily")]
+    assert S.WINDOW_SECONDS == {"hourly": 3600, "daily": 86400, "monthly": 2592000}
+
+
+def ranges(spark):
+    rows = [(f"region_{c}", 12 * i + 1, 12 * i + 12, f"cr-{c}-01", []) for i, c in enumerate("abc")]
+    return spark.createDataFrame(rows, "region string, first int, last int, core_router string, edge_routers array<string>")
+
+
+def test_services_of_any_tier_are_measured_in_their_windows(spark):
+    at, day = 1_700_000_000, 86_400
+    rows = []
+    for service, tier in (("s1", "gold"), ("s2", "platinum"), ("s3", None)):
+        rows += [
+            (service, tier, at - 10, 40.0, False, True),  # this hour
+            (service, tier, at - 2 * 3600, 10.0, True, True),  # this day
+            (service, tier, at - 5 * day, 100.0, True, False),  # this month
+            (service, tier, at - 40 * day, 900.0, True, False),  # too old for anything
+            (service, tier, at + 60, 900.0, True, False),  # still to come
+        ]
+    rows.append(("old", "gold", at - 90 * day, 900.0, True, False))
+    df = spark.createDataFrame(rows, "service_id string, tier string, at long, latency_ms double, is_error boolean, is_available boolean")
+    df = df.select(F.lit("r").alias("region"), F.col("service_id").alias("service_name"), "*", F.timestamp_seconds("at").alias("ts")).drop("at")
+    thresholds = O.sla_thresholds(spark)
+    measured = O.sla_measurements(df, thresholds, F.timestamp_seconds(F.lit(at)))
+    out = {r.service_id: r for r in O.sla_compliance(measured, thresholds).collect()}
+    assert set(out) == {"s1", "s2", "s3", "old"}
+    for s in ("s1", "s2", "s3"):
+        assert (out[s].current_availability, out[s].current_latency_ms, out[s].current_error_rate) == (66.667, 40.0, 50.0)
+        assert out[s].breach_count_30d == 2
+    assert out["s1"].target_latency_ms == 15.0 and out["s2"].target_latency_ms == out["s3"].target_latency_ms == 30.0
+    old = out["old"]
+    assert (old.current_availability, old.current_latency_ms, old.breach_count_30d, old.last_breach, old.is_compliant) == (None, None, 0, None, True)
 
 
 def test_network_health(spark):
@@ -165,7 +199,7 @@ def registry(spark, compliance):
         [(1, "Down", "x", "high", "incident", "region_a", ["node-2"])],
         "k int, title string, description string, priority string, category string, region string, affected_elements array<string>",
     ).withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz"))
-    return default_registry(els, O.create_tickets(reqs, ["k"]), compliance, O.topology(spark))
+    return default_registry(els, O.create_tickets(reqs, ["k"]), compliance, O.topology(ranges(spark)))
 
 
 def test_registry(spark, registry):
@@ -174,8 +208,10 @@ def test_registry(spark, registry):
         ("h2", "network_health_check", {"region": "region_a", "element_id": "node-2"}),
         ("h3", "network_health_check", {"region": "mars"}),
         ("h4", "network_health_check", {}),
-        ("c1", "network_config", {"element_id": "cr-a-01"}),
-        ("c2", "network_config", {"action": "validate"}),
+        ("h5", "network_health_check", {"region": "region c"}),
+        ("n1", None, {}),
+        ("s5", "sla_monitor", {"region": "region_c"}),
+        ("q5", "ticket_query", {"status": "odd"}),
         ("t1", "ticket_creator", {"title": "Broken", "category": "change"}),
         ("q1", "ticket_query", {"status": "new", "element_id": "node-2"}),
         ("q2", "ticket_query", {"ticket_id": "INC404"}),
@@ -197,8 +233,9 @@ def test_registry(spark, registry):
     assert data["h1"]["total_elements"] == 2 and data["h4"]["total_elements"] == 2
     assert out["h2"].summary == "node-2: down, availability: 0.0%"
     assert data["h3"]["error"] == "Unknown region: mars" and out["h3"].status == "success"
-    assert data["c1"]["element_id"] == "cr-a-01" and len(data["c1"]["interfaces"]) == 2
-    assert data["c2"]["validation"] == "passed" and "unknown" in out["c2"].summary
+    assert data["h5"]["total_elements"] == 0 and out["h5"].summary == "Region region_c: 0 elements, availability: n/a, degraded: 0"
+    assert (out["n1"].tool_name, out["n1"].status, out["n1"].error) == (None, "error", "Unknown tool: null")
+    assert data["s5"]["total_services"] == 0 and data["q5"]["count"] == 0
     assert data["t1"]["ticket_id"].startswith("CHG") and data["t1"]["assignee"].startswith("change-management")
     assert (data["q1"]["count"], data["q3"]["count"], data["q4"]["count"]) == (1, 1, 0)
     assert data["q2"]["error"] == "Ticket INC404 not found"

@@ -50,6 +50,35 @@ def test_odd_vectors_are_skipped(spark):
     assert got == {"a": 1.0, "d": 0.0, "e": 0.0}
 
 
+@pytest.mark.parametrize("blocks", [(8192, 512), (50, 20)])
+def test_any_number_of_questions(spark, corpus, vectors, monkeypatch, blocks):
+    monkeypatch.setattr(R, "CORPUS_BLOCK", blocks[0])
+    monkeypatch.setattr(R, "PROBE_BLOCK", blocks[1])
+    rng = np.random.default_rng(3)
+    probes = rng.normal(size=(700, 8))
+    rows = [(f"q{i}", [float(x) for x in v], [None, "north", "south", "nowhere"][i % 4]) for i, v in enumerate(probes)]
+    rows += [("null", None, None), ("narrow", [1.0], None)]
+    asked = spark.createDataFrame(rows, "q string, embedding array<double>, region string")
+    got = {}
+    for r in R.nearest_to_each(asked, corpus, 4, ["q"], "chunk_id", match="region").orderBy("q", "rank").collect():
+        got.setdefault(r.q, []).append(r.chunk_id)
+    allowed = [lambda i: True, lambda i: i % 3, lambda i: i % 3 == 0, lambda i: False]
+    want = {f"q{i}": [f"c{j:03d}" for j in _top(vectors, v, 4, allowed[i % 4])] for i, v in enumerate(probes)}
+    assert got == {q: ids for q, ids in want.items() if ids}
+
+
+def test_probes_of_the_caller_in_blocks(corpus, vectors):
+    probes = [(i, list(vectors[i % 300])) for i in range(MAX_PROBES + 90)]
+    got = R.multi_probe_top_k(corpus, probes, 1, "chunk_id").collect()
+    assert {(r.probe, r.chunk_id) for r in got} == {(i, f"c{i % 300:03d}") for i, _ in probes}
+
+
+def test_bm25_uses_all_terms(spark):
+    docs = spark.createDataFrame([(i, f"w{i} common") for i in range(9)], "id int, content string")
+    got = R.bm25_top_k(docs, [f"w{i}" for i in range(9)], 9, "id").collect()
+    assert {r.id for r in got} == set(range(9))
+
+
 def test_probe_count_is_checked(corpus):
     with pytest.raises(ValueError):
         probe_scores(F.col("embedding"), [[1.0] * 8] * (MAX_PROBES + 1))
