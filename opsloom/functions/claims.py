@@ -50,6 +50,15 @@ NUMBER_WEIGHT = 0.3
 SIMILARITY_THRESHOLD = 0.7
 NO_TERM_CONFIDENCE = 0.8
 OVERLAP_RATIO = 0.5
+#: advice by grounding score; the number of open claims stands between the parts of the second
+ADVICE_GOOD = "Response well-grounded in sources. Safe to present."
+ADVICE_MOSTLY = ("Response mostly grounded. ", " claim(s) lack direct source support. Consider adding caveats.")
+ADVICE_PARTLY = (
+    "Response partially grounded. Recommend human review before presenting to user. "
+    "Ungrounded claims should be removed or flagged as uncertain."
+)
+ADVICE_POOR = "Response poorly grounded. Recommend escalation to human operator. Do not present as authoritative."
+ADVICE_GOOD_FROM, ADVICE_PARTLY_FROM = 0.9, 0.4
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -133,23 +142,11 @@ def is_supported(keywords: Column, evidence_tokens: Column) -> Column:
 
 def recommendation(score: Column, ungrounded: Column, threshold: float) -> Column:
     """Advice for a grounding score (fixed texts)."""
+    before, after = ADVICE_MOSTLY
+    mostly = F.concat(F.lit(before), ungrounded.cast("string"), F.lit(after))
     return (
-        F.when(score >= 0.9, "Response well-grounded in sources. Safe to present.")
-        .when(
-            score >= threshold,
-            F.concat(
-                F.lit("Response mostly grounded. "),
-                ungrounded.cast("string"),
-                F.lit(" claim(s) lack direct source support. Consider adding caveats."),
-            ),
-        )
-        .when(
-            score >= 0.4,
-            "Response partially grounded. Recommend human review before presenting to user. "
-            "Ungrounded claims should be removed or flagged as uncertain.",
-        )
-        .otherwise(
-            "Response poorly grounded. Recommend escalation to human operator. "
-            "Do not present as authoritative."
-        )
+        F.when(score >= ADVICE_GOOD_FROM, ADVICE_GOOD)
+        .when(score >= threshold, mostly)
+        .when(score >= ADVICE_PARTLY_FROM, ADVICE_PARTLY)
+        .otherwise(ADVICE_POOR)
     )

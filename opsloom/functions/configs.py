@@ -16,6 +16,16 @@ VALIDATION_RULES = [
     ("LOG-001", "Logging enabled", "info", "Syslog should be configured for centralized logging"),
     ("NTP-001", "NTP configured", "warning", "NTP servers should be configured for time synchronization"),
 ]
+#: rule id to message, suggestion and location of its issue
+ISSUE_TEXTS = {
+    "SEC-001": ("Plaintext password detected", "Use encrypted passwords (type 5 or 7)", None),
+    "SEC-002": ("Telnet enabled on VTY lines", "Use 'transport input ssh' instead", "line vty"),
+    "NET-001": ("Inconsistent MTU values: ", "Ensure MTU is consistent across related interfaces", None),
+    "NET-002": ("No loopback interface defined", "Configure a loopback interface for router-id", None),
+    "QOS-001": ("No QoS policy applied to interface", "Apply standard service-policy for traffic management", None),
+    "LOG-001": ("No logging configuration found", "Consider configuring syslog for monitoring", None),
+    "NTP-001": ("No NTP configuration found", "Configure NTP for time synchronization", None),
+}
 ERROR_WEIGHT = 3
 WARNING_WEIGHT = 1
 FULL_SCORE = len(VALIDATION_RULES) * ERROR_WEIGHT
@@ -35,8 +45,9 @@ def find_issues(config: Column, change_type: Column) -> Column:
     text = config
     mtus = mtu_values(config)
 
-    def issue(rule_id: str, message: Column | str, suggestion: str, location: str | None = None) -> Column:
-        shown = message if isinstance(message, Column) else F.lit(message)
+    def issue(rule_id: str, details: Column | None = None) -> Column:
+        message, suggestion, location = ISSUE_TEXTS[rule_id]
+        shown = F.lit(message) if details is None else F.concat(F.lit(message), details)
         return F.struct(
             F.lit(rule_id).alias("rule_id"),
             F.lit(_SEVERITY[rule_id]).alias("severity"),
@@ -48,38 +59,13 @@ def find_issues(config: Column, change_type: Column) -> Column:
     typed_secret = text.rlike(r"(?U)(?:password|secret)\s+\d")
     plain_secret = text.contains("password 0") | text.contains("secret 0")
     checks = [
-        F.when(
-            typed_secret & plain_secret,
-            issue("SEC-001", "Plaintext password detected", "Use encrypted passwords (type 5 or 7)"),
-        ),
-        F.when(
-            text.contains("transport input telnet"),
-            issue("SEC-002", "Telnet enabled on VTY lines", "Use 'transport input ssh' instead", "line vty"),
-        ),
-        F.when(
-            F.size(mtus) > 1,
-            issue(
-                "NET-001",
-                F.concat(F.lit("Inconsistent MTU values: "), F.array_join(mtus, ", ")),
-                "Ensure MTU is consistent across related interfaces",
-            ),
-        ),
-        F.when(
-            (change_type == "routing") & ~text.contains("interface loopback"),
-            issue("NET-002", "No loopback interface defined", "Configure a loopback interface for router-id"),
-        ),
-        F.when(
-            (change_type == "interface") & ~text.contains("service-policy"),
-            issue("QOS-001", "No QoS policy applied to interface", "Apply standard service-policy for traffic management"),
-        ),
-        F.when(
-            ~text.contains("logging"),
-            issue("LOG-001", "No logging configuration found", "Consider configuring syslog for monitoring"),
-        ),
-        F.when(
-            ~text.contains("ntp server") & ~text.contains("ntp peer"),
-            issue("NTP-001", "No NTP configuration found", "Configure NTP for time synchronization"),
-        ),
+        F.when(typed_secret & plain_secret, issue("SEC-001")),
+        F.when(text.contains("transport input telnet"), issue("SEC-002")),
+        F.when(F.size(mtus) > 1, issue("NET-001", F.array_join(mtus, ", "))),
+        F.when((change_type == "routing") & ~text.contains("interface loopback"), issue("NET-002")),
+        F.when((change_type == "interface") & ~text.contains("service-policy"), issue("QOS-001")),
+        F.when(~text.contains("logging"), issue("LOG-001")),
+        F.when(~text.contains("ntp server") & ~text.contains("ntp peer"), issue("NTP-001")),
     ]
     return F.array_compact(F.array(*checks))
 

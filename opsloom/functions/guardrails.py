@@ -67,6 +67,11 @@ CREDENTIAL_PATTERNS = [
     r"bearer\s+[A-Za-z0-9._-]+",
 ]
 CREDENTIAL_REPLACEMENT = "[CREDENTIAL REDACTED]"
+#: reasons of refused messages
+SAYS_INJECTION = "Potential prompt injection detected"
+SAYS_BLOCKED = "Message contains blocked content"
+SAYS_HARMFUL = "Message flagged as potentially harmful"
+SAYS_TOO_LONG = "Message exceeds maximum length of {} characters"
 # --- end of fixed values ----------------------------------------------------
 
 #: a run is looked for at its start only, not again at each of its characters
@@ -158,17 +163,17 @@ def validate_input(
         )
 
     def by_risk(risk: Column) -> Column:
-        flagged = verdict("Message flagged as potentially harmful", risk)
+        flagged = verdict(SAYS_HARMFUL, risk)
         return F.when(risk > RISK_LIMIT, flagged).otherwise(verdict(None, risk))
 
     def by_content(folded: Column) -> Column:
         return (
-            F.when(any_pattern(folded, injection_patterns), verdict("Potential prompt injection detected", 0.9))
-            .when(any_pattern(folded, blocked_patterns), verdict("Message contains blocked content", 0.8))
+            F.when(any_pattern(folded, injection_patterns), verdict(SAYS_INJECTION, 0.9))
+            .when(any_pattern(folded, blocked_patterns), verdict(SAYS_BLOCKED, 0.8))
             .otherwise(let(risk_score(message), by_risk))
         )
 
-    too_long = f"Message exceeds maximum length of {max_length} characters"
+    too_long = SAYS_TOO_LONG.format(max_length)
     return (
         F.when(message.isNull() | (F.length(message) == 0), verdict(None, 0.0))
         .when(F.length(message) > max_length, verdict(too_long, 0.3))

@@ -39,93 +39,140 @@ def iso_time(ts: Column) -> Column:
     return F.concat(whole, F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("Z"))
 
 
-def _entry(rows: DataFrame, event_type: Column, values: dict[str, Column]) -> DataFrame:
-    """Common envelope; ``rows`` needs session_id and ts, and may bring correlation_id and metadata."""
-    for name in ("correlation_id", "metadata"):
-        if name not in values and name in rows.columns:
-            values[name] = F.col(name)
-    defaults = {
-        "tool_calls": F.array(),
-        "sources_used": F.array(),
-        "latency_ms": F.lit(0.0),
-        "metadata": F.create_map(),
+_DEFAULTS = {
+    "tool_calls": F.array,
+    "sources_used": F.array,
+    "latency_ms": lambda: F.lit(0.0),
+    "metadata": F.create_map,
+}
+
+
+def _given(rows: DataFrame, name: str, default: Column | None = None) -> Column:
+    if name in rows.columns:
+        return F.col(name)
+    return F.lit(None) if default is None else default
+
+
+def _with_metadata(rows: DataFrame, extra: dict[str, Column]) -> Column:
+    pairs = [part for name, value in extra.items() for part in (F.lit(name), value.cast("string"))]
+    own = F.create_map(*pairs)
+    if "metadata" not in rows.columns:
+        return own
+    given = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
+    # own keys win: drop them from the given map instead of relying on a session setting
+    return F.map_concat(F.map_filter(given, lambda k, _: ~k.isin(list(extra))), own)
+
+
+def _query_values(rows: DataFrame) -> dict[str, Column]:
+    return {"user_message": F.col("message")}
+
+
+def _response_values(rows: DataFrame) -> dict[str, Column]:
+    values = {
+        "assistant_response": F.substring("response", 1, RESPONSE_LIMIT),
+        "sources_used": F.col("sources"),
+        "confidence_score": F.col("confidence"),
+        "latency_ms": F.col("latency_ms"),
     }
-    columns = []
-    for name, dtype in _FIELDS.items():
-        value = values.get(name, defaults.get(name, F.lit(None)))
-        columns.append(value.cast(dtype).alias(name))
+    return values | ({"tool_calls": F.col("tool_calls")} if "tool_calls" in rows.columns else {})
+
+
+def _tool_call_values(rows: DataFrame) -> dict[str, Column]:
+    told = ["tool_name", "parameters", "result_summary", "latency_ms", "success"]
+    call = F.struct(*told, _given(rows, "error").cast("string").alias("error"), iso_time(F.col("ts")).alias("timestamp"))
+    return {"tool_calls": F.array(call), "latency_ms": F.col("latency_ms")}
+
+
+def _error_values(rows: DataFrame, error_type: str = "processing_error") -> dict[str, Column]:
+    kind = _given(rows, "error_type", F.lit(error_type))
+    return {"metadata": _with_metadata(rows, {"error": F.col("error"), "error_type": kind})}
+
+
+def _escalation_values(rows: DataFrame, escalation_type: str = "human_handoff") -> dict[str, Column]:
+    return {"metadata": _with_metadata(rows, {"escalation_reason": F.col("reason"), "escalation_type": F.lit(escalation_type)})}
+
+
+_VALUES = {
+    "query": _query_values,
+    "response": _response_values,
+    "tool_call": _tool_call_values,
+    "error": _error_values,
+    "escalation": _escalation_values,
+}
+
+
+def _entry(rows: DataFrame, event_type: Column, by_type: dict[str, dict[str, Column]]) -> DataFrame:
+    """Common envelope; ``rows`` needs session_id and ts, and may bring correlation_id and metadata."""
+
+    def field(name: str, dtype: str) -> Column:
+        value = _DEFAULTS[name]() if name in _DEFAULTS else F.lit(None)
+        if name in ("correlation_id", "metadata") and name in rows.columns:
+            value = F.col(name)
+        value = value.cast(dtype)
+        for kind, values in by_type.items():
+            if name in values:
+                own = values[name].cast(dtype)
+                value = own if len(by_type) == 1 else F.when(event_type == kind, own).otherwise(value)
+        return value.alias(name)
+
     return rows.select(
         F.col("session_id").cast("string").alias("session_id"),
         iso_time(F.col("ts")).alias("timestamp"),
         event_type.alias("event_type"),
-        *columns,
+        *[field(name, dtype) for name, dtype in _FIELDS.items()],
     )
 
 
 def query_events(rows: DataFrame) -> DataFrame:
     """From session_id, ts, message."""
-    return _entry(rows, F.lit("query"), {"user_message": F.col("message")})
+    return _entry(rows, F.lit("query"), {"query": _query_values(rows)})
 
 
 def response_events(rows: DataFrame) -> DataFrame:
     """From session_id, ts, response, sources, confidence, latency_ms and optional tool_calls."""
-    values = {
-        "assistant_response": F.substring("response", 1, RESPONSE_LIMIT),
-        "sources_used": F.col("sources"),
-        "confidence_score": F.col("confidence"),
-        "latency_ms": F.col("latency_ms"),
-    }
-    if "tool_calls" in rows.columns:
-        values["tool_calls"] = F.col("tool_calls")
-    return _entry(rows, F.lit("response"), values)
+    return _entry(rows, F.lit("response"), {"response": _response_values(rows)})
 
 
 def tool_call_events(rows: DataFrame) -> DataFrame:
     """From session_id, ts, tool_name, parameters, result_summary, latency_ms, success, error."""
-    call = F.struct(
-        F.col("tool_name"),
-        F.col("parameters"),
-        F.col("result_summary"),
-        F.col("latency_ms"),
-        F.col("success"),
-        F.col("error"),
-        iso_time(F.col("ts")).alias("timestamp"),
-    )
-    return _entry(rows, F.lit("tool_call"), {"tool_calls": F.array(call), "latency_ms": F.col("latency_ms")})
-
-
-def _with_metadata(rows: DataFrame, extra: dict[str, Column]) -> Column:
-    pairs = [part for name, value in extra.items() for part in (F.lit(name), value.cast("string"))]
-    own = F.create_map(*pairs)
-    if "metadata" not in rows.columns:
-        return own
-    given = F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>"))
-    # own keys win: drop them from the given map instead of relying on a session setting
-    return F.map_concat(F.map_filter(given, lambda k, _: ~k.isin(list(extra))), own)
+    return _entry(rows, F.lit("tool_call"), {"tool_call": _tool_call_values(rows)})
 
 
 def error_events(rows: DataFrame, error_type: str = "processing_error") -> DataFrame:
     """From session_id, ts, error; an ``error_type`` column replaces the default kind."""
-    kind = F.col("error_type") if "error_type" in rows.columns else F.lit(error_type)
-    return _entry(rows, F.lit("error"), {"metadata": _with_metadata(rows, {"error": F.col("error"), "error_type": kind})})
+    return _entry(rows, F.lit("error"), {"error": _error_values(rows, error_type)})
 
 
 def escalation_events(rows: DataFrame, escalation_type: str = "human_handoff") -> DataFrame:
     """From session_id, ts, reason."""
-    extra = {"escalation_reason": F.col("reason"), "escalation_type": F.lit(escalation_type)}
-    return _entry(rows, F.lit("escalation"), {"metadata": _with_metadata(rows, extra)})
+    return _entry(rows, F.lit("escalation"), {"escalation": _escalation_values(rows, escalation_type)})
 
 
-def append_audit(entries: DataFrame, path: str, max_records_per_file: int | None = None) -> None:
-    """Append entries as JSON lines, one folder per day.
+def events_of_all_kinds(rows: DataFrame, event_type: Column) -> DataFrame:
+    """Entries of mixed rows in one pass; ``event_type`` names the constructor of each row.
 
-    Instead of renaming a full file, files are closed at a record count, and
-    old days are whole folders.
+    ``rows`` has the columns of all five constructors; each row's own ones count.
     """
-    writer = entries.withColumn("day", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("day")
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    writer.option("ignoreNullFields", "false").json(path)
+    return _entry(rows, event_type, {kind: values(rows) for kind, values in _VALUES.items()})
+
+
+def append_audit(entries: DataFrame, path: str, max_file_bytes: int = MAX_FILE_BYTES) -> None:
+    """Append entries as JSON lines, one folder per day, in files of about ``max_file_bytes`` at most.
+
+    Instead of renaming a full file, files are closed at the number of records
+    that fill them (by the mean length of a record of this batch), and old days
+    are whole folders.
+    """
+    record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    length = entries.agg(F.avg(F.octet_length(record))).first()[0] or 1.0
+    (
+        entries.withColumn("day", F.substring("timestamp", 1, 10))
+        .write.mode("append")
+        .partitionBy("day")
+        .option("maxRecordsPerFile", max(1, int(max_file_bytes / (length + 1))))
+        .option("ignoreNullFields", "false")
+        .json(path)
+    )
 
 
 def session_entries(entries: DataFrame, session_id: str) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.errors import AnalysisException
 
 from opsloom.session import scratch_dir
 
-#: bucket folders of a stored collection; only the touched ones are rewritten
-BUCKETS = 64
+#: rows of one bucket folder of a stored collection; only the touched buckets are rewritten
+ROWS_PER_BUCKET = 1_000_000
 
 
 def existing_ids(collection: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -45,23 +45,27 @@ def merge_counts(incoming: DataFrame, collection: DataFrame, key: str = "chunk_i
     )
 
 
-def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def bucket_of(value: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(buckets)).cast("int")
 
 
-def _bucket_column(buckets: int) -> str:
-    # the folder name states the layout, so a merge cannot mistake it
-    return f"bucket_of_{buckets}"
+def _layout(columns: list[str]) -> tuple[str, str, int]:
+    """Bucket column of a stored collection, the column it hashes, and the number of buckets: its name states them."""
+    name = next(c for c in columns if c.startswith("bucket_of_"))
+    buckets, cluster = name.removeprefix("bucket_of_").split("_by_", 1)
+    return name, cluster, int(buckets)
 
 
-def write_collection(rows: DataFrame, path: str, key: str = "chunk_id", buckets: int = BUCKETS) -> None:
-    """Store a collection as Parquet, one folder per key bucket.
+def write_collection(rows: DataFrame, path: str, cluster: str = "chunk_id", rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
+    """Store a collection as Parquet, one folder per bucket of ``cluster``.
 
-    Choose ``buckets`` so that one holds a few gigabytes.  Rows are rebalanced
-    by bucket: large buckets are split over several writers, small ones share.
+    Clustered by document, all chunks of one document share a bucket.  The
+    number of buckets follows from the number of rows.  Rows are rebalanced by
+    bucket: large buckets are split over several writers, small ones share.
     """
-    name = _bucket_column(buckets)
-    bucketed = rows.withColumn(name, bucket_of(F.col(key), buckets))
+    buckets = max(1, -(-rows.count() // rows_per_bucket))
+    name = f"bucket_of_{buckets}_by_{cluster}"
+    bucketed = rows.withColumn(name, bucket_of(F.col(cluster), buckets))
     bucketed.hint("rebalance", name).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
@@ -72,12 +76,14 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
 def merge_into(spark: SparkSession, path: str, incoming: DataFrame, key: str = "chunk_id") -> None:
     """Upsert ``incoming`` into a stored collection, rewriting touched buckets only.
 
-    The merged buckets are first written to the shared scratch folder, so the
-    job never overwrites what it still reads.
+    A key must stay in its cluster (a chunk in its document).  The merged
+    buckets are first written to the shared scratch folder, so the job never
+    overwrites what it still reads; the staged copy stays until the target is
+    written, so a broken merge can be repeated.
     """
     stored = read_collection(spark, path)
-    name = next(c for c in stored.columns if c.startswith("bucket_of_"))
-    incoming = incoming.withColumn(name, bucket_of(F.col(key), int(name.rsplit("_", 1)[1])))
+    name, cluster, buckets = _layout(stored.columns)
+    incoming = incoming.withColumn(name, bucket_of(F.col(cluster), buckets))
     # one number per bucket comes to the driver
     touched = [r[0] for r in incoming.select(name).distinct().collect()]
     if not touched:
@@ -110,13 +116,18 @@ def document_type_counts(documents: DataFrame) -> DataFrame:
     return documents.groupBy("document_type").agg(F.count("*").alias("documents"))
 
 
-def ingestion_summary(documents: DataFrame, chunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: documents, chunks and stored, updated and skipped counts.
+def ingestion_summary(
+    documents: DataFrame, chunks: DataFrame, counts: DataFrame, seconds: float | None = None
+) -> DataFrame:
+    """One row: documents, chunks, stored, updated and skipped counts, documents by type, duration.
 
-    All three inputs are single-row aggregates, combined as scalar subqueries.
+    ``documents`` has a ``document_type``.  All inputs are single-row
+    aggregates, combined as scalar subqueries; there are a few types only.
     """
+    by_type = document_type_counts(documents).where(F.col("document_type").isNotNull())
     n_docs = documents.agg(F.count("*")).scalar()
     n_chunks = chunks.agg(F.count("*")).scalar()
+    types = by_type.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("document_type", "documents"))))).scalar()
     return counts.select(
         F.when(n_docs == 0, "error").when(n_chunks == 0, "error").otherwise("success").alias("status"),
         n_docs.alias("documents_loaded"),
@@ -124,4 +135,6 @@ def ingestion_summary(documents: DataFrame, chunks: DataFrame, counts: DataFrame
         F.col("stored").alias("chunks_stored"),
         F.col("updated").alias("chunks_updated"),
         F.col("skipped").alias("chunks_skipped"),
+        types.alias("documents_by_type"),
+        F.lit(seconds).cast("double").alias("duration_seconds"),
     )

@@ -10,10 +10,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opsloom.functions.text import embedding_cache_key
+from opsloom.functions.text import embedding_cache_key, let, tokens
 from opsloom.operators.skew import lookup
+from opsloom.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 BATCH_SIZE = 100
@@ -41,6 +42,9 @@ class EmbeddingProvider(Protocol):
         """Called once per task, after the last batch."""
 
 
+#: a provider may also offer ``column(text)``, the vector as a column expression; it is then used instead
+
+
 class HashingProvider:
     """Offline default: hashed counts of lower-case tokens, scaled to length one."""
 
@@ -65,6 +69,24 @@ class HashingProvider:
             out.append((counts / norm if norm else counts).tolist())
         return out
 
+    def column(self, text: Column) -> Column:
+        """The same vector as an expression: counts per bucket of the hashed tokens, scaled to length one."""
+
+        def counts(buckets: Column) -> Column:
+            dims = F.sequence(F.lit(0), F.lit(self.dimensions - 1))
+            return F.transform(dims, lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d))).cast("double"))
+
+        def scaled(n: Column) -> Column:
+            norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda total, x: total + x * x))
+            return F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+        def bucket(token: Column) -> Column:
+            head = F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10).cast("long")
+            return F.pmod(head, F.lit(self.dimensions)).cast("int")
+
+        found = F.transform(tokens(F.lower(F.coalesce(text, F.lit("")))), bucket)
+        return let(let(found, counts), scaled)
+
     def close(self) -> None:
         self.__dict__.pop("_bucket", None)
 
@@ -82,21 +104,24 @@ def backoff_delay(attempt: int, base: float = BASE_DELAY, limit: float = MAX_DEL
 
 
 def call_with_retry(provider: EmbeddingProvider, texts: list[str], sleep=time.sleep) -> list[list[float]]:
-    """Retry a batch: an error other than a rate limit fails at once on the first attempt."""
-    for attempt in range(MAX_RETRIES):
+    """Vectors of a batch; only rate limits are worth another attempt, each after a longer wait."""
+    waits = [backoff_delay(attempt) for attempt in range(MAX_RETRIES - 1)]
+    while True:
         try:
             return provider.embed(texts)
         except Exception as error:
-            limited = any(sign in str(error).lower() for sign in RATE_LIMIT_SIGNS)
-            if attempt == 0 and not limited:
+            said = str(error).lower()
+            if not any(sign in said for sign in RATE_LIMIT_SIGNS):
                 raise EmbeddingError(f"Embedding failed: {error}") from error
-            last = error
-            sleep(backoff_delay(attempt))
-    raise EmbeddingError(f"Embedding failed after {MAX_RETRIES} attempts") from last
+            if not waits:
+                raise EmbeddingError(f"Embedding failed after {MAX_RETRIES} attempts") from error
+        sleep(waits.pop(0))
 
 
 def embed_column(texts: DataFrame, text: str, provider: EmbeddingProvider, output: str = "embedding") -> DataFrame:
-    """Add a vector per row, in provider batches of 100 within each Arrow batch."""
+    """Add a vector per row: the provider's own expression, or its batches of 100 within each Arrow batch."""
+    if hasattr(provider, "column"):
+        return texts.withColumn(output, provider.column(F.col(text)))
     schema = ", ".join(f"`{n}` {t}" for n, t in texts.dtypes) + f", `{output}` array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,11 +185,18 @@ def embed_documents(
 ) -> tuple[DataFrame, DataFrame]:
     """Vectors for all rows, cache first; also returns the entries to add to the cache.
 
-    Write the second frame to the cache table before using the first at scale:
-    both are lazy, and a stored cache saves calling the provider twice.
+    The new entries are written to the shared folder here, as both frames read
+    them: the provider is asked once for each missing text.  ``now`` decides
+    once which entries have expired.
     """
     model = model or provider.name
+    now = pinned_now(cache.sparkSession) if now is None else now
     live = valid_cache(cache, now)
-    fresh = embed_missing(texts, live, provider, model, text, now)
+    fresh = cut_lineage(embed_missing(texts, live, provider, model, text, now), "vectors")
     both = live.select("cache_key", "embedding").unionByName(fresh.select("cache_key", "embedding"))
     return cache_lookup(texts, both, model, text), fresh
+
+
+def pinned_now(spark: SparkSession) -> Column:
+    """The present as a literal, so that every job of a run sees the same moment."""
+    return F.lit(spark.range(1).select(F.current_timestamp()).first()[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opsloom.operators import collections as L
 from opsloom.operators import embedding as E
@@ -41,21 +43,25 @@ def ingest(
     later step reads them again.  Running it twice leaves the collection as it
     was after the first run.
     """
-    documents = load_documents(spark, source_path)
+    started = time.monotonic()
+    now = E.pinned_now(spark)
+    # the files are read once
+    documents = cut_lineage(load_documents(spark, source_path), "documents")
     keep = ["source_path", "document_type", "region", "metadata"]
     chunks = cut_lineage(chunk_documents(documents, prose_size, prose_overlap, keep), "chunks").select(*CHUNK_COLUMNS)
 
     cache_schema = "cache_key string, model string, embedding array<float>, cached_at timestamp"
-    live = E.valid_cache(_stored(spark, cache_path, cache_schema))
-    fresh = cut_lineage(E.embed_missing(chunks, live, provider, text="content"), "vectors")
+    cached = cut_lineage(E.valid_cache(_stored(spark, cache_path, cache_schema), now), "cache")
+    vectors, fresh = E.embed_documents(chunks, cached, provider, text="content", now=now)
     fresh.write.mode("append").parquet(cache_path)
-    vectors = live.select("cache_key", "embedding").unionByName(fresh.select("cache_key", "embedding"))
-    ready = cut_lineage(E.cache_lookup(chunks, vectors, provider.name, "content"), "embedded").drop("cache_key")
+    ready = cut_lineage(vectors, "embedded").drop("cache_key")
+    if not ready.where(F.col("embedding").isNull()).isEmpty():
+        raise ValueError("chunks without a vector")
 
     stored = _stored(spark, collection_path, "chunk_id string")
     counts = cut_lineage(L.merge_counts(chunks, stored), "counts")
     if any(c.startswith("bucket_of_") for c in stored.columns):
         L.merge_into(spark, collection_path, ready)
     else:
-        L.write_collection(ready, collection_path)
-    return L.ingestion_summary(documents, chunks, counts)
+        L.write_collection(ready, collection_path, "document_id")
+    return L.ingestion_summary(documents, chunks, counts, time.monotonic() - started)

@@ -11,6 +11,8 @@ from opsloom.operators import intents as N
 from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import lit
+from opsloom.session import scratch_dir
+from opsloom.sources.logs import read_audit
 
 CHAT = derived_sql("chat")
 
@@ -190,13 +192,10 @@ def session_history(spark, sf_dir):
     return V.session_history(derive(spark, sf_dir, "chat"), 7).select("message_id", "ts", "role", "content")
 
 
-_TURNS = "event_id % 40 = 0"
-
-
 @query(
     "save_turns",
     f"""
-    WITH turns AS (SELECT user_id AS session_id, ts, props AS q, event_type AS a FROM events WHERE {_TURNS}),
+    WITH turns AS (SELECT user_id AS session_id, ts, props AS q, event_type AS a FROM events),
     merged AS (SELECT session_id, ts, 0 AS seq, role, content FROM {CHAT}
       UNION ALL SELECT session_id, ts + INTERVAL 40 DAY, 0, 'user', q FROM turns
       UNION ALL SELECT session_id, ts + INTERVAL 40 DAY, 1, 'assistant', a FROM turns)
@@ -204,12 +203,12 @@ _TURNS = "event_id % 40 = 0"
     """,
 )
 def save_turns(spark, sf_dir):
-    """Append one finished turn for every fortieth event, then prune."""
+    """Append one finished turn for every event, then prune."""
     none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
     stored = derive(spark, sf_dir, "chat").select(
         "session_id", "ts", F.lit(0).alias("seq"), "role", "content", none.alias("sources"), empty.alias("metadata")
     )
-    turns = table(spark, sf_dir, "events").where(_TURNS).select(
+    turns = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"),
         F.expr("ts + INTERVAL 40 DAY").alias("ts"),
         F.col("props").alias("user_message"),
@@ -222,14 +221,21 @@ def save_turns(spark, sf_dir):
 
 @query(
     "session_upsert",
-    "SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY 1",
+    f"""
+    WITH seen AS (SELECT user_id AS session_id, ts FROM events),
+    stored AS (SELECT session_id + 10 AS session_id, min(ts) - INTERVAL 1 DAY AS created_at, max(ts) + INTERVAL 1 HOUR AS updated_at FROM seen GROUP BY 1)
+    SELECT coalesce(s.session_id, n.session_id) AS session_id, coalesce(least(s.created_at, n.first_ts), s.created_at, n.first_ts) AS created_at,
+      coalesce(greatest(s.updated_at, n.last_ts), s.updated_at, n.last_ts) AS updated_at
+    FROM stored s FULL JOIN (SELECT session_id, min(ts) AS first_ts, max(ts) AS last_ts FROM seen GROUP BY 1) n ON s.session_id = n.session_id
+    """,
 )
 def session_upsert(spark, sf_dir):
+    """Stored sessions that begin earlier, end later, or were not seen again, and sessions not stored yet."""
     seen = derive(spark, sf_dir, "chat")
-    known = seen.where("message_id % 3 = 0").groupBy("session_id").agg(
-        F.min("ts").alias("created_at"), F.min("ts").alias("updated_at")
+    stored = seen.groupBy((F.col("session_id") + 10).alias("session_id")).agg(
+        F.expr("min(ts) - INTERVAL 1 DAY").alias("created_at"), F.expr("max(ts) + INTERVAL 1 HOUR").alias("updated_at")
     )
-    return V.upsert_sessions(known, seen)
+    return V.upsert_sessions(stored, seen)
 
 
 @query("session_count", "SELECT count(DISTINCT user_id) AS session_count FROM events")
@@ -251,13 +257,12 @@ def session_clear(spark, sf_dir):
 @query(
     "messages_with_session",
     f"SELECT message_id, session_id, created_at, updated_at FROM {CHAT} JOIN "
-    "(SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS updated_at FROM events WHERE event_type <> 'view' GROUP BY 1) USING (session_id)",
+    "(SELECT user_id AS session_id, min(ts) AS created_at, max(ts) AS updated_at FROM events GROUP BY 1) USING (session_id)",
 )
 def messages_with_session(spark, sf_dir):
     chat = derive(spark, sf_dir, "chat")
     sessions = (
         table(spark, sf_dir, "events")
-        .where("event_type <> 'view'")
         .groupBy(F.col("user_id").alias("session_id"))
         .agg(F.min("ts").alias("created_at"), F.max("ts").alias("updated_at"))
     )
@@ -278,37 +283,23 @@ def _entries(spark, sf_dir):
         F.concat(F.lit("c-"), F.col("event_id").cast("string")).alias("correlation_id"),
         F.col("props"),
     )
-    queries = U.query_events(ev.where("event_type = 'view'").withColumn("message", F.col("props")))
-    responses = U.response_events(
-        ev.where("event_type = 'click'").select(
-            "session_id", "ts", "correlation_id", F.expr("repeat(props, 200)").alias("response"),
-            F.array(F.lit("kb/a"), F.lit("kb/b")).alias("sources"), (F.col("value") / 1000).alias("confidence"),
-            F.col("value").alias("latency_ms"),
-        )
+    kinds = {"view": "query", "click": "response", "purchase": "tool_call", "error": "error", "signup": "escalation"}
+    kind = F.lit("escalation")
+    for name, value in kinds.items():
+        kind = F.when(F.col("event_type") == name, value).otherwise(kind)
+    props, value = F.col("props"), F.col("value")
+    rows = ev.select(
+        "session_id", "ts", "correlation_id", kind.alias("kind"), props.alias("message"), F.expr("repeat(props, 200)").alias("response"),
+        F.array(F.lit("kb/a"), F.lit("kb/b")).alias("sources"), (value / 1000).alias("confidence"), value.alias("latency_ms"),
+        F.lit("ticket_creator").alias("tool_name"), F.create_map(F.lit("props"), props).alias("parameters"),
+        F.lit("done").alias("result_summary"), (value < 100).alias("success"), props.alias("reason"),
+        F.when(F.col("event_type") == "error", props).alias("error"),
+        F.when(F.col("event_type") == "error", F.create_map(F.lit("error"), F.lit("overwritten"), F.lit("kept"), F.lit("yes"))).alias("metadata"),
     )
-    tools = U.tool_call_events(
-        ev.where("event_type = 'purchase'").select(
-            "session_id", "ts", "correlation_id", F.lit("ticket_creator").alias("tool_name"),
-            F.create_map(F.lit("props"), F.col("props")).alias("parameters"), F.lit("done").alias("result_summary"),
-            F.col("value").alias("latency_ms"), (F.col("value") < 100).alias("success"), F.lit(None).cast("string").alias("error"),
-        )
-    )
-    errors = U.error_events(
-        ev.where("event_type = 'error'").select(
-            "session_id", "ts", "correlation_id", F.col("props").alias("error"),
-            F.create_map(F.lit("error"), F.lit("overwritten"), F.lit("kept"), F.lit("yes")).alias("metadata"),
-        )
-    )
-    escalations = U.escalation_events(ev.where("event_type = 'signup'").withColumn("reason", F.col("props")))
-    parts = [queries, responses, tools, errors, escalations]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return U.events_of_all_kinds(rows, F.col("kind"))
 
 
-@query(
-    "audit_entries",
+_AUDIT_SQL = (
     f"""
     SELECT CAST(user_id AS VARCHAR) AS session_id, {_ISO} AS timestamp, 'c-' || CAST(event_id AS VARCHAR) AS correlation_id,
       CASE event_type WHEN 'view' THEN 'query' WHEN 'click' THEN 'response' WHEN 'purchase' THEN 'tool_call' WHEN 'error' THEN 'error' ELSE 'escalation' END AS event_type,
@@ -321,11 +312,11 @@ def _entries(spark, sf_dir):
       CASE WHEN event_type = 'error' THEN 'yes' END AS kept,
       CASE WHEN event_type = 'purchase' THEN value < 100 END AS success
     FROM events
-    """,
+    """
 )
-def audit_entries(spark, sf_dir):
-    e = _entries(spark, sf_dir)
 
+
+def _flat_entries(e):
     def meta(*names):
         return F.coalesce(*[F.try_element_at("metadata", F.lit(n)) for n in names])
 
@@ -337,6 +328,22 @@ def audit_entries(spark, sf_dir):
     )
 
 
+@query("audit_entries", _AUDIT_SQL)
+def audit_entries(spark, sf_dir):
+    return _flat_entries(_entries(spark, sf_dir))
+
+
+@query("audit_round_trip", _AUDIT_SQL)
+def audit_round_trip(spark, sf_dir):
+    """Entries appended as JSON lines in two batches and read back."""
+    path = scratch_dir(spark, "audit")
+    entries = _entries(spark, sf_dir)
+    late = F.col("timestamp") >= "2024-01-15"
+    U.append_audit(entries.where(~late), path)
+    U.append_audit(entries.where(late), path)
+    return _flat_entries(read_audit(spark, path))
+
+
 @query(
     "audit_session_scan",
     "SELECT CASE event_type WHEN 'view' THEN 'query' WHEN 'click' THEN 'response' WHEN 'purchase' THEN 'tool_call' WHEN 'error' THEN 'error' ELSE 'escalation' END AS event_type, "

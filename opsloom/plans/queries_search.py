@@ -15,6 +15,7 @@ from opsloom.operators.metrics import histogram, HISTOGRAM_BOUNDS
 from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import DERIVED, derive, derived_sql
 from opsloom.plans.sqltext import sql_list, tokens_sql
+from opsloom.session import scratch_dir
 
 QUERY_IDS = [0, 1, 2, 3, 4, 5]
 TERMS = ["the", "of", "thing", "and", "network"]
@@ -305,11 +306,45 @@ def upsert_counts(spark, sf_dir):
     "ingestion_summary",
     "SELECT 'success' AS status, (SELECT count(*) FROM documents) AS documents_loaded, (SELECT count(*) FROM events) AS chunks_created, "
     "count(*) FILTER (WHERE l.doc_id IS NULL) AS chunks_stored, count(*) FILTER (WHERE l.doc_id IS NOT NULL) AS chunks_updated, "
-    "CAST(0 AS BIGINT) AS chunks_skipped FROM documents d LEFT JOIN labels l USING (doc_id)",
+    "CAST(0 AS BIGINT) AS chunks_skipped, (SELECT string_agg(t, ',' ORDER BY t) FROM (SELECT lang || '=' || count(*) AS t FROM documents GROUP BY lang)) AS documents_by_type "
+    "FROM documents d LEFT JOIN labels l USING (doc_id)",
 )
 def ingestion_summary(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return L.ingestion_summary(docs, table(spark, sf_dir, "events"), L.merge_counts(docs, labels, "doc_id"))
+    typed = docs.withColumnRenamed("lang", "document_type")
+    out = L.ingestion_summary(typed, table(spark, sf_dir, "events"), L.merge_counts(docs, labels, "doc_id"))
+    by_type = F.transform(F.map_entries("documents_by_type"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return out.withColumn("documents_by_type", F.array_join(by_type, ",")).drop("duration_seconds")
+
+
+def _chunk_rows(spark, sf_dir):
+    """Order lines as chunks of documents: an id each, three to a document."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("chunk_id"),
+        F.concat(F.lit("d"), F.floor(F.col("event_id") / 3).cast("string")).alias("document_id"),
+        F.col("props").alias("content"),
+        "event_type",
+    )
+
+
+@query(
+    "merge_written",
+    """
+    SELECT 'c' || event_id AS chunk_id, 'd' || (event_id // 3) AS document_id,
+      CASE WHEN event_type = 'click' THEN 'changed ' || props ELSE props END AS content FROM events
+    """,
+)
+def merge_written(spark, sf_dir):
+    """A collection written, merged twice with changed and new chunks, and read back."""
+    path = scratch_dir(spark, "collection")
+    rows = _chunk_rows(spark, sf_dir)
+    L.write_collection(rows.where("event_type <> 'view'").drop("event_type"), path, "document_id", rows_per_bucket=2000)
+    changed = rows.where("event_type IN ('view', 'click')").withColumn(
+        "content", F.when(F.col("event_type") == "click", F.concat(F.lit("changed "), "content")).otherwise(F.col("content"))
+    )
+    for _ in range(2):
+        L.merge_into(spark, path, changed.drop("event_type"))
+    return L.read_collection(spark, path).select("chunk_id", "document_id", "content")
 
 
 # --- answers ----------------------------------------------------------------

@@ -42,7 +42,9 @@ UPLOAD_TYPES = ["application/pdf", "text/plain", "text/csv", "application/json",
 DOCUMENT_VERSION = "1.0"
 # --- end of fixed values ----------------------------------------------------
 
-PARSED_TYPES = ["csv", "json", "xml", "pdf", "docx"]
+PARSED_TYPES = ["csv", "json", "xml", "docx"]
+#: types recognised but not read
+UNREAD_TYPES = ["pdf"]
 DOCUMENT_COLUMNS = [
     "doc_id", "content", "source_path", "document_type", "ingestion_ts", "version", "region", "metadata",
 ]
@@ -126,16 +128,6 @@ def parse_xml(raw: bytes) -> tuple[str, dict]:
     return ET.tostring(root, encoding="unicode"), {"root_tag": root.tag, "child_tags": tags}
 
 
-def parse_pdf(raw: bytes) -> tuple[str, dict]:
-    """Pages with text, each under a page line.  Needs ``pypdf``; without it the file is dropped."""
-    import pypdf
-
-    pages = pypdf.PdfReader(io.BytesIO(raw)).pages
-    texts = [(n, page.extract_text()) for n, page in enumerate(pages, 1)]
-    body = "\n\n".join(f"--- Page {n} ---\n{text}" for n, text in texts if text)
-    return body, {"page_count": len(pages)}
-
-
 def parse_docx(raw: bytes) -> tuple[str, dict]:
     """Non-blank paragraphs, then tables with cells joined by `` | ``."""
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
@@ -160,7 +152,7 @@ def parse_docx(raw: bytes) -> tuple[str, dict]:
     return "\n\n".join([*paragraphs, *tables]), found
 
 
-_PARSERS = {"csv": parse_csv, "json": parse_json, "xml": parse_xml, "pdf": parse_pdf, "docx": parse_docx}
+_PARSERS = {"csv": parse_csv, "json": parse_json, "xml": parse_xml, "docx": parse_docx}
 
 
 def _as_text(value: object) -> str | None:
@@ -191,27 +183,44 @@ def _glob(types: Iterable[str]) -> str:
     return "*{" + ",".join(cased) + "}"
 
 
-def scan_files(spark: SparkSession, path: str, types: Iterable[str]) -> DataFrame:
-    """Files of some types below a folder (or one file): path, raw, extension type.
+#: a file is one row, and a row's binary value must stay below two gigabytes
+MAX_FILE_BYTES = 1 << 30
 
-    A missing path raises.
-    """
-    files = (
+
+def _files(spark: SparkSession, path: str, types: Iterable[str]) -> DataFrame:
+    return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", _glob(types))
         .load(path)
+        .withColumn("source_path", F.regexp_replace("path", r"^file:(?://)?(?=/)", ""))
     )
-    plain = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
-    return files.select(plain.alias("source_path"), F.col("content").alias("raw")).withColumn(
+
+
+def scan_files(spark: SparkSession, path: str, types: Iterable[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files of some types below a folder (or one file): path, raw, extension type.
+
+    A missing path raises.  Files above ``max_bytes`` are left out before their
+    content is read; :func:`rejected_files` lists them.
+    """
+    files = _files(spark, path, types).where(F.col("length") <= max_bytes)
+    return files.select("source_path", F.col("content").alias("raw")).withColumn(
         "__kind", extension_type(F.col("source_path"))
     )
 
 
-def load_documents(spark: SparkSession, path: str) -> DataFrame:
+def rejected_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files that are not loaded for their size or type: source_path, length, reason.  No content is read."""
+    files = _files(spark, path, sorted(set(EXTENSION_TYPES.values()))).select("source_path", "length")
+    unread = extension_type(F.col("source_path")).isin(UNREAD_TYPES)
+    reason = F.when(unread, "type is not read").when(F.col("length") > max_bytes, "larger than the limit")
+    return files.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def load_documents(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Documents below a path; files that cannot be read or parsed are left out."""
-    text_types = sorted(set(EXTENSION_TYPES.values()) - set(PARSED_TYPES))
-    texts = scan_files(spark, path, text_types).where(F.is_valid_utf8(F.col("raw").cast("string")))
+    text_types = sorted(set(EXTENSION_TYPES.values()) - set(PARSED_TYPES) - set(UNREAD_TYPES))
+    texts = scan_files(spark, path, text_types, max_bytes).where(F.is_valid_utf8(F.col("raw").cast("string")))
     texts = texts.withColumn("content", normalized_newlines(F.col("raw").cast("string")))
     stats = text_statistics(F.col("content"))
     counted = F.create_map(
@@ -220,7 +229,7 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     tagged = F.when(stats["region"].isNotNull(), F.map_concat(counted, F.create_map(F.lit("region"), stats["region"])))
     texts = texts.select("source_path", "content", F.coalesce(tagged, counted).alias("metadata"))
 
-    parsed = scan_files(spark, path, PARSED_TYPES).withColumn("__p", _parse(F.col("__kind"), F.col("raw")))
+    parsed = scan_files(spark, path, PARSED_TYPES, max_bytes).withColumn("__p", _parse(F.col("__kind"), F.col("raw")))
     parsed = parsed.where(F.col("__p.content").isNotNull()).select("source_path", "__p.content", "__p.metadata")
 
     both = texts.unionByName(parsed)

@@ -82,6 +82,9 @@ def test_region_and_uploads(one):
     assert one(S.accepted_upload, "text/csv", "image/png") == [True, False]
 
 
-def test_pdf_needs_its_library(monkeypatch):
-    with pytest.raises(Exception):
-        S.parse_pdf(b"%PDF-1.4")
+def test_large_and_unread_files_are_listed(spark, folder):
+    (folder / "large.txt").write_text("x" * 5000)
+    rejected = {r.source_path.rsplit("/", 1)[1]: r.reason for r in S.rejected_files(spark, str(folder), 4000).collect()}
+    assert rejected == {"large.txt": "larger than the limit", "scan.pdf": "type is not read"}
+    names = {r.source_path.rsplit("/", 1)[1] for r in S.load_documents(spark, str(folder), 4000).collect()}
+    assert "large.txt" not in names and "plain.txt" in names

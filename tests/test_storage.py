@@ -18,20 +18,21 @@ def _rows(df):
     return sorted((r.chunk_id, r.content) for r in df.collect())
 
 
-def test_merge_into_rewrites_touched_buckets_only(spark, tmp_path):
+def test_merge_of_one_document_rewrites_one_bucket(spark, tmp_path):
     path = str(tmp_path / "col")
-    first = spark.range(200).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.lit("old").alias("content"))
-    L.write_collection(first, path)
-    update = spark.createDataFrame([("c5", "new"), ("x1", "new")], "chunk_id string, content string")
+    first = spark.range(300).select(
+        F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("d"), (F.col("id") % 60).cast("string")).alias("document_id"), F.lit("old").alias("content")
+    )
+    L.write_collection(first, path, "document_id", rows_per_bucket=20)
+    update = spark.createDataFrame([("c5", "d5", "new"), ("x1", "d5", "new")], "chunk_id string, document_id string, content string")
     counts = L.merge_counts(update, L.read_collection(spark, path)).first()
     assert (counts.stored, counts.updated, counts.skipped) == (1, 1, 0)
-    before = {f: os.path.getmtime(os.path.join(path, f)) for f in os.listdir(path) if f.startswith("bucket_of_64=")}
+    before = {f: os.path.getmtime(os.path.join(path, f)) for f in os.listdir(path) if f.startswith("bucket_of_15_by_document_id=")}
     L.merge_into(spark, path, update)
     after = _rows(L.read_collection(spark, path))
-    assert len(after) == 201 and [r for r in after if r[1] == "new"] == [("c5", "new"), ("x1", "new")]
-    touched = {f"bucket_of_64={r.b}" for r in update.select(L.bucket_of(F.col("chunk_id")).alias("b")).collect()}
-    unchanged = [f for f in before if f not in touched]
-    assert unchanged and all(os.path.getmtime(os.path.join(path, f)) == before[f] for f in unchanged)
+    assert len(after) == 301 and [r for r in after if r[1] == "new"] == [("c5", "new"), ("x1", "new")]
+    changed = [f for f in before if os.path.getmtime(os.path.join(path, f)) != before[f]]
+    assert len(before) > 5 and len(changed) == 1
     L.merge_into(spark, path, update)
     assert _rows(L.read_collection(spark, path)) == after
 
@@ -80,8 +81,11 @@ def test_retry_rules():
     assert waits == [1.0, 2.0, 4.0]
     with pytest.raises(E.EmbeddingError, match="Embedding failed: bad key"):
         E.call_with_retry(Flaky(1, "bad key"), ["a"], waits.append)
+    waits.clear()
     with pytest.raises(E.EmbeddingError, match="after 5 attempts"):
         E.call_with_retry(Flaky(9, "quota"), ["a"], waits.append)
+    # no wait after the last attempt
+    assert waits == [1.0, 2.0, 4.0, 8.0]
     assert E.backoff_delay(10) == 60.0
 
 
@@ -91,6 +95,41 @@ def test_hashing_provider():
     assert a == b and sum(x * x for x in a) == pytest.approx(1.0) and empty == [0.0] * 16
 
 
+def test_hashing_expression_equals_the_function(spark):
+    p = E.HashingProvider(32)
+    texts = ["Core link down", "", None, "a a a b", " padded  text\n", "Ärger über Öl"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.embedding for r in E.embed_column(df, "text", p).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(p.embed([t or ""])[0], abs=1e-6)
+
+
+class Counting(Flaky):
+    """Leaves one file for each call's texts."""
+
+    def __init__(self, folder):
+        super().__init__(0, "")
+        self.folder = folder
+
+    def embed(self, texts):
+        import uuid
+
+        for t in texts:
+            open(f"{self.folder}/{t}-{uuid.uuid4().hex}", "w").close()
+        return super().embed(texts)
+
+
+def test_provider_is_asked_once_for_each_text(spark, tmp_path, monkeypatch):
+    from opsloom.operators import skew
+
+    texts = spark.createDataFrame([(i, "hot" if i % 2 else f"t{i % 20}") for i in range(400)], "id int, text string")
+    cache = spark.createDataFrame([], "cache_key string, model string, embedding array<float>, cached_at timestamp")
+    monkeypatch.setattr(skew.lookup, "__defaults__", (0,))
+    out, fresh = E.embed_documents(texts, cache, Counting(str(tmp_path)), "m")
+    assert out.where("embedding IS NULL").count() == 0 and fresh.count() == 11
+    assert len(os.listdir(tmp_path)) == 11
+
+
 def test_cache_first_embedding(spark):
     now = F.lit("2024-01-10 00:00:00").cast("timestamp")
     texts = spark.createDataFrame([(i, f"t{i % 4}") for i in range(40)] + [(99, "stale")], "id int, text string")
@@ -128,7 +167,7 @@ def entries(spark):
 def test_audit_round_trip(spark, entries, tmp_path):
     path = str(tmp_path / "audit")
     U.append_audit(entries.where("event_type <> 'tool_call'"), path)
-    U.append_audit(entries.where("event_type = 'tool_call'"), path, max_records_per_file=2)
+    U.append_audit(entries.where("event_type = 'tool_call'"), path, max_file_bytes=1000)
     bad = tmp_path / "audit" / "day=2024-03-01" / "broken.json"
     bad.write_text('{"session_id": "s0", oops\n')
     back = read_audit(spark, path)
@@ -137,6 +176,7 @@ def test_audit_round_trip(spark, entries, tmp_path):
     assert one.tool_calls[0].tool_name == "t" and one.tool_calls[0].parameters == {"p": "1"}
     assert one.timestamp == "2024-03-01T10:00:00.500000Z"
     files = [f for f in os.listdir(tmp_path / "audit" / "day=2024-03-01") if f.startswith("part-")]
+    assert all(os.path.getsize(tmp_path / "audit" / "day=2024-03-01" / f) < 4000 for f in files) and len(files) > 2
     line = json.loads(open(tmp_path / "audit" / "day=2024-03-01" / files[0]).readline())
     assert "user_message" in line and "metadata" in line
 
