@@ -140,6 +140,11 @@ def _split_texts(text: pd.Series, kind: pd.Series, size: pd.Series, overlap: pd.
     )
 
 
+def split_texts(text: Column, size: int, overlap: int, separators: str) -> Column:
+    """Chunks of a text by the recursive splitter; ``separators`` names one of its three lists."""
+    return _split(text, F.lit(separators), F.lit(size), F.lit(overlap))
+
+
 # planned as non-deterministic so that it runs once, in its own step, and is
 # not copied into every expression that uses its result
 _split = _split_texts.asNondeterministic()

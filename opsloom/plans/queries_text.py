@@ -486,6 +486,70 @@ def chunk_semantic(spark, sf_dir):
     return K.chunk_documents(docs)
 
 
+def _splitter_sql(source: str, size: int, overlap: int, separators: list[str]) -> str:
+    """The recursive splitter as a work list: one step takes the first piece of a document's list.
+
+    A short piece joins the open window; a long one closes it and is replaced
+    by its parts at the next finer separator, with a closing mark (null) behind.
+    """
+    none = len(separators)
+    marks = [lit(m).replace("\n", "' || chr(10) || '") for m in separators]
+
+    def parts(t: str, mark: str, level: int) -> str:
+        pieces = f"list_transform(string_split({t}, {mark}), lambda x, i: CASE WHEN i = 1 THEN x ELSE {mark} || x END)"
+        return f"list_transform(list_filter({pieces}, lambda x: x <> ''), lambda x: {{'t': x, 'lv': {level}}})"
+
+    def expanded(t: str, lv: str) -> str:
+        cases = " ".join(f"WHEN {lv} <= {i} AND contains({t}, {m}) THEN {parts(t, m, i + 1)}" for i, m in enumerate(marks))
+        return f"list_concat(CASE {cases} ELSE [{{'t': {t}, 'lv': {none}}}] END, [{{'t': CAST(NULL AS VARCHAR), 'lv': 0}}])"
+
+    def held(items: str) -> str:
+        return f"coalesce(list_sum(list_transform({items}, lambda x: length(x))), 0)"
+
+    closed = f"list_filter([{TRIM.format("array_to_string(win, '')")}], lambda x: x <> '')"
+    nothing = "CAST([] AS VARCHAR[])"
+    room = f"list_filter(range(0, len(win) + 1), lambda k: {held('win[k + 1:]')} <= {overlap} AND {held('win[k + 1:]')} + length(t) <= {size})[1]"
+    return f"""
+    WITH RECURSIVE steps AS (
+      SELECT doc_id, CASE WHEN text = '' THEN [] ELSE {expanded("text", "0")} END AS todo, {nothing} AS win, {nothing} AS done FROM {source}
+      UNION ALL
+      SELECT doc_id,
+        CASE WHEN t IS NULL OR length(t) < {size} OR lv >= {none} THEN rest ELSE list_concat({expanded("t", "lv")}, rest) END,
+        CASE WHEN t IS NULL OR length(t) >= {size} THEN {nothing} WHEN full_ THEN list_append(win[{room} + 1:], t) ELSE list_append(win, t) END,
+        CASE WHEN t IS NOT NULL AND length(t) < {size} AND NOT full_ THEN done
+          ELSE list_concat(done, {closed}, CASE WHEN length(t) >= {size} AND lv >= {none} THEN [t] ELSE {nothing} END) END
+      FROM (SELECT *, len(win) > 0 AND {held('win')} + length(t) > {size} AS full_
+            FROM (SELECT doc_id, todo[1].t AS t, todo[1].lv AS lv, todo[2:] AS rest, win, done FROM steps WHERE len(todo) > 0)))
+    SELECT doc_id, generate_subscripts(done, 1) - 1 AS chunk_index, unnest(done) AS content FROM steps WHERE len(todo) = 0
+    """
+
+
+_SPLITS = {"prose": (300, 60), "markdown": (1000, 100), "network_config": (500, 100)}
+_SPLITTABLE = "(SELECT doc_id, replace(text, '. ', CASE WHEN doc_id % 5 = 0 THEN chr(10) || '---' || chr(10) ELSE '. ' END) AS text FROM documents)"
+
+
+@query(
+    "split_recursive",
+    " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, * FROM ({_splitter_sql(_SPLITTABLE, size, overlap, K._SEPARATORS[kind])})"
+        for kind, (size, overlap) in _SPLITS.items()
+    ),
+    ints=("chunk_index",),
+)
+def split_recursive(spark, sf_dir):
+    """Every document through the recursive splitter with each of its three separator lists."""
+    docs = texts(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "replace(text, '. ', CASE WHEN doc_id % 5 = 0 THEN chr(10) || '---' || chr(10) ELSE '. ' END) AS text"
+    )
+    parts = [
+        docs.select("doc_id", K.split_texts(F.col("text"), size, overlap, kind).alias("c")).select(
+            F.lit(kind).alias("kind"), "doc_id", F.posexplode("c").alias("chunk_index", "content")
+        )
+        for kind, (size, overlap) in _SPLITS.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "pack_lines",
     f"""
