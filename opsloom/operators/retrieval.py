@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsloom.functions.text import let, tokens
 from opsloom.functions.vectors import MAX_PROBES, local_top_k, pair_cosines, probe_scores
+from opsloom.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
 RRF_K = 60
@@ -193,9 +194,11 @@ def first_hits(fetched: DataFrame, question: str, k: int, id_col: str) -> DataFr
 def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, text: str = "content") -> DataFrame:
     """Top ``k`` documents by BM25 over all query terms: id, score, rank.
 
-    Two scans and no token shuffle: one aggregates corpus size, mean length and
-    document frequencies to a single row, the other scores each document from
-    its own term counts.
+    The texts are read once and reduced to their term counts, a few numbers per
+    document that are written to the shared folder: one pass over them gives
+    corpus size, mean length and document frequencies, the other the scores.
+    Many questions over one corpus are cheaper from its postings
+    (:mod:`opsloom.operators.postings`).
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
 
@@ -203,7 +206,7 @@ def bm25_top_k(corpus: DataFrame, terms: Sequence[str], k: int, id_col: str, tex
         found = [(F.size(toks) - F.size(F.array_remove(toks, t))).alias(f"tf{i}") for i, t in enumerate(terms)]
         return F.struct(F.size(toks).alias("length"), *found)
 
-    counted = corpus.select(id_col, let(tokens(F.lower(F.col(text))), counts).alias("d"))
+    counted = cut_lineage(corpus.select(id_col, let(tokens(F.lower(F.col(text))), counts).alias("d")), "term-counts")
     stats = counted.agg(
         F.count("*").alias("n"),
         F.avg("d.length").alias("mean_length"),

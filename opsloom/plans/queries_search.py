@@ -10,6 +10,7 @@ from opsloom.functions.vectors import cosine_similarity, similarity_from_distanc
 from opsloom.operators import attribution as A
 from opsloom.operators import collections as L
 from opsloom.operators import embedding as E
+from opsloom.operators import postings
 from opsloom.operators import retrieval as R
 from opsloom.operators.metrics import histogram, HISTOGRAM_BOUNDS
 from opsloom.plans.catalog import query, table, texts
@@ -144,6 +145,14 @@ def bm25_topk(spark, sf_dir):
     return R.bm25_top_k(texts(spark, sf_dir, "documents", "doc_id", "text"), TERMS, 10, "doc_id", "text")
 
 
+@query("bm25_postings", _bm25_sql(10), ints=("rank",))
+def bm25_postings(spark, sf_dir):
+    """The same question over a postings table written from all documents."""
+    path = scratch_dir(spark, "postings")
+    postings.write_postings(texts(spark, sf_dir, "documents", "doc_id", "text"), path, "doc_id", "text")
+    return postings.bm25_from_postings(spark, path, TERMS, 10, "doc_id")
+
+
 def _fused_sql(semantic: str, keyword: str, key: str) -> str:
     return f"""
     WITH legs AS (SELECT {key}, 0.7::DOUBLE / (60 + rank) AS part, 0 AS leg, rank FROM ({semantic})

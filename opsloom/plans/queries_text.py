@@ -14,6 +14,7 @@ from opsloom.operators.skew import explode_rows, lookback
 from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import TRIM, lit, sql_list, tokens_sql
+from opsloom.session import scratch_dir
 from opsloom.sources import files as S
 
 FILES = derived_sql("files")
@@ -270,6 +271,40 @@ def redact_sources(spark, sf_dir):
     )
 
 
+# --- files ------------------------------------------------------------------
+_RULE = "'" + S.CSV_RULE + "'"
+_NL = "chr(10)"
+
+
+def _load_sql() -> str:
+    by_source = "FROM documents GROUP BY source"
+    csv_rows = f"string_agg(doc_id || ' | ' || lang || ' | ' || n_chars, {_NL} ORDER BY doc_id)"
+    xml_rows = (
+        f"string_agg('    <doc>' || {_NL} || '        <doc_id>' || doc_id || '</doc_id>' || {_NL} || '        <lang>' || lang || '</lang>' || {_NL} || '    </doc>' || {_NL}, '' ORDER BY doc_id)"
+    )
+    return f"""
+    SELECT source, 'txt' AS document_type, string_agg(text || {_NL}, '' ORDER BY doc_id) AS content, CAST(sum(1 + len(string_split(text, {_NL}))) - count(*) + 1 AS VARCHAR) AS detail {by_source}
+    UNION ALL SELECT source, 'csv', 'doc_id | lang | n_chars' || {_NL} || {_RULE} || {_NL} || {csv_rows}, CAST(count(*) AS VARCHAR) {by_source}
+    UNION ALL SELECT source, 'json', '{{' || {_NL} || '  "documents": ' || count(*) || ',' || {_NL} || '  "first": ' || min(doc_id) || {_NL} || '}}', '["documents", "first"]' {by_source}
+    UNION ALL SELECT source, 'xml', '<docs>' || {_NL} || {xml_rows} || '</docs>', 'docs' {by_source}
+    """
+
+
+@query("load_written_files", _load_sql())
+def load_written_files(spark, sf_dir):
+    """One text, CSV, JSON and XML file for each source, written to the shared folder and loaded as documents."""
+    docs = table(spark, sf_dir, "documents").repartition("source").sortWithinPartitions("source", "doc_id")
+    path = scratch_dir(spark, "files")
+    docs.select("source", "text").write.partitionBy("source").text(f"{path}/txt")
+    docs.select("source", "doc_id", "lang", "n_chars").write.partitionBy("source").csv(f"{path}/csv", header=True)
+    counted = docs.groupBy("source").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    counted.write.partitionBy("source").json(f"{path}/json")
+    docs.select("source", "doc_id", "lang").write.partitionBy("source").xml(f"{path}/xml", rowTag="doc", rootTag="docs", declaration="")
+    loaded = S.load_documents(spark, path)
+    detail = F.coalesce(*[F.try_element_at("metadata", F.lit(n)) for n in ("line_count", "row_count", "top_level_keys", "root_tag")])
+    return loaded.select(F.regexp_extract("source_path", "source=([^/]+)/", 1).alias("source"), "document_type", "content", detail.alias("detail"))
+
+
 # --- claims and grounding ---------------------------------------------------
 def _term_claims_sql(t: str) -> str:
     hedged = " OR ".join(f"contains(lower(s), '{h}')" for h in C.HEDGES)

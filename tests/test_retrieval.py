@@ -158,3 +158,18 @@ def test_bm25_prefers_rare_terms(spark):
     got = R.bm25_top_k(df, ["rareterm", "common", "COMMON"], 5, "id").orderBy("rank").collect()
     assert got[0].id == 0 and len(got) == 5 and 20 not in {r.id for r in got}
     assert R.bm25_top_k(df, ["absent"], 5, "id").count() == 0
+
+
+def test_postings_equal_the_scan_and_read_their_terms_only(spark, tmp_path):
+    from opsloom.operators import postings
+
+    rows = [(i, f"common w{i % 7} w{i % 11} W{i % 5}" + " common" * (i % 3)) for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "id int, content string")
+    path = str(tmp_path / "index")
+    postings.write_postings(docs, path, "id")
+    for terms in (["common"], ["w1", "W2", "w3", "nowhere"], [f"w{i}" for i in range(11)]):
+        got = postings.bm25_from_postings(spark, path, terms, 12, "id")
+        want = R.bm25_top_k(docs.fillna(""), terms, 12, "id")
+        assert sorted(map(tuple, got.select("id", "score", "rank").collect())) == sorted(map(tuple, want.select("id", "score", "rank").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
