@@ -21,12 +21,12 @@ from opsloom.session import cut_lineage
 
 K = 20
 #: vectors the lists are fitted to, at most about; those among them that give a query its first threshold
-SAMPLE, PILOTS = 16_384, 4096
+SAMPLE, PILOTS = 16_384, 8192
 MOST_LISTS = 1024
 #: share of the true neighbours, within the sample, that the probed lists must hold; queries this is measured with
 RECALL, TRIALS = 0.95, 256
-#: rows of a list, and queries, that meet in one task group
-BLOCK, QUERIES = 4096, 1024
+#: rows of neighbouring lists, and queries, that meet in one task group
+BLOCK, QUERIES = 8192, 1024
 #: components of a column block; significance of the abandoning test
 COLUMNS, SIGNIFICANCE = 16, 2.1
 _SEED = 11
@@ -129,18 +129,18 @@ def fit(rows: DataFrame, width: int, n: int, largest: float, k: int = K, recall:
     return lists
 
 
-def scan(query: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int, limit: float = np.inf) -> np.ndarray:
-    """Indexes of candidates that may be among the ``k`` nearest of a placed query; ``own`` marks rows left out.
+def scan(query: np.ndarray, candidates: np.ndarray, columns: np.ndarray, k: int, limit: float = np.inf) -> np.ndarray:
+    """Those of ``candidates`` (column numbers) that may be among the ``k`` nearest of a placed query.
 
-    ``columns`` holds the candidates in vertical layout.  Rows are taken in
-    runs; the k-th distance so far, at most ``limit``, is the threshold.  After each column block,
+    ``columns`` holds the rows in vertical layout.  Candidates are taken in
+    runs, nearest list first; the k-th distance so far, at most ``limit``, is the threshold.  After each column block,
     a candidate is abandoned if its distance, scaled up to all components,
     exceeds the threshold beyond chance.
     """
-    width, rows = columns.shape
+    width = len(columns)
     kept, distances = np.empty(0, np.int64), np.empty(0)
-    for start in range(0, rows, 512):
-        alive = start + np.flatnonzero(~own[start : start + 512])
+    for start in range(0, len(candidates), 512):
+        alive = candidates[start : start + 512]
         so_far = np.zeros(len(alive))
         for low in range(0, width, COLUMNS):
             part = columns[low : low + COLUMNS, alive] - query[low : low + COLUMNS, None]
@@ -159,15 +159,29 @@ def scan(query: np.ndarray, own: np.ndarray, columns: np.ndarray, k: int, limit:
     return kept
 
 
+def _grouped(sizes: dict[int, int]) -> tuple[dict[int, int], list[int]]:
+    """The group of each list, and the number of blocks of each group: small lists together, large ones alone."""
+    group_of, blocks, held = {}, [], BLOCK
+    for one in sorted(sizes):
+        if held + sizes[one] > BLOCK:
+            blocks.append(max(1, -(-sizes[one] // BLOCK)))
+            held = 0
+        group_of[one] = len(blocks) - 1
+        held = BLOCK if sizes[one] > BLOCK else held + sizes[one]
+    return group_of, blocks
+
+
 def search(
     vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, recall: float = RECALL
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products found for each row of ``queries``.
 
     ``queries`` has the columns of ``vectors``.  Every vector is indexed; only
-    the fit uses a sample.  Lists are cut into blocks of about ``BLOCK`` rows
-    and the queries of a list into blocks of about ``QUERIES``, so neither a
-    crowded list nor a popular one burdens one task.  Scores are inner
+    the fit uses a sample.  Small lists share a block of about ``BLOCK`` rows
+    and large ones are cut into several; the queries of a block are cut into
+    turns of about ``QUERIES``, so neither a crowded list nor a popular one
+    burdens one task.  Within a block, a query scans its lists one after the
+    other under one threshold and passes on its ``k`` best.  Scores are inner
     products of the original vectors in double precision; ties go to the
     smaller id.
 
@@ -189,47 +203,61 @@ def search(
             placed = lists.value.place(matrix(batch["vector"], width))
             yield batch.assign(list=lists.value.nearest(placed, 1)[:, 0].astype("int32") if len(batch) else [])
 
+    index = cut_lineage(rows.mapInPandas(assigned, "vec_id long, vector array<double>, list int"), "ann-index")
+    # at most MOST_LISTS rows
+    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    group_of, blocks = _grouped(sizes)
+
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             placed = lists.value.place(matrix(batch["vector"], width), query=True)
-            turns = list(lists.value.probed(placed, batch["vec_id"].to_numpy(), k))
-            yield batch.assign(limit=[t[1] for t in turns], lists=[t[0].astype("int32") for t in turns])
-
-    index = cut_lineage(rows.mapInPandas(assigned, "vec_id long, vector array<double>, list int"), "ann-index")
-    asked, own_width, asked_n, _ = usable(queries, id_col, vector_col, zeros=False)
+            out = []
+            turns = lists.value.probed(placed, batch["vec_id"].to_numpy(), k)
+            for vec_id, vector, (near, limit) in zip(batch["vec_id"], batch["vector"], turns):
+                own: dict[int, list[int]] = {}
+                for one in near.tolist():
+                    if one in group_of:
+                        own.setdefault(group_of[one], []).append(one)
+                out += [(vec_id, vector, limit, group, members) for group, members in own.items()]
+            yield pd.DataFrame(out, columns=["vec_id", "vector", "limit", "group", "lists"])
+
+    asked, _, _, _ = usable(queries, id_col, vector_col, zeros=False)
     asked = asked.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    probing = asked.mapInPandas(probed, "vec_id long, vector array<double>, limit double, lists array<int>")
-    probing = cut_lineage(probing.select("vec_id", "vector", "limit", F.explode("lists").alias("list")), "ann-probes")
+    probing = asked.mapInPandas(probed, "vec_id long, vector array<double>, limit double, group int, lists array<int>")
+    probing = cut_lineage(probing, "ann-probes")
 
-    # at most MOST_LISTS rows each
-    blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    turns = probing.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
-    shape = F.broadcast(blocks.join(turns, "list"))
+    turns = probing.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).alias("turns"))
+    homes = spark.createDataFrame([(one, group, blocks[group]) for one, group in group_of.items()], "list int, group int, blocks int")
+    # at most MOST_LISTS rows
+    shape = F.broadcast(homes.join(turns, "group"))
     salt = F.xxhash64(F.lit(_SEED), "vec_id")
 
     def each(count: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
 
-    left = probing.join(shape, "list").withColumn("turn", F.pmod(salt, "turns")).withColumn("block", each("blocks"))
+    left = probing.join(F.broadcast(shape.select("group", "blocks", "turns").distinct()), "group")
+    left = left.withColumn("turn", F.pmod(salt, "turns")).withColumn("block", each("blocks"))
     right = index.join(shape, "list").withColumn("block", F.pmod(salt, "blocks")).withColumn("turn", each("turns"))
-    group = ["list", "block", "turn"]
+    group = ["group", "block", "turn"]
 
     def scanned(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        ids, raw = block["vec_id"].to_numpy(), matrix(block["vector"], width)
+        block = block.sort_values("list", kind="stable")
+        ids, raw, member = block["vec_id"].to_numpy(), matrix(block["vector"], width), block["list"].to_numpy()
         columns, raw_columns = np.ascontiguousarray(lists.value.place(raw).T), np.ascontiguousarray(raw.T)
-        found = []
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         vectors_of = matrix(asking["vector"], width)
         places = lists.value.place(vectors_of, query=True)
-        for query_id, vector, placed, limit in zip(asking["vec_id"].to_numpy(), vectors_of, places, asking["limit"].to_numpy()):
-            near = scan(placed, ids == query_id, columns, k, limit)
+        for query_id, vector, placed, limit, own in zip(asking["vec_id"].to_numpy(), vectors_of, places, asking["limit"].to_numpy(), asking["lists"]):
+            low, high = np.searchsorted(member, own, "left"), np.searchsorted(member, own, "right")
+            candidates = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
+            near = scan(placed, candidates[ids[candidates] != query_id], columns, k, limit)
             score = ordered_product(vector, raw_columns[:, near])
             order = np.lexsort((ids[near], -score))[:k]
             found.append((np.full(len(order), query_id), ids[near][order], score[order]))
-        if not found:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         query_ids, vec_ids, scores = map(np.concatenate, zip(*found))
         return pd.DataFrame({"query_id": query_ids, "vec_id": vec_ids, "score": scores})
 
-    met = left.select(*group, "vec_id", "vector", "limit").groupBy(*group).cogroup(right.select(*group, "vec_id", "vector").groupBy(*group)).applyInPandas(scanned, schema)
+    asking = left.select(*group, "vec_id", "vector", "limit", "lists").groupBy(*group)
+    met = asking.cogroup(right.select(*group, "vec_id", "vector", "list").groupBy(*group)).applyInPandas(scanned, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
