@@ -122,7 +122,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANG, width: int = WIDTH, se
                 for _, rows in profiler.bundles([t or "" for t in texts]):
                     steps = np.rint(_unit(rows) * _STEPS).astype(np.int64).sum(axis=0)
                     sums[lang] = sums.get(lang, 0) + steps
-        yield pd.DataFrame({"lang": list(sums), "sums": list(sums.values())}, columns=["lang", "sums"])
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "sums": list(sums.values())})
 
     partial = chosen.select("lang", "text").mapInPandas(summed, "lang string, sums array<long>")
     total = (
