@@ -598,3 +598,21 @@ def stream_histogram(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).withColumn("s", F.col("value") / 10)
     out = X.run_available(X.windowed_histogram(rows, "s", _LAT), "histogram")
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_cache",
+    """
+    WITH e AS (SELECT event_id, user_id, event_type = 'purchase' AS is_put, epoch_ms(ts) AS ms FROM events),
+    p AS (SELECT user_id, event_id, ms FROM e WHERE is_put),
+    r AS (SELECT e.event_id, max(p.ms) AS put_ms, max_by(p.event_id, p.ms) AS held, any_value(e.ms) AS ms
+          FROM e LEFT JOIN p ON p.user_id = e.user_id AND p.ms <= e.ms WHERE NOT e.is_put GROUP BY e.event_id)
+    SELECT event_id, CASE WHEN ms - put_ms < 7200000 THEN CAST(held AS VARCHAR) END AS cached FROM r
+    """,
+)
+def stream_cache(spark, sf_dir):
+    """Purchases fill a cache per user that expires after two hours; every other event reads it."""
+    rows = _event_stream(spark, sf_dir).selectExpr(
+        "event_id", "user_id", "ts", "event_type = 'purchase' AS is_put", "CAST(event_id AS STRING) AS held"
+    )
+    return X.run_available(X.cached_reads(rows, "user_id", "held", "is_put", 7200, ["event_id"]), "cache")

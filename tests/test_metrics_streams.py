@@ -81,3 +81,16 @@ def test_audit_stream(spark, tmp_path):
     append_audit(query_events(base), str(tmp_path / "a"))
     out = X.run_available(X.audit_stream(spark, str(tmp_path / "a")), "audit")
     assert out.count() == 5
+
+
+def test_cached_reads_expire(spark, tmp_path):
+    rows = [
+        (1, "a", 0, True, "x"), (2, "a", 5, False, None), (3, "a", 60, False, None), (4, "a", 61, True, "y"), (5, "a", 61, False, None),
+        (6, "b", 1, False, None), (7, "b", 2, True, "z"), (8, "b", 61, False, None), (9, "b", 62, False, None),
+    ]
+    df = spark.createDataFrame(rows, "id long, k string, s long, put boolean, v string").select("*", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    path = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(df.schema).parquet(path)
+    out = X.run_available(X.cached_reads(stream, "k", "v", "put", 60, ["id"]), "cached")
+    assert {r.id: r.cached for r in out.collect()} == {2: "x", 3: None, 5: "y", 6: None, 8: "z", 9: None}
