@@ -29,6 +29,10 @@ RECALL, TRIALS = 0.95, 256
 BLOCK, QUERIES = 8192, 1024
 #: components of a column block; significance of the abandoning test
 COLUMNS, SIGNIFICANCE = 16, 2.1
+#: queries whose first column block is compared at once
+TILE = 64
+#: rounding of a squared distance, as a share of the squared norm
+_ROUNDING = 1e-10
 _SEED = 11
 
 
@@ -65,14 +69,21 @@ class Lists:
         """
         near = self.nearest(placed, len(self.centroids))
         enough = (np.cumsum(self.sizes[near], axis=1) < 4 * k).sum(axis=1) + 1
+        counts = np.maximum(enough, self.probes)
         homes = self.nearest(self.pilots, 1)[:, 0]
-        for query, own, lists, count in zip(placed, ids, near, np.maximum(enough, self.probes)):
-            lists = lists[:count]
-            inside = np.zeros(len(self.centroids), bool)
-            inside[lists] = True
-            part = self.pilots[inside[homes] & (self.pilot_ids != own)] - query
-            distances = np.einsum("ij,ij->i", part, part)
-            yield lists, np.partition(distances, 2 * k - 1)[2 * k - 1] if len(part) >= 2 * k else np.inf
+        for start in range(0, len(placed), TILE):
+            tile = slice(start, start + TILE)
+            for own, lists, distance in zip(ids[tile], [n[:c] for n, c in zip(near[tile], counts[tile])], squared_distances(placed[tile], self.pilots.T)):
+                inside = np.zeros(len(self.centroids), bool)
+                inside[lists] = True
+                part = distance[inside[homes] & (self.pilot_ids != own)]
+                yield lists, np.partition(part, 2 * k - 1)[2 * k - 1] if len(part) >= 2 * k else np.inf
+
+
+def squared_distances(queries: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Squared distances of queries (rows) to vectors in vertical layout (columns), over the components given."""
+    own = np.einsum("ij,ij->i", queries, queries)[:, None] + np.einsum("ij,ij->j", columns, columns)
+    return own - 2.0 * queries @ columns
 
 
 def _cluster(rows: np.ndarray, count: int, rounds: int = 12) -> np.ndarray:
@@ -129,34 +140,37 @@ def fit(rows: DataFrame, width: int, n: int, largest: float, k: int = K, recall:
     return lists
 
 
-def scan(query: np.ndarray, candidates: np.ndarray, columns: np.ndarray, k: int, limit: float = np.inf) -> np.ndarray:
+def _threshold(limit: float, seen: int, width: int, rounding: float) -> float:
+    """The largest distance over ``seen`` components that does not yet refute a full distance within ``limit``."""
+    if seen >= width:
+        return limit + rounding
+    return limit * (1.0 + SIGNIFICANCE / math.sqrt(seen)) ** 2 * seen / width + rounding
+
+
+def scan(
+    query: np.ndarray, so_far: np.ndarray, candidates: np.ndarray, columns: np.ndarray, k: int, limit: float, rounding: float
+) -> np.ndarray:
     """Those of ``candidates`` (column numbers) that may be among the ``k`` nearest of a placed query.
 
-    ``columns`` holds the rows in vertical layout.  Candidates are taken in
-    runs, nearest list first; the k-th distance so far, at most ``limit``, is the threshold.  After each column block,
-    a candidate is abandoned if its distance, scaled up to all components,
-    exceeds the threshold beyond chance.
+    ``columns`` holds the rows in vertical layout; ``so_far`` the distances of
+    all of them over the first column block.  After each block, a candidate is
+    abandoned if its distance, scaled up to all components, exceeds ``limit``
+    beyond chance, and the survivors are compacted.
     """
-    width = len(columns)
-    kept, distances = np.empty(0, np.int64), np.empty(0)
-    for start in range(0, len(candidates), 512):
-        alive = candidates[start : start + 512]
-        so_far = np.zeros(len(alive))
-        for low in range(0, width, COLUMNS):
-            part = columns[low : low + COLUMNS, alive] - query[low : low + COLUMNS, None]
-            so_far += np.einsum("ij,ij->j", part, part)
-            seen = min(low + COLUMNS, width)
-            slack = (1.0 + SIGNIFICANCE / math.sqrt(seen)) ** 2 if seen < width else 1.0 + 1e-9
-            stay = so_far <= limit * slack * seen / width + 1e-12
-            alive, so_far = alive[stay], so_far[stay]
-            if not len(alive):
-                break
-        kept, distances = np.r_[kept, alive], np.r_[distances, so_far]
-        if len(kept) >= k:
-            limit = min(limit, np.partition(distances, k - 1)[k - 1])
-            near = distances <= limit * (1.0 + 1e-9) + 1e-12
-            kept, distances = kept[near], distances[near]
-    return kept
+    width, seen = len(columns), min(COLUMNS, len(columns))
+    distance = so_far[candidates]
+    while True:
+        stay = distance <= _threshold(limit, seen, width, rounding)
+        candidates, distance = candidates[stay], distance[stay]
+        if seen >= width or not len(candidates):
+            break
+        block = slice(seen, seen + COLUMNS)
+        part = columns[block][:, candidates] - query[block, None]
+        distance = distance + np.einsum("ij,ij->j", part, part)
+        seen = min(seen + COLUMNS, width)
+    if len(candidates) > k:
+        candidates = candidates[distance <= np.partition(distance, k - 1)[k - 1] + rounding]
+    return candidates
 
 
 def _grouped(sizes: dict[int, int]) -> tuple[dict[int, int], list[int]]:
@@ -180,8 +194,8 @@ def search(
     the fit uses a sample.  Small lists share a block of about ``BLOCK`` rows
     and large ones are cut into several; the queries of a block are cut into
     turns of about ``QUERIES``, so neither a crowded list nor a popular one
-    burdens one task.  Within a block, a query scans its lists one after the
-    other under one threshold and passes on its ``k`` best.  Scores are inner
+    burdens one task.  Within a block, a query scans the rows of its lists
+    under one threshold and passes on its ``k`` best.  Scores are inner
     products of the original vectors in double precision; ties go to the
     smaller id.
 
@@ -241,19 +255,24 @@ def search(
     group = ["group", "block", "turn"]
 
     def scanned(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("list", kind="stable")
         ids, raw, member = block["vec_id"].to_numpy(), matrix(block["vector"], width), block["list"].to_numpy()
         columns, raw_columns = np.ascontiguousarray(lists.value.place(raw).T), np.ascontiguousarray(raw.T)
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         vectors_of = matrix(asking["vector"], width)
         places = lists.value.place(vectors_of, query=True)
-        for query_id, vector, placed, limit, own in zip(asking["vec_id"].to_numpy(), vectors_of, places, asking["limit"].to_numpy(), asking["lists"]):
-            low, high = np.searchsorted(member, own, "left"), np.searchsorted(member, own, "right")
-            candidates = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
-            near = scan(placed, candidates[ids[candidates] != query_id], columns, k, limit)
-            score = ordered_product(vector, raw_columns[:, near])
-            order = np.lexsort((ids[near], -score))[:k]
-            found.append((np.full(len(order), query_id), ids[near][order], score[order]))
+        query_ids, limits, own_lists = asking["vec_id"].to_numpy(), asking["limit"].to_numpy(), asking["lists"].to_list()
+        wanted = np.zeros(len(lists.value.centroids), bool)
+        for start in range(0, len(places), TILE):
+            first = squared_distances(places[start : start + TILE, :COLUMNS], columns[:COLUMNS])
+            for at, so_far in enumerate(first, start):
+                wanted[:] = False
+                wanted[own_lists[at]] = True
+                candidates = np.flatnonzero(wanted[member] & (ids != query_ids[at]))
+                rounding = _ROUNDING * (lists.value.norm + float(places[at] @ places[at]))
+                near = scan(places[at], so_far, candidates, columns, k, limits[at], rounding)
+                score = ordered_product(vectors_of[at], raw_columns[:, near])
+                order = np.lexsort((ids[near], -score))[:k]
+                found.append((np.full(len(order), query_ids[at]), ids[near][order], score[order]))
         query_ids, vec_ids, scores = map(np.concatenate, zip(*found))
         return pd.DataFrame({"query_id": query_ids, "vec_id": vec_ids, "score": scores})
 
