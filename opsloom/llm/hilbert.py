@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.llm.shared import global_rank
+from opsloom.session import cut_lineage
 
 BITS = 5
 SHARDS = 24
@@ -99,10 +100,13 @@ def text_size(text: Column) -> Column:
 def hilbert_order(docs: DataFrame, dims: dict[str, Column], keep: dict[str, Column], tie: list[str], bits: int = BITS) -> DataFrame:
     """``keep`` columns with the curve index as ``hilbert`` and the place of each row in curve order as ``rank``.
 
-    Rows of one cell are ordered by ``tie`` (names in ``keep``).
+    Rows of one cell are ordered by ``tie`` (names in ``keep``).  The source is
+    read once; quantiles, cells and ranks come from a narrow table.
     """
-    cells = quantise(docs, dims, bits)
-    indexed = docs.select(*[c.alias(n) for n, c in keep.items()], hilbert_index(list(cells.values()), bits).alias("hilbert"))
+    values = {f"__{name}": value.cast("double") for name, value in dims.items()}
+    narrow = cut_lineage(docs.select(*[c.alias(n) for n, c in (keep | values).items()]), "hilbert-values")
+    cells = quantise(narrow, {name: F.col(name) for name in values}, bits)
+    indexed = narrow.select(*keep, hilbert_index(list(cells.values()), bits).alias("hilbert"))
     return global_rank(indexed, ["hilbert", *tie], "hilbert")
 
 
