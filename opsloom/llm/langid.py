@@ -111,9 +111,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANG, width: int = WIDTH, se
     The result is one vector for each language.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # one number for each language, like the prototypes below
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return {}
+    n = F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair])[F.col("lang")]
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    chosen = known.select("doc_id", "lang", "text").join(sizes, "lang").where(share * F.col("n") < sample)
+    chosen = known.where(share * n < sample)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiler, sums = Profiler(width, seed), {}
