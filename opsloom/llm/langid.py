@@ -187,8 +187,12 @@ def known_language(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents with a recognised language, columns unchanged; a null ``lang`` is filled in.
 
     Rejected are texts without letters and those whose cosine with every
-    language is below ``least``: noise, not merely short or mixed texts.
+    language is below ``least``: noise, not merely short or mixed texts.  Where
+    no row has a language to learn from, nothing is rejected.
     """
-    found = identify(docs, learn(docs), names_out=("__lang", "__score"))
+    prototypes = learn(docs)
+    if not prototypes:
+        return docs
+    found = identify(docs, prototypes, names_out=("__lang", "__score"))
     known = found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least))
     return known.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
