@@ -77,8 +77,8 @@ class HashingProvider:
             return F.transform(dims, lambda d: (F.size(buckets) - F.size(F.array_remove(buckets, d))).cast("double"))
 
         def scaled(n: Column) -> Column:
-            norm = F.sqrt(F.aggregate(n, F.lit(0.0), lambda total, x: total + x * x))
-            return F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+            length = F.sqrt(F.aggregate(n, F.lit(0.0), lambda total, x: total + x * x))
+            return let(length, lambda norm: F.transform(n, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float")))
 
         def bucket(token: Column) -> Column:
             head = F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10).cast("long")

@@ -13,6 +13,7 @@ from opsloom.operators import embedding as E
 from opsloom.operators import postings
 from opsloom.operators import retrieval as R
 from opsloom.operators.metrics import histogram, HISTOGRAM_BOUNDS
+from opsloom.operators.skew import explode_rows
 from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import DERIVED, derive, derived_sql
 from opsloom.plans.sqltext import sql_list, tokens_sql
@@ -228,7 +229,7 @@ _BUCKET = "CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64"
 def embed_documents(spark, sf_dir):
     """Vectors of all texts from the offline provider, as non-zero components."""
     docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
-    out = E.embed_column(docs, "text", E.HashingProvider(64)).select("doc_id", F.posexplode("embedding").alias("dim", "w"))
+    out = explode_rows(E.embed_column(docs, "text", E.HashingProvider(64)), ["doc_id"], "embedding", "dim", "w")
     return out.where(F.col("w") > 0).select(
         "doc_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("w").cast("double"), 4).alias("weight")
     )
