@@ -126,7 +126,8 @@ def fit(rows: DataFrame, width: int, n: int, largest: float, k: int = K, recall:
     norm = rows.agg(F.max(squares)).first()[0]
     draw = F.xxhash64(F.lit(_SEED), "vec_id")
     share = F.pmod(draw, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(share * n < sample).orderBy(draw, "vec_id", "vector").toPandas()
+    # the limit binds only if one id is repeated very often
+    chosen = rows.where(share * n < sample).orderBy(draw, "vec_id", "vector").limit(2 * sample).toPandas()
     ids, vectors = chosen["vec_id"].to_numpy(), matrix(chosen["vector"], width)
     rotation, _ = np.linalg.qr(np.random.default_rng(_SEED).standard_normal((width + 1, width + 1)))
     none = np.empty((0, width + 1))
