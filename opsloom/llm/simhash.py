@@ -52,6 +52,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def rehashed(hashes: np.ndarray) -> np.ndarray:
+    """Another hash of each shingle, made from the first: gives a second, independent fingerprint."""
+    return (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def sketch(hashes: np.ndarray, size: int) -> bytes:
     """The ``size`` least distinct hashes (their upper halves), which stand for the set of shingles."""
     return np.unique((hashes >> np.uint64(32)).astype("<u4"))[:size].tobytes()
@@ -67,23 +72,30 @@ def similarity(a: bytes, b: bytes, size: int) -> float:
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",), sketch_size: int = 0) -> DataFrame:
-    """The ``keep`` columns with ``fp``, the fingerprint of every whole text as a signed number, and a ``sketch`` if asked for."""
+    """The ``keep`` columns with ``fp``, the fingerprint of every whole text as a signed number.
+
+    With a ``sketch_size``, also a second fingerprint ``fp2`` and the ``sketch``.
+    """
+
+    def signed(values: list[int]) -> pa.Array:
+        return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
+            first, second, sketches = [], [], []
             for text in batch.columns[-1].to_pylist():
                 hashes = shingle_hashes(text, words)
-                fps.append(fingerprint(hashes))
-                sketches.append(sketch(hashes, sketch_size) if sketch_size else None)
-            column = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            more = [pa.array(sketches, pa.binary())] if sketch_size else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column, *more], names)
-
-    names = [*keep, "fp"] + ["sketch"] * bool(sketch_size)
+                first.append(fingerprint(hashes))
+                if sketch_size:
+                    second.append(fingerprint(rehashed(hashes)))
+                    sketches.append(sketch(hashes, sketch_size))
+            more = [signed(second), pa.array(sketches, pa.binary())] if sketch_size else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signed(first), *more], names)
+
+    names = [*keep, "fp"] + ["fp2", "sketch"] * bool(sketch_size)
     schema = docs.select(*keep).schema.add("fp", "long")
     if sketch_size:
-        schema = schema.add("sketch", "binary")
+        schema = schema.add("fp2", "long").add("sketch", "binary")
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(hashed, schema)
 
 
@@ -156,31 +168,39 @@ def _roots(parent: np.ndarray) -> np.ndarray:
 
 
 def _linked_runs(limits: tuple[int, ...], bucket: int):
-    """Task body: sorted ``(key, fp)`` rows in, edges ``(a, b)`` out; members of oversized runs as ``(a, null)``."""
+    """Task body: sorted ``(key, fp, node)`` rows in, edges ``(a, b)`` of nodes out.
+
+    Members of oversized runs come out as ``(fp, node)``, marked large.
+    """
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_keys, held = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = np.empty((0, 3), np.int64)
 
-        def solve(keys: np.ndarray, fps: np.ndarray) -> pd.DataFrame:
+        def solve(rows: np.ndarray) -> pd.DataFrame:
+            keys = rows[:, 0]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
             sizes = np.diff(np.r_[starts, len(keys)])
             size_of = np.repeat(sizes, sizes)
-            large = fps[size_of > bucket]
-            some = (size_of > 1) & (size_of <= bucket)
-            fps = fps[some]
-            pairs = _forest(keys[some], fps.view(np.uint64), limits)
-            a, b = fps[pairs[:, 0]], fps[pairs[:, 1]]
+            large = rows[size_of > bucket]
+            some = rows[(size_of > 1) & (size_of <= bucket)]
+            pairs = _forest(some[:, 0], np.ascontiguousarray(some[:, 1]).view(np.uint64), limits)
+            nodes = some[:, 2]
+            a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
             return pd.DataFrame(
-                {"a": np.r_[np.minimum(a, b), large], "b": pd.array(np.r_[np.maximum(a, b), large], dtype="Int64"), "large": np.r_[np.zeros(len(a), bool), np.ones(len(large), bool)]}
+                {
+                    "a": np.r_[np.minimum(a, b), large[:, 1]],
+                    "b": np.r_[np.maximum(a, b), large[:, 2]],
+                    "large": np.r_[np.zeros(len(a), bool), np.ones(len(large), bool)],
+                }
             )
 
         for batch in batches:
-            keys, fps = np.r_[held_keys, batch["key"].to_numpy()], np.r_[held, batch["fp"].to_numpy()]
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+            rows = np.concatenate([held, batch[["key", "fp", "node"]].to_numpy(np.int64)])
+            last = np.searchsorted(rows[:, 0], rows[-1, 0]) if len(rows) else 0
             if last:
-                yield solve(keys[:last], fps[:last])
-            held_keys, held = keys[last:], fps[last:]
-        yield solve(held_keys, held)
+                yield solve(rows[:last])
+            held = rows[last:]
+        yield solve(held)
 
     return linked
 
@@ -194,7 +214,7 @@ def _centres(radius: int) -> Column:
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limits: tuple[int, ...] = (RADIUS,), bucket: int = BUCKET) -> DataFrame:
-    """Edges ``a, b`` between distinct fingerprints (column ``fp``) that connect those at most ``limits[-1]`` bits apart.
+    """Edges ``a, b`` between the nodes of ``distinct`` (``fp, node``) that connect those at most ``limits[-1]`` bits apart.
 
     All pairs up to ``radius`` bits meet, and many beyond: by an equality
     shuffle on their variants.  Each bucket is verified and only a spanning
@@ -205,14 +225,15 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, limits: tuple[i
     least of them.  That costs a fixed number of rows for each member, however
     large the bucket.
     """
-    rows = distinct.select(F.explode(variant_keys(F.col("fp"), radius)).alias("key"), "fp")
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp")
+    rows = distinct.select(F.explode(variant_keys(F.col("fp"), radius)).alias("key"), "fp", "node")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "fp", "node")
     met = cut_lineage(sorted_rows.mapInPandas(_linked_runs(limits, bucket), "a long, b long, large boolean"), "simhash-links")
-    crowded = met.where("large").select(F.col("a").alias("fp")).distinct()
-    centred = crowded.select(F.explode(_centres(RADIUS)).alias("mask"), "fp").select(F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"), "fp")
-    least = centred.groupBy("centre").agg(F.min("fp").alias("a"))
-    through = centred.join(least, "centre").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b"))
-    return met.where(~F.col("large")).select("a", "b").unionByName(through).distinct()
+    crowded = met.where("large").select(F.col("a").alias("fp"), F.col("b").alias("node")).distinct()
+    centred = crowded.select(F.explode(_centres(RADIUS)).alias("mask"), "fp", "node")
+    centred = centred.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("centre"), "node")
+    least = centred.groupBy("centre").agg(F.min("node").alias("a"))
+    through = centred.join(least, "centre").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b"))
+    return met.where(~F.col("large") & (F.col("a") != F.col("b"))).select("a", "b").unionByName(through).distinct()
 
 
 def fingerprint_groups(distinct: DataFrame, links: DataFrame) -> DataFrame:
@@ -232,7 +253,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bucket: int = BUCKET)
     """
     hashed = cut_lineage(fingerprints(docs, words), "fingerprints")
     firsts = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = fingerprint_groups(firsts.select("fp"), fingerprint_links(firsts.select("fp"), bucket=bucket))
+    links = fingerprint_links(firsts.select("fp", F.col("fp").alias("node")), bucket=bucket)
+    groups = fingerprint_groups(firsts.select("fp"), links)
     labelled = cut_lineage(groups.join(firsts, "fp"), "labelled")
     named = cut_lineage(labelled.groupBy("component").agg(F.min("first_id").alias("component_id")), "named")
     of_fp = cut_lineage(labelled.join(named, "component").select("fp", "component_id"), "components")
@@ -261,9 +283,10 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     """The documents without near copies, columns unchanged: of each group one row stays.
 
     Groups are connected by equal fingerprints and by pairs whose word shingles
-    have a Jaccard similarity of ``least`` or more.  Fingerprints find the
-    pairs: four segments, so that all pairs up to seven bits apart meet, and
-    most of those up to twelve; the closest of each bucket are verified.
+    have a Jaccard similarity of ``least`` or more.  Two independent
+    fingerprints find the pairs, each by four segments, so that all pairs up to
+    seven bits apart in one of them meet, and most of those up to twelve; the
+    closest of each bucket are verified.
 
     The row that stays is one with the smallest ``doc_id`` (a null one comes
     last); of several with that id the one with the smallest text hash, then
@@ -273,8 +296,12 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     rows = docs.withColumns({"__r1": F.xxhash64("doc_id", "text"), "__r2": F.xxhash64(F.lit(1), "doc_id", "text")})
     hashed = cut_lineage(fingerprints(rows, words, ("doc_id", "__r1", "__r2"), SKETCH), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__r1", "__r2")).alias("first")
-    firsts = cut_lineage(hashed.groupBy("fp").agg(first), "distinct-fingerprints")
-    links = cut_lineage(fingerprint_links(firsts.select("fp"), NEAR_RADIUS, NEAR_LIMITS), "near-links")
+    firsts = cut_lineage(hashed.groupBy("fp").agg(first, F.min("fp2").alias("fp2")), "distinct-fingerprints")
+    node = F.col("fp").alias("node")
+    by_each = [
+        fingerprint_links(firsts.select(F.col(name).alias("fp"), node), NEAR_RADIUS, NEAR_LIMITS) for name in ("fp", "fp2")
+    ]
+    links = cut_lineage(by_each[0].unionByName(by_each[1]).distinct(), "near-links")
     groups = fingerprint_groups(firsts.select("fp"), similar_links(links, hashed, least, SKETCH))
     chosen = groups.join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first"))
     stays = chosen.select("first.__r1", "first.__r2").hint("shuffle_hash")
