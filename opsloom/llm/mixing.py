@@ -87,8 +87,10 @@ def mix_plan(sampled: DataFrame, **shares) -> DataFrame:
     epoch.  Its prefix sum runs over 4096 steps of the key distribution, then
     over 4096 steps of the step where the budget falls, then over the keys of
     that small step, so no window ever holds a source.  Keys equal in all of
-    (key, doc_id, size) are taken together; of the two prefixes around the
-    budget the nearer one is taken (the shorter, if equally near).
+    (key, doc_id, size) are taken together.  The prefix ends before the budget
+    is passed (at ``cut``); what is left is filled by the one later document
+    whose size is nearest to it (``filler``; the first by key, if several are),
+    unless nothing brings the source nearer to its target.
     """
     sizes = sampled.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, **shares)
@@ -113,24 +115,32 @@ def mix_plan(sampled: DataFrame, **shares) -> DataFrame:
     second = _crossing(rows.groupBy("source", "__fine", "budget").agg(F.sum("size").alias("size")), "__fine")
     rows = narrowed(rows, second, "__fine")
 
-    tied = rows.groupBy("source", "key", "doc_id", "size", "budget").agg(F.sum("size").alias("__sum"))
     order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
-    running = tied.withColumn("__after", F.sum("__sum").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    before = F.col("__after") - F.col("__sum")
-    at = running.where((before < F.col("budget")) & (F.col("__after") >= F.col("budget")))
-    cut = at.select(
-        F.col("source").alias("__source"),
-        F.struct("key", "doc_id", "size").alias("cut"),
-        (F.col("__after") - F.col("budget") < F.col("budget") - before).alias("with_cut"),
-    )
-    joined = plan.join(cut, F.col("source").eqNullSafe(F.col("__source")), "left")
-    return cut_lineage(joined.select("source", "source_size", "target", "epochs", "cut", "with_cut"), "mix-plan")
+    running = _tied(rows, "budget").withColumn("__before", F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = running.where((F.col("__before") < F.col("budget")) & (F.col("__before") + F.col("words") >= F.col("budget")))
+    own = F.struct("key", "doc_id", "size")
+    cut = cut_lineage(at.select(F.col("source").alias("__source"), own.alias("cut"), (F.col("budget") - F.col("__before")).alias("left")), "mix-cuts")
+
+    same = F.col("source").eqNullSafe(F.col("__source"))
+    beyond = _tied(sampled.where(F.col("size") > 0)).join(cut, same).where(own >= F.col("cut"))
+    off = F.abs(F.col("left") - F.col("words"))
+    nearest = F.min(F.struct(off.alias("off"), "key", "doc_id", "size")).alias("n")
+    fillers = beyond.where(off < F.col("left")).groupBy("__source").agg(nearest)
+    fillers = fillers.select("__source", F.struct("n.key", "n.doc_id", "n.size").alias("filler"))
+
+    found = plan.join(cut.drop("left"), same, "left").drop("__source").join(fillers, same, "left")
+    return cut_lineage(found.select("source", "source_size", "target", "epochs", "cut", "filler"), "mix-plan")
+
+
+def _tied(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows equal in source, key, id and size as one, with their ``words`` together."""
+    return rows.groupBy("source", "key", "doc_id", "size", *more).agg(F.sum("size").alias("words"))
 
 
 def repeats(key: Column) -> Column:
-    """How often a document of a joined plan row is taken: whole epochs, and once more up to the threshold."""
+    """How often a document of a joined plan row is taken: whole epochs, and once more before the cut or as filler."""
     own = F.struct(key.alias("key"), F.col("doc_id"), F.col("size"))
-    partial = F.coalesce((own < F.col("cut")) | (own == F.col("cut")) & F.col("with_cut"), F.lit(False))
+    partial = F.coalesce(own < F.col("cut"), F.lit(False)) | F.coalesce(own.eqNullSafe(F.col("filler")), F.lit(False))
     return F.col("epochs") + (partial & (F.col("size") > 0)).cast("int")
 
 
@@ -154,7 +164,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of ``docs``."""
     plan = mix_plan(cut_lineage(_sampled(docs), "mix-sampled"))
-    at = plan.select(F.col("source").alias("__source"), "epochs", "cut", "with_cut")
+    at = plan.select(F.col("source").alias("__source"), "epochs", "cut", "filler")
     prepared = docs.select(
         F.struct(*docs.columns).alias("__row"),
         F.col("source").alias("__own_source"),

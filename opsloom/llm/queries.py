@@ -214,7 +214,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT source, key, doc_id, size, sum(size) AS part FROM c WHERE size > 0 GROUP BY ALL),
     r AS (SELECT *, sum(part) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) AS upto FROM g),
     q AS (SELECT r.source, r.key, r.doc_id, r.size, target - epochs * source_size AS budget, upto, part FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source),
-    taken AS (SELECT source, key, doc_id, size FROM q WHERE budget > 0 AND (upto < budget OR (upto - part < budget AND upto - budget < budget - (upto - part))))
+    left_over AS (SELECT source, budget - (upto - part) AS rest FROM q WHERE upto - part < budget AND upto >= budget),
+    filler AS (SELECT q.source, key, doc_id, size FROM q JOIN left_over l ON q.source IS NOT DISTINCT FROM l.source
+      WHERE upto >= budget AND abs(rest - part) < rest
+      QUALIFY row_number() OVER (PARTITION BY q.source ORDER BY abs(rest - part), key, doc_id NULLS FIRST, size) = 1),
+    taken AS (SELECT source, key, doc_id, size FROM q WHERE upto < budget UNION ALL SELECT * FROM filler)
     SELECT c.doc_id, c.size, p.source_size, p.target, CAST(c.size * (p.epochs + (taken.key IS NOT NULL)::INT) AS BIGINT) AS taken
     FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
     LEFT JOIN taken ON c.source IS NOT DISTINCT FROM taken.source AND c.key = taken.key AND c.doc_id IS NOT DISTINCT FROM taken.doc_id AND c.size = taken.size
