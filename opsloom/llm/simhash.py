@@ -71,34 +71,51 @@ def similarity(a: bytes, b: bytes, size: int) -> float:
     return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union) if len(union) else 1.0
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",), sketch_size: int = 0) -> DataFrame:
-    """The ``keep`` columns with ``fp``, the fingerprint of every whole text as a signed number.
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
-    With a ``sketch_size``, also a second fingerprint ``fp2`` and the ``sketch``.
-    """
 
-    def signed(values: list[int]) -> pa.Array:
-        return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+def fingerprints(docs: DataFrame, words: int = SHINGLE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns with ``fp``, the fingerprint of every whole text as a signed number."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, second, sketches = [], [], []
-            for text in batch.columns[-1].to_pylist():
-                hashes = shingle_hashes(text, words)
-                first.append(fingerprint(hashes))
-                if sketch_size:
-                    second.append(fingerprint(rehashed(hashes)))
-                    sketches.append(sketch(hashes, sketch_size))
-            more = [signed(second), pa.array(sketches, pa.binary())] if sketch_size else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signed(first), *more], names)
-
-    names = [*keep, "fp"] + ["fp2", "sketch"] * bool(sketch_size)
+            prints = [fingerprint(shingle_hashes(text, words)) for text in batch.columns[-1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _signed(prints)], [*keep, "fp"])
+
     schema = docs.select(*keep).schema.add("fp", "long")
-    if sketch_size:
-        schema = schema.add("fp2", "long").add("sketch", "binary")
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(hashed, schema)
 
 
+def shingle_sets(docs: DataFrame, words: int, keep: tuple[str, ...], size: int) -> DataFrame:
+    """The ``keep`` columns with what stands for the set of distinct shingles of every whole text.
+
+    ``node`` is a hash of the set: texts of one node have the same shingles, at
+    any number of repeats.  ``fp`` and ``fp2`` are two independent fingerprints
+    of the set, where a shingle counts once, so that repeated filler does not
+    outweigh the rest.  ``shingles`` is the size of the set.
+    """
+    names = ["node", "fp", "fp2", "shingles", "sketch"]
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = (np.unique(shingle_hashes(text, words)) for text in batch.columns[-1].to_pylist())
+            rows = [
+                (xxhash.xxh64_intdigest(s.tobytes(), SEED), fingerprint(s), fingerprint(rehashed(s)), len(s), sketch(s, size))
+                for s in sets
+            ]
+            node, fp, fp2, shingles, sketches = zip(*rows) if rows else [[]] * 5
+            more = [_signed(node), _signed(fp), _signed(fp2), pa.array(shingles, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*keep, *names])
+
+    schema = docs.select(*keep).schema
+    for name, kind in zip(names, ["long"] * 4 + ["binary"]):
+        schema = schema.add(name, kind)
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(described, schema)
+
+
 def segments(radius: int) -> list[tuple[int, int]]:
     """First bit and width of the segments: so few that one of them differs by at most one bit."""
     count = radius // 2 + 1
@@ -263,13 +280,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bucket: int = BUCKET)
     )
 
 
-def similar_links(links: DataFrame, hashed: DataFrame, least: float, size: int) -> DataFrame:
+def similar_links(links: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
     """The links whose two shingle sets have a Jaccard similarity of ``least`` or more."""
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    sketches = hashed.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("sketch").alias("sketch"))
-    sketches = cut_lineage(sketches, "sketches")
-    of_a = sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("of_a"))
-    of_b = sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("of_b"))
+    of_a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("of_a"))
+    of_b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("of_b"))
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -282,8 +296,8 @@ def similar_links(links: DataFrame, hashed: DataFrame, least: float, size: int)
 def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_LEAST) -> DataFrame:
     """The documents without near copies, columns unchanged: of each group one row stays.
 
-    Groups are connected by equal fingerprints and by pairs whose word shingles
-    have a Jaccard similarity of ``least`` or more.  Two independent
+    Groups are connected by equal sets of word shingles and by pairs of sets
+    with a Jaccard similarity of ``least`` or more.  Two independent
     fingerprints find the pairs, each by four segments, so that all pairs up to
     seven bits apart in one of them meet, and most of those up to twelve; the
     closest of each bucket are verified.
@@ -294,16 +308,16 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     join.  Texts without words are one group.
     """
     rows = docs.withColumns({"__r1": F.xxhash64("doc_id", "text"), "__r2": F.xxhash64(F.lit(1), "doc_id", "text")})
-    hashed = cut_lineage(fingerprints(rows, words, ("doc_id", "__r1", "__r2"), SKETCH), "fingerprints")
+    hashed = cut_lineage(shingle_sets(rows, words, ("doc_id", "__r1", "__r2"), SKETCH), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__r1", "__r2")).alias("first")
-    firsts = cut_lineage(hashed.groupBy("fp").agg(first, F.min("fp2").alias("fp2")), "distinct-fingerprints")
-    node = F.col("fp").alias("node")
+    same = [F.min(name).alias(name) for name in ("fp", "fp2", "shingles", "sketch")]
+    nodes = cut_lineage(hashed.groupBy("node").agg(first, *same), "shingle-nodes")
     by_each = [
-        fingerprint_links(firsts.select(F.col(name).alias("fp"), node), NEAR_RADIUS, NEAR_LIMITS) for name in ("fp", "fp2")
+        fingerprint_links(nodes.select(F.col(name).alias("fp"), "node"), NEAR_RADIUS, NEAR_LIMITS) for name in ("fp", "fp2")
     ]
     links = cut_lineage(by_each[0].unionByName(by_each[1]).distinct(), "near-links")
-    groups = fingerprint_groups(firsts.select("fp"), similar_links(links, hashed, least, SKETCH))
-    chosen = groups.join(firsts, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    groups = fingerprint_groups(nodes.select(F.col("node").alias("fp")), similar_links(links, nodes, least, SKETCH))
+    chosen = groups.join(nodes.select(F.col("node").alias("fp"), "first"), "fp").groupBy("component").agg(F.min("first").alias("first"))
     stays = chosen.select("first.__r1", "first.__r2").hint("shuffle_hash")
     hashable = [name for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     repeated = Window.partitionBy("__r1", "__r2").orderBy(F.xxhash64(*hashable))

@@ -163,6 +163,15 @@ def test_one_of_each_of_awkward_rows(spark):
     assert simhash.near_duplicates(corpora.no_documents(spark)).count() == 0
 
 
+def test_long_filler_does_not_make_copies(spark):
+    draw = random.Random(4)
+    texts = [" ".join(sentence(draw, 100)) + filler for filler in (" 0" * 150, " a b c" * 400) for _ in range(4)]
+    # only the number of repeats differs: a copy
+    texts.append(texts[0] + " 0" * 100)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(range(8))
+
+
 def test_similarity():
     def make(words):
         return simhash.sketch(simhash.shingle_hashes(" ".join(words), 5), 256)
