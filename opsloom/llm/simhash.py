@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from opsloom.llm.components import components
 from opsloom.session import cut_lineage
@@ -18,8 +19,16 @@ SHINGLE = 4
 RADIUS = 4
 #: near copies by word shingles: width, least Jaccard similarity, shingles kept for it (standard error 0.025 beyond)
 NEAR_SHINGLE, NEAR_LEAST, SKETCH = 5, 0.8, 256
-#: bits within which all pairs meet, and steps in which pairs that meet are taken as candidates
-NEAR_RADIUS, NEAR_LIMITS = 7, (4, 8, 12)
+#: bits within which all pairs meet by a fingerprint, and those up to which pairs that meet are taken as candidates
+NEAR_RADIUS, NEAR_LIMIT = 7, 12
+#: least hashes of a set joined into one band, and bands: pairs at 0.8 share one with 1 - (1 - 0.8^5)^20 = 0.9996
+BAND, BANDS = 5, 20
+#: candidates a member of a bucket that are written as pairs; crowded buckets beyond are compared by sketches in their task
+PAIRS = 4
+#: members of a crowded bucket that meet in one task; of a larger one, blocks of so many meet in turns
+BLOCK = 4_096
+#: estimates from trimmed sketches that count as surely similar, and that may be (four standard errors)
+SURE, MAYBE = 0.1, -0.1
 SEED = 42
 #: members of one index bucket that are compared pair by pair; larger buckets are linked through ball centres
 BUCKET = 16_384
@@ -71,6 +80,36 @@ def similarity(a: bytes, b: bytes, size: int) -> float:
     return len(np.intersect1d(np.intersect1d(x, y, True), union, True)) / len(union) if len(union) else 1.0
 
 
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(SEED)
+    factors = draw.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, draw.integers(0, 1 << 63, BAND * BANDS, dtype=np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """Keys of the bands of a set: two sets share a band with the fifth power of their Jaccard similarity."""
+    import xxhash
+
+    factors, offsets = _multipliers()
+    least, step = np.full(BAND * BANDS, np.iinfo(np.uint64).max, np.uint64), 1 << 12
+    for at in range(0, len(hashes), step):
+        mixed = rehashed(hashes[at : at + step, None] * factors + offsets)
+        least = np.minimum(least, mixed.min(axis=0))
+    return [xxhash.xxh64_intdigest(part.tobytes(), i) for i, part in enumerate(least.reshape(BANDS, BAND))]
+
+
+def similarities(one: np.ndarray, many: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`similarity` of one sketch and rows of others (padded), and which of them are exact."""
+    at = np.searchsorted(one, many)
+    hit = (one[np.minimum(at, len(one) - 1)] == many) & (np.arange(many.shape[1]) < lengths[:, None])
+    # place in the union: members before it in either, common ones once
+    place = np.arange(many.shape[1]) + at - (np.cumsum(hit, axis=1) - hit)
+    exact = (lengths < size) & (len(one) < size)
+    union = lengths + len(one) - hit.sum(axis=1)
+    union = np.where(exact, union, np.minimum(union, size))
+    return (hit & (exact[:, None] | (place < size))).sum(axis=1) / union, exact
+
+
 def _signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
@@ -95,7 +134,7 @@ def shingle_sets(docs: DataFrame, words: int, keep: tuple[str, ...], size: int)
     of the set, where a shingle counts once, so that repeated filler does not
     outweigh the rest.  ``shingles`` is the size of the set.
     """
-    names = ["node", "fp", "fp2", "shingles", "sketch"]
+    names = ["node", "fp", "fp2", "shingles", "sketch", "bands"]
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -103,15 +142,16 @@ def shingle_sets(docs: DataFrame, words: int, keep: tuple[str, ...], size: int)
         for batch in batches:
             sets = (np.unique(shingle_hashes(text, words)) for text in batch.columns[-1].to_pylist())
             rows = [
-                (xxhash.xxh64_intdigest(s.tobytes(), SEED), fingerprint(s), fingerprint(rehashed(s)), len(s), sketch(s, size))
+                (xxhash.xxh64_intdigest(s.tobytes(), SEED), fingerprint(s), fingerprint(rehashed(s)), len(s), sketch(s, size), np.array(bands(s), np.uint64).view(np.int64))
                 for s in sets
             ]
-            node, fp, fp2, shingles, sketches = zip(*rows) if rows else [[]] * 5
+            node, fp, fp2, shingles, sketches, keys = zip(*rows) if rows else [[]] * 6
             more = [_signed(node), _signed(fp), _signed(fp2), pa.array(shingles, pa.int64()), pa.array(sketches, pa.binary())]
+            more.append(pa.array(keys, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*keep, *names])
 
     schema = docs.select(*keep).schema
-    for name, kind in zip(names, ["long"] * 4 + ["binary"]):
+    for name, kind in zip(names, ["long"] * 4 + ["binary", ArrayType(LongType())]):
         schema = schema.add(name, kind)
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(described, schema)
 
@@ -280,6 +320,161 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, bucket: int = BUCKET)
     )
 
 
+def _close_pairs(keys: np.ndarray, fps: np.ndarray, limit: int, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs at most ``limit`` bits apart of each run of equal keys, and the rows of crowded runs instead of theirs."""
+    n = len(keys)
+    run = np.cumsum(np.r_[False, keys[1:] != keys[:-1]]) if n else np.empty(0, np.int64)
+    sizes = np.bincount(run)
+    open_, count = sizes <= bucket, np.zeros(len(sizes), np.int64)
+    found, at = [np.empty(0, np.int64)], np.arange(n)
+    others, lag = [np.empty(0, np.int64)], 1
+    while True:
+        at = at[at < n - lag]
+        at = at[(run[at] == run[at + lag]) & open_[run[at]]]
+        if not len(at):
+            break
+        close = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= limit]
+        count += np.bincount(run[close], minlength=len(count))
+        open_ &= count <= PAIRS * sizes
+        found.append(close)
+        others.append(close + lag)
+        lag += 1
+    i, j = np.concatenate(found), np.concatenate(others)
+    calm = open_[run[i]]
+    return i[calm], j[calm], np.flatnonzero(~open_[run])
+
+
+def _met_in_runs(limit: int, bucket: int):
+    """Task body: sorted ``(key, fp, node)`` rows in; pairs ``a, b`` out, and ``key, a`` of the members of crowded runs."""
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.empty((0, 3), np.int64)
+
+        def solve(rows: np.ndarray) -> pd.DataFrame:
+            i, j, crowd = _close_pairs(rows[:, 0], np.ascontiguousarray(rows[:, 1]).view(np.uint64), limit, bucket)
+            a, b = rows[i, 2], rows[j, 2]
+            return pd.DataFrame(
+                {
+                    "key": np.r_[rows[i, 0], rows[crowd, 0]],
+                    "a": np.r_[np.minimum(a, b), rows[crowd, 2]],
+                    "b": np.r_[np.maximum(a, b), rows[crowd, 2]],
+                    "crowded": np.r_[np.zeros(len(i), bool), np.ones(len(crowd), bool)],
+                }
+            )
+
+        for batch in batches:
+            rows = np.concatenate([held, batch[["key", "fp", "node"]].to_numpy(np.int64)])
+            last = np.searchsorted(rows[:, 0], rows[-1, 0]) if len(rows) else 0
+            if last:
+                yield solve(rows[:last])
+            held = rows[last:]
+        yield solve(held)
+
+    return met
+
+
+def _crowd_pairs(sketches: list[bytes], labels: np.ndarray | None, least: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one crowded bucket to be verified.
+
+    Without labels, a spanning forest of the pairs that look similar.  With the
+    labels of what was verified so far, all further pairs that may be similar,
+    but for those inside a tree of equal labels and surely similar pairs.
+    """
+    parts = [np.frombuffer(s, "<u4") for s in sketches]
+    lengths = np.array([len(p) for p in parts])
+    padded = np.full((len(parts), lengths.max()), np.iinfo(np.uint32).max, np.uint32)
+    for row, part in zip(padded, parts):
+        row[: len(part)] = part
+    tree = np.arange(len(parts)) if labels is None else np.unique(labels, return_inverse=True)[1]
+    pairs = []
+    for h, part in enumerate(parts):
+        others = np.flatnonzero(tree[h + 1 :] != tree[h]) + h + 1
+        if not len(others):
+            if (tree == tree[h]).all():
+                break
+            continue
+        value, exact = similarities(part, padded[others], lengths[others], size)
+        if labels is None:
+            joins = value >= least
+            _, once = np.unique(tree[others[joins]], return_index=True)
+            asked = others[joins][once]
+        else:
+            joins = value >= np.where(exact, least, least + SURE)
+            _, once = np.unique(tree[others[joins]], return_index=True)
+            asked = np.r_[others[joins][once], others[~joins & ~exact & (value >= least + MAYBE)]]
+        pairs.append((np.full(len(asked), h), asked))
+        tree[np.isin(tree, tree[others[joins]])] = tree[h]
+    if not pairs:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+
+
+def _met_in_crowds(labelled: bool, least: float, size: int):
+    """Task body: rows of crowded buckets, sorted by ``key, low, high``, in; pairs ``a, b`` out."""
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            i, j = _crowd_pairs(rows["sketch"].tolist(), rows["label"].to_numpy() if labelled else None, least, size)
+            a, b = rows["node"].to_numpy()[i], rows["node"].to_numpy()[j]
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            group = rows[["key", "low", "high"]].to_numpy(np.int64)
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)]) if len(group) else np.array([0])
+            for start, end in zip(starts, starts[1:]):
+                yield solve(rows.iloc[start:end])
+            held = rows.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield solve(held)
+
+    return met
+
+
+def crowd_links(crowded: DataFrame, nodes: DataFrame, labels: DataFrame | None, least: float, size: int, block: int = BLOCK) -> DataFrame:
+    """Pairs ``a, b`` to be verified of the buckets in ``crowded`` (``key, node``).
+
+    In a bucket of more than ``block`` members every two blocks meet, so that
+    no task holds more than two blocks and all pairs are compared.
+    """
+    many = crowded.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks")).where(F.col("blocks") > 1)
+    placed = crowded.join(F.broadcast(many), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node")
+    known = nodes.select("node", "sketch")
+    if labels is not None:
+        known = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = placed.join(known, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    return rows.mapInPandas(_met_in_crowds(labels is not None, least, size), "a long, b long").distinct()
+
+
+def near_links(nodes: DataFrame, least: float, size: int, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """Links between nodes that connect those with a Jaccard similarity of ``least`` or more.
+
+    Pairs meet by two fingerprints and by bands.  A bucket with few candidates
+    gives all of them.  In a crowded one a forest of what looks similar is
+    verified first; then all pairs it has left apart are compared, so that a
+    rejected link hides none.
+    """
+    worded = nodes.where(F.col("shingles") > 0)
+    kinds = [(variant_keys(F.col("fp"), NEAR_RADIUS), "fp"), (F.transform(variant_keys(F.col("fp2"), NEAR_RADIUS), lambda k: k + (1 << 40)), "fp2")]
+    rows = worded.select(F.explode("bands").alias("key"), F.lit(0).cast("long").alias("fp"), "node")
+    for keys, name in kinds:
+        rows = rows.unionByName(worded.select(F.explode(keys).alias("key"), F.col(name).alias("fp"), "node"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "fp", "node")
+    met = rows.mapInPandas(_met_in_runs(NEAR_LIMIT, bucket), "key long, a long, b long, crowded boolean")
+    met = cut_lineage(met, "near-met")
+    crowded = met.where("crowded").select("key", F.col("a").alias("node"))
+    asked = met.where("not crowded").select("a", "b").unionByName(crowd_links(crowded, nodes, None, least, size, block))
+    asked = cut_lineage(asked.distinct(), "near-asked")
+    links = cut_lineage(similar_links(asked, nodes, least, size), "near-links")
+    more = crowd_links(crowded, nodes, components(links), least, size, block).join(asked, ["a", "b"], "left_anti")
+    return links.unionByName(cut_lineage(similar_links(more, nodes, least, size), "near-links"))
+
+
 def similar_links(links: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
     """The links whose two shingle sets have a Jaccard similarity of ``least`` or more."""
     of_a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("of_a"))
@@ -299,8 +494,8 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     Groups are connected by equal sets of word shingles and by pairs of sets
     with a Jaccard similarity of ``least`` or more.  Two independent
     fingerprints find the pairs, each by four segments, so that all pairs up to
-    seven bits apart in one of them meet, and most of those up to twelve; the
-    closest of each bucket are verified.
+    seven bits apart in one of them meet, and bands of least hashes find those
+    that fingerprints leave apart.  :func:`near_links` verifies them.
 
     The row that stays is one with the smallest ``doc_id`` (a null one comes
     last); of several with that id the one with the smallest text hash, then
@@ -310,13 +505,10 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     rows = docs.withColumns({"__r1": F.xxhash64("doc_id", "text"), "__r2": F.xxhash64(F.lit(1), "doc_id", "text")})
     hashed = cut_lineage(shingle_sets(rows, words, ("doc_id", "__r1", "__r2"), SKETCH), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__r1", "__r2")).alias("first")
-    same = [F.min(name).alias(name) for name in ("fp", "fp2", "shingles", "sketch")]
+    same = [F.min(name).alias(name) for name in ("fp", "fp2", "shingles", "sketch", "bands")]
     nodes = cut_lineage(hashed.groupBy("node").agg(first, *same), "shingle-nodes")
-    by_each = [
-        fingerprint_links(nodes.select(F.col(name).alias("fp"), "node"), NEAR_RADIUS, NEAR_LIMITS) for name in ("fp", "fp2")
-    ]
-    links = cut_lineage(by_each[0].unionByName(by_each[1]).distinct(), "near-links")
-    groups = fingerprint_groups(nodes.select(F.col("node").alias("fp")), similar_links(links, nodes, least, SKETCH))
+    links = near_links(nodes, least, SKETCH)
+    groups = fingerprint_groups(nodes.select(F.col("node").alias("fp")), links)
     chosen = groups.join(nodes.select(F.col("node").alias("fp"), "first"), "fp").groupBy("component").agg(F.min("first").alias("first"))
     stays = chosen.select("first.__r1", "first.__r2").hint("shuffle_hash")
     hashable = [name for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]

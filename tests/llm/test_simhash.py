@@ -172,6 +172,54 @@ def test_long_filler_does_not_make_copies(spark):
     assert {r.doc_id for r in simhash.one_of_each(docs).collect()} == set(range(8))
 
 
+def rewritten(draw, words, share):
+    """The words with runs of changed ones, so that about ``share`` of both shingle sets is common."""
+    out, changed = list(words), round(len(words) * (1 - 2 * share / (1 + share)))
+    at = draw.randrange(len(words) - changed)
+    out[at : at + changed] = sentence(draw, changed)
+    return out
+
+
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_hashes(t, 5).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def near_nodes(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return simhash.shingle_sets(docs, 5, ("doc_id",), simhash.SKETCH).cache()
+
+
+@pytest.mark.parametrize("bucket, block", [(16_384, 4_096), (8, 16)])
+def test_no_pair_hides_behind_a_rejected_link(spark, bucket, block):
+    draw = random.Random(11)
+    # a crowd around one text, on both sides of the limit, and pairs just above it
+    base = sentence(draw, 180)
+    texts = [" ".join(rewritten(draw, base, draw.choice([0.74, 0.84, 0.9]))) for _ in range(100)]
+    for _ in range(60):
+        words = sentence(draw, 180)
+        texts += [" ".join(words), " ".join(rewritten(draw, words, 0.815))]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    nodes = near_nodes(spark, texts)
+    of = {r.node: r.doc_id for r in nodes.collect()}
+    links = [(of[r.a], of[r.b]) for r in simhash.near_links(nodes, 0.8, simhash.SKETCH, bucket, block).collect()]
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
+    assert grouped(links, range(len(texts))) == grouped(near, range(len(texts)))
+
+
+def test_similarities_are_those_of_single_pairs():
+    draw = random.Random(12)
+    base = sentence(draw, 700)
+    words = [base[: draw.choice([100, 300, 700])] for _ in range(10)] + [rewritten(draw, base, 0.8) for _ in range(10)]
+    sketches = [simhash.sketch(simhash.shingle_hashes(" ".join(w), 5), 256) for w in words]
+    parts = [np.frombuffer(s, "<u4") for s in sketches]
+    lengths = np.array([len(p) for p in parts])
+    padded = np.array([np.r_[p, np.full(256 - len(p), 2**32 - 1, np.uint32)] for p in parts])
+    for one, part in zip(sketches, parts):
+        value, _ = simhash.similarities(part, padded, lengths, 256)
+        assert np.allclose(value, [simhash.similarity(one, s, 256) for s in sketches])
+
+
 def test_similarity():
     def make(words):
         return simhash.sketch(simhash.shingle_hashes(" ".join(words), 5), 256)
