@@ -17,7 +17,7 @@ from opsloom.session import cut_lineage
 BITS = 64
 SHINGLE = 4
 RADIUS = 4
-#: near copies by word shingles: width, least Jaccard similarity, shingles kept for it (standard error 0.025 beyond)
+#: near copies by word shingles: width, least Jaccard similarity, shingles kept for a first estimate (standard error 0.025)
 NEAR_SHINGLE, NEAR_LEAST, SKETCH = 5, 0.8, 256
 #: bits within which all pairs meet by a fingerprint, and those up to which pairs that meet are taken as candidates
 NEAR_RADIUS, NEAR_LIMIT = 7, 12
@@ -451,13 +451,59 @@ def crowd_links(crowded: DataFrame, nodes: DataFrame, labels: DataFrame | None,
     return rows.mapInPandas(_met_in_crowds(labels is not None, least, size), "a long, b long").distinct()
 
 
-def near_links(nodes: DataFrame, least: float, size: int, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+def exact_sets(need: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """``node, hashes``: all distinct shingles of the text that stands for each node of ``need`` (``node, __r1, __r2``)."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.columns[0], batch.columns[1].to_pylist()):
+                hashes = np.unique(shingle_hashes(text, words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([hashes], pa.list_(pa.int64()))], ["node", "hashes"])
+
+    texts = rows.join(need, ["__r1", "__r2"]).select("node", "text")
+    schema = need.select("node").schema.add("hashes", ArrayType(LongType()))
+    return cut_lineage(texts.mapInArrow(whole, schema).dropDuplicates(["node"]), "exact-sets")
+
+
+def similar_links(links: DataFrame, nodes: DataFrame, rows: DataFrame, least: float, size: int, words: int) -> DataFrame:
+    """The links whose two shingle sets have a Jaccard similarity of ``least`` or more, exactly.
+
+    Sketches decide where they are whole sets, or where the estimate is at
+    least four standard errors from ``least``; else the whole sets are compared.
+    """
+    of_a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("of_a"), F.col("shingles").alias("n_a"))
+    of_b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("of_b"), F.col("shingles").alias("n_b"))
+
+    def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            value = np.array([similarity(x, y, size) for x, y in zip(batch["of_a"], batch["of_b"])], float)
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            whole = np.maximum(n_a, n_b) < size
+            possible = np.minimum(n_a, n_b) >= least * np.maximum(n_a, n_b) * (1 - 1e-9)
+            sure = np.where(whole, value >= least, value >= least + SURE)
+            maybe = possible & ~whole & ~sure & (value >= least + MAYBE)
+            yield batch[["a", "b"]].assign(sure=sure & possible)[(sure & possible) | maybe]
+
+    verdicts = links.join(of_a, "a").join(of_b, "b").mapInPandas(judged, "a long, b long, sure boolean")
+    verdicts = cut_lineage(verdicts, "near-judged")
+    open_ = verdicts.where("not sure").select("a", "b")
+    ends = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
+    sets = exact_sets(ends.join(nodes, "node").select("node", "first.__r1", "first.__r2"), rows, words)
+    both = open_.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    close = counted.where(F.col("common") / (F.col("total") - F.col("common")) >= least)
+    return verdicts.where("sure").select("a", "b").unionByName(close.select("a", "b"))
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, words: int, least: float, size: int, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """Links between nodes that connect those with a Jaccard similarity of ``least`` or more.
 
     Pairs meet by two fingerprints and by bands.  A bucket with few candidates
     gives all of them.  In a crowded one a forest of what looks similar is
     verified first; then all pairs it has left apart are compared, so that a
-    rejected link hides none.
+    rejected link hides none.  ``docs`` holds the texts of ``first`` by their
+    hashes ``__r1, __r2``.
     """
     worded = nodes.where(F.col("shingles") > 0)
     kinds = [(variant_keys(F.col("fp"), NEAR_RADIUS), "fp"), (F.transform(variant_keys(F.col("fp2"), NEAR_RADIUS), lambda k: k + (1 << 40)), "fp2")]
@@ -470,22 +516,9 @@ def near_links(nodes: DataFrame, least: float, size: int, bucket: int = BUCKET,
     crowded = met.where("crowded").select("key", F.col("a").alias("node"))
     asked = met.where("not crowded").select("a", "b").unionByName(crowd_links(crowded, nodes, None, least, size, block))
     asked = cut_lineage(asked.distinct(), "near-asked")
-    links = cut_lineage(similar_links(asked, nodes, least, size), "near-links")
+    links = cut_lineage(similar_links(asked, nodes, docs, least, size, words), "near-links")
     more = crowd_links(crowded, nodes, components(links), least, size, block).join(asked, ["a", "b"], "left_anti")
-    return links.unionByName(cut_lineage(similar_links(more, nodes, least, size), "near-links"))
-
-
-def similar_links(links: DataFrame, nodes: DataFrame, least: float, size: int) -> DataFrame:
-    """The links whose two shingle sets have a Jaccard similarity of ``least`` or more."""
-    of_a = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("of_a"))
-    of_b = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("of_b"))
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            good = [similarity(x, y, size) >= least for x, y in zip(batch["of_a"], batch["of_b"])]
-            yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-    return links.join(of_a, "a").join(of_b, "b").mapInPandas(similar, "a long, b long")
+    return links.unionByName(cut_lineage(similar_links(more, nodes, docs, least, size, words), "near-links"))
 
 
 def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_LEAST) -> DataFrame:
@@ -507,7 +540,7 @@ def one_of_each(docs: DataFrame, words: int = NEAR_SHINGLE, least: float = NEAR_
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__r1", "__r2")).alias("first")
     same = [F.min(name).alias(name) for name in ("fp", "fp2", "shingles", "sketch", "bands")]
     nodes = cut_lineage(hashed.groupBy("node").agg(first, *same), "shingle-nodes")
-    links = near_links(nodes, least, SKETCH)
+    links = near_links(nodes, rows, words, least, SKETCH)
     groups = fingerprint_groups(nodes.select(F.col("node").alias("fp")), links)
     chosen = groups.join(nodes.select(F.col("node").alias("fp"), "first"), "fp").groupBy("component").agg(F.min("first").alias("first"))
     stays = chosen.select("first.__r1", "first.__r2").hint("shuffle_hash")

@@ -187,7 +187,9 @@ def jaccard(a, b):
 
 def near_nodes(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return simhash.shingle_sets(docs, 5, ("doc_id",), simhash.SKETCH).cache()
+    docs = docs.select("*", F.xxhash64("doc_id").alias("__r1"), F.xxhash64("text").alias("__r2"))
+    nodes = simhash.shingle_sets(docs, 5, ("doc_id", "__r1", "__r2"), simhash.SKETCH)
+    return docs, nodes.withColumn("first", F.struct("__r1", "__r2")).cache()
 
 
 @pytest.mark.parametrize("bucket, block", [(16_384, 4_096), (8, 16)])
@@ -200,13 +202,24 @@ def test_no_pair_hides_behind_a_rejected_link(spark, bucket, block):
         words = sentence(draw, 180)
         texts += [" ".join(words), " ".join(rewritten(draw, words, 0.815))]
     near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
-    nodes = near_nodes(spark, texts)
+    docs, nodes = near_nodes(spark, texts)
     of = {r.node: r.doc_id for r in nodes.collect()}
-    links = [(of[r.a], of[r.b]) for r in simhash.near_links(nodes, 0.8, simhash.SKETCH, bucket, block).collect()]
+    links = [(of[r.a], of[r.b]) for r in simhash.near_links(nodes, docs, 5, 0.8, simhash.SKETCH, bucket, block).collect()]
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links)
     assert grouped(links, range(len(texts))) == grouped(near, range(len(texts)))
 
 
+def test_long_texts_are_decided_by_all_their_shingles(spark):
+    draw, texts = random.Random(13), []
+    for i in range(60):
+        words = sentence(draw, 900)
+        texts += [" ".join(words), " ".join(rewritten(draw, words, 0.815 if i % 2 else 0.785))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    copies = {i + 1 for i in range(0, len(texts), 2) if jaccard(texts[i], texts[i + 1]) >= 0.8}
+    assert 20 < len(copies) < 40 and left == set(range(len(texts))) - copies
+
+
 def test_similarities_are_those_of_single_pairs():
     draw = random.Random(12)
     base = sentence(draw, 700)
