@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opsloom.llm import ann, exact_topk, hilbert, langid, licenses, lines, mixing, packing, rollups, simhash
+from opsloom.llm import ann, exact_topk, hilbert, langid, licenses, lines, mixing, packing, periodic, repair, rollups, simhash, trie
 from opsloom.llm.shared import word_count
-from opsloom.session import cut_lineage, scratch_dir
+from opsloom.session import cut_lineage, scratch_dir, widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +226,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("repeats")
+
+
+#: crc32 of a whole number's decimal digits, bit by bit
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295],
+  flatten(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
+
+@_query(
+    "op11_prefix_trie",
+    f"""
+    WITH s AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    d AS (SELECT *, md5(CAST(length(role) AS VARCHAR) || ':' || role || text) AS digest FROM s),
+    t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS i FROM d),
+    h AS (SELECT conv_id, {_CRC32.format('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM s)),
+    rebuilt AS (
+      SELECT h.conv_id, 0 AS own, t.i, text, digest FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.i < h.h
+      UNION ALL
+      SELECT h.conv_id, 1, t.i, text, digest FROM h JOIN t ON t.conv_id = h.conv_id AND t.i >= h.h),
+    p AS (
+      SELECT conv_id, row_number() OVER o AS depth, length(text) AS points, string_agg(digest, '') OVER o AS path
+      FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY own, i)
+      UNION ALL
+      SELECT conv_id, 0, 0, '' FROM h),
+    n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(points) AS points FROM p GROUP BY path, depth),
+    c AS (SELECT left(path, 32 * (depth - 1)) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+    k AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON n.path = c.path),
+    up AS (SELECT left(path, 32 * top) AS path, n_convs, points, n_children FROM (SELECT *, unnest(range(depth + 1)) AS top FROM k)),
+    sub AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * points) AS BIGINT) AS saved_tokens FROM up GROUP BY path),
+    fin AS (SELECT path, conv_id FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1),
+    e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM fin GROUP BY path)
+    SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM k JOIN sub ON k.path = sub.path LEFT JOIN e ON k.path = e.path
+      LEFT JOIN n q ON k.depth > 0 AND q.path = left(k.path, 32 * (k.depth - 1))
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_nodes(_table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(widen(_table(spark, sf_dir, "documents").select("doc_id", "text")), planted=True)
+
+
+@_query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(_table(spark, sf_dir, "documents"))

@@ -12,6 +12,12 @@ from test_vectors import AWKWARD
 
 QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
 EMBEDDINGS = "vec_id long, embedding array<float>, label int"
+CONVERSATIONS = "conv_id long, turn long, role string, text string, depth long, last string"
+TURNS = [
+    (100, 0, "user", "hello"), (100, 1, "assistant", None), (100, 2, None, "x" * 50_000), (101, None, "user", "hello"),
+    (101, 5, "user", ""), (101, 5, "user", ""), (102, 0, "user", "hello"), (107, 0, "user", "hello"), (None, 0, "user", "a"),
+    (103, 0, "user", "hello"), (103, 1, "assistant", None), (103, 2, None, "x" * 50_000), (-205, 1, "user", "below zero"),
+]
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +28,8 @@ def folders(spark, tmp_path_factory):
         docs.write.parquet(f"{out[name]}/documents.parquet")
         rows = [(i, v, 1) for i, v in AWKWARD] if name == "awkward" else []
         spark.createDataFrame(rows, EMBEDDINGS).write.parquet(f"{out[name]}/embeddings.parquet")
+        turns = [(*t, 1, "last") for t in TURNS] if name == "awkward" else []
+        spark.createDataFrame(turns, CONVERSATIONS).write.parquet(f"{out[name]}/conversations.parquet")
     return out
 
 
@@ -44,12 +52,12 @@ def test_query(spark, folders, name, folder):
     if folder == "empty":
         assert rows == []
         return
-    per_row = {"op3_language_id", "op6_hilbert_shards", "op8_license_scan", "op9_simhash", "op10_mixing"}
+    per_row = {"op3_language_id", "op6_hilbert_shards", "op8_license_scan", "op9_simhash", "op10_mixing", "op12_periodic_runs", "op13_token_files"}
     assert name not in per_row or len(rows) == len(corpora.rows())
     # rows that share an id are told apart by neither the line nor the licence query's SQL
     if name in queries.ORACLES and name not in ("op2_line_dedup", "op8_license_scan"):
         con = duckdb.connect()
-        for t in ("documents", "embeddings"):
+        for t in ("documents", "embeddings", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folders[folder]}/{t}.parquet/*.parquet'")
         if name == "op5_exact_topk":
             con.execute("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '%s/embeddings.parquet/*.parquet' WHERE len(embedding) = 2 AND vec_id IS NOT NULL" % folders[folder])
@@ -66,6 +74,9 @@ def test_contract_types(spark, folders):
         "op6_hilbert_shards": "doc_id:bigint,size:bigint,text_crc32:bigint,law:string,shard:int,slot:bigint,grown_shard:int",
         "op7_best_fit_packing": "doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,sequence_id:bigint,offset:bigint",
         "op9_simhash": "doc_id:bigint,fingerprint:string,component_id:bigint",
+        "op11_prefix_trie": "conv_id:bigint,depth:bigint,parent_conv_id:bigint,n_convs:bigint,n_children:bigint,n_leaves:bigint,saved_tokens:bigint,ends_sha256:string",
+        "op12_periodic_runs": "doc_id:bigint,n_runs:bigint,start:bigint,length:bigint,period:bigint,exponent_milli:bigint,runs_sha256:string,collapsed_sha256:string",
+        "op13_token_files": "doc_id:bigint,start:bigint,n_tokens:bigint,ids_crc32:bigint",
         "op10_mixing": "doc_id:bigint,size:bigint,source_size:bigint,target:double,taken:bigint",
     }
     for name, columns in want.items():
