@@ -39,18 +39,23 @@ LEAST = 4
 #: pairs replaced together in one round, and rounds at most
 RULES_A_ROUND = 4096
 ROUNDS = 12
+#: a round takes pairs down to this fraction of the most frequent one's count
+SPREAD = 16
+#: and the last round is one that leaves more than this fraction of the symbols
+SETTLED = 0.95
 
 _MAGIC = b"RPG1"
 _HEAD = "<4sIIIIQ"
 _SLOTS = 1 << 16
 
 
-def _pairs(symbols: np.ndarray, inner: np.ndarray, n_symbols: int) -> np.ndarray:
-    """The pair that begins at each symbol as one number; all ones where a document ends between its halves."""
+def _pairs(symbols: np.ndarray, ends: np.ndarray, n_symbols: int) -> np.ndarray:
+    """The pair that begins at each symbol as one number; all ones where a document ends (``ends``) between its halves."""
     width, shift = (np.uint32, 16) if n_symbols <= 1 << 16 else (np.uint64, 32)
-    pairs = symbols[:-1].astype(width) << width(shift)
-    pairs |= symbols[1:].astype(width)
-    pairs[~inner] = np.iinfo(width).max
+    pairs = symbols[:-1].astype(width)
+    pairs <<= width(shift)
+    pairs |= symbols[1:]
+    pairs[ends[(ends > 0) & (ends < len(symbols))] - 1] = np.iinfo(width).max
     return pairs
 
 
@@ -63,7 +68,7 @@ def _frequent(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return ordered, np.zeros(0, np.int64)
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(np.append(first, len(ordered)))
-    often = np.flatnonzero(counts >= max(LEAST, int(counts.max()) // 16))
+    often = np.flatnonzero(counts >= max(LEAST, int(counts.max()) // SPREAD))
     best = often[np.argsort(-counts[often], kind="stable")[:RULES_A_ROUND]]
     return ordered[first[best]], counts[best]
 
@@ -115,16 +120,14 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
     present = np.zeros(int(ids.max(initial=0)) + 1, bool)
     present[ids] = True
     terminals = np.flatnonzero(present).astype(np.uint32)
-    number = np.cumsum(present) - 1
-    symbols = number[ids].astype(np.uint32)
-    last = np.zeros(len(ids), bool)
-    last[np.cumsum(sizes)[sizes > 0] - 1] = True
+    number = (np.cumsum(present) - 1).astype(np.uint32)
+    symbols, ends = number[ids], np.cumsum(sizes)
     left, right, lengths = [], [], [np.ones(len(terminals), np.int64)]
     n = len(terminals)
     for turn in range(ROUNDS):
         if len(symbols) < 2:
             break
-        pairs = _pairs(symbols, ~last[:-1], n)
+        pairs = _pairs(symbols, ends, n)
         wanted, counts = _frequent(pairs)
         if not len(wanted):
             break
@@ -137,7 +140,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
             break
         kept = worth[which]
         at, which = at[kept], which[kept]
-        new = n + np.cumsum(worth) - 1
+        new = (n + np.cumsum(worth) - 1).astype(np.uint32)
         shift = 16 if wanted.dtype == np.uint32 else 32
         a, b = wanted[worth] >> wanted.dtype.type(shift), wanted[worth] & wanted.dtype.type((1 << shift) - 1)
         left.append(a.astype(np.uint32))
@@ -148,11 +151,10 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         symbols[at] = new[which]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        last[at] = last[at + 1]
-        symbols, last = symbols[stay], last[stay]
-    ends = np.flatnonzero(last) + 1
-    counts = np.zeros(len(sizes), np.int64)
-    counts[sizes > 0] = np.diff(ends, prepend=0)
+        before = len(symbols)
+        symbols, ends = symbols[stay], ends - np.searchsorted(at + 1, ends)
+        if len(symbols) > SETTLED * before:
+            break
     none = np.zeros(0, np.uint32)
     return {
         "terminals": terminals,
@@ -160,7 +162,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         "right": np.concatenate([none, *right]),
         "lengths": np.concatenate(lengths),
         "symbols": symbols,
-        "sizes": counts,
+        "sizes": np.diff(ends, prepend=0),
     }
 
 
@@ -240,11 +242,14 @@ class Shard:
         """The ids of all documents: every rule is expanded once, then copied to its places."""
         n = len(self.terminals)
         flat = np.concatenate((self.terminals, self.expand(np.arange(n, len(self.lengths)))))
-        start = np.cumsum(self.lengths) - self.lengths
-        sizes = self.lengths[self.symbols]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return flat[np.repeat(start[self.symbols] - ends + sizes, sizes) + np.arange(total)]
+        total = int(self.sizes.sum())
+        width = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        lengths = self.lengths.astype(width)
+        start = np.cumsum(lengths, dtype=width) - lengths
+        sizes = lengths[self.symbols]
+        at = np.repeat(start[self.symbols] - np.cumsum(sizes, dtype=width) + sizes, sizes)
+        at += np.arange(total, dtype=width)
+        return flat[at]
 
 
 _SHARDS = "part int, shard int, n_docs int, n_tokens long, min_doc long, max_doc long, data binary"
