@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opsloom.llm.vectors import matrix, ordered_product, usable
+from opsloom.llm.vectors import matrix, ordered_product, taking_part, usable
 from opsloom.session import cut_lineage
 
 K = 20
@@ -202,7 +202,7 @@ def search(
 
     Vectors that are null, empty, zero or hold null or non-finite components,
     and rows without an id, take no part; of several lengths the most frequent
-    one does.  A candidate with the query's id is its own row and left out;
+    one of ``vectors`` does, among the queries too.  A candidate with the query's id is its own row and left out;
     repeated rows are candidates each, a repeated query id is asked once (with
     its least vector).  An empty table gives no rows.
     """
@@ -211,12 +211,14 @@ def search(
     spark = vectors.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = spark.sparkContext.broadcast(fit(rows, width, n, largest, k, recall))
+    # plain arrays: the class itself travels with the functions that use it
+    fitted = spark.sparkContext.broadcast(vars(fit(rows, width, n, largest, k, recall)))
 
     def assigned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists = Lists(**fitted.value)
         for batch in batches:
-            placed = lists.value.place(matrix(batch["vector"], width))
-            yield batch.assign(list=lists.value.nearest(placed, 1)[:, 0].astype("int32") if len(batch) else [])
+            placed = lists.place(matrix(batch["vector"], width))
+            yield batch.assign(list=lists.nearest(placed, 1)[:, 0].astype("int32") if len(batch) else [])
 
     index = cut_lineage(rows.mapInPandas(assigned, "vec_id long, vector array<double>, list int"), "ann-index")
     # at most MOST_LISTS rows
@@ -224,10 +226,11 @@ def search(
     group_of, blocks = _grouped(sizes)
 
     def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lists = Lists(**fitted.value)
         for batch in batches:
-            placed = lists.value.place(matrix(batch["vector"], width), query=True)
+            placed = lists.place(matrix(batch["vector"], width), query=True)
             out = []
-            turns = lists.value.probed(placed, batch["vec_id"].to_numpy(), k)
+            turns = lists.probed(placed, batch["vec_id"].to_numpy(), k)
             for vec_id, vector, (near, limit) in zip(batch["vec_id"], batch["vector"], turns):
                 own: dict[int, list[int]] = {}
                 for one in near.tolist():
@@ -236,7 +239,7 @@ def search(
                 out += [(vec_id, vector, limit, group, members) for group, members in own.items()]
             yield pd.DataFrame(out, columns=["vec_id", "vector", "limit", "group", "lists"])
 
-    asked, _, _, _ = usable(queries, id_col, vector_col, zeros=False)
+    asked = taking_part(queries, id_col, vector_col, zeros=False)
     asked = asked.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     probing = asked.mapInPandas(probed, "vec_id long, vector array<double>, limit double, group int, lists array<int>")
     probing = cut_lineage(probing, "ann-probes")
@@ -256,20 +259,21 @@ def search(
     group = ["group", "block", "turn"]
 
     def scanned(asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        lists = Lists(**fitted.value)
         ids, raw, member = block["vec_id"].to_numpy(), matrix(block["vector"], width), block["list"].to_numpy()
-        columns, raw_columns = np.ascontiguousarray(lists.value.place(raw).T), np.ascontiguousarray(raw.T)
+        columns, raw_columns = np.ascontiguousarray(lists.place(raw).T), np.ascontiguousarray(raw.T)
         found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         vectors_of = matrix(asking["vector"], width)
-        places = lists.value.place(vectors_of, query=True)
+        places = lists.place(vectors_of, query=True)
         query_ids, limits, own_lists = asking["vec_id"].to_numpy(), asking["limit"].to_numpy(), asking["lists"].to_list()
-        wanted = np.zeros(len(lists.value.centroids), bool)
+        wanted = np.zeros(len(lists.centroids), bool)
         for start in range(0, len(places), TILE):
             first = squared_distances(places[start : start + TILE, :COLUMNS], columns[:COLUMNS])
             for at, so_far in enumerate(first, start):
                 wanted[:] = False
                 wanted[own_lists[at]] = True
                 candidates = np.flatnonzero(wanted[member] & (ids != query_ids[at]))
-                rounding = _ROUNDING * (lists.value.norm + float(places[at] @ places[at]))
+                rounding = _ROUNDING * (lists.norm + float(places[at] @ places[at]))
                 near = scan(places[at], so_far, candidates, columns, k, limits[at], rounding)
                 score = ordered_product(vectors_of[at], raw_columns[:, near])
                 order = np.lexsort((ids[near], -score))[:k]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opsloom.llm.vectors import usable
+from opsloom.llm.vectors import taking_part, usable
 
 K = 5
 SCALE = 256
@@ -20,8 +20,11 @@ _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int, int]:
     """``vec_id, vector`` with ``floor(256 * x)`` of each component; width and number of rows."""
     rows, width, n, _ = usable(vectors, id_col, vector_col, zeros=True)
-    whole = F.transform("vector", lambda x: F.floor(x * F.lit(float(SCALE))).cast("long"))
-    return rows.select("vec_id", whole.alias("vector")), width, n
+    return rows.select("vec_id", _whole().alias("vector")), width, n
+
+
+def _whole() -> Column:
+    return F.transform("vector", lambda x: F.floor(x * F.lit(float(SCALE))).cast("long"))
 
 
 def _norms_behind(columns: np.ndarray) -> np.ndarray:
@@ -70,7 +73,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
 
     Vectors that are null, empty or hold null or non-finite components, and
     rows without an id, take no part; zero vectors do; of several lengths the
-    most frequent one does.  Components too large for a 64-bit number are cut
+    most frequent one of ``vectors`` does, among the queries too.  Components too large for a 64-bit number are cut
     to its ends before, and scores after, an exact sum.  The query's own id is
     left out; repeated rows are candidates each, a repeated query id is asked
     once (with its least vector).  An empty table gives no rows.
@@ -78,9 +81,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     rows, width, n = quantised(vectors, id_col, vector_col)
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    asked, _, asked_n = quantised(queries, id_col, vector_col)
-    asked = asked.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    blocks, turns = -(-n // BLOCK), max(1, -(-asked_n // QUERIES))
+    asked = taking_part(queries, id_col, vector_col, zeros=True).where(F.size("vector") == width)
+    asked = asked.select("vec_id", _whole().alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    blocks, turns = -(-n // BLOCK), max(1, -(-asked.count() // QUERIES))
     salt = F.xxhash64(F.lit(3), "vec_id")
 
     def each(count: int):

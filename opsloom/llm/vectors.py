@@ -13,16 +13,20 @@ def finite(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad, F.lit(False))
 
 
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str, zeros: bool) -> DataFrame:
+    """``vec_id, vector`` (doubles) of the rows with an id and a finite vector of any length."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    good = rows.where(F.col("vec_id").isNotNull() & finite(F.col("vector")))
+    return good if zeros else good.where(F.exists("vector", lambda x: x != 0.0))
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zeros: bool) -> tuple[DataFrame, int, int, float]:
     """``vec_id, vector`` (doubles) of the rows that take part; their width, number and largest component.
 
     Where lengths differ, the most frequent one takes part (the larger, if two
     are equally frequent).
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    good = rows.where(F.col("vec_id").isNotNull() & finite(F.col("vector")))
-    if not zeros:
-        good = good.where(F.exists("vector", lambda x: x != 0.0))
+    good = taking_part(vectors, id_col, vector_col, zeros)
     largest = F.array_max(F.transform("vector", F.abs))
     found = good.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n"), F.max(largest).alias("largest"))
     best = found.orderBy(F.desc("n"), F.desc("width")).first()

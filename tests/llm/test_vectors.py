@@ -141,3 +141,11 @@ def test_bounds_drop_candidates_but_no_winner():
     kept, scores = exact_topk.bounded_top(query, exact_topk._norms_behind(query[:, None])[:, 0], np.zeros(500, bool), columns, exact_topk._norms_behind(columns), 5)
     full = query @ columns
     assert len(kept) < 50 and set(np.argsort(-full, kind="stable")[:5]) <= set(kept) and (full[kept] == scores).all()
+
+
+@pytest.mark.parametrize("search", [ann.search, exact_topk.search])
+def test_queries_whose_own_frequent_width_differs(spark, search):
+    rows = [(i, [1.0 + i, 2.0]) for i in range(1, 12)] + [(20, [3.0, 4.0]), (100, [5.0, 1.0]), *((i, [1.0, 2.0, 3.0]) for i in (40, 60, 80))]
+    table = vectors(spark, rows)
+    got = found(search(table, table.where("vec_id % 20 = 0")))
+    assert set(got) == {20, 100} and len(got[20]) == (12 if search is ann.search else 5)
