@@ -51,9 +51,14 @@ def commit(path: str, batch: str, changes: DataFrame) -> None:
     A batch is one partition of the table, replaced as a whole when its job
     commits.  Sending a batch again, after a crash or by mistake, therefore
     changes nothing, and a broken job leaves what was there.  Repeated rows
-    within a batch are changes of their own.
+    within a batch are changes of their own.  A batch that comes to nothing
+    replaces what it held before by a row of zeros.
     """
-    rows = signed_totals(changes).where((F.col("docs") != 0) | (F.col("tokens") != 0)).withColumn("batch", F.lit(batch))
+    rows = signed_totals(changes).where((F.col("docs") != 0) | (F.col("tokens") != 0))
+    spark = changes.sparkSession
+    # without a row, the overwrite would leave the partition as it was
+    marker = spark.createDataFrame([(None, None, None, 0, 0)], "source string, lang string, version string, docs long, tokens long")
+    rows = rows.unionByName(marker).withColumn("batch", F.lit(batch))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 

@@ -78,3 +78,11 @@ def test_counts_of_a_subword_tokenizer(spark, path):
     rollups.commit(path, "load", rollups.inserted(counted, "byte_bpe_50k", F.col("n")))
     out = plain(rollups.totals(spark, path))
     assert sum(t for _, t in out.values()) == counts.agg(F.sum("n")).first()[0]
+
+
+def test_batch_corrected_to_nothing(spark, path):
+    docs = corpora.documents(spark)
+    rollups.commit(path, "b1", rollups.inserted(docs, "v", F.lit(10)))
+    rollups.commit(path, "b2", rollups.inserted(docs.where("doc_id = 1"), "v", F.lit(3)))
+    rollups.commit(path, "b1", rollups.inserted(docs.where("false"), "v", F.lit(10)))
+    assert plain(rollups.totals(spark, path)) == {("a", "en", "v"): (1, 3)}
