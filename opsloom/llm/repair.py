@@ -6,8 +6,9 @@ and the length of every rule's expansion, so a document, or a stretch of one,
 is decoded without touching the rest of its shard, and shards without a wanted
 document are skipped by the statistics of the files they lie in.
 
-A file is Parquet with one row a shard (``part, shard, n_docs, n_tokens,
-min_doc, max_doc, data``).  ``data`` is little-endian and reads in order:
+A file is Parquet with one row a shard (``part, shard, before, n_docs,
+n_tokens, min_doc, max_doc, data``; ``before`` counts the ids of earlier shards
+of its part).  ``data`` is little-endian and reads in order:
 
 * ``RPG1``, then 32-bit numbers of documents, terminals, rules and bytes a
   symbol (2 or 4), and the 64-bit number of symbols;
@@ -252,8 +253,8 @@ class Shard:
         return flat[at]
 
 
-_SHARDS = "part int, shard int, n_docs int, n_tokens long, min_doc long, max_doc long, data binary"
-_SHARD_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_SHARDS = "part int, shard int, before long, n_docs int, n_tokens long, min_doc long, max_doc long, data binary"
+_SHARD_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 _SHARD_NAMES = [c.split()[0] for c in _SHARDS.split(", ")]
 
 
@@ -272,14 +273,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, sh
         encoder = Encoder(tokenizer_path(tokenizer))
         part = TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
-        n = shard = 0
+        n = shard = before = 0
 
         def closed() -> pa.RecordBatch:
             sizes = np.array([len(ids) for _, ids in held], np.int64)
             names = [i for i, _ in held]
             known = [i for i in names if i is not None]
             data = to_bytes(names, sizes, compress(np.concatenate([ids for _, ids in held]), sizes))
-            row = (part, shard, len(held), int(sizes.sum()), min(known, default=None), max(known, default=None), data)
+            row = (part, shard, before, len(held), int(sizes.sum()), min(known, default=None), max(known, default=None), data)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _SHARD_TYPES)], _SHARD_NAMES)
 
         for batch in batches:
@@ -287,7 +288,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, sh
                 ids = np.array([*encoder.ids(text or ""), END_ID], dtype=np.uint32)
                 if held and n + len(ids) > shard_ids:
                     yield closed()
-                    held, n, shard = [], 0, shard + 1
+                    held, n, shard, before = [], 0, shard + 1, before + n
                 held.append((doc_id, ids))
                 n += len(ids)
         if held:
@@ -300,20 +301,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, sh
 
 
 def _placed(spark: SparkSession, path: str) -> DataFrame:
-    """All shards with ``before``: how many ids lie in the shards before each.
-
-    Shards are summed within their part, parts over one small row each.
-    """
+    """All shards with ``start``: how many ids lie before each, in its part and in the parts before it."""
     shards = spark.read.schema(_SHARDS).parquet(path)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("__n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("__part"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    index = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("__inside"))
-    # one row for each task that wrote
-    index = index.join(F.broadcast(parts), F.col("part") == F.col("__part"))
-    index = index.select("part", "shard", (F.col("__before") + F.col("__inside")).alias("before"))
-    return shards.join(index, ["part", "shard"])
+    # one row for each task that wrote; the shards themselves do not move
+    placed = shards.join(F.broadcast(parts), F.col("part") == F.col("__part"))
+    return placed.select("data", (F.col("__before") + F.col("before")).alias("start"))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -323,7 +318,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, before in zip(batch.column("data"), batch.column("before").to_pylist()):
+            for data, before in zip(batch.column("data"), batch.column("start").to_pylist()):
                 shard = Shard(data.as_py())
                 ids = shard.all_ids().astype("<u4", copy=False)
                 ends = np.cumsum(shard.sizes)
@@ -331,7 +326,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 columns = (shard.doc_ids, before + ends - shard.sizes, shard.sizes, crc)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return _placed(spark, path).select("data", "before").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _placed(spark, path).mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(spark: SparkSession, path: str, doc_id: int, at: int = 0, n: int | None = None) -> DataFrame:
