@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opsloom.functions.text import embedding_cache_key, let, tokens
+from opsloom.operators import versioned
 from opsloom.operators.skew import lookup
 from opsloom.session import cut_lineage
 
@@ -146,6 +147,30 @@ def valid_cache(cache: DataFrame, now=None, ttl_seconds: int = CACHE_TTL_SECONDS
     return cache.where(age < ttl_seconds)
 
 
+def latest_entries(cache: DataFrame) -> DataFrame:
+    """One entry a key: the one cached last (ties: the greatest vector).  Doubles collapse before the shuffle."""
+    others = [c for c in cache.columns if c not in ("cache_key", "cached_at")]
+    newest = F.max(F.struct("cached_at", *others)).alias("__e")
+    return cache.groupBy("cache_key").agg(newest).select(*[F.col(c) if c == "cache_key" else F.col("__e")[c].alias(c) for c in cache.columns])
+
+
+def store_entries(spark: SparkSession, path: str, fresh: DataFrame, rows_per_bucket: int = versioned.ROWS_PER_BUCKET) -> None:
+    """Add entries to the cache at ``path``, a versioned collection: an entry replaces an older one of its key."""
+    fresh = latest_entries(fresh)
+    if versioned.exists(spark, path):
+        versioned.merge(spark, path, fresh)
+    else:
+        versioned.create(spark, path, fresh, "cache_key", rows_per_bucket=rows_per_bucket)
+
+
+def compact_cache(spark: SparkSession, path: str, now: Column | None = None, ttl_seconds: int = CACHE_TTL_SECONDS, keep_versions: int = 2) -> None:
+    """Drop expired entries from a stored cache, rewriting only the buckets that hold one, and forget old versions."""
+    now = F.current_timestamp() if now is None else now
+    age = F.unix_seconds(now) - F.unix_seconds(F.col("cached_at").cast("timestamp"))
+    versioned.remove_where(spark, path, age >= ttl_seconds)
+    versioned.forget(spark, path, keep_versions)
+
+
 def cache_lookup(texts: DataFrame, cache: DataFrame, model: str, text: str = "text") -> DataFrame:
     """Each text with its cached vector, or null.  Safe when one text fills a third of the rows."""
     keyed = texts.withColumn("cache_key", embedding_cache_key(F.col(text), model))
@@ -167,7 +192,7 @@ def embed_missing(
 ) -> DataFrame:
     """New cache entries for the texts that have none: cache_key, model, embedding, cached_at.
 
-    Append these to the cache table, then use :func:`cache_lookup`.
+    Add these with :func:`store_entries`, then use :func:`cache_lookup`.
     """
     model = model or provider.name
     missing = missing_texts(texts, cache, model, text)
@@ -191,7 +216,7 @@ def embed_documents(
     """
     model = model or provider.name
     now = pinned_now(cache.sparkSession) if now is None else now
-    live = valid_cache(cache, now)
+    live = latest_entries(valid_cache(cache, now))
     fresh = cut_lineage(embed_missing(texts, live, provider, model, text, now), "vectors")
     both = live.select("cache_key", "embedding").unionByName(fresh.select("cache_key", "embedding"))
     return cache_lookup(texts, both, model, text), fresh

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["queries_text", "queries_search", "queries_chat", "queries_ops"]
+_MODULES = ["queries_text", "queries_search", "queries_chat", "queries_ops", "queries_stored"]
 
 
 def all_queries():

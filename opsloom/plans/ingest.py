@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opsloom.operators import collections as L
 from opsloom.operators import embedding as E
+from opsloom.operators import versioned as V
 from opsloom.operators.chunking import chunk_documents
 from opsloom.session import cut_lineage
 from opsloom.sources.files import load_documents
@@ -19,13 +20,8 @@ CHUNK_COLUMNS = [
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one before its first write."""
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+    """The newest version of a stored table, or an empty one before its first write."""
+    return V.read(spark, path) if V.exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def ingest(
@@ -39,9 +35,10 @@ def ingest(
 ) -> DataFrame:
     """Ingest a folder and return the one-row summary.
 
-    Chunks and new vectors are written to the shared folder once, as every
-    later step reads them again.  Running it twice leaves the collection as it
-    was after the first run.
+    Collection and cache are versioned: readers see the versions before until
+    the new ones are published.  Chunks and new vectors are written to the
+    shared folder once, as every later step reads them again.  Running it
+    twice leaves the rows of the collection as they were after the first run.
     """
     started = time.monotonic()
     now = E.pinned_now(spark)
@@ -53,15 +50,15 @@ def ingest(
     cache_schema = "cache_key string, model string, embedding array<float>, cached_at timestamp"
     cached = cut_lineage(E.valid_cache(_stored(spark, cache_path, cache_schema), now), "cache")
     vectors, fresh = E.embed_documents(chunks, cached, provider, text="content", now=now)
-    fresh.write.mode("append").parquet(cache_path)
+    E.store_entries(spark, cache_path, fresh)
     ready = cut_lineage(vectors, "embedded").drop("cache_key")
     if not ready.where(F.col("embedding").isNull()).isEmpty():
         raise ValueError("chunks without a vector")
 
     stored = _stored(spark, collection_path, "chunk_id string")
     counts = cut_lineage(L.merge_counts(chunks, stored), "counts")
-    if any(c.startswith("bucket_of_") for c in stored.columns):
-        L.merge_into(spark, collection_path, ready)
+    if V.exists(spark, collection_path):
+        V.merge(spark, collection_path, ready)
     else:
-        L.write_collection(ready, collection_path, "document_id")
+        V.create(spark, collection_path, ready, "chunk_id", "document_id")
     return L.ingestion_summary(documents, chunks, counts, time.monotonic() - started)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from opsloom.operators import versioned as V
 from opsloom.operators.embedding import HashingProvider
 from opsloom.operators.tools import Tool, ToolRegistry
 from opsloom.plans.chat import run_turns
@@ -23,18 +24,18 @@ def test_ingest_twice(spark, knowledge):
     paths, first = knowledge
     assert (first.status, first.documents_loaded, first.chunks_updated) == ("success", 4, 0)
     assert first.chunks_stored == first.chunks_created == 5
-    kb = spark.read.parquet(paths[1])
+    kb = V.read(spark, paths[1])
     assert kb.count() == 5 and kb.where("embedding IS NULL").count() == 0
     # equal texts share one cached vector
-    assert spark.read.parquet(paths[2]).count() == 4
+    assert V.read(spark, paths[2]).count() == 4
     again = ingest(spark, *paths, HashingProvider(32)).first()
     assert (again.chunks_stored, again.chunks_updated) == (0, 5)
-    assert spark.read.parquet(paths[1]).count() == 5 and spark.read.parquet(paths[2]).count() == 4
+    assert V.read(spark, paths[1]).count() == 5 and V.read(spark, paths[2]).count() == 4
 
 
 def test_chat_batch(spark, knowledge):
     paths, _ = knowledge
-    kb = spark.read.parquet(paths[1])
+    kb = V.read(spark, paths[1])
     ts = F.lit("2024-05-01").cast("timestamp_ntz")
     turns = spark.createDataFrame(
         [
