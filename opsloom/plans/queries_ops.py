@@ -12,6 +12,7 @@ from opsloom.operators import tools as W
 from opsloom.plans.catalog import query, table
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.streaming import events as X
+from opsloom.streaming.cache import cached_reads
 
 CONFIGS = derived_sql("configs")
 TICKETS = derived_sql("tickets")
@@ -615,4 +616,4 @@ def stream_cache(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).selectExpr(
         "event_id", "user_id", "ts", "event_type = 'purchase' AS is_put", "CAST(event_id AS STRING) AS held"
     )
-    return X.run_available(X.cached_reads(rows, "user_id", "held", "is_put", 7200, ["event_id"]), "cache")
+    return X.run_available(cached_reads(rows, "user_id", "held", "is_put", 7200, ["event_id"]), "cache", rocksdb=True)

@@ -7,11 +7,10 @@ batch result over the same rows is the reference for its tests.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager, nullcontext
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from opsloom.operators.audit import AUDIT_SCHEMA
 from opsloom.session import scratch_dir
@@ -73,60 +72,33 @@ def first_arrivals(rows: DataFrame, key: Sequence[str], delay: str = "1 hour", t
     return event_time(rows, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-def cached_reads(
-    rows: DataFrame, key: str, value: str, is_put: str, ttl_seconds: int, keep: Sequence[str] = (), ts: str = "ts", delay: str = "1 hour"
-) -> DataFrame:
-    """An expiring cache as stream state: each read with the value put last, if that was less than the TTL before.
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state on disk; a restarted stream keeps the store it began with."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    ``rows``: ``key``, ``value`` (text), ``is_put``, ``ts`` and the ``keep``
-    columns that name a read.  Returns ``keep`` and ``cached`` (null: a miss),
-    one row per read.  A key holds one value and its time; when the watermark
-    passes its expiry, the state is dropped.  At equal times puts come first.
-    """
-    kept = list(keep)
-    types = dict(rows.dtypes)
-    columns = [F.col(key).cast("string").alias("__key"), F.unix_millis(F.col(ts).cast("timestamp")).alias("__at"), is_put, value]
-    staged = event_time(rows, ts).withWatermark(ts, delay).select(ts, *kept, *columns)
-
-    def serve(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, put_at = state.get if state.exists else (None, -1)
-        batch = pd.concat(list(batches)).sort_values(["__at", is_put], ascending=[True, False], kind="stable")
-        found = []
-        for at, puts, given in zip(batch["__at"], batch[is_put], batch[value]):
-            if puts:
-                held, put_at = given, int(at)
-            found.append(held if put_at >= 0 and at - put_at < ttl_seconds * 1000 else None)
-        if put_at >= 0:
-            state.update((held, put_at))
-            expiry = put_at + ttl_seconds * 1000
-            if expiry > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(expiry)
-            else:
-                state.remove()
-        out = batch[kept].assign(cached=found)
-        yield out[~batch[is_put].astype(bool)]
-
-    schema = "".join(f"`{c}` {types[c]}, " for c in kept) + "cached string"
-    return staged.groupBy("__key").applyInPandasWithState(serve, schema, "held string, put_at long", "append", "EventTimeTimeout")
-
-
-def run_available(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
+
+def run_available(stream: DataFrame, label: str, output_mode: str = "append", rocksdb: bool = False) -> DataFrame:
     """Run a stream over the input present now and return what it wrote.
 
     Output and checkpoint lie in the shared folder.
     """
     spark = stream.sparkSession
     base = scratch_dir(spark, label)
-    query: StreamingQuery = (
-        stream.writeStream.format("parquet")
-        .option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .outputMode(output_mode)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_in_rocksdb(spark) if rocksdb else nullcontext():
+        query: StreamingQuery = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .outputMode(output_mode)
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from opsloom.operators import metrics as M
 from opsloom.streaming import events as X
+from opsloom.streaming.cache import cached_reads
 
 
 def test_histogram_is_cumulative(spark):
@@ -92,5 +93,41 @@ def test_cached_reads_expire(spark, tmp_path):
     path = str(tmp_path / "in")
     df.coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
-    out = X.run_available(X.cached_reads(stream, "k", "v", "put", 60, ["id"]), "cached")
+    out = X.run_available(cached_reads(stream, "k", "v", "put", 60, ["id"]), "cached", rocksdb=True)
     assert {r.id: r.cached for r in out.collect()} == {2: "x", 3: None, 5: "y", 6: None, 8: "z", 9: None}
+
+
+@pytest.mark.parametrize("frame_rows", [7, 10_000])
+def test_cache_of_a_hot_key_over_several_batches(spark, tmp_path, frame_rows):
+    """A third of all rows under one key, in frames of a few rows, in no order, over several micro-batches."""
+    import random
+
+    draw = random.Random(6)
+    rows = []
+    for i in range(900):
+        key = "hot" if i % 3 == 0 else f"k{draw.randrange(20)}"
+        rows.append((i, key, i * 7 + draw.randrange(5), draw.random() < 0.3, f"v{i}"))
+    wanted, held = {}, {}
+    for i, key, at, put, value in sorted(rows, key=lambda r: (r[2], not r[3], r[0])):
+        if put:
+            held[key] = (at, value)
+        else:
+            wanted[i] = held[key][1] if key in held and at - held[key][0] < 60 else None
+    # puts of one moment under one key would leave the winner open
+    assert len({(r[1], r[2]) for r in rows if r[3]}) == sum(r[3] for r in rows)
+    path = str(tmp_path / "in")
+    schema = "id long, k string, s long, put boolean, v string"
+    for part in range(3):
+        own = rows[part * 300 : (part + 1) * 300]
+        df = spark.createDataFrame(draw.sample(own, 300), schema).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, frame_rows)
+        out = X.run_available(cached_reads(stream, "k", "v", "put", 60, ["id"], slice_seconds=50), "hot-cache", rocksdb=True)
+        got = [(r.id, r.cached) for r in out.collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert dict(got) == wanted and len(got) == len(wanted)
