@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opsloom.functions import configs as G
 from opsloom.functions import services as S
@@ -367,3 +367,66 @@ def diff_configs(pairs: DataFrame, current: str = "current_config", proposed: st
         )
         .drop("__current", "__proposed", "__new", "__gone")
     )
+
+
+# --- service levels at many moments -----------------------------------------
+def sla_timeline(samples: DataFrame, thresholds: DataFrame, since: str, until: str, step: str = "1 day") -> DataFrame:
+    """The levels of every service at every moment from ``since`` to ``until``, from one pass over the samples.
+
+    ``samples`` as in :func:`sla_measurements`; moments lie on full hours and
+    windows (30 days, one day, one hour, by default thresholds) reach back from
+    a moment, which they do not include.  Samples become hourly sums once;
+    running totals per service turn any window into the difference of two of
+    them, found by an as-of merge of hours and moments.  A service appears from
+    its first sample on; a metric without samples in its window is null and
+    breaks no target.
+    """
+    ids = ["region", "service_id", "service_name", "tier"]
+    hourly = (
+        with_thresholds(samples, thresholds)
+        .groupBy(*ids, "target_latency_ms", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at"))
+        .agg(
+            F.count("*").alias("n"),
+            F.count_if("is_available").alias("up"),
+            F.count_if("is_error").alias("bad"),
+            # whole nanoseconds: differences of running totals stay exact
+            F.sum(F.round(F.col("latency_ms") * 1_000_000).cast("long")).alias("ns"),
+            F.avg("latency_ms").alias("__mean"),
+        )
+        .withColumn("breach", (F.col("__mean") > F.col("target_latency_ms")).cast("long"))
+    )
+    totals = ["n", "up", "bad", "ns", "breach"]
+    # rows of one service: its hours, whatever the number of its samples
+    own = Window.partitionBy(*ids).orderBy("at")
+    running = hourly.select(*ids, "at", F.lit(1).alias("kind"), F.struct(*[F.sum(c).over(own).alias(c) for c in totals]).alias("upto"))
+
+    windows = {"now": 0, **{m: S.WINDOW_SECONDS[w] for m, w in (("month", "monthly"), ("day", "daily"), ("hour", "hourly"))}}
+    moments = F.sequence(F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz"), F.expr(f"INTERVAL {step}"))
+    reach = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(s).alias("seconds")) for n, s in windows.items()])
+    services = hourly.groupBy(*ids).agg(F.min("at").alias("first"))
+    points = services.select(*ids, "first", F.explode(moments).alias("as_of")).where(F.col("as_of") > F.col("first"))
+    points = points.select(*ids, "as_of", F.explode(reach).alias("w")).select(
+        *ids, "as_of", "w.window", (F.col("as_of") - F.make_dt_interval(secs=F.col("w.seconds"))).alias("at"), F.lit(0).alias("kind")
+    )
+    # a moment sees the hours before its own
+    seen = Window.partitionBy(*ids).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = running.unionByName(points, allowMissingColumns=True).withColumn("found", F.last("upto", ignorenulls=True).over(seen))
+    at = merged.where(F.col("kind") == 0).groupBy(*ids, "as_of").agg(
+        *[F.max(F.when(F.col("window") == w, F.col("found"))).alias(w) for w in windows]
+    )
+
+    def inside(window: str, total: str) -> Column:
+        return F.coalesce(F.col("now")[total], F.lit(0)) - F.coalesce(F.col(window)[total], F.lit(0))
+
+    def ratio(window: str, total: str, factor: float) -> Column:
+        return inside(window, total) * factor / F.nullif(inside(window, "n"), F.lit(0))
+
+    measured = at.select(
+        *ids,
+        "as_of",
+        F.round(ratio("month", "up", 100.0), 3).alias("current_availability"),
+        F.round(ratio("hour", "ns", 1e-6), 4).alias("current_latency_ms"),
+        F.round(ratio("day", "bad", 100.0), 2).alias("current_error_rate"),
+        inside("month", "breach").alias("breach_count_30d"),
+    )
+    return sla_compliance(measured, thresholds)

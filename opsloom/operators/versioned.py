@@ -60,11 +60,7 @@ def _hadoop(spark: SparkSession, path: str):
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """The published versions, oldest first; empty where there is no collection."""
-    _, at, fs = _hadoop(spark, f"{path}/manifests")
-    if not fs.exists(at):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(at)]
-    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+    return [int(n.removesuffix(".json")) for n in names_in(spark, f"{path}/manifests")]
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict:
@@ -78,23 +74,36 @@ def manifest(spark: SparkSession, path: str, version: int | None = None) -> dict
     return json.loads(spark.read.text(f"{path}/manifests/{version:012d}.json").first()[0])
 
 
-def _publish(spark: SparkSession, path: str, content: dict) -> dict:
-    jvm, folder, fs = _hadoop(spark, f"{path}/manifests")
-    fs.mkdirs(folder)
-    draft = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+def put_once(spark: SparkSession, folder: str, name: str, text: str) -> bool:
+    """Write a small file unless one of that name exists: it appears whole or not at all; False if somebody was first."""
+    jvm, at, fs = _hadoop(spark, folder)
+    fs.mkdirs(at)
+    draft = jvm.org.apache.hadoop.fs.Path(at, f".{uuid.uuid4().hex}")
     out = fs.create(draft, False)
-    out.write(bytearray(json.dumps(content).encode()))
+    out.write(bytearray(text.encode()))
     out.close()
-    final = jvm.org.apache.hadoop.fs.Path(folder, f"{content['version']:012d}.json")
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
     careful = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
     try:
-        context.rename(fs.makeQualified(draft), fs.makeQualified(final), careful)
+        context.rename(fs.makeQualified(draft), fs.makeQualified(jvm.org.apache.hadoop.fs.Path(at, name)), careful)
     except Exception as error:
         fs.delete(draft, False)
         if "FileAlreadyExists" in str(error) or "already exists" in str(error):
-            raise VersionConflict(f"version {content['version']} of {path} exists") from error
+            return False
         raise
+    return True
+
+
+def names_in(spark: SparkSession, folder: str, suffix: str = ".json") -> list[str]:
+    """Names of the files of a folder, sorted; empty where there is none."""
+    _, at, fs = _hadoop(spark, folder)
+    found = [status.getPath().getName() for status in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in found if n.endswith(suffix) and not n.startswith("."))
+
+
+def _publish(spark: SparkSession, path: str, content: dict) -> dict:
+    if not put_once(spark, f"{path}/manifests", f"{content['version']:012d}.json", json.dumps(content)):
+        raise VersionConflict(f"version {content['version']} of {path} exists")
     return content
 
 

@@ -106,11 +106,11 @@ AS_OF = "2024-01-30 12:00:00"
 _AT = f"TIMESTAMP '{AS_OF}'"
 # written from the definition: gold, silver and bronze have targets, every other service the default ones;
 # availability looks back 30 days, error rate one day, latency one hour, breaches 30 days
-_TARGETS = """
+TARGETS = """
     (VALUES ('gold', 99.99::DOUBLE, 15.0::DOUBLE, 0.1::DOUBLE), ('silver', 99.95, 30.0, 1.0), ('bronze', 99.5, 50.0, 2.0))
     AS targets(tier, target_availability, target_latency, target_error_rate)
 """
-_TARGET_OF = """
+TARGET_OF = """
     coalesce(target_availability, 99.95::DOUBLE) AS target_availability, coalesce(target_latency, 30.0::DOUBLE) AS target_latency,
     coalesce(target_error_rate, 1.0::DOUBLE) AS target_error_rate
 """
@@ -121,7 +121,7 @@ def _recent(days: float) -> str:
 
 
 _COMPLIANCE_SQL = f"""
-    WITH s AS (SELECT x.*, {_TARGET_OF} FROM {SAMPLES} x LEFT JOIN {_TARGETS} USING (tier) WHERE ts <= {_AT}),
+    WITH s AS (SELECT x.*, {TARGET_OF} FROM {SAMPLES} x LEFT JOIN {TARGETS} USING (tier) WHERE ts <= {_AT}),
     h AS (SELECT service_id, date_trunc('hour', ts) AS hour, avg(latency_ms) > any_value(target_latency) AS breach FROM s WHERE {_recent(30)} GROUP BY ALL),
     b AS (SELECT service_id, count(*) AS breach_count_30d, max(hour) AS last_breach FROM h WHERE breach GROUP BY ALL),
     m AS (

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsloom.operators import audit as U
 from opsloom.operators import embedding as E
+from opsloom.operators import operations as O
+from opsloom.operators import sketches as SK
 from opsloom.operators import versioned as V
 from opsloom.plans.catalog import query, table
-from opsloom.session import scratch_dir
+from opsloom.plans.derived import derive, derived_sql
+from opsloom.plans.queries_ops import TARGET_OF, TARGETS
+from opsloom.session import cut_lineage, scratch_dir
+from opsloom.sources import ranges as RG
+from opsloom.streaming import auditlog as AL
 
 # --- collections and caches ---------------------------------------------------------------
 _GROWN = 4000
@@ -71,3 +78,147 @@ def cache_overlap(spark, sf_dir):
     E.compact_cache(spark, path, F.lit("2024-01-10").cast("timestamp"))
     found = E.cache_lookup(docs.select("doc_id", "text"), V.read(spark, path), "m")
     return found.select("doc_id", F.get("embedding", 0).cast("int").alias("run"))
+
+
+# --- audit log ----------------------------------------------------------------------------
+_AUDIT_FILE = 48 * 1024
+
+
+@query(
+    "audit_rolling_files",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS entries, count(DISTINCT user_id) AS sessions, 0::BIGINT AS overfull FROM events GROUP BY 1",
+)
+def audit_rolling_files(spark, sf_dir):
+    """A stream of audit entries, its batches sent again, read back from files that are closed by their bytes."""
+    base = scratch_dir(spark, "audit-log")
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+    def entries(rows):
+        return U.query_events(rows.select(F.col("user_id").alias("session_id"), "ts", F.col("props").alias("message")))
+
+    AL.follow(entries(stream), f"{base}/log", f"{base}/checkpoint", _AUDIT_FILE).awaitTermination()
+    AL.commit_batch(entries(events), f"{base}/log", 0, _AUDIT_FILE)
+    log = AL.read_log(spark, f"{base}/log")
+    overfull = AL.log_files(spark, f"{base}/log").agg(F.count_if((F.col("bytes") > _AUDIT_FILE) & (F.col("records") > 1))).scalar()
+    by_day = log.groupBy(F.substring("timestamp", 1, 10).alias("day"))
+    counts = by_day.agg(F.count("*").alias("entries"), F.count_distinct("session_id").alias("sessions"))
+    return counts.withColumn("overfull", overfull)
+
+
+# --- sketches -----------------------------------------------------------------------------
+_FRACTIONS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+def _hours(spark, sf_dir):
+    """Hourly sketches of all events, stored in two runs that share a day."""
+    path = scratch_dir(spark, "sketches")
+    events = table(spark, sf_dir, "events")
+    for chosen in (F.col("ts") < "2024-01-16", F.col("ts") >= "2024-01-15"):
+        SK.store_hours(SK.hourly_sketches(events.where(chosen), "value", ["event_type"], "user_id"), path)
+    return SK.read_hours(spark, path)
+
+
+@query(
+    "latency_rollup",
+    "SELECT event_type, count(value) AS observations, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY 1",
+)
+def latency_rollup(spark, sf_dir):
+    """Quantiles of the whole time from stored hourly sketches, and whether each is as near to its rank as promised."""
+    merged = cut_lineage(SK.merged_quantiles(_hours(spark, sf_dir), ["event_type"], _FRACTIONS), "quantiles")
+    errors = SK.rank_errors(table(spark, sf_dir, "events"), merged, "event_type", "value", _FRACTIONS)
+    near = [(F.col(f"error_{n}") <= SK.RANK_ERROR).alias(f"{n}_near") for n in _FRACTIONS]
+    return merged.join(errors, "event_type").select("event_type", "observations", *near)
+
+
+@query(
+    "session_sketch",
+    """
+    WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE user_id IS NOT NULL),
+    r AS (SELECT d.day, count(*) AS active, count(b.user_id) AS returned FROM d LEFT JOIN d b ON b.day = d.day - 1 AND b.user_id = d.user_id GROUP BY d.day)
+    SELECT day, active, returned, active - returned AS fresh, active AS exact_active, true AS near FROM r
+    """,
+)
+def session_sketch(spark, sf_dir):
+    """Distinct, returned and new sessions a day from stored sketches, with the exact count beside them."""
+    found = SK.daily_sessions(_hours(spark, sf_dir))
+    exact = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("user_id").alias("exact_active"))
+    allowed = F.lit(2.0 ** (1 - SK.THETA_SIZE / 2)) * F.col("exact_active")
+    return found.join(exact, "day").withColumn("near", F.abs(F.col("active") - F.col("exact_active")) <= allowed)
+
+
+@query(
+    "session_windows",
+    """
+    WITH h AS (SELECT DISTINCT date_trunc('hour', ts) AS hour, user_id FROM events WHERE user_id IS NOT NULL),
+    s AS (SELECT hour + to_hours(CAST(n AS INTEGER)) AS window_end, user_id FROM h, range(1, 7) t(n))
+    SELECT window_end, count(DISTINCT user_id) AS active FROM s GROUP BY 1
+    """,
+)
+def session_windows(spark, sf_dir):
+    """Sessions active in the six hours before each full hour, by uniting hourly sketches."""
+    return SK.sliding_sessions(_hours(spark, sf_dir), 6)
+
+
+# --- service levels -----------------------------------------------------------------------
+_FIRST_DAY, _LAST_DAY = "2024-01-02", "2024-01-31"
+
+
+@query(
+    "sla_timeline",
+    f"""
+    WITH s AS (SELECT x.*, {TARGET_OF} FROM {derived_sql('samples')} x LEFT JOIN {TARGETS} USING (tier)),
+    m AS (SELECT unnest(generate_series(TIMESTAMP '{_FIRST_DAY}', TIMESTAMP '{_LAST_DAY}', INTERVAL 1 DAY)) AS as_of),
+    h AS (SELECT service_id, date_trunc('hour', ts) AS hour, avg(latency_ms) > any_value(target_latency) AS breach FROM s GROUP BY ALL),
+    b AS (SELECT service_id, as_of, count(*) FILTER (WHERE breach AND hour >= as_of - INTERVAL 30 DAY) AS breaches FROM h JOIN m ON hour < as_of GROUP BY ALL),
+    v AS (
+      SELECT region, service_id, tier, as_of, any_value(target_availability) AS ta, any_value(target_latency) AS tl, any_value(target_error_rate) AS te,
+        round(100.0::DOUBLE * count(*) FILTER (WHERE is_available AND ts >= as_of - INTERVAL 30 DAY) / nullif(count(*) FILTER (WHERE ts >= as_of - INTERVAL 30 DAY), 0), 3) AS current_availability,
+        round(avg(latency_ms) FILTER (WHERE ts >= as_of - INTERVAL 1 HOUR), 4) AS current_latency_ms,
+        round(100.0::DOUBLE * count(*) FILTER (WHERE is_error AND ts >= as_of - INTERVAL 1 DAY) / nullif(count(*) FILTER (WHERE ts >= as_of - INTERVAL 1 DAY), 0), 2) AS current_error_rate
+      FROM s JOIN m ON ts < as_of GROUP BY region, service_id, tier, as_of)
+    SELECT region, service_id, as_of, current_availability, current_latency_ms, current_error_rate, breaches AS breach_count_30d,
+      coalesce(current_availability >= ta, true) AND coalesce(current_latency_ms <= tl, true) AND coalesce(current_error_rate <= te, true) AS is_compliant
+    FROM v JOIN b USING (service_id, as_of)
+    """,
+)
+def sla_timeline(spark, sf_dir):
+    """Levels of each service on each day of a month."""
+    out = O.sla_timeline(derive(spark, sf_dir, "samples"), O.sla_thresholds(spark), _FIRST_DAY, _LAST_DAY)
+    return out.select(
+        "region", "service_id", "as_of", "current_availability", "current_latency_ms", "current_error_rate", "breach_count_30d", "is_compliant"
+    )
+
+
+# --- files --------------------------------------------------------------------------------
+@query(
+    "range_statistics",
+    """
+    SELECT source, 'text' AS format, sum(1 + len(string_split(text, chr(10))) - 1) AS records, sum(1 + length(text)) AS chars, '' AS columns, 0::BIGINT AS rejected, true AS several
+      FROM documents GROUP BY source
+    UNION ALL SELECT source, 'csv', count(*), NULL, 'doc_id,lang,text', 0, true FROM documents GROUP BY source
+    UNION ALL SELECT source, 'json', count(*), NULL, 'doc_id,text', 0, true FROM documents GROUP BY source
+    """,
+)
+def range_statistics(spark, sf_dir):
+    """All texts written as text, CSV and JSON lines, read again by byte ranges, with totals by source from the pieces."""
+    path = scratch_dir(spark, "ranged")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "lang", "text")
+    near = docs.hint("rebalance", "source")  # a large source goes to several writers
+    near.select("source", "text").write.partitionBy("source").text(f"{path}/text")
+    near.write.partitionBy("source").option("escape", '"').csv(f"{path}/csv", header=True)
+    near.select("source", "doc_id", "text").write.partitionBy("source").json(f"{path}/json")
+    # a few ranges for each file of these tables, more for larger ones
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces = RG.read_ranges(spark, path, max(32 * 1024, size // 64), glob="part-*", formats={".json": "json"})
+    by_source = F.regexp_extract("source_path", "source=([^/]+)/", 1).alias("source")
+    files = RG.file_statistics(cut_lineage(pieces.drop("content"), "pieces"))
+    named = files.select(by_source, "format", "records", "chars", "columns", "ranges", F.size("reasons").alias("reasons"))
+    cut = named.groupBy("format").agg((F.sum("ranges") > F.count("*")).alias("several"))
+    totals = named.groupBy("source", "format").agg(
+        F.sum("records").alias("records"),
+        F.sum(F.when(F.col("format") == "text", F.col("chars"))).alias("chars"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("columns")))), ",").alias("columns"),
+        F.sum("reasons").cast("long").alias("rejected"),
+    )
+    return totals.join(cut, "format")

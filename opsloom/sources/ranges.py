@@ -69,6 +69,7 @@ class _Reader(DataSourceReader):
         self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.piece_bytes = int(options.get("piecebytes", PIECE_BYTES))
         self.counting = options.get("count") == "quotes"
+        self.formats = FORMATS | json.loads(options.get("formats", "{}"))
         self.quoted = {(p, n) for p, n in json.loads(options.get("quoted", "[]"))}
 
     def partitions(self) -> list[ByteRange]:
@@ -82,7 +83,7 @@ class _Reader(DataSourceReader):
         for info in sorted((f for f in files if f.type == fs.FileType.File), key=lambda f: f.path):
             if not fnmatch.fnmatch(info.base_name, self.glob):
                 continue
-            kind = FORMATS.get(_suffix(info.path))
+            kind = self.formats.get(_suffix(info.path))
             if kind is None:
                 why = "read as a whole file" if _suffix(info.path) in EXTENSION_TYPES else "type is not known"
                 out += [] if self.counting else [ByteRange(info.path, "other", 0, 0, 0, False, why)]
@@ -208,7 +209,7 @@ def _decoded(p: ByteRange, start: int, held: list[bytes]) -> pa.RecordBatch:
 
 
 class RangedFiles(DataSource):
-    """Format ``ranged_files``; options ``path``, ``glob``, ``rangeBytes``, ``pieceBytes``."""
+    """Format ``ranged_files``; options ``path``, ``glob``, ``rangeBytes``, ``pieceBytes``, ``formats`` (extension to format, as JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -221,7 +222,9 @@ class RangedFiles(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, piece_bytes: int = PIECE_BYTES, glob: str = "*") -> DataFrame:
+def read_ranges(
+    spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, piece_bytes: int = PIECE_BYTES, glob: str = "*", formats: dict[str, str] | None = None
+) -> DataFrame:
     """Pieces of all text, CSV and JSON-lines files below ``path``.
 
     ``source_path, format, range, start`` (byte), ``content`` (whole records,
@@ -229,7 +232,8 @@ def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     without the header; JSON: objects that parse), ``chars``, ``columns`` (CSV:
     the header, in the first piece; JSON: the keys met) and ``reason``.  No
     file is too large; a single record must fit into a task's memory.  An
-    empty file is one empty piece.  A missing path raises.
+    empty file is one empty piece.  A missing path raises.  ``formats`` adds
+    extensions to, or changes, how files are cut.
 
     For CSV a first scan counts the quotes of each range; one small row a
     range comes to the driver.
@@ -237,7 +241,7 @@ def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     spark.dataSource.register(RangedFiles)
 
     def scan(**more: str) -> DataFrame:
-        options = {"path": path, "glob": glob, "rangeBytes": str(range_bytes), "pieceBytes": str(piece_bytes)} | more
+        options = {"path": path, "glob": glob, "rangeBytes": str(range_bytes), "pieceBytes": str(piece_bytes), "formats": json.dumps(formats or {})} | more
         return spark.read.format("ranged_files").options(**options).load()
 
     quoted, open_in = [], {}
@@ -256,16 +260,17 @@ def file_statistics(pieces: DataFrame) -> DataFrame:
     Partial counts are added before the shuffle, so a file of any size costs
     one row a task.  Columns are in sorted order.
     """
-    own = F.explode_outer("columns").alias("column")
-    columns = pieces.select("source_path", own).groupBy("source_path").agg(F.sort_array(F.collect_set("column")).alias("columns"))
+    # the pieces of a file name few different sets of columns
+    columns = F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns"))))
     counts = pieces.groupBy("source_path", "format").agg(
         F.count("*").alias("pieces"),
         F.count_distinct("range").alias("ranges"),
         F.sum("records").alias("records"),
         F.sum("chars").alias("chars"),
+        columns.alias("columns"),
         F.sort_array(F.collect_set("reason")).alias("reasons"),
     )
-    return counts.join(columns, "source_path").withColumn("document_type", extension_type(F.col("source_path")))
+    return counts.withColumn("document_type", extension_type(F.col("source_path")))
 
 
 def rejected_pieces(pieces: DataFrame) -> DataFrame:
