@@ -25,7 +25,7 @@ TERMS = ["the", "of", "thing", "and", "network"]
 _COS = "round(greatest(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 0), 6)"
 
 
-def _scores_sql(probe: int, where: str = "true") -> str:
+def scores_sql(probe: int, where: str = "true") -> str:
     return (
         f"SELECT e.vec_id, e.label, {_COS} AS similarity FROM embeddings e, "
         f"(SELECT embedding FROM embeddings WHERE vec_id = {probe}) q WHERE {where}"
@@ -45,7 +45,7 @@ def _ranked(sql: str, k: int, score: str = "similarity", key: str = "vec_id") ->
     )
 
 
-@query("semantic_topk", _ranked(_scores_sql(0), 10), ints=("rank",))
+@query("semantic_topk", _ranked(scores_sql(0), 10), ints=("rank",))
 def semantic_topk(spark, sf_dir):
     (_, probe), = _probes(spark, sf_dir, [0])
     return R.vector_top_k(table(spark, sf_dir, "embeddings"), probe, 10, "vec_id")
@@ -54,7 +54,7 @@ def semantic_topk(spark, sf_dir):
 @query(
     "semantic_topk_filtered",
     _ranked(
-        _scores_sql(0, "e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source LIKE '%rc1%')"), 10
+        scores_sql(0, "e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source LIKE '%rc1%')"), 10
     ),
     ints=("rank",),
 )
@@ -72,7 +72,7 @@ def semantic_topk_filtered(spark, sf_dir):
 @query(
     "semantic_topk_per_label",
     f"SELECT vec_id, label, similarity, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, vec_id) AS rank "
-    f"FROM ({_scores_sql(0)}) QUALIFY rank <= 3",
+    f"FROM ({scores_sql(0)}) QUALIFY rank <= 3",
     ints=("rank",),
 )
 def semantic_topk_per_label(spark, sf_dir):
@@ -82,7 +82,7 @@ def semantic_topk_per_label(spark, sf_dir):
 
 _MULTI = " UNION ALL ".join(
     f"SELECT {i} AS probe, vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank "
-    f"FROM ({_scores_sql(p)}) QUALIFY rank <= 10"
+    f"FROM ({scores_sql(p)}) QUALIFY rank <= 10"
     for i, p in enumerate(QUERY_IDS[1:])
 )
 
@@ -124,7 +124,7 @@ def keyword_vector_leg(spark, sf_dir):
     return R.keyword_vector_leg(table(spark, sf_dir, "embeddings"), vectors, 10, "vec_id")
 
 
-def _bm25_sql(k: int, where: str = "true") -> str:
+def bm25_sql(k: int, where: str = "true") -> str:
     tf = ", ".join(f"len(list_filter(toks, lambda t: t = '{w}')) AS tf{i}" for i, w in enumerate(TERMS))
     df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(TERMS)))
     score = " + ".join(
@@ -141,12 +141,12 @@ def _bm25_sql(k: int, where: str = "true") -> str:
     """
 
 
-@query("bm25_topk", _bm25_sql(10), ints=("rank",))
+@query("bm25_topk", bm25_sql(10), ints=("rank",))
 def bm25_topk(spark, sf_dir):
     return R.bm25_top_k(texts(spark, sf_dir, "documents", "doc_id", "text"), TERMS, 10, "doc_id", "text")
 
 
-@query("bm25_postings", _bm25_sql(10), ints=("rank",))
+@query("bm25_postings", bm25_sql(10), ints=("rank",))
 def bm25_postings(spark, sf_dir):
     """The same question over a postings table written from all documents."""
     path = scratch_dir(spark, "postings")
@@ -166,7 +166,7 @@ def _fused_sql(semantic: str, keyword: str, key: str) -> str:
     """
 
 
-@query("rank_fusion", _fused_sql(_ranked(_scores_sql(0), 10), _KEYWORD_LEG, "vec_id"), ints=("rank",))
+@query("rank_fusion", _fused_sql(_ranked(scores_sql(0), 10), _KEYWORD_LEG, "vec_id"), ints=("rank",))
 def rank_fusion(spark, sf_dir):
     """Vector leg and keyword-vector leg fused: the search as it runs on a chunk table."""
     probes = [v for _, v in _probes(spark, sf_dir, QUERY_IDS)]
@@ -179,9 +179,9 @@ def rank_fusion(spark, sf_dir):
     "hybrid_search",
     _fused_sql(
         "SELECT vec_id AS doc_id, rank FROM ("
-        + _ranked(_scores_sql(0, "e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), 10)
+        + _ranked(scores_sql(0, "e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"), 10)
         + ")",
-        _bm25_sql(10, "lang = 'en'"),
+        bm25_sql(10, "lang = 'en'"),
         "doc_id",
     ),
     ints=("rank",),
@@ -478,10 +478,10 @@ _BOUNDS = HISTOGRAM_BOUNDS["rag_relevance_score"]
 @query(
     "relevance_histogram",
     " UNION ALL ".join(
-        f"SELECT CAST({b} AS DOUBLE) AS le, count(*) FILTER (WHERE similarity <= {b}) AS bucket_count, count(*) AS observations, round(sum(similarity), 3) AS total FROM ({_scores_sql(0)})"
+        f"SELECT CAST({b} AS DOUBLE) AS le, count(*) FILTER (WHERE similarity <= {b}) AS bucket_count, count(*) AS observations, round(sum(similarity), 3) AS total FROM ({scores_sql(0)})"
         for b in _BOUNDS
     )
-    + f" UNION ALL SELECT NULL, count(*), count(*), round(sum(similarity), 3) FROM ({_scores_sql(0)})",
+    + f" UNION ALL SELECT NULL, count(*), count(*), round(sum(similarity), 3) FROM ({scores_sql(0)})",
 )
 def relevance_histogram(spark, sf_dir):
     (_, probe), = _probes(spark, sf_dir, [0])

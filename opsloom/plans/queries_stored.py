@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsloom.operators import audit as U
+from opsloom.operators import blockmax as BM
 from opsloom.operators import embedding as E
 from opsloom.operators import operations as O
+from opsloom.operators import retrieval as R
 from opsloom.operators import sketches as SK
+from opsloom.operators import vector_index as VI
 from opsloom.operators import versioned as V
-from opsloom.plans.catalog import query, table
+from opsloom.plans.catalog import query, table, texts
 from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.queries_ops import TARGET_OF, TARGETS
+from opsloom.plans.queries_search import TERMS, bm25_sql, scores_sql
 from opsloom.session import cut_lineage, scratch_dir
 from opsloom.sources import ranges as RG
 from opsloom.streaming import auditlog as AL
@@ -222,3 +226,26 @@ def range_statistics(spark, sf_dir):
         F.sum("reasons").cast("long").alias("rejected"),
     )
     return totals.join(cut, "format")
+
+
+# --- searches that skip -------------------------------------------------------------------
+@query("bm25_block_max", bm25_sql(10), ints=("rank",))
+def bm25_block_max(spark, sf_dir):
+    """The question of ``bm25_topk`` over impact-ordered postings of all documents, read until nothing can change."""
+    path = scratch_dir(spark, "block-max")
+    BM.write_index(texts(spark, sf_dir, "documents", "doc_id", "text"), path, "doc_id", "text", block_bits=7)
+    return BM.top_k(spark, path, TERMS, 10, "doc_id")[0]
+
+
+@query(
+    "semantic_topk_indexed",
+    f"SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS rank FROM ({scores_sql(0)}) QUALIFY rank <= 10",
+    ints=("rank",),
+)
+def semantic_topk_indexed(spark, sf_dir):
+    """The probe of ``semantic_topk`` against a stored index of all vectors, list by list."""
+    path = scratch_dir(spark, "vector-index")
+    rows = table(spark, sf_dir, "embeddings")
+    VI.write_index(rows, path, "vec_id")
+    (_, probe), = R.read_probes(rows.where("vec_id = 0"), "vec_id", "embedding")
+    return VI.top_k(spark, path, probe, 10, "vec_id")[0]
