@@ -9,6 +9,7 @@ from opsloom.functions import guardrails as R
 from opsloom.functions import text as T
 from opsloom.operators import chunking as K
 from opsloom.operators import grounding as G
+from opsloom.operators import patterns as P
 from opsloom.operators.collections import document_type_counts
 from opsloom.operators.skew import explode_rows, lookback
 from opsloom.plans.catalog import query, table, texts
@@ -190,6 +191,47 @@ def request_limits(spark, sf_dir):
     return messages.agg(F.count_if(ok).alias("good_messages"), F.count_if(~ok).alias("bad_messages"))
 
 
+# --- pattern tables ---------------------------------------------------------
+#: up to ten patterns of two neighbouring words from each document
+_PAIRS_SQL = f"""
+    SELECT DISTINCT ws[k] AS a, ws[k + 1] AS b
+    FROM (SELECT {tokens_sql("lower(text)")} AS ws FROM documents), (SELECT unnest([1, 10, 19, 28, 37, 46, 55, 64, 73, 82]) AS k)
+    WHERE regexp_matches(ws[k], '^[a-z]+$') AND regexp_matches(ws[k + 1], '^[a-z]+$')"""
+
+
+@query(
+    "pattern_table",
+    f"""
+    WITH pairs AS ({_PAIRS_SQL}),
+    words AS (SELECT doc_id, {tokens_sql("lower(text)")} AS ws FROM documents),
+    grams AS (SELECT doc_id, unnest(list_zip(ws[:-2], ws[2:])) AS g FROM words WHERE len(ws) > 1),
+    hits AS (SELECT g[1] AS a, g[2] AS b, doc_id FROM grams)
+    SELECT '(?<!\\S)' || a || '\\s+' || b || '(?!\\S)' AS pattern, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_doc
+    FROM hits SEMI JOIN pairs USING (a, b) GROUP BY a, b
+    """,
+)
+def pattern_table(spark, sf_dir):
+    """A pattern table of thousands of rows, taken from the documents, against every whole document."""
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
+    words = docs.select(T.tokens(F.lower("text")).alias("ws"))
+    pairs = words.select(
+        F.explode(F.transform(F.sequence(F.lit(0), F.lit(81), F.lit(9)), lambda k: F.struct(F.get("ws", k).alias("a"), F.get("ws", k + 1).alias("b")))).alias("p")
+    ).select("p.*").where(F.col("a").rlike("^[a-z]+$") & F.col("b").rlike("^[a-z]+$")).distinct()
+    pattern = F.concat(F.lit(r"(?<!\S)"), "a", F.lit(r"\s+"), "b", F.lit(r"(?!\S)"))
+    patterns = pairs.select(pattern.alias("pattern_id"), pattern.alias("pattern"))
+    hits = P.matching_patterns(docs, ["doc_id"], "text", patterns)
+    return hits.groupBy(F.col("pattern_id").alias("pattern")).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+
+
+@query("input_screen_table", _screen_sql(CHAT, "message_id", "content"))
+def input_screen_table(spark, sf_dir):
+    """Chat messages screened with the patterns as a table."""
+    listed = [(p, "injection") for p in R.INJECTION_PATTERNS] + [(p, "blocked") for p in R.BLOCKED_PATTERNS]
+    patterns = spark.createDataFrame([(i, p, k) for i, (p, k) in enumerate(listed)], "pattern_id int, pattern string, kind string")
+    screened = P.screen_by_table(derive(spark, sf_dir, "chat"), "message_id", "content", patterns)
+    return screened.withColumn("risk_score", F.round("risk_score", 6))
+
+
 # --- redaction --------------------------------------------------------------
 _STAGES = [(n, p, R.PII_REPLACEMENTS[n]) for n, p in R.PII_PATTERNS.items()] + [
     ("credential", "(?i)" + p, R.CREDENTIAL_REPLACEMENT) for p in R.CREDENTIAL_PATTERNS
