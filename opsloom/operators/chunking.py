@@ -8,10 +8,13 @@ the rows that need it.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from opsloom.functions.text import chunk_id, nonempty, strip
 from opsloom.operators.skew import explode_rows
@@ -74,60 +77,115 @@ _CHUNK = "struct<content:string,section_header:string,config_block_type:string,c
 _MARK, _TITLE_END = "\ufdd0\x01\ufdd1", "\ufdd1\x02\ufdd0"
 
 
-def split_recursively(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+def _pieces(body: str, mark: str) -> Iterator[str]:
+    """Parts of a text, each separator at the start of the part it precedes; characters for no separator."""
+    if not mark:
+        yield from body
+        return
+    start, at = 0, body.find(mark)
+    while at >= 0:
+        if at > start:
+            yield body[start:at]
+        start, at = at, body.find(mark, at + len(mark))
+    if start < len(body):
+        yield body[start:]
+
+
+def iter_chunks(text: str, size: int, overlap: int, separators: list[str]) -> Iterator[str]:
     """Split at the coarsest separator that occurs, finer ones inside long pieces.
 
     Each separator stays at the start of the piece it precedes.  Pieces are
     packed up to ``size`` characters; the next chunk repeats the trailing
-    pieces of the last one while they fit into ``overlap``.
+    pieces of the last one while they fit into ``overlap``.  Chunks come one
+    by one: neither all pieces nor all chunks of a text are ever held.
     """
-    out: list[str] = []
     window: deque[str] = deque()
     held = 0
 
-    def emit() -> None:
+    def packed() -> Iterator[str]:
         joined = "".join(window).strip()
         if joined:
-            out.append(joined)
-
-    def flush() -> None:
-        nonlocal held
-        emit()
-        window.clear()
-        held = 0
+            yield joined
 
-    def pack(piece: str) -> None:
+    def walk(body: str, marks: list[str]) -> Iterator[str]:
         nonlocal held
-        if held + len(piece) > size and window:
-            emit()
-            while window and (held > overlap or held + len(piece) > size):
-                held -= len(window.popleft())
-        window.append(piece)
-        held += len(piece)
-
-    def pieces_of(body: str, mark: str) -> list[str]:
-        if not mark:
-            return list(body)
-        head, *rest = body.split(mark)
-        return [p for p in [head, *(mark + r for r in rest)] if p]
-
-    def walk(body: str, marks: list[str]) -> None:
         at = next((i for i, m in enumerate(marks) if m in body), len(marks) - 1)
         finer = marks[at + 1 :] if marks[at] in body else []
-        for piece in pieces_of(body, marks[at]):
-            if len(piece) < size:
-                pack(piece)
+        for piece in _pieces(body, marks[at]):
+            n = len(piece)
+            if n < size:
+                if held + n > size and window:
+                    yield from packed()
+                    while window and (held > overlap or held + n > size):
+                        held -= len(window.popleft())
+                window.append(piece)
+                held += n
                 continue
-            flush()
+            yield from packed()
+            window.clear()
+            held = 0
             if finer:
-                walk(piece, finer)
+                yield from walk(piece, finer)
             else:
-                out.append(piece)
-        flush()
+                yield piece
+        yield from packed()
+        window.clear()
+        held = 0
 
     if text:
-        walk(text, separators)
-    return out
+        yield from walk(text, separators)
+
+
+def split_recursively(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+    """All chunks of :func:`iter_chunks`."""
+    return list(iter_chunks(text, size, overlap, separators))
+
+
+#: chunks that leave a task in one batch
+CHUNK_BATCH = 1024
+
+
+def stream_chunks(rows: DataFrame, keep: list[str], text: str, size: str, overlap: str, separators: str) -> DataFrame:
+    """``keep`` columns, ``chunk_index`` and ``content``: the recursive splitter as a table function.
+
+    ``size``, ``overlap`` and ``separators`` name columns, so that each row is
+    split its own way (``separators``: prose, markdown or network_config).
+    Chunks leave a task in batches of 1,024 while the text is still being
+    split, so a text of any length needs no array of its chunks.  Null and
+    empty texts give no rows; repeated rows give their chunks again.
+    """
+    given = rows.select(*keep, *[F.col(c).alias(f"__{i}") for i, c in enumerate((text, size, overlap, separators))])
+    fields = [given.schema[name] for name in keep]
+    schema = T.StructType([*fields, T.StructField("chunk_index", T.IntegerType()), T.StructField("content", T.StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.select(keep)
+            at, index, content = [], [], []
+
+            def flushed() -> pa.RecordBatch:
+                columns = [kept.column(i).take(pa.array(at, pa.int64())) for i in range(len(keep))]
+                columns += [pa.array(index, pa.int32()), pa.array(content, pa.string())]
+                out = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+                for part in (at, index, content):
+                    part.clear()
+                return out
+
+            for row in range(batch.num_rows):
+                t, n, o, kind = (batch.column(f"__{i}")[row].as_py() for i in range(4))
+                if t is None:
+                    continue
+                for i, chunk in enumerate(iter_chunks(t, n, o, _SEPARATORS[kind])):
+                    at.append(row)
+                    index.append(i)
+                    content.append(chunk)
+                    if len(at) == CHUNK_BATCH:
+                        yield flushed()
+            if at:
+                yield flushed()
+
+    return given.mapInArrow(split, schema)
 
 
 @pandas_udf(T.ArrayType(T.StringType()))

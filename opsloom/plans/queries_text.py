@@ -318,33 +318,50 @@ _RULE = "'" + S.CSV_RULE + "'"
 _NL = "chr(10)"
 
 
+#: documents a written file holds at most (of neighbouring ids)
+FILE_DOCS = 400
+
+
 def _load_sql() -> str:
-    by_source = "FROM documents GROUP BY source"
+    by_part = f"FROM (SELECT *, doc_id // {FILE_DOCS} AS part FROM documents) GROUP BY source, part"
     csv_rows = f"string_agg(doc_id || ' | ' || lang || ' | ' || n_chars, {_NL} ORDER BY doc_id)"
     xml_rows = (
         f"string_agg('    <doc>' || {_NL} || '        <doc_id>' || doc_id || '</doc_id>' || {_NL} || '        <lang>' || lang || '</lang>' || {_NL} || '    </doc>' || {_NL}, '' ORDER BY doc_id)"
     )
     return f"""
-    SELECT source, 'txt' AS document_type, string_agg(text || {_NL}, '' ORDER BY doc_id) AS content, CAST(sum(1 + len(string_split(text, {_NL}))) - count(*) + 1 AS VARCHAR) AS detail {by_source}
-    UNION ALL SELECT source, 'csv', 'doc_id | lang | n_chars' || {_NL} || {_RULE} || {_NL} || {csv_rows}, CAST(count(*) AS VARCHAR) {by_source}
-    UNION ALL SELECT source, 'json', '{{' || {_NL} || '  "documents": ' || count(*) || ',' || {_NL} || '  "first": ' || min(doc_id) || {_NL} || '}}', '["documents", "first"]' {by_source}
-    UNION ALL SELECT source, 'xml', '<docs>' || {_NL} || {xml_rows} || '</docs>', 'docs' {by_source}
+    SELECT source, part, 'txt' AS document_type, string_agg(text || {_NL}, '' ORDER BY doc_id) AS content, CAST(sum(1 + len(string_split(text, {_NL}))) - count(*) + 1 AS VARCHAR) AS detail {by_part}
+    UNION ALL SELECT source, part, 'csv', 'doc_id | lang | n_chars' || {_NL} || {_RULE} || {_NL} || {csv_rows}, CAST(count(*) AS VARCHAR) {by_part}
+    UNION ALL SELECT source, part, 'json', '{{' || {_NL} || '  "documents": ' || count(*) || ',' || {_NL} || '  "first": ' || min(doc_id) || {_NL} || '}}', '["documents", "first"]' {by_part}
+    UNION ALL SELECT source, part, 'xml', '<docs>' || {_NL} || {xml_rows} || '</docs>', 'docs' {by_part}
     """
 
 
 @query("load_written_files", _load_sql())
 def load_written_files(spark, sf_dir):
-    """One text, CSV, JSON and XML file for each source, written to the shared folder and loaded as documents."""
-    docs = table(spark, sf_dir, "documents").repartition("source").sortWithinPartitions("source", "doc_id")
+    """Text, CSV, JSON and XML files of at most 400 documents, written to the shared folder and loaded; a file that cannot be loaded comes out with its reason.
+
+    A source of any size is many files, written by many tasks.
+    """
+    cut = ["source", "part"]
+    docs = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS))
+    docs = docs.repartition(*cut).sortWithinPartitions(*cut, "doc_id")
     path = scratch_dir(spark, "files")
-    docs.select("source", "text").write.partitionBy("source").text(f"{path}/txt")
-    docs.select("source", "doc_id", "lang", "n_chars").write.partitionBy("source").csv(f"{path}/csv", header=True)
-    counted = docs.groupBy("source").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
-    counted.write.partitionBy("source").json(f"{path}/json")
-    docs.select("source", "doc_id", "lang").write.partitionBy("source").xml(f"{path}/xml", rowTag="doc", rootTag="docs", declaration="")
-    loaded = S.load_documents(spark, path)
+    docs.select(*cut, "text").write.partitionBy(*cut).text(f"{path}/txt")
+    docs.select(*cut, "doc_id", "lang", "n_chars").write.partitionBy(*cut).csv(f"{path}/csv", header=True)
+    counted = docs.groupBy(*cut).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    counted.write.partitionBy(*cut).json(f"{path}/json")
+    docs.select(*cut, "doc_id", "lang").write.partitionBy(*cut).xml(f"{path}/xml", rowTag="doc", rootTag="docs", declaration="")
     detail = F.coalesce(*[F.try_element_at("metadata", F.lit(n)) for n in ("line_count", "row_count", "top_level_keys", "root_tag")])
-    return loaded.select(F.regexp_extract("source_path", "source=([^/]+)/", 1).alias("source"), "document_type", "content", detail.alias("detail"))
+    loaded = S.load_documents(spark, path).select("source_path", "document_type", "content", detail.alias("detail"))
+    rejected = S.rejected_files(spark, path).unionByName(S.unparsable_files(spark, path))
+    rejected = rejected.select("source_path", F.lit("rejected").alias("document_type"), F.lit(None).cast("string").alias("content"), F.col("reason").alias("detail"))
+    return loaded.unionByName(rejected).select(
+        F.regexp_extract("source_path", "source=([^/]+)/", 1).alias("source"),
+        F.regexp_extract("source_path", "part=([^/]+)/", 1).try_cast("long").alias("part"),
+        "document_type",
+        "content",
+        "detail",
+    )
 
 
 # --- claims and grounding ---------------------------------------------------
@@ -509,16 +526,6 @@ def chunk_config_blocks(spark, sf_dir):
     return K.chunk_documents(configs, keep=["config_id"]).select("config_id", "chunk_index", "content", "config_block_type")
 
 
-@query("chunk_documents")
-def chunk_documents(spark, sf_dir):
-    """Whole corpus through the strategy of each document's type."""
-    files = derive(spark, sf_dir, "files").withColumn("document_type", S.document_type(F.col("source_path")))
-    docs = files.where(F.col("document_type").isNotNull()).select(
-        F.col("doc_id").cast("string").alias("doc_id"), "content", "document_type"
-    )
-    return K.chunk_documents(docs)
-
-
 def _pack_sql(items: str, limit: int, extra: int, joiner: str, carry: bool) -> str:
     """Greedy packing as a list reduction: every item starts as a pack of its own."""
     start = f"list_transform({items}, lambda s: {{'done': CAST([] AS VARCHAR[]), 'open': [s], 'n': length(s) + {extra}}})"
@@ -553,16 +560,6 @@ def chunk_semantic_sections(spark, sf_dir):
     return rows.select("doc_id", "chunk_index", "c.section_header", "c.content")
 
 
-@query("chunk_semantic")
-def chunk_semantic(spark, sf_dir):
-    """The same with the fall-back, as documents of type ``sla`` are chunked."""
-    docs = texts(spark, sf_dir, "documents").select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.expr(_SECTIONED.format(s="STRING")).alias("content"),
-        F.lit("sla").alias("document_type"),
-    )
-    return K.chunk_documents(docs)
-
-
 def _splitter_sql(source: str, size: int, overlap: int, separators: list[str]) -> str:
     """The recursive splitter as a work list: one step takes the first piece of a document's list.
 
@@ -627,6 +624,99 @@ def split_recursive(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+_ALL_SECTIONS = "(?im)(?:^|\\n)(?:" + "|".join(p.removeprefix("(?:^|\\n)") for p in K.SECTION_PATTERNS) + ")"
+_PLANS: dict[tuple[str, int, int], list[str]] = {}
+for _kind, _plan in K.CHUNK_PLAN.items():
+    if _kind != "sla":
+        _PLANS.setdefault(_plan, []).append(_kind)
+
+
+def _chunks_sql(docs: str) -> str:
+    """Chunks of documents (doc_id, text, document_type) by the strategy of each type, stated per strategy.
+
+    No test document holds a device block, so those of type ``config`` are all
+    split as text here; ``chunk_config_blocks`` states the blocks.
+    """
+    none = "CAST(NULL AS VARCHAR)"
+    first_line = TRIM.format("lower(split_part(content, chr(10), 1))")
+    block = "CASE " + " ".join(f"WHEN starts_with({first_line}, '{p}') THEN '{n}'" for p, n in K.BLOCK_TYPES) + f" ELSE '{K.OTHER_BLOCK_TYPE}' END"
+    header = f"nullif({TRIM.format("regexp_extract(content, '(?m)^#{1,6}[ ]+(.+)$', 1)".replace('[ ]', chr(92) + 's'))}, '')"
+
+    def split(where: str, strategy: str, size: int, overlap: int) -> str:
+        chunks = _splitter_sql(f"(SELECT doc_id, text FROM docs WHERE {where})", size, overlap, K._SEPARATORS[strategy])
+        labels = f"{header if strategy == 'markdown' else none}, {block if strategy == 'network_config' else none}, '{strategy}'"
+        return f"SELECT doc_id, chunk_index, content, {labels} FROM ({chunks})"
+
+    plain = [split(f"document_type IN ({sql_list(kinds)})", *plan) for plan, kinds in _PLANS.items()]
+    untitled = split("document_type = 'sla' AND doc_id NOT IN (SELECT doc_id FROM semantic)", "prose", 1000, 200)
+    return f"""
+    WITH docs AS ({docs}),
+    marked AS (SELECT doc_id, string_split(regexp_replace(text, {lit(_ALL_SECTIONS)}, '@@@@\\0####', 'g'), '@@@@') AS parts FROM docs WHERE document_type = 'sla'),
+    pieces AS (SELECT doc_id, len(parts) AS n, generate_subscripts(parts, 1) AS i, unnest(parts) AS part FROM marked),
+    sections AS (
+      SELECT doc_id, i, {none} AS title, part AS body FROM pieces WHERE n = 1
+      UNION ALL SELECT doc_id, i, NULL, {TRIM.format("part")} FROM pieces WHERE n > 1 AND i = 1 AND length(part) > {K.MIN_SECTION}
+      UNION ALL SELECT doc_id, i, {TRIM.format("split_part(part, '####', 1)")}, {TRIM.format("split_part(part, '####', 2)")} FROM pieces WHERE i > 1),
+    packed AS (SELECT doc_id, i, nullif(title, '') AS title, CASE WHEN length(body) > {K.MAX_SECTION} THEN {_pack_sql(_SENTENCES, K.MAX_SECTION, 0, "' '", True)}
+               WHEN length(body) >= {K.MIN_SECTION} THEN [body] ELSE [] END AS chunks FROM sections WHERE length(body) > 0),
+    flat AS (SELECT doc_id, title, i, generate_subscripts(chunks, 1) AS j, unnest(chunks) AS content FROM packed),
+    semantic AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, content, title FROM flat),
+    chunks(document_id, chunk_index, content, section_header, config_block_type, chunk_strategy) AS (
+      SELECT doc_id, chunk_index, content, title, {none}, 'semantic' FROM semantic
+      UNION ALL {" UNION ALL ".join([*plain, untitled])})
+    SELECT document_id || '_' || CAST(chunk_index AS VARCHAR) AS chunk_id, * FROM chunks
+    """
+
+
+@query(
+    "chunk_documents",
+    _chunks_sql(
+        f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, content AS text, document_type FROM ({_TYPED_SQL}) JOIN {FILES} USING (doc_id) WHERE document_type IS NOT NULL"
+    ),
+    ints=("chunk_index",),
+)
+def chunk_documents(spark, sf_dir):
+    """Whole corpus through the strategy of each document's type."""
+    files = derive(spark, sf_dir, "files").withColumn("document_type", S.document_type(F.col("source_path")))
+    docs = files.where(F.col("document_type").isNotNull()).select(
+        F.col("doc_id").cast("string").alias("doc_id"), "content", "document_type"
+    )
+    return K.chunk_documents(docs)
+
+
+@query(
+    "chunk_semantic",
+    _chunks_sql(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_SECTIONED.format(s='VARCHAR')} AS text, 'sla' AS document_type FROM documents"),
+    ints=("chunk_index",),
+)
+def chunk_semantic(spark, sf_dir):
+    """Section chunks with the fall-back, as documents of type ``sla`` are chunked."""
+    docs = texts(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.expr(_SECTIONED.format(s="STRING")).alias("content"),
+        F.lit("sla").alias("document_type"),
+    )
+    return K.chunk_documents(docs)
+
+
+_STREAMED = [("prose", 400, 80), ("markdown", 700, 70), ("network_config", 500, 100)]
+
+
+@query(
+    "chunk_stream",
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_splitter_sql(f'(SELECT doc_id, text FROM documents WHERE doc_id % 3 = {i})', size, overlap, K._SEPARATORS[kind])})"
+        for i, (kind, size, overlap) in enumerate(_STREAMED)
+    ),
+    ints=("chunk_index",),
+)
+def chunk_stream(spark, sf_dir):
+    """Every document through the streaming splitter, by sizes and separators of its row."""
+    plans = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("size"), F.lit(o).alias("overlap")) for k, n, o in _STREAMED])
+    plan = F.get(plans, (F.col("doc_id") % 3).cast("int"))
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", "text", plan.alias("p")).select("doc_id", "text", "p.*")
+    return K.stream_chunks(docs, ["doc_id"], "text", "size", "overlap", "kind")
+
+
 @query(
     "pack_lines",
     f"""

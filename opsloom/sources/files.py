@@ -45,11 +45,16 @@ DOCUMENT_VERSION = "1.0"
 PARSED_TYPES = ["csv", "json", "xml", "docx"]
 #: types recognised but not read
 UNREAD_TYPES = ["pdf"]
+TEXT_TYPES = sorted(set(EXTENSION_TYPES.values()) - set(PARSED_TYPES) - set(UNREAD_TYPES))
 DOCUMENT_COLUMNS = [
     "doc_id", "content", "source_path", "document_type", "ingestion_ts", "version", "region", "metadata",
 ]
 _PARSED = T.StructType(
-    [T.StructField("content", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))]
+    [
+        T.StructField("content", T.StringType()),
+        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("reason", T.StringType()),
+    ]
 )
 _WORDML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -163,16 +168,19 @@ def _as_text(value: object) -> str | None:
 def _parse(kind: pd.Series, raw: pd.Series) -> pd.DataFrame:
     contents: list[str | None] = []
     metadata: list[dict | None] = []
+    reasons: list[str | None] = []
     for k, r in zip(kind, raw):
+        text = found = reason = None
         try:
             text, found = _PARSERS[k](bytes(r))
             text.encode("utf-8")
-            contents.append(text)
-            metadata.append({name: _as_text(value) for name, value in found.items()})
-        except Exception:  # noqa: BLE001 - a file that cannot be read is left out
-            contents.append(None)
-            metadata.append(None)
-    return pd.DataFrame({"content": contents, "metadata": metadata})
+            found = {name: _as_text(value) for name, value in found.items()}
+        except Exception as error:  # noqa: BLE001 - whatever a parser raises is the file's reason
+            text, reason = None, f"{type(error).__name__}: {error}"
+        contents.append(text)
+        metadata.append(found)
+        reasons.append(reason)
+    return pd.DataFrame({"content": contents, "metadata": metadata, "reason": reasons})
 
 
 # --- scans ------------------------------------------------------------------
@@ -217,10 +225,22 @@ def rejected_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYT
     return files.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
+def unparsable_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files within the limit whose content cannot be read: source_path, length, reason.
+
+    Together with :func:`rejected_files` these are all files of known types
+    that :func:`load_documents` leaves out.
+    """
+    texts = scan_files(spark, path, TEXT_TYPES, max_bytes).where(~F.is_valid_utf8(F.col("raw").cast("string")))
+    texts = texts.withColumn("reason", F.lit("not valid UTF-8"))
+    parsed = scan_files(spark, path, PARSED_TYPES, max_bytes).withColumn("__p", _parse(F.col("__kind"), F.col("raw")))
+    parsed = parsed.withColumn("reason", F.col("__p.reason")).where(F.col("reason").isNotNull()).drop("__p")
+    return texts.unionByName(parsed).select("source_path", F.octet_length("raw").cast("long").alias("length"), "reason")
+
+
 def load_documents(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Documents below a path; files that cannot be read or parsed are left out."""
-    text_types = sorted(set(EXTENSION_TYPES.values()) - set(PARSED_TYPES) - set(UNREAD_TYPES))
-    texts = scan_files(spark, path, text_types, max_bytes).where(F.is_valid_utf8(F.col("raw").cast("string")))
+    """Documents below a path; files that cannot be read or parsed are left out (:func:`unparsable_files` lists them)."""
+    texts = scan_files(spark, path, TEXT_TYPES, max_bytes).where(F.is_valid_utf8(F.col("raw").cast("string")))
     texts = texts.withColumn("content", normalized_newlines(F.col("raw").cast("string")))
     stats = text_statistics(F.col("content"))
     counted = F.create_map(

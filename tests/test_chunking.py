@@ -160,3 +160,59 @@ def test_block_type(one, line, kind):
 
 def test_no_headers_in_chunk(one):
     assert one(K.section_header, "plain", "####### seven", "x\n## Two  \ny") == [None, None, "Two"]
+
+
+def _by_list(text, size, overlap, separators):
+    """The splitter stated over whole lists of pieces."""
+    out, window = [], []
+
+    def close():
+        joined = "".join(window).strip()
+        out.extend([joined] if joined else [])
+
+    def walk(body, marks):
+        mark = next((m for m in marks if m in body), marks[-1])
+        finer = marks[marks.index(mark) + 1 :] if mark in body else []
+        head, *rest = body.split(mark) if mark else ["", *body]
+        for piece in [p for p in [head, *(mark + r for r in rest)] if p]:
+            if len(piece) < size:
+                if window and len("".join(window)) + len(piece) > size:
+                    close()
+                    while window and (len("".join(window)) > overlap or len("".join(window)) + len(piece) > size):
+                        window.pop(0)
+                window.append(piece)
+                continue
+            close()
+            window.clear()
+            if finer:
+                walk(piece, finer)
+            else:
+                out.append(piece)
+        close()
+        window.clear()
+
+    if text:
+        walk(text, separators)
+    return out
+
+
+def test_streamed_chunks_equal_lists(spark):
+    texts = [_prose(s, 250) for s in range(6)] + ["", None, "\n\n", ". ", "x" * 700, "ab" * 400 + "\n\n" + "c " * 300]
+    plans = [(60, 15, "prose"), (90, 0, "markdown"), (75, 30, "network_config")]
+    rows = [(i, f"tag{i}", t, *plan) for i, t in enumerate(texts) for plan in plans] + [(0, "tag0", texts[0], *plans[0])]
+    table = spark.createDataFrame(rows, "id int, tag string, t string, size int, overlap int, kind string")
+    got = K.stream_chunks(table, ["id", "tag", "kind"], "t", "size", "overlap", "kind").collect()
+    want = [(i, tag, k, n, c) for i, tag, t, s, o, k in rows for n, c in enumerate(_by_list(t, s, o, K._SEPARATORS[k]))]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert K.stream_chunks(table.limit(0), ["id"], "t", "size", "overlap", "kind").collect() == []
+
+
+def test_a_long_text_is_split_in_bounded_memory():
+    import tracemalloc
+
+    text = "word " * 200_000
+    tracemalloc.start()
+    n = sum(1 for _ in K.iter_chunks(text, 1000, 200, K.PROSE_SEPARATORS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 1_000 and peak < 1_000_000

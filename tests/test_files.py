@@ -88,3 +88,18 @@ def test_large_and_unread_files_are_listed(spark, folder):
     assert rejected == {"large.txt": "larger than the limit", "scan.pdf": "type is not read"}
     names = {r.source_path.rsplit("/", 1)[1] for r in S.load_documents(spark, str(folder), 4000).collect()}
     assert "large.txt" not in names and "plain.txt" in names
+
+
+def test_unparsable_files_come_with_a_reason(spark, folder):
+    reasons = {r.source_path.rsplit("/", 1)[1]: r for r in S.unparsable_files(spark, str(folder)).collect()}
+    assert sorted(reasons) == ["bad.json", "broken.docx", "latin.txt"]
+    assert reasons["bad.json"].reason.startswith("JSONDecodeError: ") and reasons["bad.json"].length == 5
+    assert reasons["broken.docx"].reason.startswith("BadZipFile: ") and reasons["latin.txt"].reason == "not valid UTF-8"
+
+
+def test_every_file_of_a_known_type_is_loaded_or_has_a_reason(spark, folder):
+    (folder / "large.md").write_text("x" * 5000)
+    frames = [S.load_documents(spark, str(folder), 4000), S.rejected_files(spark, str(folder), 4000), S.unparsable_files(spark, str(folder), 4000)]
+    seen = [r.source_path for frame in frames for r in frame.select("source_path").collect()]
+    assert len(seen) == len(set(seen))
+    assert sorted(p.rsplit("/", 1)[1] for p in seen) == sorted(p.name for p in folder.rglob("*") if p.is_file() and p.name != "skip.exe")
