@@ -1,7 +1,7 @@
 """Texts against a table of patterns of any size.
 
 Custom patterns are rows, not literals of a plan.  A pattern is tried on a text
-only where the text holds a literal that every match of the pattern needs; one
+only where the text holds all literals that every match of the pattern needs; one
 automaton finds those literals for all patterns in a single pass over a text.
 Patterns are then decided by Spark's own regular expressions, so the automaton
 only saves work: it decides nothing.
@@ -83,55 +83,66 @@ def _atoms(pattern: str) -> Iterator[tuple[str | None, str]]:
         yield plain, quantifier
 
 
-def required_literal(pattern: str) -> str:
-    """The longest run of ASCII characters that every match of a pattern holds, in lower case.
+def required_literals(pattern: str) -> list[str]:
+    """The runs of ASCII characters that every match of a pattern holds, in lower case, each once.
 
-    Empty where none is certain: alternatives at the top level, extended
+    None where none is certain: alternatives at the top level, extended
     syntax, or no plain run.  Groups and classes end a run.
     """
     flags = pattern[2 : pattern.find(")")] if pattern.startswith("(?") else ""
     if "x" in flags and flags.replace("-", "").isalpha():
-        return ""
-    best = run = ""
+        return []
+    runs = [""]
     try:
         for plain, quantifier in _atoms(pattern):
             if plain is None or quantifier in ("*", "?", "{"):
-                run = ""
+                runs.append("")
                 continue
-            run += plain
-            best = max(best, run, key=len)
+            runs[-1] += plain
             if quantifier == "+":
                 # the character may repeat: what follows is not next to the run's start
-                run = ""
+                runs.append("")
     except ValueError:
-        return ""
-    return best.lower()[:LITERAL_CHARS]
+        return []
+    return list(dict.fromkeys(r.lower()[:LITERAL_CHARS] for r in runs if r))
+
 
+def required_literal(pattern: str) -> str:
+    """The longest of :func:`required_literals` (the first of several), or an empty text."""
+    return max(required_literals(pattern), key=len, default="")
 
-@pandas_udf(T.StringType())
+
+@pandas_udf(T.ArrayType(T.StringType()))
 def _literals(patterns: pd.Series) -> pd.Series:
-    return patterns.map(required_literal, na_action="ignore")
+    return patterns.map(required_literals)
 
 
 def with_literals(patterns: DataFrame) -> DataFrame:
-    """A pattern table (``pattern_id, pattern``, more columns allowed) with the ``literal`` of each pattern."""
-    return patterns.where(F.col("pattern").isNotNull()).withColumn("literal", _literals("pattern"))
+    """A pattern table (``pattern_id, pattern``, more columns allowed) with the ``literals`` of each pattern."""
+    return patterns.where(F.col("pattern").isNotNull()).withColumn("literals", _literals("pattern"))
 
 
-def _finder(literals: list[str]):
-    """Column function: the numbers of the literals that a folded text holds, each once."""
+def _finder(needs: list[list[str]]):
+    """Column function: the numbers of the literal lists of which a folded text holds all."""
 
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # a list is looked at where its longest literal occurs
+        behind: dict[str, list[tuple[int, set[str]]]] = {}
+        for i, words in enumerate(needs):
+            if words:
+                behind.setdefault(max(words, key=len), []).append((i, set(words)))
+        always = [i for i, words in enumerate(needs) if not words]
         automaton = ahocorasick.Automaton()
-        always = [i for i, word in enumerate(literals) if not word]
-        for i, word in enumerate(literals):
-            if word:
-                automaton.add_word(word, i)
+        for word in {w for words in needs for w in words}:
+            automaton.add_word(word, word)
         automaton.make_automaton()
 
         def of(text: str) -> list[int]:
-            return sorted({i for _, i in automaton.iter(text)}) + always if len(automaton) else always
+            if not len(automaton):
+                return always
+            held = {word for _, word in automaton.iter(text)}
+            return always + [i for word in held for i, words in behind.get(word, ()) if words <= held]
 
         for texts in batches:
             yield texts.map(of)
@@ -163,13 +174,11 @@ def matching_patterns(
     for i in range(passes):
         some = table.where(part == i)
         # a part holds about pass_chars characters, whatever the size of the table
-        literals = [r["literal"] for r in some.select("literal").distinct().orderBy("literal").collect()]
-        numbers = rows.sparkSession.createDataFrame(list(enumerate(literals)), "__literal int, literal string")
-        known = some.join(F.broadcast(numbers), "literal").select("pattern_id", "pattern", "__literal")
-        candidates = texts.withColumn("__found", _finder(literals)(fold(F.col("__text"))))
-        tried = candidates.select(*key, "__text", F.explode("__found").alias("__literal")).join(
-            F.broadcast(known), "__literal"
-        )
+        needs = [r["literals"] for r in some.select("literals").distinct().orderBy("literals").collect()]
+        numbers = rows.sparkSession.createDataFrame(list(enumerate(needs)), "__need int, literals array<string>")
+        known = some.join(F.broadcast(numbers), "literals").select("pattern_id", "pattern", "__need")
+        candidates = texts.withColumn("__found", _finder(needs)(fold(F.col("__text"))))
+        tried = candidates.select(*key, "__text", F.explode("__found").alias("__need")).join(F.broadcast(known), "__need")
         hits = F.regexp_count("__text", F.concat(F.lit(UNICODE_NOCASE), F.col("pattern"))).cast("long")
         found = tried.select(*key, "pattern_id", hits.alias("hits")).where(F.col("hits") > 0)
         out = found if out is None else out.unionByName(found)

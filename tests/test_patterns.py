@@ -28,11 +28,11 @@ def test_literals_are_in_every_match():
     parts = ["ab", "c", "(d|e)", "[fg]", "h+", "i?", "j{2}", r"\s", r"\.", "k*", "."]
     for _ in range(300):
         pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
-        literal = P.required_literal(pattern)
+        literals = P.required_literals(pattern)
         for _ in range(30):
             text = "".join(rng.choice("abcdefghijk. ") for _ in range(25))
             match = re.search(pattern, text)
-            assert match is None or literal in match.group(0).lower()
+            assert match is None or all(w in match.group(0).lower() for w in literals)
 
 
 def _brute(texts, patterns):
