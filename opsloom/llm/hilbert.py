@@ -71,10 +71,37 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["index"]
 
 
-def string_number(text: Column) -> Column:
-    """The first six bytes of a string as a number, in the order of the strings."""
-    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, 6))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+#: distinct names up to this many (and bytes of names) are ranked beside the rows, more of them by range partitions
+FEW_NAMES = 10_000
+NAME_BYTES = 1 << 20
+
+
+def name_ranks(rows: DataFrame, name: str) -> DataFrame:
+    """The distinct non-null values of a text column in the order of their code points: ``value, place`` (from 1).
+
+    Values are counted before they are shuffled, so a hot one costs a row per
+    task.  Many values are ranked over range partitions, like any large table.
+    """
+    values = rows.where(F.col(name).isNotNull()).select(F.col(name).alias("value")).distinct()
+    return global_rank(values, ["value"], "hilbert-names").select("value", (F.col("rank") + 1).alias("place"))
+
+
+def with_places(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with each named text column replaced by the place of its value among the distinct ones (null stays null).
+
+    A table of places is broadcast only when its rows and bytes have been
+    counted and are few; otherwise rows meet it through a join on the value,
+    which adaptive execution splits where a value is hot.
+    """
+    for name in names:
+        places = name_ranks(rows, name)
+        n, size = places.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+        if n <= FEW_NAMES and size <= NAME_BYTES:
+            places = F.broadcast(places)
+        places = places.select(F.col("value").alias("__value"), F.col("place").cast("double").alias("__place"))
+        joined = rows.join(places, F.col(name) == F.col("__value"), "left")
+        rows = joined.withColumn(name, F.col("__place")).drop("__value", "__place")
+    return rows
 
 
 def quantise(rows: DataFrame, dims: dict[str, Column], bits: int = BITS) -> dict[str, Column]:
@@ -100,11 +127,15 @@ def text_size(text: Column) -> Column:
 def hilbert_order(docs: DataFrame, dims: dict[str, Column], keep: dict[str, Column], tie: list[str], bits: int = BITS) -> DataFrame:
     """``keep`` columns with the curve index as ``hilbert`` and the place of each row in curve order as ``rank``.
 
-    Rows of one cell are ordered by ``tie`` (names in ``keep``).  The source is
-    read once; quantiles, cells and ranks come from a narrow table.
+    A dimension is a number or a text; texts count by the rank of their whole
+    value among the distinct ones, so names that begin alike lie apart.  Rows
+    of one cell are ordered by ``tie`` (names in ``keep``).  The source is read
+    once; ranks, quantiles, cells and order come from a narrow table.
     """
-    values = {f"__{name}": value.cast("double") for name, value in dims.items()}
+    values = {f"__{name}": value for name, value in dims.items()}
     narrow = cut_lineage(docs.select(*[c.alias(n) for n, c in (keep | values).items()]), "hilbert-values")
+    named = [n for n, kind in narrow.dtypes if n in values and kind == "string"]
+    narrow = cut_lineage(with_places(narrow, named), "hilbert-places") if named else narrow
     cells = quantise(narrow, {name: F.col(name) for name in values}, bits)
     indexed = narrow.select(*keep, hilbert_index(list(cells.values()), bits).alias("hilbert"))
     return global_rank(indexed, ["hilbert", *tie], "hilbert")
@@ -124,7 +155,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
     text, size = F.coalesce("text", F.lit("")), text_size(F.col("text"))
     ranked = hilbert_order(
         docs,
-        {"source": string_number(F.col("source")), "lang": string_number(F.col("lang")), "size": size},
+        {"source": F.col("source"), "lang": F.col("lang"), "size": size},
         {"doc_id": F.col("doc_id"), "size": size, "text_crc32": F.crc32(text)},
         ["text_crc32", "size", "doc_id"],
         bits,

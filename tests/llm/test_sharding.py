@@ -62,5 +62,23 @@ def test_shards_span_small_ranges(spark):
     assert sum(read) / len(read) < 12
 
 
+@pytest.mark.parametrize("few", [hilbert.FEW_NAMES, 1])
+def test_sources_that_begin_alike_lie_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(hilbert, "FEW_NAMES", few)
+    rows = [(i, f"text {i}", "en", None if i % 50 == 0 else "common_crawl_" + "ab"[i % 2]) for i in range(400)]
+    out = hilbert.shard_documents(corpora.table(spark, *rows), 4).collect()
+    check(out, [(i, t) for i, t, _, _ in rows], 4)
+    source = {r[0]: r[3] for r in rows}
+    held = [{source[r.doc_id] for r in out if r.shard == k} - {None} for k in range(4)]
+    assert sum(len(h) for h in held) <= 5
+
+
+def test_name_ranks(spark):
+    names = ["b", "a", None, "a", "", "Z", "é", "\U0001f600", "\uffee"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r.value for r in sorted(hilbert.name_ranks(rows, "name").collect(), key=lambda r: r.place)]
+    assert got == sorted({n for n in names if n is not None})
+
+
 def test_empty_table(spark):
     assert hilbert.shard_documents(corpora.no_documents(spark)).collect() == []
