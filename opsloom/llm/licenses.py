@@ -1,4 +1,4 @@
-"""Licence scans: TF-IDF cosine of lines with notice templates, then inheritance from licence files (DataFrame operations only)."""
+"""Licence scans: TF-IDF cosine of header windows with notice templates, then inheritance from licence files (DataFrame operations only)."""
 
 from __future__ import annotations
 
@@ -26,7 +26,11 @@ TEMPLATES = [
 ]
 
 LEAST = 0.75
+#: adjacent lines or sentences that a notice may be wrapped over
+WINDOW = 6
 _GAP = "[^a-z0-9]+"
+#: ends of a line or sentence
+_UNIT_END = r"(?<=[.!?])[\x20\x09-\x0D]+|\n"
 #: names of files that license their directory
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -75,14 +79,43 @@ class Weights:
         return needed
 
 
-def header_matches(docs: DataFrame, least: float = LEAST, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """The best matching template of each document: ``doc_id, version, license, score, line``.
+def _runs_with(units: Column, needs: str, window: int) -> Column:
+    """Runs of up to ``window`` units of which one holds a needed term: ``array<struct<line, units, __line>>``.
 
-    Every line of the whole text is compared.  Weights are ``count * idf`` with
-    ``idf = ln((1 + N) / (1 + df)) + 1`` over all documents; words outside the
-    templates weigh as if seen nowhere.  Lines lacking every term a match needs
-    are left out before they are taken apart, which drops no match.  Of equal
-    scores the smaller licence id, then the earlier line counts.
+    Only runs around such units are formed, so a long text without them costs nothing more.
+    """
+    n = F.size(units)
+    at = F.filter(F.transform(units, lambda u, i: F.when(u.rlike(needs), i)), lambda i: i.isNotNull())
+
+    def around(i: Column) -> Column:
+        runs = []
+        for k in range(1, window + 1):
+            for back in range(k):
+                inside = (i >= back) & (i - back + k <= n)
+                # one number for start and length: numbers are made distinct by hash, structs pair by pair
+                runs.append(F.when(inside, (i - back).cast("long") * (window + 1) + k))
+        return F.filter(F.array(*runs), lambda r: r.isNotNull())
+
+    runs = F.array_distinct(F.flatten(F.transform(at, around)))
+
+    def run(r: Column) -> Column:
+        line, length = F.floor(r / (window + 1)).cast("int"), (r % (window + 1)).cast("int")
+        return F.struct(line.alias("line"), length.alias("units"), F.array_join(F.slice(units, line + 1, length), " ").alias("__line"))
+
+    return F.transform(runs, run)
+
+
+def header_matches(docs: DataFrame, least: float = LEAST, templates: list[tuple[str, str]] = TEMPLATES, window: int = WINDOW) -> DataFrame:
+    """The best matching template of each document: ``doc_id, version, license, score, line, units``.
+
+    The whole text is cut into lines and sentences; every run of one to
+    ``window`` of them is compared, so notices wrapped over lines (comment
+    marks are no words) or standing inside a line are found.  Weights are
+    ``count * idf`` with ``idf = ln((1 + N) / (1 + df)) + 1`` over all
+    documents; words outside the templates weigh as if seen nowhere.  Runs
+    lacking every term a match needs are left out before they are formed,
+    which drops no match.  Of equal scores the smaller licence id, then the
+    earlier start (``line``, from 0), then the shorter run (``units``) counts.
     """
     terms = sorted({t for _, text in templates for t in tokens_of(text)})
     weights = Weights(*document_frequencies(docs, terms), templates, least)
@@ -90,9 +123,10 @@ def header_matches(docs: DataFrame, least: float = LEAST, templates: list[tuple[
     needs = rf"(^|[^a-z0-9])({'|'.join(weights.needed)})($|[^a-z0-9])"
     text = ascii_lower(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", text.alias("__text")).where(F.col("__text").rlike(needs))
-    rows = rows.select("doc_id", F.xxhash64("__text").alias("version"), F.posexplode(F.split("__text", "\n", -1)).alias("line", "__line"))
-    rows = rows.where(F.col("__line").rlike(needs))
-    place = ["doc_id", "version", "line"]
+    rows = rows.select("doc_id", F.xxhash64("__text").alias("version"), F.split("__text", _UNIT_END, -1).alias("__units"))
+    rows = rows.withColumn("__runs", _runs_with(F.col("__units"), needs, window))
+    rows = rows.select("doc_id", "version", F.explode("__runs").alias("r")).select("doc_id", "version", "r.*")
+    place = ["doc_id", "version", "line", "units"]
     counted = (
         rows.select(*place, F.explode(F.array_remove(F.split("__line", _GAP), "")).alias("term"))
         .groupBy(*place, "term")
@@ -107,9 +141,9 @@ def header_matches(docs: DataFrame, least: float = LEAST, templates: list[tuple[
     dots = weighed.join(F.broadcast(posting), "term").groupBy(*place, "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"n.{c}")) for c in place]
     scored = dots.alias("d").join(norm.alias("n"), same).select(*[F.col(f"d.{c}") for c in place], "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
-    best = F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias("b")
+    best = F.min(F.struct((-F.col("score")).alias("minus"), "license", "line", "units")).alias("b")
     found = scored.where(F.col("score") >= least).groupBy("doc_id", "version").agg(best)
-    return found.select("doc_id", "version", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), F.col("b.line").alias("line"))
+    return found.select("doc_id", "version", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("score"), "b.line", "b.units")
 
 
 def _directory(path: Column) -> Column:

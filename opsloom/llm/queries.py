@@ -165,8 +165,9 @@ def _license_sql() -> str:
     vocab AS (SELECT DISTINCT term FROM tf),
     idf AS (SELECT term, ln((1 + total.n) / (1 + coalesce(df.n, 0))) + 1 AS idf FROM vocab LEFT JOIN df USING (term), total),
     tw AS (SELECT template, license, term, c * idf AS w, sqrt(sum((c * idf) * (c * idf)) OVER (PARTITION BY template)) AS norm FROM tf JOIN idf USING (term)),
-    l0 AS (SELECT doc_id, string_split(body, chr(10)) AS ls FROM d),
-    l AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, unnest(ls) AS body FROM l0),
+    l0 AS (SELECT doc_id, string_split(regexp_replace(body, '([.!?])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), chr(10)) AS ls FROM d),
+    l1 AS (SELECT doc_id, ls, k, unnest(range(1, len(ls) - k + 2)) AS i FROM l0, (SELECT unnest(range(1, {licenses.WINDOW + 1})) AS k)),
+    l AS (SELECT doc_id, i * 100 + k AS line, array_to_string(ls[i:i + k - 1], ' ') AS body FROM l1),
     lt AS (SELECT doc_id, line, unnest({cut.format('body')}) AS term FROM l),
     lc AS (SELECT doc_id, line, term, count(*) AS c FROM lt GROUP BY ALL),
     lw AS (SELECT doc_id, line, term, c * coalesce(idf, ln(1 + total.n) + 1) AS w FROM lc LEFT JOIN idf USING (term), total),

@@ -18,15 +18,21 @@ def brute_scores(texts, templates, least):
     vocabulary = {w for _, t in templates for w in cut(t)}
     idf = lambda w: math.log((1 + n) / (1 + (df[w] if w in vocabulary else 0))) + 1
     norm = lambda bag: math.sqrt(sum((c * idf(w)) ** 2 for w, c in bag.items()))
+    notices = [(name, Counter(cut(notice))) for name, notice in templates]
+    notices = [(name, bag, norm(bag)) for name, bag in notices]
     out = []
     for t in texts:
         best = []
-        for line in (t or "").split("\n"):
-            bag = Counter(cut(line))
-            for name, notice in templates:
-                other = Counter(cut(notice))
-                dot = sum(c * other[w] * idf(w) ** 2 for w, c in bag.items())
-                score = round(dot / norm(bag) / norm(other), 9) if bag else 0
+        units = [cut(u) for u in re.split(r"(?<=[.!?])[\x20\x09-\x0D]+|\n", t or "")]
+        for start, k in ((i, k) for i in range(len(units)) for k in range(1, min(licenses.WINDOW, len(units) - i) + 1)):
+            bag = Counter(w for unit in units[start : start + k] for w in unit)
+            length = None
+            for name, other, size in notices:
+                dot = sum(c * bag[w] * idf(w) ** 2 for w, c in other.items() if w in bag)
+                if not dot:
+                    continue
+                length = length or norm(bag)
+                score = round(dot / length / size, 9)
                 if score >= least:
                     best.append((-score, name))
         out.append((min(best)[1], -min(best)[0]) if best else None)
@@ -93,3 +99,25 @@ def test_awkward_rows(spark):
     out = licenses.license_scan(docs, F.concat_ws("/", "source", "doc_id")).collect()
     assert len(out) == len(corpora.rows()) and all(r.licensed_by == "none" for r in out)
     assert licenses.license_scan(corpora.no_documents(spark), F.col("source")).collect() == []
+
+
+def test_wrapped_and_inline_notices(spark):
+    texts = {
+        1: "The trees were tall and the river ran on. Released under the MIT License. More text follows here.",
+        2: "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n#\n# code",
+        3: "// This work is licensed under the GNU General\n// Public License, version 3.\nint main() { return 0; }",
+        4: "Released\nunder\nthe\nMIT\nLicense.\n",
+        5: "Nothing about it at all. The license of mit is under the table.\nReleased water.",
+    }
+    fill = [(100 + i, f"words of {i} and nothing else of the kind\n" * 3) for i in range(60)]
+    docs = spark.createDataFrame([*texts.items(), *fill], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.header_matches(docs).collect()}
+    assert {i: r.license for i, r in got.items()} == {1: "MIT", 2: "BSD-3-Clause", 3: "GPL-3.0", 4: "MIT"}
+    assert (got[1].line, got[1].units) == (1, 1) and (got[2].line, got[2].units) == (0, 3) and got[3].score > 0.999
+
+
+def test_a_very_long_text(spark):
+    text = "quiet brook\n" * 20_000 + "word of mouth\n" * 2000 + "released under\nthe mit license.\n" + "quiet brook\n" * 20_000
+    docs = spark.createDataFrame([(1, text), (2, "other words")] + [(i, f"more {i}") for i in range(3, 40)], "doc_id long, text string")
+    (hit,) = licenses.header_matches(docs).collect()
+    assert (hit.doc_id, hit.license, hit.line, hit.units) == (1, "MIT", 22_000, 2)
