@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from opsloom.functions.text import let
 from opsloom.llm.shared import ascii_lower
 from opsloom.session import cut_lineage
 
@@ -123,9 +124,10 @@ def header_matches(docs: DataFrame, least: float = LEAST, templates: list[tuple[
     needs = rf"(^|[^a-z0-9])({'|'.join(weights.needed)})($|[^a-z0-9])"
     text = ascii_lower(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", text.alias("__text")).where(F.col("__text").rlike(needs))
-    rows = rows.select("doc_id", F.xxhash64("__text").alias("version"), F.split("__text", _UNIT_END, -1).alias("__units"))
-    rows = rows.withColumn("__runs", _runs_with(F.col("__units"), needs, window))
-    rows = rows.select("doc_id", "version", F.explode("__runs").alias("r")).select("doc_id", "version", "r.*")
+    # bound once and exploded in the outer form: a filter inferred from the array's size would form it anew for each run
+    runs = let(F.split("__text", _UNIT_END, -1), lambda units: _runs_with(units, needs, window))
+    rows = rows.select("doc_id", F.xxhash64("__text").alias("version"), F.explode_outer(runs).alias("r"))
+    rows = rows.select("doc_id", "version", "r.*").where(F.col("line").isNotNull())
     place = ["doc_id", "version", "line", "units"]
     counted = (
         rows.select(*place, F.explode(F.array_remove(F.split("__line", _GAP), "")).alias("term"))
