@@ -80,7 +80,7 @@ def key_terms(lowered: Column) -> Column:
 
     A word with any other letter or digit in it is not a plain word.
     """
-    plain = rf"(?<!{WORD})[a-z]{{3,}}(?!{WORD})"
+    plain = rf"(?<!{WORD})[a-z]{{3,}}+(?!{WORD})"
     found = F.regexp_extract_all(lowered, F.lit(plain), F.lit(0))
     return F.slice(F.filter(found, lambda w: ~w.isin(TERM_STOP_WORDS)), 1, MAX_TERMS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opsloom.functions import claims as C
-from opsloom.functions.text import let
+from opsloom.functions.text import let, tokens
 from opsloom.operators.skew import explode_rows, lookup
 from opsloom.session import cut_lineage
 
@@ -42,31 +42,37 @@ def check_terms(
     no_sources = F.array().cast("array<string>")
     given = F.coalesce(F.col(sources), no_sources) if sources else no_sources
     evidence = F.struct(F.lower(F.array_join(F.col(context), " ")).alias("text"))
+    none = F.array().cast("array<string>")
 
-    def with_numbers(e: Column) -> Column:
-        return F.struct(e["text"].alias("text"), C.numbers(e["text"]).alias("numbers"))
+    def claim_verdicts(found: Column) -> Column:
+        # the context is read only for responses that claim something, its numbers only where a claim has some
+        def with_numbers(e: Column) -> Column:
+            numbered = F.exists(found, lambda c: c.rlike(r"\p{Nd}"))
+            return F.struct(e["text"].alias("text"), F.when(numbered, C.numbers(e["text"])).otherwise(none).alias("numbers"))
 
-    def claim_verdicts(e: Column) -> Column:
-        def verdict(claim: Column) -> Column:
-            parts = F.struct(C.key_terms(F.lower(claim)).alias("terms"), C.numbers(claim).alias("numbers"))
+        def verdicts(e: Column) -> Column:
+            def verdict(claim: Column) -> Column:
+                parts = F.struct(C.key_terms(F.lower(claim)).alias("terms"), C.numbers(claim).alias("numbers"))
 
-            def scored(c: Column) -> Column:
-                sure = C.term_confidence(c["terms"], c["numbers"], e["text"], e["numbers"])
-                return F.struct(c["terms"].alias("terms"), sure.alias("sure"))
+                def scored(c: Column) -> Column:
+                    sure = C.term_confidence(c["terms"], c["numbers"], e["text"], e["numbers"])
+                    return F.struct(c["terms"].alias("terms"), sure.alias("sure"))
 
-            def judged(c: Column) -> Column:
-                grounded = (F.size(c["terms"]) == 0) | (c["sure"] >= threshold)
-                source = F.when(grounded & (F.size(c["terms"]) > 0), C.supporting_source(c["terms"], given))
-                return F.struct(
-                    claim.alias("text"), grounded.alias("grounded"), c["sure"].alias("confidence"), source.alias("source")
-                )
+                def judged(c: Column) -> Column:
+                    grounded = (F.size(c["terms"]) == 0) | (c["sure"] >= threshold)
+                    source = F.when(grounded & (F.size(c["terms"]) > 0), C.supporting_source(c["terms"], given))
+                    return F.struct(
+                        claim.alias("text"), grounded.alias("grounded"), c["sure"].alias("confidence"), source.alias("source")
+                    )
+
+                return let(let(parts, scored), judged)
 
-            return let(let(parts, scored), judged)
+            return F.transform(found, verdict).cast(_CLAIMS)
 
-        return F.transform(C.term_claims(F.col(text)), verdict).cast(_CLAIMS)
+        return F.when(F.size(found) > 0, let(let(evidence, with_numbers), verdicts)).otherwise(F.array().cast(_CLAIMS))
 
     empty = F.col(text).isNull() | (F.length(text) == 0) | F.col(context).isNull() | (F.size(context) == 0)
-    claims = F.when(~empty, let(let(evidence, with_numbers), claim_verdicts))
+    claims = F.when(~empty, let(C.term_claims(F.col(text)), claim_verdicts))
 
     def counted(c: Column) -> Column:
         found = F.coalesce(c, F.array().cast(_CLAIMS))
@@ -131,6 +137,16 @@ def check_overlap(
         F.array().cast(_WORDED),
     )
 
+    def met(c: Column) -> Column:
+        asked = F.array_distinct(F.flatten(F.transform(c, lambda x: x["words"])))
+
+        def shared(a: Column) -> Column:
+            # evidence is cut to words of the claims once, and not read where nothing is claimed
+            cut = F.transform(texts, lambda e: F.array_intersect(tokens(F.lower(e)), a))
+            return F.when(F.size(a) > 0, cut).otherwise(F.array().cast("array<array<string>>"))
+
+        return F.struct(c.alias("claims"), let(asked, shared).alias("tokens"))
+
     def judged(s: Column) -> Column:
         unsupported = F.filter(s["claims"], lambda c: ~C.is_supported(c["words"], s["tokens"]))
         return F.struct(
@@ -146,8 +162,7 @@ def check_overlap(
             (score >= threshold).alias("is_grounded"), advice.alias("recommendation"),
         )
 
-    pair = F.struct(worded.alias("claims"), F.transform(texts, C.token_set).alias("tokens"))
-    return responses.withColumn("__v", let(let(pair, judged), rated)).select(*responses.columns, "__v.*")
+    return responses.withColumn("__v", let(let(let(worded, met), judged), rated)).select(*responses.columns, "__v.*")
 
 
 _WORDED = "array<struct<text:string,words:array<string>>>"
