@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opsloom.llm import ann, exact_topk, hilbert, langid, licenses, lines, mixing, packing, periodic, repair, rollups, simhash, trie
 from opsloom.llm.shared import word_count
+from opsloom.operators.skew import lookup
 from opsloom.session import cut_lineage, scratch_dir, widen
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,8 +75,42 @@ _PIECES = r"\p{L}+|\p{N}+|[^\p{L}\p{N}\x20\x09-\x0D]"
 _FIRST_CUT = r"^[^\n]*\n?"
 
 
+def _rolled_up(spark: SparkSession, counted: DataFrame, first: str, second: str) -> DataFrame:
+    """Four batches: ``tokens`` by a first version, ``others`` by a second, revised to ``fewer``, exact copies deleted; one batch is sent twice."""
+    path = scratch_dir(spark, "token-rollup")
+    rollups.commit(path, "load", rollups.inserted(counted, first, F.col("tokens")))
+    rollups.commit(path, "second-version", rollups.inserted(counted, second, F.col("others")))
+    rollups.commit(path, "revision", rollups.revised(counted, first, F.col("tokens"), F.col("fewer")))
+    # a text that a third of all documents repeat is looked up, not sent to one task
+    firsts = cut_lineage(counted.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "firsts")
+    copies = cut_lineage(lookup(counted, firsts, "digest", ["first_id"]).where(F.col("doc_id") != F.col("first_id")), "copies")
+    gone = rollups.deleted(copies, first, F.col("fewer")).unionByName(rollups.deleted(copies, second, F.col("others")))
+    for _ in range(2):
+        rollups.commit(path, "copies", gone)
+    return rollups.totals(spark, path)
+
+
+def _revisable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their text, the text without its first line, and a digest that tells equal texts."""
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select(
+        "doc_id", "source", "lang", text.alias("text"), F.regexp_replace(text, _FIRST_CUT, "").alias("rest"), F.md5(text.cast("binary")).alias("digest")
+    )
+
+
+@_query("op4_token_rollups")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by two subword vocabularies over all documents, from batches that insert, revise and delete."""
+    first, second = "byte_bpe_50k", "byte_bpe_multi_50k"
+    counts = {"tokens": ("text", f"{first}.json"), "fewer": ("rest", f"{first}.json"), "others": ("text", f"{second}.tiktoken")}
+    docs = widen(_revisable(spark, sf_dir))
+    counted = cut_lineage(rollups.token_counts(docs, ["doc_id", "source", "lang", "digest"], counts), "counted")
+    return _rolled_up(spark, counted, first, second)
+
+
 @_query(
-    "op4_token_rollups",
+    "rollup_words",
     f"""
     WITH d AS (
       SELECT doc_id, coalesce(text, '') AS body, source, lang, md5(coalesce(text, '')) AS digest,
@@ -88,29 +123,19 @@ _FIRST_CUT = r"^[^\n]*\n?"
     SELECT source, lang, version, count(*) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens FROM v GROUP BY ALL
     """,
 )
-def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four batches over all documents: counted, counted by a second version, revised without the first line, exact copies deleted; one batch is sent twice."""
-    text = F.coalesce("text", F.lit(""))
-    counted = _table(spark, sf_dir, "documents").select(
+def rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches with counts that SQL can state: words and runs of one character class."""
+    docs = _revisable(spark, sf_dir)
+    counted = docs.select(
         "doc_id",
         "source",
         "lang",
-        word_count(text).alias("words"),
-        word_count(F.regexp_replace(text, _FIRST_CUT, "")).alias("fewer_words"),
-        F.regexp_count(text, F.lit(_PIECES)).cast("long").alias("pieces"),
-        F.md5(text.cast("binary")).alias("digest"),
+        "digest",
+        word_count(F.col("text")).alias("tokens"),
+        word_count(F.col("rest")).alias("fewer"),
+        F.regexp_count("text", F.lit(_PIECES)).cast("long").alias("others"),
     )
-    counted = cut_lineage(counted, "counted")
-    path = scratch_dir(spark, "token-rollup")
-    rollups.commit(path, "load", rollups.inserted(counted, "words-1", F.col("words")))
-    rollups.commit(path, "second-version", rollups.inserted(counted, "pieces-2", F.col("pieces")))
-    rollups.commit(path, "revision", rollups.revised(counted, "words-1", F.col("words"), F.col("fewer_words")))
-    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    copies = cut_lineage(counted.join(firsts, "digest").where(F.col("doc_id") != F.col("first_id")), "copies")
-    gone = rollups.deleted(copies, "words-1", F.col("fewer_words")).unionByName(rollups.deleted(copies, "pieces-2", F.col("pieces")))
-    for _ in range(2):
-        rollups.commit(path, "copies", gone)
-    return rollups.totals(spark, path)
+    return _rolled_up(spark, cut_lineage(counted, "counted"), "words-1", "pieces-2")
 
 
 @_query(

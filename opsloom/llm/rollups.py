@@ -2,13 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from opsloom.llm.packing import Encoder, tokenizer_path
+
 KEY = ["source", "lang", "version"]
 _TOTALS = "source string, lang string, version string, docs long, tokens long, batch string"
 
 
+def counter(vocabulary: str) -> Callable[[str], int]:
+    """How many tokens a text has by a vocabulary file: a ``.json`` one, or ranks (``.tiktoken``)."""
+    path = tokenizer_path(vocabulary)
+    if vocabulary.endswith(".json"):
+        encoder = Encoder(path)
+        return lambda text: len(encoder.ids(text))
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = dict(Encoder._rank(line) for line in lines)
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
+def token_counts(docs: DataFrame, keep: list[str], counts: dict[str, tuple[str, str]]) -> DataFrame:
+    """``keep`` columns and, per entry of ``counts`` (name: text column, vocabulary), the tokens of the whole text.
+
+    A null or empty text has none.  Repeated rows are counted each, an empty
+    table gives no rows, and texts of any length are encoded whole.
+    """
+    texts = sorted({text for text, _ in counts.values()})
+    kept = docs.select(*keep).schema.fieldNames()
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.select(*keep).dtypes), *(f"`{n}` long" for n in counts)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_vocabulary = {v: counter(v) for v in {v for _, v in counts.values()}}
+        for batch in batches:
+            columns = [batch.column(i) for i in range(len(kept))]
+            for text, vocabulary in counts.values():
+                measure = by_vocabulary[vocabulary]
+                values = batch.column(len(kept) + texts.index(text))
+                columns.append(pa.array((measure(v.as_py()) if v.is_valid else 0 for v in values), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, [*kept, *counts])
+
+    return docs.select(*keep, *[F.col(t).alias(f"__text{i}") for i, t in enumerate(texts)]).mapInArrow(count, schema)
+
 
 def inserted(docs: DataFrame, version: str, tokens: Column) -> DataFrame:
     """Changes that add documents: no image before."""

@@ -1,12 +1,13 @@
 """Totals against recounting, and batches sent more than once."""
 
+import base64
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from opsloom.llm import rollups
+from opsloom.llm import queries, rollups
 from opsloom.llm.packing import token_pieces
 import corpora
 
@@ -86,3 +87,43 @@ def test_batch_corrected_to_nothing(spark, path):
     rollups.commit(path, "b2", rollups.inserted(docs.where("doc_id = 1"), "v", F.lit(3)))
     rollups.commit(path, "b1", rollups.inserted(docs.where("false"), "v", F.lit(10)))
     assert plain(rollups.totals(spark, path)) == {("a", "en", "v"): (1, 3)}
+
+
+def test_query_equals_counting_each_document(spark):
+    """All batches over a whole table, against both libraries text by text."""
+    import public_tokenizers
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    multi = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    firsts = {}
+    for d in docs:
+        firsts[d.text or ""] = min(d.doc_id, firsts.get(d.text or "", d.doc_id))
+    wanted = {}
+    for d in docs:
+        text = d.text or ""
+        if firsts[text] != d.doc_id:
+            continue
+        rest = text.partition("\n")[2]
+        n = {"byte_bpe_50k": len(exact.encode(rest, add_special_tokens=False).ids), "byte_bpe_multi_50k": len(multi.encode_ordinary(text))}
+        for version, tokens in n.items():
+            held = wanted.get((d.source, d.lang, version), (0, 0))
+            wanted[d.source, d.lang, version] = (held[0] + 1, held[1] + tokens)
+    assert plain(queries.QUERIES["op4_token_rollups"](spark, folder)) == wanted
+
+
+def test_token_counts_of_awkward_texts(spark):
+    docs = spark.createDataFrame(
+        [(None, None, "k"), (1, "", "k"), (1, "", "k"), (2, "x" * 200_000, "k"), (3, "<|endoftext|> \u4e2d\u6587", "k")],
+        "doc_id long, text string, tokens string",
+    )
+    counts = {"n": ("text", "byte_bpe_50k.json"), "m": ("text", "byte_bpe_multi_50k.tiktoken")}
+    one = rollups.counter("byte_bpe_50k.json")
+    out = sorted((r.n, r.m > 0, r.tokens) for r in rollups.token_counts(docs, ["doc_id", "tokens"], counts).collect())
+    assert out == sorted([(0, False, "k")] * 3 + [(one("x" * 200_000), True, "k"), (one("<|endoftext|> \u4e2d\u6587"), True, "k")])
+    assert rollups.token_counts(docs.where("false"), ["doc_id"], counts).count() == 0
