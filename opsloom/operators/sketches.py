@@ -4,13 +4,15 @@ Sketches are small, bounded and mergeable: quantiles by KLL (a rank is off by
 at most ``RANK_ERROR`` with 99 % confidence), distinct counts and their set
 operations by theta sketches (exact below ``2 ** THETA_SIZE`` distinct values,
 off by about ``2 ** (1 - THETA_SIZE / 2)`` above, two standard errors).
+Where counts must be exact at any size, the sessions of each hour are stored
+beside them, each once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: size of a KLL sketch, and the rank error that goes with it
 KLL_SIZE = 400
@@ -32,6 +34,16 @@ def hourly_sketches(rows: DataFrame, value: str, labels: Sequence[str], session:
     )
 
 
+def hourly_sessions(rows: DataFrame, session: str, ts: str = "ts") -> DataFrame:
+    """``hour, session``: the sessions of each hour, each once, for :func:`store_hours`; null sessions are none.
+
+    A task gets hours as a whole where they fit, so a day is few files.
+    """
+    hour = F.date_trunc("hour", ts).cast("timestamp_ntz").alias("hour")
+    seen = rows.where(F.col(session).isNotNull()).select(hour, F.col(session).alias("session"))
+    return seen.distinct().hint("rebalance", "hour")
+
+
 def store_hours(sketches: DataFrame, path: str) -> None:
     """Write hourly sketches, a folder a day; the days written are replaced as a whole, so a day may be sent again."""
     days = sketches.withColumn("day", F.to_date("hour"))
@@ -102,3 +114,32 @@ def sliding_sessions(sketches: DataFrame, hours: int) -> DataFrame:
     ends = F.explode(F.sequence(F.lit(1), F.lit(hours))).alias("__n")
     spread = hourly.select("sessions", "hour", ends).withColumn("window_end", F.col("hour") + F.make_dt_interval(F.lit(0), F.col("__n")))
     return spread.groupBy("window_end").agg(F.theta_sketch_estimate(F.theta_union_agg("sessions", THETA_SIZE)).alias("active"))
+
+
+def exact_daily_sessions(sessions: DataFrame) -> DataFrame:
+    """:func:`daily_sessions` without error at any size, from :func:`hourly_sessions`.
+
+    A session tells its own day and the day after, so one grouping decides both
+    and days meet nowhere else.
+    """
+    days = sessions.select(F.to_date("hour").alias("day"), "session").distinct()
+    told = F.explode(F.array(F.struct(F.col("day"), F.lit(True).alias("today")), F.struct(F.date_add("day", 1).alias("day"), F.lit(False).alias("today"))))
+    # sessions without a time are of no day, and no day follows them
+    kept = days.select("session", told.alias("t")).select("session", "t.*").where(F.col("day").isNotNull() | F.col("today"))
+    each = kept.groupBy("day", "session").agg(F.bool_or("today").alias("__now"), F.bool_or(~F.col("today")).alias("__back")).where("__now")
+    counts = each.groupBy("day").agg(F.count("*").alias("active"), F.count_if("__back").alias("returned"))
+    return counts.withColumn("fresh", F.col("active") - F.col("returned"))
+
+
+def exact_sliding_sessions(sessions: DataFrame, hours: int) -> DataFrame:
+    """:func:`sliding_sessions` without error at any size, from :func:`hourly_sessions`.
+
+    A session counts in the windows from each of its hours up to its next hour,
+    so in every window once, and what is counted is a number a window.
+    """
+    following = F.lead("hour").over(Window.partitionBy("session").orderBy("hour"))
+    gap = F.timestamp_diff("HOUR", F.col("hour"), F.col("__next")).cast("int")
+    upto = F.when(F.col("hour").isNull(), 1).otherwise(F.least(F.lit(hours), F.coalesce(gap, F.lit(hours))))
+    once = sessions.select("hour", "session").distinct().withColumn("__next", following)
+    spread = once.select("hour", F.explode(F.sequence(F.lit(1), upto)).alias("__n"))
+    return spread.groupBy((F.col("hour") + F.make_dt_interval(F.lit(0), F.col("__n"))).alias("window_end")).agg(F.count("*").alias("active"))

@@ -126,3 +126,25 @@ def test_timeline_of_levels(spark):
     assert not first.is_compliant and got["s2", "2024-01-03"].is_compliant
     gone = got["s1", "2024-02-02"]
     assert (gone.current_availability, gone.breach_count_30d, gone.is_compliant) == (None, 0, True)
+
+
+def _many_sessions(spark):
+    """40,000 sessions on each of two days, half of those of the second day new, each seen in several hours; some rows without session or time."""
+    rows = spark.range(240_000).select(
+        (F.col("id") % 40_000 + F.when(F.col("id") < 120_000, 0).otherwise(20_000)).alias("s"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("id") >= 120_000).cast("long") * 86_400 + F.pmod(F.xxhash64("id"), F.lit(86_400))).cast("timestamp_ntz").alias("ts"),
+    )
+    odd = spark.createDataFrame([(None, "2024-01-01 05:00:00"), (7, None), (7, None)], "s long, at string").select("s", F.col("at").cast("timestamp_ntz").alias("ts"))
+    return rows.unionByName(odd)
+
+
+def test_more_sessions_a_day_than_a_sketch_holds(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    rows = _many_sessions(spark)
+    SK.store_hours(SK.hourly_sessions(rows, "s"), path)
+    # a day sent again replaces itself
+    SK.store_hours(SK.hourly_sessions(rows.where("date(ts) = '2024-01-02'"), "s"), path)
+    days = SK.exact_daily_sessions(SK.read_hours(spark, path)).orderBy("day").collect()
+    assert [(r.day and str(r.day), r.active, r.returned, r.fresh) for r in days] == [
+        (None, 1, 0, 1), ("2024-01-01", 40_000, 0, 40_000), ("2024-01-02", 40_000, 20_000, 20_000),
+    ]
