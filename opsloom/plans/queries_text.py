@@ -320,6 +320,8 @@ _NL = "chr(10)"
 
 #: documents a written file holds at most (of neighbouring ids)
 FILE_DOCS = 400
+#: files of one format that a task writes, about
+FILES_A_TASK = 64
 
 
 def _load_sql() -> str:
@@ -340,20 +342,32 @@ def _load_sql() -> str:
 def load_written_files(spark, sf_dir):
     """Text, CSV, JSON and XML files of at most 400 documents, written to the shared folder and loaded; a file that cannot be loaded comes out with its reason.
 
-    A source of any size is many files, written by many tasks.
+    A source of any size is many files, written by many tasks: as many as the
+    number of files asks for, as narrow rows are as many files as wide ones.
+    Folders of parts hold those of their sources, so a listing spreads over the
+    parts, and all scans share it.
     """
-    cut = ["source", "part"]
+    cut = ["part", "source"]
     docs = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS))
-    docs = docs.repartition(*cut).sortWithinPartitions(*cut, "doc_id")
+    writers = max(1, -(-docs.select(*cut).distinct().count() // FILES_A_TASK))
+    docs = docs.repartition(writers, *cut).sortWithinPartitions(*cut, "doc_id")
     path = scratch_dir(spark, "files")
-    docs.select(*cut, "text").write.partitionBy(*cut).text(f"{path}/txt")
-    docs.select(*cut, "doc_id", "lang", "n_chars").write.partitionBy(*cut).csv(f"{path}/csv", header=True)
+
+    def written(rows):
+        # tasks put their files in place themselves; the folder is new and read only when all have
+        return rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(*cut)
+
+    written(docs.select(*cut, "text")).text(f"{path}/txt")
+    written(docs.select(*cut, "doc_id", "lang", "n_chars")).csv(f"{path}/csv", header=True)
     counted = docs.groupBy(*cut).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
-    counted.write.partitionBy(*cut).json(f"{path}/json")
-    docs.select(*cut, "doc_id", "lang").write.partitionBy(*cut).xml(f"{path}/xml", rowTag="doc", rootTag="docs", declaration="")
-    detail = F.coalesce(*[F.try_element_at("metadata", F.lit(n)) for n in ("line_count", "row_count", "top_level_keys", "root_tag")])
-    loaded = S.load_documents(spark, path).select("source_path", "document_type", "content", detail.alias("detail"))
-    rejected = S.rejected_files(spark, path).unionByName(S.unparsable_files(spark, path))
+    written(counted).json(f"{path}/json")
+    written(docs.select(*cut, "doc_id", "lang")).xml(f"{path}/xml", rowTag="doc", rootTag="docs", declaration="")
+    listed = S.list_files(spark, path)
+    known = F.coalesce(*[F.try_element_at("metadata", F.lit(n)) for n in ("line_count", "row_count", "top_level_keys", "root_tag")])
+    read = S.read_files(spark, path, files=listed)
+    kind = F.when(F.col("reason").isNull(), S.document_type(F.col("source_path"))).otherwise("rejected")
+    loaded = read.select("source_path", kind.alias("document_type"), "content", F.coalesce("reason", known).alias("detail"))
+    rejected = S.rejected_files(spark, path, files=listed)
     rejected = rejected.select("source_path", F.lit("rejected").alias("document_type"), F.lit(None).cast("string").alias("content"), F.col("reason").alias("detail"))
     return loaded.unionByName(rejected).select(
         F.regexp_extract("source_path", "source=([^/]+)/", 1).alias("source"),

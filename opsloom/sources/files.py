@@ -195,34 +195,52 @@ def _glob(types: Iterable[str]) -> str:
 MAX_FILE_BYTES = 1 << 30
 
 
-def _files(spark: SparkSession, path: str, types: Iterable[str]) -> DataFrame:
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files of known types below a folder (or one file), listed once however many scans follow.
+
+    Content is read by the scans that use it, and of the files they choose.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob(types))
+        .option("pathGlobFilter", _glob(set(EXTENSION_TYPES.values())))
         .load(path)
-        .withColumn("source_path", F.regexp_replace("path", r"^file:(?://)?(?=/)", ""))
     )
 
 
-def scan_files(spark: SparkSession, path: str, types: Iterable[str], max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def _chosen(files: DataFrame, types: Iterable[str]) -> DataFrame:
+    # a condition on the name alone decides which files a scan opens
+    named = files.where(extension_type(F.col("_metadata.file_name")).isin(sorted(types)))
+    return named.withColumn("source_path", F.regexp_replace("path", r"^file:(?://)?(?=/)", ""))
+
+
+def scan_files(
+    spark: SparkSession, path: str, types: Iterable[str], max_bytes: int = MAX_FILE_BYTES, files: DataFrame | None = None
+) -> DataFrame:
     """Files of some types below a folder (or one file): path, raw, extension type.
 
     A missing path raises.  Files above ``max_bytes`` are left out before their
-    content is read; :func:`rejected_files` lists them.
+    content is read; :func:`rejected_files` lists them.  ``files`` is a listing
+    (:func:`list_files`) to use again.
     """
-    files = _files(spark, path, types).where(F.col("length") <= max_bytes)
-    return files.select("source_path", F.col("content").alias("raw")).withColumn(
+    listed = list_files(spark, path) if files is None else files
+    chosen = _chosen(listed, types).where(F.col("length") <= max_bytes)
+    return chosen.select("source_path", F.col("content").alias("raw")).withColumn(
         "__kind", extension_type(F.col("source_path"))
     )
 
 
-def rejected_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def rejected_files(
+    spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, files: DataFrame | None = None
+) -> DataFrame:
     """Files that are not loaded for their size or type: source_path, length, reason.  No content is read."""
-    files = _files(spark, path, sorted(set(EXTENSION_TYPES.values()))).select("source_path", "length")
+    listed = list_files(spark, path) if files is None else files
     unread = extension_type(F.col("source_path")).isin(UNREAD_TYPES)
     reason = F.when(unread, "type is not read").when(F.col("length") > max_bytes, "larger than the limit")
-    return files.withColumn("reason", reason).where(F.col("reason").isNotNull())
+    # by name and size alone, so that all other files end at the listing
+    apart = extension_type(F.col("_metadata.file_name")).isin(UNREAD_TYPES) | (F.col("_metadata.file_size") > max_bytes)
+    found = _chosen(listed.where(apart), set(EXTENSION_TYPES.values())).select("source_path", "length")
+    return found.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
 def unparsable_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
@@ -231,28 +249,33 @@ def unparsable_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_B
     Together with :func:`rejected_files` these are all files of known types
     that :func:`load_documents` leaves out.
     """
-    texts = scan_files(spark, path, TEXT_TYPES, max_bytes).where(~F.is_valid_utf8(F.col("raw").cast("string")))
-    texts = texts.withColumn("reason", F.lit("not valid UTF-8"))
-    parsed = scan_files(spark, path, PARSED_TYPES, max_bytes).withColumn("__p", _parse(F.col("__kind"), F.col("raw")))
-    parsed = parsed.withColumn("reason", F.col("__p.reason")).where(F.col("reason").isNotNull()).drop("__p")
-    return texts.unionByName(parsed).select("source_path", F.octet_length("raw").cast("long").alias("length"), "reason")
-
-
-def load_documents(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Documents below a path; files that cannot be read or parsed are left out (:func:`unparsable_files` lists them)."""
-    texts = scan_files(spark, path, TEXT_TYPES, max_bytes).where(F.is_valid_utf8(F.col("raw").cast("string")))
-    texts = texts.withColumn("content", normalized_newlines(F.col("raw").cast("string")))
+    return read_files(spark, path, max_bytes).where(F.col("reason").isNotNull()).select("source_path", "length", "reason")
+
+
+def read_files(
+    spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES, files: DataFrame | None = None
+) -> DataFrame:
+    """Every file within the limit, read once: source_path, length, content, metadata, and the reason where it cannot be read."""
+    listed = list_files(spark, path) if files is None else files
+    length = F.octet_length("raw").cast("long").alias("length")
+    valid = F.is_valid_utf8(F.col("raw").cast("string"))
+    texts = scan_files(spark, path, TEXT_TYPES, max_bytes, listed)
+    texts = texts.withColumn("content", F.when(valid, normalized_newlines(F.col("raw").cast("string"))))
     stats = text_statistics(F.col("content"))
     counted = F.create_map(
         F.lit("line_count"), stats["line_count"].cast("string"), F.lit("char_count"), stats["char_count"].cast("string")
     )
     tagged = F.when(stats["region"].isNotNull(), F.map_concat(counted, F.create_map(F.lit("region"), stats["region"])))
-    texts = texts.select("source_path", "content", F.coalesce(tagged, counted).alias("metadata"))
+    reason = F.when(~valid, "not valid UTF-8").alias("reason")
+    texts = texts.select("source_path", length, "content", F.coalesce(tagged, counted).alias("metadata"), reason)
+
+    parsed = scan_files(spark, path, PARSED_TYPES, max_bytes, listed).withColumn("__p", _parse(F.col("__kind"), F.col("raw")))
+    return texts.unionByName(parsed.select("source_path", length, "__p.content", "__p.metadata", "__p.reason"))
 
-    parsed = scan_files(spark, path, PARSED_TYPES, max_bytes).withColumn("__p", _parse(F.col("__kind"), F.col("raw")))
-    parsed = parsed.where(F.col("__p.content").isNotNull()).select("source_path", "__p.content", "__p.metadata")
 
-    both = texts.unionByName(parsed)
+def load_documents(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Documents below a path; files that cannot be read or parsed are left out (:func:`unparsable_files` lists them)."""
+    both = read_files(spark, path, max_bytes).where(F.col("reason").isNull())
     source = F.col("source_path")
     flagged = F.map_concat(
         F.col("metadata"), F.create_map(F.lit("detected_as_sla"), named_like_sla(source).cast("string"))

@@ -103,3 +103,25 @@ def test_every_file_of_a_known_type_is_loaded_or_has_a_reason(spark, folder):
     seen = [r.source_path for frame in frames for r in frame.select("source_path").collect()]
     assert len(seen) == len(set(seen))
     assert sorted(p.rsplit("/", 1)[1] for p in seen) == sorted(p.name for p in folder.rglob("*") if p.is_file() and p.name != "skip.exe")
+
+
+def test_all_scans_of_written_files_share_one_listing(spark, monkeypatch):
+    from opsloom.plans import all_queries
+
+    listed, chosen = [], S.list_files
+    monkeypatch.setattr(S, "list_files", lambda *a: listed.append(a) or chosen(*a))
+    rows = all_queries()[0]["load_written_files"](spark, "/root/testdata/sf0.001").collect()
+    assert len(listed) == 1 and {r.document_type for r in rows} == {"txt", "csv", "json", "xml"}
+
+
+def test_files_are_read_with_their_reasons(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"one\r\ntwo")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "c.xml").write_text("<a><b/></a>")
+    (tmp_path / "d.JSON").write_text("{")
+    (tmp_path / "e.exe").write_text("no")
+    rows = {r.source_path[-5:]: r for r in S.read_files(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == [".JSON", "a.txt", "b.txt", "c.xml"]
+    assert rows["a.txt"].content == "one\ntwo" and rows["a.txt"].reason is None and rows["a.txt"].length == 8
+    assert rows["b.txt"].content is None and rows["b.txt"].reason == "not valid UTF-8"
+    assert rows["c.xml"].reason is None and rows[".JSON"].reason.startswith("JSONDecodeError")
