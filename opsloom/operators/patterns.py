@@ -5,10 +5,15 @@ only where the text holds all literals that every match of the pattern needs; on
 automaton finds those literals for all patterns in a single pass over a text.
 Patterns are then decided by Spark's own regular expressions, so the automaton
 only saves work: it decides nothing.
+
+Patterns that are plain words between white space need no expression: they are
+looked up among the word sequences of a text, so that work grows with the texts
+and their matches, not with texts times patterns.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -18,11 +23,15 @@ from pyspark.sql.functions import pandas_udf
 
 from opsloom.functions import guardrails as R
 from opsloom.functions.text import UNICODE_NOCASE, fold
+from opsloom.session import cut_lineage
 
 #: characters of patterns that one pass holds (an automaton takes about a hundred times as many bytes)
 PASS_CHARS = 2_000_000
 #: a longer literal adds nothing: its first part is needed as well
 LITERAL_CHARS = 64
+#: words of a pattern that is looked up as a phrase, at most
+PHRASE_WORDS = 4
+_PHRASE = rf"^\(\?<!\\S\)([A-Za-z0-9]+(?:\\s\+[A-Za-z0-9]+){{0,{PHRASE_WORDS - 1}}})\(\?!\\S\)$"
 _ESCAPES_WITH_ARGUMENT = "xukNc0123456789QE"
 
 
@@ -150,6 +159,43 @@ def _finder(needs: list[list[str]]):
     return found.asNondeterministic()
 
 
+def with_phrase(patterns: DataFrame) -> DataFrame:
+    """A pattern table with the ``phrase`` of each pattern that is words between white space, else null."""
+    words = F.split(F.lower(F.regexp_extract("pattern", _PHRASE, 1)), r"\\s\+")
+    return patterns.withColumn("phrase", F.when(F.col("pattern").rlike(_PHRASE), F.array_join(words, " ")))
+
+
+def _phrases(lengths: list[int]):
+    """Column function: the sequences of so many words in a text of words between single blanks, and how often each comes without overlap."""
+
+    @pandas_udf("array<struct<phrase string, hits bigint>>")
+    def found(texts: pd.Series) -> pd.Series:
+        def of(text: str) -> list[dict]:
+            words = text.split(" ")
+            counts: Counter[str] = Counter()
+            ends: dict[str, int] = {}
+            for n in lengths:
+                for at, run in enumerate(zip(*[words[i:] for i in range(n)])):
+                    phrase = " ".join(run)
+                    if ends.get(phrase, 0) <= at:
+                        counts[phrase] += 1
+                        ends[phrase] = at + n
+            return [{"phrase": phrase, "hits": hits} for phrase, hits in counts.items()]
+
+        return texts.map(of)
+
+    return found
+
+
+def _matching_phrases(texts: DataFrame, key: list[str], phrases: DataFrame, pass_chars: int) -> DataFrame:
+    """:func:`matching_patterns` for patterns with a phrase; a table of up to ``pass_chars`` characters is broadcast."""
+    told = phrases.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n"), F.collect_set(F.size(F.split("phrase", " "))).alias("lengths")).first()
+    table = F.broadcast(phrases) if told["n"] <= pass_chars else phrases
+    spaced = F.btrim(F.regexp_replace(fold(F.col("__text")), r"(?U)\s+", " "))
+    each = texts.select(*key, F.explode(_phrases(sorted(told["lengths"]))(spaced)).alias("__p")).select(*key, "__p.phrase", "__p.hits")
+    return each.join(table, "phrase").select(*key, "pattern_id", "hits")
+
+
 def matching_patterns(
     rows: DataFrame, key: list[str], text: str, patterns: DataFrame, pass_chars: int = PASS_CHARS
 ) -> DataFrame:
@@ -161,16 +207,22 @@ def matching_patterns(
     each give their own.  A table above ``pass_chars`` characters takes
     several passes over the texts, each with a part of the patterns, so that a
     task holds a bounded automaton and a broadcast stays bounded.  Patterns
-    without a literal are tried on every text.
+    without a literal are tried on every text, and those of plain words
+    (:func:`with_phrase`) on none.
     """
-    table = with_literals(patterns.select("pattern_id", "pattern")).withColumn(
+    known = cut_lineage(with_phrase(patterns.select("pattern_id", "pattern").where(F.col("pattern").isNotNull())), "patterns")
+    texts = rows.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text"))
+    phrases = known.where(F.col("phrase").isNotNull()).select("phrase", "pattern_id")
+    others = known.where(F.col("phrase").isNull()).drop("phrase")
+    out = None if phrases.isEmpty() else _matching_phrases(texts, key, phrases, pass_chars)
+    if out is not None and others.isEmpty():
+        return out
+    table = with_literals(others).withColumn(
         "__chars", F.length("pattern") + F.lit(LITERAL_CHARS)
     )
     total = table.agg(F.coalesce(F.sum("__chars"), F.lit(0)).alias("n")).first()["n"]
     passes = max(1, -(-total // pass_chars))
     part = F.pmod(F.xxhash64("pattern_id"), F.lit(passes))
-    texts = rows.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text"))
-    out = None
     for i in range(passes):
         some = table.where(part == i)
         # a part holds about pass_chars characters, whatever the size of the table

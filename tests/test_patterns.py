@@ -88,3 +88,25 @@ def test_screening_by_table_equals_screening_by_columns(spark):
     table = spark.createDataFrame([(n, p, k) for n, (p, k) in enumerate(listed)], "pattern_id int, pattern string, kind string")
     got = sorted(P.screen_by_table(rows, "i", "t", table).collect())
     assert got == sorted(rows.select("i", R.validate_input(F.col("t")).alias("v")).select("i", "v.*").collect())
+
+
+def test_words_between_white_space_are_looked_up(spark, monkeypatch):
+    listed = [r"(?<!\S)ask\s+Me(?!\S)", r"(?<!\S)k(?!\S)", r"(?<!\S)a\s+b\s+c(?!\S)", r"(?<!\S)go\s+go(?!\S)"]
+    others = [r"(?<!\S)a.\s+b(?!\S)", r"(?<!\S)a\s+b\s+c\s+d\s+e(?!\S)"]
+    told = {r.pattern: r.phrase for r in P.with_phrase(spark.createDataFrame([(p,) for p in listed + others], "pattern string")).collect()}
+    assert told == dict(zip(listed, ["ask me", "k", "a b c", "go go"])) | dict.fromkeys(others)
+    texts = [
+        "aſk  \n me ask me.", "K k K kk", "a b\tc a b c", "go go go go", "", " ", "a b c d e", "ask me ask\x85me ask\x1fme ask​me", "İ i ı",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    every = [*listed, *others, r"(?<!\S)i(?!\S)"]
+    patterns = spark.createDataFrame(list(enumerate(every)), "pattern_id int, pattern string")
+    found = {(r.k, r.pattern_id, r.hits) for r in P.matching_patterns(rows, ["k"], "t", patterns).collect()}
+    tried = rows.crossJoin(patterns).select("k", "pattern_id", F.expr(r"CAST(regexp_count(t, concat('(?iU)', pattern)) AS BIGINT)").alias("hits"))
+    assert found == {tuple(r) for r in tried.where("hits > 0").collect()}
+    # a table above the broadcast limit joins by a shuffle, with the same result
+    assert found == {(r.k, r.pattern_id, r.hits) for r in P.matching_patterns(rows, ["k"], "t", patterns, 10).collect()}
+    # no expression is tried for words
+    monkeypatch.setattr(P, "with_literals", None)
+    words = patterns.where(F.col("pattern").isin(listed))
+    assert P.matching_patterns(rows, ["k"], "t", words).count() == sum(p < 4 for _, p, _ in found)
