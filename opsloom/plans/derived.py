@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsloom.plans.catalog import table, texts
+from opsloom.plans.catalog import table
+from opsloom.session import widen_rows
 
 _U = "CAST(user_id AS STRING)"
 _E = "CAST(event_id AS STRING)"
@@ -160,7 +161,9 @@ _TEXTS = {"chat", "files", "configs", "tickets"}
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = DERIVED[name]
-    rows = texts(spark, sf_dir, base) if name in _TEXTS else table(spark, sf_dir, base)
+    rows = table(spark, sf_dir, base)
+    if name in _TEXTS:
+        rows = widen_rows(rows, rows.columns[0])
     return rows.selectExpr(*columns)
 
 

@@ -75,3 +75,15 @@ def test_chat_batch(spark, knowledge):
         ("s1", "user"), ("s1", "user"), ("s1", "assistant"), ("s3", "user"), ("s3", "assistant"),
     ]
     assert saved[2].sources
+
+
+def test_texts_of_a_large_table_are_cut_by_rows(spark, tmp_path):
+    from opsloom.plans.derived import derive
+    from opsloom.session import ROWS_A_TASK
+
+    rows = spark.range(6 * ROWS_A_TASK).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "id % 9 AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props"
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    chat = derive(spark, str(tmp_path), "chat")
+    assert chat.rdd.getNumPartitions() == 6 and chat.count() == 6 * ROWS_A_TASK
