@@ -4,8 +4,8 @@ The postings of a term are stored by falling impact (the part of the score
 that does not depend on the question), in blocks with the greatest impact of
 each.  A question reads its terms' postings from the top, in rounds, until no
 document outside of what was read can reach the k-th score; the few documents
-that still may are then looked up in a copy of the postings clustered by
-document.
+that still may are then looked up in the counts of the question's terms, which
+lie as the documents do.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opsloom.functions.text import tokens
+from opsloom.operators.postings import term_counts
 from opsloom.operators.retrieval import BM25_B, BM25_K1, SCORE_DIGITS, with_rank
 from opsloom.session import cut_lineage
 
@@ -30,23 +31,27 @@ def _bucket(value: Column) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
 
 
+def _impact(mean: Column) -> Column:
+    """The part of a score that does not depend on the question, from ``tf`` and ``length``."""
+    share = F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("length") / mean
+    return F.col("tf") * (BM25_K1 + 1.0) / (F.col("tf") + F.lit(BM25_K1) * share)
+
+
 def write_index(corpus: DataFrame, path: str, id_col: str, text: str = "content", block_bits: int = BLOCK_BITS) -> None:
-    """Store the postings twice (by term and falling impact, by document), the blocks and the corpus statistics.
+    """Store the counts of each document, the postings by term and falling impact, the blocks and the corpus statistics.
 
     Postings are range-partitioned by term and impact, so a term in every
-    document lies in as many parts as it fills.  Texts are taken apart once.  A null
-    text counts as a document but has no length.
+    document lies in as many parts as it fills.  Texts are taken apart and
+    counted once, in their rows.  A null text counts as a document but has no
+    length.
     """
     spark = corpus.sparkSession
-    toks = tokens(F.lower(F.col(text)))
-    counted = cut_lineage(corpus.select(F.col(id_col).alias("id"), toks.alias("toks")), "tokens")
-    counted.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("mean_length")).write.parquet(f"{path}/stats")
+    term_counts(corpus, id_col, tokens(F.lower(F.col(text)))).write.parquet(f"{path}/documents")
+    counted = spark.read.parquet(f"{path}/documents")
+    stats = counted.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    stats.write.parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").select("mean_length").scalar()
-    words = counted.select("id", F.size("toks").alias("length"), F.explode("toks").alias("term"))
-    rows = words.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    share = F.lit(1.0 - BM25_B) + F.lit(BM25_B) * F.col("length") / mean
-    impact = F.col("tf") * (BM25_K1 + 1.0) / (F.col("tf") + F.lit(BM25_K1) * share)
-    rows = cut_lineage(rows.select("term", "id", impact.alias("impact")), "impacts")
+    rows = counted.where("term IS NOT NULL").select("term", "id", _impact(mean).alias("impact"))
 
     order = ["term", F.desc("impact"), "id"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -54,8 +59,6 @@ def write_index(corpus: DataFrame, path: str, id_col: str, text: str = "content"
     stored = spark.read.parquet(f"{path}/postings")
     blocks = stored.groupBy("term", "block").agg(F.max("impact").alias("most"), F.min("impact").alias("least"), F.count("*").alias("n"))
     blocks.withColumn("bucket", _bucket(F.col("term"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/blocks")
-    by_id = rows.withColumn("bucket", _bucket(F.col("id"))).hint("rebalance", "bucket").sortWithinPartitions("bucket", "id")
-    by_id.write.partitionBy("bucket").parquet(f"{path}/documents")
 
 
 def _asked_blocks(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
@@ -111,9 +114,9 @@ def top_k(spark: SparkSession, path: str, terms: Sequence[str], k: int, id_col:
         missing = missing + F.when(F.array_contains("terms", t), 0.0).otherwise(rest)
     kth = best["kth"] if best["n"] == k else 0.0
     close = cut_lineage(per_doc.where(F.col("low") + missing >= kth - _MARGIN).select("id"), "close")
-    # at most BUCKETS numbers
-    buckets = [r[0] for r in close.select(_bucket(F.col("id"))).distinct().collect()]
-    looked_up = spark.read.parquet(f"{path}/documents").where(F.col("bucket").isin(buckets) & F.col("term").isin(known)).join(close, "id", "left_semi")
+    mean = spark.read.parquet(f"{path}/stats").select("mean_length").scalar()
+    by_document = spark.read.parquet(f"{path}/documents").where(F.col("term").isin(known)).join(close, "id", "left_semi")
+    looked_up = by_document.select("id", "term", _impact(mean).alias("impact"))
     scored = looked_up.groupBy(F.col("id").alias(id_col)).agg(F.round(F.sum(weight * F.col("impact")), SCORE_DIGITS).alias("score"))
     return with_rank(scored.orderBy(F.desc("score"), id_col).limit(k), "score", id_col), counter
 
