@@ -73,3 +73,14 @@ def test_texts(spark):
     row = df.select(P.system_context(F.lit("x"), none, "B").alias("p"), P.system_context(none, F.lit("hi"), "B").alias("q")).first()
     assert (row.p, row.q) == ("B\nFocus region: x", "B\nPriority level: hi")
     assert df.select(P.context_text(F.col("s").cast("array<string>"))).collect()[1][0] == P.NO_CONTEXT
+
+
+def test_contexts_of_sorted_documents_are_collected_one_response_at_a_time(spark, docs):
+    from pyspark.sql import Window
+
+    from opsloom.session import configure
+
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("response_id").orderBy("rank")))
+    configure(spark)
+    plan = A.response_context(ranked)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan
