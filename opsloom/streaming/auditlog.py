@@ -57,7 +57,9 @@ def commit_batch(entries: DataFrame, path: str, batch: int, max_file_bytes: int
     records = entries.select(
         F.substring("timestamp", 1, 10).alias("day"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")
     )
-    _rolled(records, max_file_bytes).write.partitionBy("day", "file").text(f"{path}/{folder}")
+    # tasks move their files themselves, not the driver one by one; a broken write is never named
+    moved = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    _rolled(records, max_file_bytes).write.options(**moved).partitionBy("day", "file").text(f"{path}/{folder}")
     return put_once(spark, f"{path}/commits", name, json.dumps({"batch": batch, "folder": folder}))
 
 
@@ -79,12 +81,14 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.from_json("value", AUDIT_SCHEMA, {"mode": "PERMISSIVE"}).alias("e")).where("e.event_type IS NOT NULL").select("e.*")
 
 
-def log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Committed files: ``path, bytes, records``."""
+def log_files(spark: SparkSession, path: str, above: int | None = None) -> DataFrame:
+    """Committed files: ``path, bytes, records``; with ``above``, those of more bytes: the others are not read."""
     folders = _folders(spark, path)
     if not folders:
         return spark.createDataFrame([], "path string, bytes long, records long")
     rows = spark.read.option("recursiveFileLookup", "true").text(folders)
+    if above is not None:
+        rows = rows.where(F.col("_metadata.file_size") > above)
     return rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.count("*").alias("records"))
 
 

@@ -33,6 +33,15 @@ def test_a_batch_counts_once_and_files_stay_below_the_limit(spark, tmp_path):
     assert sum(f.bytes for f in files) / len(files) > limit / 4
 
 
+def test_files_above_a_size_are_found_without_the_others(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert AL.commit_batch(entries(spark, 120), path, 0, 2_000)
+    files = {(f.path, f.bytes, f.records) for f in AL.log_files(spark, path).collect()}
+    middle = sorted(f[1] for f in files)[len(files) // 2]
+    assert {(f.path, f.bytes, f.records) for f in AL.log_files(spark, path, above=middle).collect()} == {f for f in files if f[1] > middle}
+    assert AL.log_files(spark, path, above=2_000).count() == 0
+
+
 def test_records_above_the_limit_and_broken_batches(spark, tmp_path):
     path = str(tmp_path / "log")
     AL.commit_batch(entries(spark, 20, size=3000).coalesce(1), path, 5, 300)
