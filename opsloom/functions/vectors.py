@@ -58,16 +58,63 @@ def _cosines(vectors: pa.Array, unit: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair_cosines(asking: pd.Series, rows: pd.Series) -> np.ndarray:
-    """Cosine of each vector of one column with each of another; NaN where one is null or the widths differ."""
-    out = np.full((len(asking), len(rows)), np.nan)
-    width_a, width_b = (np.array([-1 if v is None else len(v) for v in side]) for side in (asking, rows))
+#: probes and rows whose similarities are held at once
+PROBE_TILE, ROW_TILE = 256, 4096
+
+
+def nearest_pairs(asking: pd.Series, rows: pd.Series, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` rows for each vector of one column by cosine, at least 0 and rounded: places of both, similarity.
+
+    Of equal similarities the earlier rows are kept.  Null vectors and such as
+    hold no finite cosine take no part, and widths do not mix.  Every pair is
+    computed, one tile at a time; only what beats a probe's ``k`` best so far
+    is looked at again.
+    """
+    width_a, width_b = (np.array([-1 if v is None else len(v) for v in side], "int64") for side in (asking, rows))
+    found = []
     for width in np.intersect1d(width_a[width_a > 0], width_b):
-        a, b = np.flatnonzero(width_a == width), np.flatnonzero(width_b == width)
-        one, other = (np.stack([np.asarray(side.iloc[i], "float64") for i in at]) for side, at in ((asking, a), (rows, b)))
-        one, other = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (one, other))
-        out[np.ix_(a, b)] = one @ other.T
-    return out
+        (a, one), (b, other) = (_unit_rows(side, np.flatnonzero(widths == width), width) for side, widths in ((asking, width_a), (rows, width_b)))
+        for at in range(0, len(a), PROBE_TILE) if len(b) else ():
+            probe, row, similarity = _tile_top_k(one[at : at + PROBE_TILE], other, k, digits)
+            found.append((a[at + probe], b[row], similarity))
+    if not found:
+        return np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+    return tuple(np.concatenate(part) for part in zip(*found))
+
+
+def _unit_rows(vectors: pd.Series, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit vectors of those at ``at`` that have a cosine."""
+    block = np.concatenate([vectors.iloc[i] for i in at]).astype("float64").reshape(-1, width)
+    block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
+    good = ~np.isnan(block).any(axis=1)
+    return at[good], block[good]
+
+
+def _tile_top_k(probes: np.ndarray, rows: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    best = (np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))
+    # what a row must exceed to be rounded to more than the k-th best has; nothing while there are fewer than k
+    floor = np.full(len(probes), -1.0)
+    for start in range(0, len(rows), ROW_TILE):
+        scores = probes @ rows[start : start + ROW_TILE].T
+        least = floor
+        if (floor < 0).any():
+            np.maximum(scores, 0.0, out=scores)
+            if scores.shape[1] > k:
+                # ties with the k-th of this tile included
+                kth = np.partition(scores, -k, axis=1)[:, -k] - 2 * 10.0**-digits
+                least = np.where(floor < 0, kth, floor)
+        probe, row = np.nonzero(scores > least[:, None])
+        if not len(probe):
+            continue
+        similarity = np.round(scores[probe, row], digits)
+        probe, row, similarity = (np.concatenate(both) for both in zip(best, (probe, row + start, similarity)))
+        order = np.lexsort((row, -similarity, probe))
+        probe, row, similarity = probe[order], row[order], similarity[order]
+        place = np.arange(len(probe)) - np.searchsorted(probe, probe)
+        best = tuple(part[place < k] for part in (probe, row, similarity))
+        last = place == k - 1
+        floor[probe[last]] = similarity[last] + 0.4 * 10.0**-digits
+    return best
 
 
 def probe_scores(vector: Column, probes: Sequence[Sequence[float]]) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsloom.functions.text import let, tokens
-from opsloom.functions.vectors import MAX_PROBES, local_top_k, pair_cosines, probe_scores
+from opsloom.functions.vectors import MAX_PROBES, local_top_k, nearest_pairs, probe_scores
 from opsloom.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------
@@ -103,8 +103,21 @@ def multi_probe_top_k(
     return with_rank(reduce(DataFrame.unionByName, blocks), "similarity", id_col, "probe").where(F.col("rank") <= k)
 
 
-#: rows of a corpus, and probes, that meet in one task group
-CORPUS_BLOCK, PROBE_BLOCK = 8192, 512
+#: rows of a corpus, and probes, that meet in one task group, at most; of wide vectors only so many that a block holds BLOCK_NUMBERS
+CORPUS_BLOCK, PROBE_BLOCK, BLOCK_NUMBERS = 32_768, 32_768, 4_194_304
+#: probes of a small table are cut further, until there are so many groups for each core
+GROUPS_A_CORE, FEWEST_PROBES = 4, 512
+
+
+def _blocks(rows: tuple[int, int], probes: tuple[int, int], cores: int) -> tuple[int, int]:
+    """Blocks of rows and of probes; both sides are given by their number and width."""
+
+    def cut(count: int, width: int, most: int) -> int:
+        return max(1, -(-count // max(1, min(most, BLOCK_NUMBERS // max(width, 1)))))
+
+    blocks = cut(*rows, CORPUS_BLOCK)
+    wanted = -(-GROUPS_A_CORE * cores // blocks)
+    return blocks, max(cut(*probes, PROBE_BLOCK), min(wanted, cut(*probes, min(PROBE_BLOCK, FEWEST_PROBES))))
 
 
 def nearest_to_each(
@@ -117,9 +130,17 @@ def nearest_to_each(
     block of probes meets each block of the corpus in one task group, which
     passes on its best ``k`` per probe.  With ``match``, a probe sees only rows
     whose value of that column equals its own; a null value sees all.
+
+    All pairs are computed, so the work is that of one product of matrices.
+    Rows are copied once per block of the other side: blocks are as large as a
+    task can hold, so that copies stay few.
     """
-    blocks = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    turns = max(1, -(-probes.count() // PROBE_BLOCK))
+
+    def size(side: DataFrame) -> tuple[int, int]:
+        found = side.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("width")).first()
+        return found["n"], found["width"] or 0
+
+    blocks, turns = _blocks(size(corpus), size(probes), corpus.sparkSession.sparkContext.defaultParallelism)
     matched = [match] if match else []
 
     def spread(names: list[str], count: int) -> Column:
@@ -133,21 +154,19 @@ def nearest_to_each(
     right = corpus.select(id_col, vector, *matched).withColumn("__block", spread([id_col], blocks)).withColumn("__turn", each(turns))
 
     def met(asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        scores = np.round(np.maximum(pair_cosines(asking[vector], rows[vector]), 0.0), SCORE_DIGITS)
+        # among equal similarities the earlier row of the block wins
+        rows = rows.sort_values(id_col, na_position="first", ignore_index=True)
+        pairs = [(np.arange(len(asking)), np.arange(len(rows)))]
+        if match:
+            held = rows.groupby(match).indices
+            own = [(at, held[value]) for value, at in asking.groupby(match).indices.items() if value in held]
+            pairs = [(np.flatnonzero(asking[match].isna()), pairs[0][1]), *own]
         parts = []
-        for at in range(len(asking)):
-            own = scores[at].copy()
-            if match and not pd.isna(asking[match].iloc[at]):
-                own[(rows[match] != asking[match].iloc[at]).to_numpy()] = np.nan
-            kept = np.flatnonzero(~np.isnan(own))
-            if len(kept) > k:
-                # everything that ties with the k-th stays until ids decide
-                kept = kept[own[kept] >= np.partition(own[kept], -k)[-k]]
-            best = pd.DataFrame({id_col: rows[id_col].iloc[kept], "similarity": own[kept]})
-            best = best.sort_values(["similarity", id_col], ascending=[False, True]).head(k)
-            parts.append(best.assign(**{key: asking[key].iloc[at] for key in keys}))
-        columns = [*keys, id_col, "similarity"]
-        return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
+        for asked, seen in pairs:
+            probe, row, similarity = nearest_pairs(asking[vector].iloc[asked], rows[vector].iloc[seen], k, SCORE_DIGITS)
+            named = {key: asking[key].to_numpy()[asked[probe]] for key in keys}
+            parts.append(pd.DataFrame(named | {id_col: rows[id_col].to_numpy()[seen[row]], "similarity": similarity}))
+        return pd.concat(parts)
 
     types = dict(probes.dtypes) | {id_col: dict(corpus.dtypes)[id_col]}
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, id_col]) + ", similarity double"

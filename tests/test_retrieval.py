@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,40 @@ def test_any_number_of_questions(spark, corpus, vectors, monkeypatch, blocks):
     assert got == {q: ids for q, ids in want.items() if ids}
 
 
+def test_copies_for_many_questions_stay_few():
+    blocks, turns = R._blocks((615_384, 64), (615_384, 64), 12)
+    assert blocks < 25 and turns < 25
+    # blocks of wide vectors hold no more numbers, and a small table still fills the cores
+    blocks, turns = R._blocks((100_000, 4096), (100_000, 4096), 12)
+    assert 100_000 * 4096 / blocks <= R.BLOCK_NUMBERS and turns == blocks
+    blocks, turns = R._blocks((10_256, 64), (10_256, 64), 12)
+    assert blocks * turns >= 20
+
+
+def test_nearest_pairs_over_many_tiles(monkeypatch):
+    from opsloom.functions import vectors as V
+
+    monkeypatch.setattr(V, "PROBE_TILE", 7)
+    monkeypatch.setattr(V, "ROW_TILE", 10)
+    rng = np.random.default_rng(5)
+    # few distinct directions: most similarities are ties, many are zero, some tiles are copies of one vector
+    rows = [rng.integers(-1, 2, 3).astype("float32") for _ in range(90)] + [np.ones(3, "float32")] * 40
+    rows += [None, np.array([1.0]), np.array([np.nan, 1.0, 1.0]), np.array([np.inf, 0.0, 0.0])]
+    asking = rows[60:]
+    got = {}
+    for probe, row, similarity in zip(*V.nearest_pairs(pd.Series(asking), pd.Series(rows), 4, 6)):
+        got.setdefault(probe, []).append((row, similarity))
+    for i, a in enumerate(asking):
+        scored = []
+        for j, b in enumerate(rows):
+            if a is not None and b is not None and len(a) == len(b) and np.isfinite(a).all() and np.isfinite(b).all():
+                norms = np.linalg.norm(a.astype("float64")) * np.linalg.norm(b.astype("float64"))
+                scored.append((-max(round(float(a @ b) / norms, 6), 0.0) if norms else 0.0, j))
+        want = sorted((round(s, 6), j) for s, j in scored)[:4]
+        assert [row for row, _ in got.get(i, [])] == [j for _, j in want], i
+        assert [similarity for _, similarity in got.get(i, [])] == pytest.approx([-s for s, _ in want])
+
+
 def test_probes_of_the_caller_in_blocks(corpus, vectors):
     probes = [(i, list(vectors[i % 300])) for i in range(MAX_PROBES + 90)]
     got = R.multi_probe_top_k(corpus, probes, 1, "chunk_id").collect()
