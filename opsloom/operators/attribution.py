@@ -33,26 +33,17 @@ def attribute(responses: DataFrame, documents: DataFrame, key: str = "response_i
 
     ``documents``: key, rank, source_path, relevance, content.  Cited numbers
     are ranks; numbers out of range are ignored and a source counts once, at
-    its first citation.  A response that cites nothing usable is credited with
-    its top three documents, without excerpts.
+    its first citation.  A response that cites nothing usable, or has no text, is
+    credited with its top three documents, without excerpts.
 
-    Each response states the ranks it may need (those it cites and the first
-    three), so one join on ``(key, rank)`` brings all of them, spread evenly
-    however many documents a response has.  What is then grouped per response
-    is bounded by the citations in its text.
+    Responses state the ranks they cite, and documents meet them by response,
+    as a ranking leaves them: documents are not shuffled again, and row by row
+    only those cited and the first three are kept.  What is then grouped per
+    response is bounded by the citations in its text.
     """
-    first = F.array(*[F.lit(i).cast("bigint") for i in range(1, FALLBACK_DOCUMENTS + 1)])
-
-    def wanted(numbers: Column) -> Column:
-        cited = F.transform(
-            F.array_distinct(numbers),
-            lambda n: F.struct(n.try_cast("bigint").alias("__rank"), F.array_position(numbers, n).alias("__pos")),
-        )
-        nowhere = F.lit(None).cast("bigint")
-        return F.concat(cited, F.transform(first, lambda r: F.struct(r.alias("__rank"), nowhere.alias("__pos"))))
-
-    asked = responses.select(key, F.explode(let(citations(F.col(text)), wanted)).alias("w")).select(key, "w.*")
-    # only the excerpt of a text travels to the join
+    numbers = F.transform(citations(F.col(text)), lambda n: n.try_cast("bigint"))
+    asked = responses.select(F.col(key).alias("__key"), F.array_distinct(numbers).alias("__cited"))
+    # only the excerpt of a text travels on
     narrow = documents.select(
         key,
         F.col("rank").cast("bigint").alias("__rank"),
@@ -60,13 +51,16 @@ def attribute(responses: DataFrame, documents: DataFrame, key: str = "response_i
         "relevance",
         F.substring("content", 1, EXCERPT_LIMIT).alias("excerpt"),
     )
+    # responses are as many as there are: never a table in every task, whatever their files' size suggests
+    met = narrow.join(asked.hint("merge"), F.col(key) == F.col("__key"))
+    at = F.nullif(F.array_position("__cited", F.col("__rank")), F.lit(0).cast("bigint"))
+    used = met.withColumn("__pos", at).where(F.col("__pos").isNotNull() | F.col("__rank").between(1, FALLBACK_DOCUMENTS))
     entry = F.struct("__pos", "__rank", "document", "relevance", "excerpt")
-    grouped = asked.where("__rank IS NOT NULL").join(narrow, [key, "__rank"]).groupBy(key).agg(F.collect_list(entry).alias("__d"))
+    grouped = used.groupBy(key).agg(F.collect_list(entry).alias("__d"))
 
     def chosen(found: Column) -> Column:
         cited = F.sort_array(F.filter(found, lambda d: d["__pos"].isNotNull()))
-        top = F.sort_array(F.filter(found, lambda d: d["__pos"].isNull()))
-        bare = F.transform(top, lambda d: d.withField("excerpt", F.lit(None).cast("string")))
+        bare = F.transform(F.sort_array(found), lambda d: d.withField("excerpt", F.lit(None).cast("string")))
         return F.when(F.size(cited) > 0, cited).otherwise(bare)
 
     def named(listed: Column) -> Column:

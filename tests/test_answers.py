@@ -84,3 +84,25 @@ def test_contexts_of_sorted_documents_are_collected_one_response_at_a_time(spark
     configure(spark)
     plan = A.response_context(ranked)._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan
+
+
+def test_ranked_documents_are_not_shuffled_again(spark):
+    from pyspark.sql import Window
+
+    lines = spark.range(300).selectExpr("id % 40 AS response_id", "id AS line", "'p' || id % 3 AS source_path", "0.5D AS relevance", "repeat('x', 300) AS content")
+    ranked = lines.withColumn("rank", F.row_number().over(Window.partitionBy("response_id").orderBy("line")))
+    # the same number in two spellings, one document twice, a number too large for a rank
+    asked = spark.range(50).selectExpr("id AS response_id", "CASE id % 3 WHEN 0 THEN '[2] [02] [99999999999999999999] [5] [1]' WHEN 1 THEN '[77]' END AS response")
+    out = A.attribute(asked, ranked)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Broadcast" not in plan
+    held = {}
+    for r in ranked.orderBy("response_id", "rank").collect():
+        held.setdefault(r.response_id, []).append(r.source_path)
+    got = {}
+    for r in out.orderBy("response_id", "position").collect():
+        got.setdefault(r.response_id, []).append(r.document)
+        assert r.excerpt == ("x" * 200 if r.response_id % 3 == 0 else None)
+    # a response without a text cites nothing, as in the SQL
+    want = {i: [names[n - 1] for n in ((2, 5, 1) if i % 3 == 0 else (1, 2, 3))] for i, names in held.items()}
+    assert got == {i: list(dict.fromkeys(names)) for i, names in want.items()}
