@@ -87,3 +87,16 @@ def test_texts_of_a_large_table_are_cut_by_rows(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     chat = derive(spark, str(tmp_path), "chat")
     assert chat.rdd.getNumPartitions() == 6 and chat.count() == 6 * ROWS_A_TASK
+
+
+@pytest.mark.parametrize("name", ["intent_reasoning"])
+def test_messages_of_one_large_file_are_judged_in_bounded_tasks(spark, tmp_path, monkeypatch, name):
+    from opsloom import session
+    from opsloom.plans import all_queries
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    rows = spark.range(6000).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "id % 9 AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props"
+    )
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert all_queries()[0][name](spark, str(tmp_path)).rdd.getNumPartitions() == 12
