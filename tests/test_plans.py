@@ -89,7 +89,7 @@ def test_texts_of_a_large_table_are_cut_by_rows(spark, tmp_path):
     assert chat.rdd.getNumPartitions() == 6 and chat.count() == 6 * ROWS_A_TASK
 
 
-@pytest.mark.parametrize("name", ["intent_reasoning"])
+@pytest.mark.parametrize("name", ["intent_reasoning", "planned_tool_calls"])
 def test_messages_of_one_large_file_are_judged_in_bounded_tasks(spark, tmp_path, monkeypatch, name):
     from opsloom import session
     from opsloom.plans import all_queries
