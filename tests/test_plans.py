@@ -100,3 +100,27 @@ def test_messages_of_one_large_file_are_judged_in_bounded_tasks(spark, tmp_path,
     )
     rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
     assert all_queries()[0][name](spark, str(tmp_path)).rdd.getNumPartitions() == 12
+
+
+@pytest.mark.parametrize("name", ["intent_reasoning"])
+def test_messages_of_one_large_file_among_small_ones_are_judged_in_bounded_tasks(spark, tmp_path, monkeypatch, name):
+    from opsloom import session
+    from opsloom.plans import all_queries
+    from opsloom.plans.derived import derive
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    rows = spark.range(6000).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' AS ts", "id % 9 AS user_id", "'view' AS event_type", "1.0D AS value", "'{}' AS props"
+    )
+    path = str(tmp_path / "events.parquet")
+    rows.where("event_id < 5900").coalesce(1).write.parquet(path)
+    # small files that weigh a split each: more splits than the rows alone need
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 * 1024 * 1024))
+    try:
+        rows.where("event_id >= 5900").repartition(40).write.mode("append").parquet(path)
+        assert all_queries()[0][name](spark, str(tmp_path)).rdd.getNumPartitions() == 12
+        chat = derive(spark, str(tmp_path), "chat")
+        held = chat.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert held[0] < 600 and held[1] == 6000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
