@@ -13,12 +13,14 @@ and their matches, not with texts times patterns.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from opsloom.functions import guardrails as R
@@ -29,6 +31,17 @@ from opsloom.session import cut_lineage
 PASS_CHARS = 2_000_000
 #: a longer literal adds nothing: its first part is needed as well
 LITERAL_CHARS = 64
+#: bytes of texts that a task takes apart at a time (a longer text alone)
+STEP_CHARS = 16_000_000
+#: cells for each phrase: one sequence in about so many that are no pattern is looked up all the same
+CELLS = 16
+#: a table of phrases has ``2 ** MOST_BITS`` cells (32 MB) at most
+MOST_BITS = 28
+#: bits of a row of Spark's bitmaps
+_BLOCK = 32_768
+#: rows that a batch of phrases holds
+_STEP = 50_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: words of a pattern that is looked up as a phrase, at most
 PHRASE_WORDS = 4
 _PHRASE = rf"^\(\?<!\\S\)([A-Za-z0-9]+(?:\\s\+[A-Za-z0-9]+){{0,{PHRASE_WORDS - 1}}})\(\?!\\S\)$"
@@ -165,35 +178,136 @@ def with_phrase(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("phrase", F.when(F.col("pattern").rlike(_PHRASE), F.array_join(words, " ")))
 
 
-def _phrases(lengths: list[int]):
-    """Column function: the sequences of so many words in a text of words between single blanks, and how often each comes without overlap."""
-
-    @pandas_udf("array<struct<phrase string, hits bigint>>")
-    def found(texts: pd.Series) -> pd.Series:
-        def of(text: str) -> list[dict]:
-            words = text.split(" ")
-            counts: Counter[str] = Counter()
-            ends: dict[str, int] = {}
-            for n in lengths:
-                for at, run in enumerate(zip(*[words[i:] for i in range(n)])):
-                    phrase = " ".join(run)
-                    if ends.get(phrase, 0) <= at:
-                        counts[phrase] += 1
-                        ends[phrase] = at + n
-            return [{"phrase": phrase, "hits": hits} for phrase, hits in counts.items()]
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose last column, texts, holds about ``STEP_CHARS`` bytes in each, one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        held = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, held + STEP_CHARS, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class _Words:
+    """The words of texts of words between single blanks, numbered, with the row of each."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(texts, pattern=" ")
+        told = pc.list_flatten(lists).dictionary_encode()
+        self.rows = pc.list_parent_indices(lists).to_numpy()
+        self.codes = told.indices.to_numpy().astype(np.int64)
+        self.known = told.dictionary
+        self.hashes = pd.util.hash_array(self.known.to_numpy(zero_copy_only=False), categorize=False)
+
+    def starts(self, n: int) -> np.ndarray:
+        """Places from which ``n`` words follow in one row."""
+        last = len(self.codes) - n + 1
+        return np.flatnonzero(self.rows[:last] == self.rows[n - 1 :]) if last > 0 else np.zeros(0, np.int64)
+
+    def cells(self, at: np.ndarray, n: int, bits: int) -> np.ndarray:
+        """The cell of a table of ``2 ** bits`` in which the ``n`` words from each place lie."""
+        found = np.zeros(len(at), np.uint64)
+        for i in range(n):
+            found = (found ^ self.hashes[self.codes[at + i]]) * _MIX
+            found ^= found >> np.uint64(32)
+        return ((found * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def numbers(self, at: np.ndarray, n: int) -> np.ndarray:
+        """A number for the ``n`` words from each place, the same for the same words."""
+        found = self.codes[at]
+        for i in range(1, n):
+            found = np.unique(found * len(self.known) + self.codes[at + i], return_inverse=True)[1]
+        return found
+
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        return pc.binary_join_element_wise(*[self.known.take(pa.array(self.codes[at + i])) for i in range(n)], " ")
+
+
+def _counted(words: _Words, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places of ``n`` words: the first of each row and phrase, and how often the phrase comes there without overlap.
+
+    Rows of a phrase follow each other, so that a shuffle compresses them.
+    """
+    rows = words.rows[at].astype(np.int64)
+    group = words.numbers(at, n) * (int(rows.max(initial=0)) + 1) + rows
+    order = np.argsort(group, kind="stable")
+    at, group = at[order], group[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    hits = np.diff(first, append=len(group))
+    near = np.flatnonzero((np.diff(group) == 0) & (np.diff(at) < n))
+    for g in np.unique(np.searchsorted(first, near, "right") - 1):
+        count, end = 0, -1
+        for place in at[first[g] : first[g] + hits[g]].tolist():
+            if place >= end:
+                count, end = count + 1, place + n
+        hits[g] = count
+    return at[first], hits
+
+
+def _cells_of(phrases: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the cells (:meth:`_Words.cells`) that phrases lie in, eight a byte and the lowest first."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in _runs(batch):
+                words = _Words(run.column(0))
+                begins = np.flatnonzero(np.diff(words.rows, prepend=-1))
+                sizes = np.diff(begins, append=len(words.rows))
+                cells = [words.cells(begins[sizes == n], int(n), bits) for n in np.unique(sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(cells)))], ["cell"])
+
+    cells = phrases.select("phrase").mapInArrow(told, "cell long")
+    place = F.col("cell") + 1
+    blocks = cells.groupBy(F.bitmap_bucket_number(place).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(max(1 << bits, _BLOCK) // 8, np.uint8)
+    # at most 2 ** (MOST_BITS - 3) bytes
+    for block, held in blocks.collect():
+        out[(block - 1) * _BLOCK // 8 : block * _BLOCK // 8] = np.frombuffer(bytes(held), np.uint8)
+    return out
 
-        return texts.map(of)
 
-    return found
+def _phrases(texts: DataFrame, key: list[str], text: Column, lengths: list[int], cells, bits: int) -> DataFrame:
+    """``key, phrase, hits``: sequences of so many words, of those whose cell is set, and how often each comes in a text without overlap.
 
+    Texts are of words between single blanks.  Some megabytes of them are
+    taken apart at a time, whatever a batch holds, and their words are numbers
+    in arrays; only sequences with a set cell become rows.
+    """
 
-def _matching_phrases(texts: DataFrame, key: list[str], phrases: DataFrame, pass_chars: int) -> DataFrame:
-    """:func:`matching_patterns` for patterns with a phrase; a table of up to ``pass_chars`` characters is broadcast."""
-    told = phrases.agg(F.coalesce(F.sum(F.length("phrase")), F.lit(0)).alias("n"), F.collect_set(F.size(F.split("phrase", " "))).alias("lengths")).first()
-    table = F.broadcast(phrases) if told["n"] <= pass_chars else phrases
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = cells.value
+        for batch in batches:
+            for run in _runs(batch):
+                words = _Words(run.column(run.num_columns - 1))
+                for n in lengths:
+                    at = words.starts(n)
+                    cell = words.cells(at, n, bits)
+                    at, hits = _counted(words, at[(held[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)], n)
+                    for begin in range(0, len(at), _STEP):
+                        part = at[begin : begin + _STEP]
+                        rows = pa.array(words.rows[part])
+                        own = [column.take(rows) for column in run.columns[:-1]]
+                        yield pa.RecordBatch.from_arrays([*own, words.phrases(part, n), pa.array(hits[begin : begin + _STEP])], names)
+
+    schema = texts.select(*key).schema.add("phrase", "string").add("hits", "long")
+    names = schema.names
+    return texts.select(*key, text.alias("__spaced")).mapInArrow(found, schema)
+
+
+def _matching_phrases(texts: DataFrame, key: list[str], phrases: DataFrame) -> DataFrame:
+    """:func:`matching_patterns` for patterns with a phrase; whether their table is broadcast is left to Spark's size check.
+
+    Most sequences of words are no pattern, and a bitmap of bounded size that
+    goes to every task tells so before they leave it.
+    """
+    size = F.size(F.split("phrase", " "))
+    told = phrases.agg(F.count("*").alias("rows"), F.collect_set(size).alias("lengths")).first()
     spaced = F.btrim(F.regexp_replace(fold(F.col("__text")), r"(?U)\s+", " "))
-    each = texts.select(*key, F.explode(_phrases(sorted(told["lengths"]))(spaced)).alias("__p")).select(*key, "__p.phrase", "__p.hits")
-    return each.join(table, "phrase").select(*key, "pattern_id", "hits")
+    bits = min(MOST_BITS, (CELLS * told["rows"]).bit_length())
+    cells = texts.sparkSession.sparkContext.broadcast(_cells_of(phrases, bits))
+    each = _phrases(texts, key, spaced, sorted(told["lengths"]), cells, bits)
+    return each.join(phrases, "phrase").select(*key, "pattern_id", "hits")
 
 
 def matching_patterns(
@@ -214,7 +328,7 @@ def matching_patterns(
     texts = rows.where(F.col(text).isNotNull()).select(*key, F.col(text).alias("__text"))
     phrases = known.where(F.col("phrase").isNotNull()).select("phrase", "pattern_id")
     others = known.where(F.col("phrase").isNull()).drop("phrase")
-    out = None if phrases.isEmpty() else _matching_phrases(texts, key, phrases, pass_chars)
+    out = None if phrases.isEmpty() else _matching_phrases(texts, key, phrases)
     if out is not None and others.isEmpty():
         return out
     table = with_literals(others).withColumn(

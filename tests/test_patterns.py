@@ -2,7 +2,9 @@
 
 import random
 import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +112,42 @@ def test_words_between_white_space_are_looked_up(spark, monkeypatch):
     monkeypatch.setattr(P, "with_literals", None)
     words = patterns.where(F.col("pattern").isin(listed))
     assert P.matching_patterns(rows, ["k"], "t", words).count() == sum(p < 4 for _, p, _ in found)
+
+
+def test_long_texts_are_taken_apart_in_bounded_pieces(monkeypatch):
+    """No list of all words of a batch: a piece holds so many bytes, or one text, and only sequences with a set cell leave it."""
+    monkeypatch.setattr(P, "STEP_CHARS", 20)
+    texts = ["a b " * 3 + "a", "", "x" * 50, "c d", "d c d c", "é a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "t"])
+    runs = list(P._runs(batch))
+    assert [run.column(0).to_pylist() for run in runs] == [[0, 1], [2], [3, 4, 5]]
+    assert list(P._runs(batch.slice(0, 0))) == [] and [r.num_rows for r in P._runs(batch.slice(2))] == [1, 3]
+    words = P._Words(runs[0].column(1))
+    assert words.starts(2).tolist() == [0, 1, 2, 3, 4, 5] and len(P._Words(pa.array(["", ""])).starts(2)) == 0
+    at, hits = P._counted(words, words.starts(2), 2)
+    assert dict(zip(words.phrases(at, 2).to_pylist(), hits.tolist())) == {"a b": 3, "b a": 3}
+
+
+def test_only_sequences_in_the_table_leave_a_task(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    texts = [(i % 40, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(80)]
+    texts += [(90, "go " * 7), (91, "b a " * 5 + "b"), (None, "go go go")]
+    listed = [r"(?<!\S)go\s+go(?!\S)", r"(?<!\S)b\s+a\s+b(?!\S)", r"(?<!\S)go\s+go\s+go\s+go(?!\S)", r"(?<!\S)go\s+go(?!\S)"]
+    listed += [rf"(?<!\S){rng.choice(vocabulary)}\s+{rng.choice(vocabulary)}(?!\S)" for _ in range(3000)]
+    listed += [rf"(?<!\S){word}(?!\S)" for word in vocabulary[:20]]
+    rows = spark.createDataFrame(texts, "k int, t string")
+    patterns = spark.createDataFrame(list(enumerate(listed)), "pattern_id int, pattern string")
+    got = Counter(tuple(r) for r in P.matching_patterns(rows, ["k"], "t", patterns).collect())
+    expected = Counter()
+    for k, text in texts:
+        for i, pattern in enumerate(listed):
+            if hits := len(re.findall(pattern, text)):
+                expected[k, i, hits] += 1
+    assert got == expected
+    phrases = P.with_phrase(patterns).select("phrase", "pattern_id")
+    cells = spark.sparkContext.broadcast(P._cells_of(phrases, 20))
+    left = P._phrases(rows, ["k"], F.btrim("t"), [2], cells, 20)
+    known = {r.phrase for r in phrases.collect()}
+    strangers = left.where(~F.col("phrase").isin(sorted(known))).count()
+    assert left.where(F.col("phrase").isin(sorted(known))).count() and strangers < 200
