@@ -17,6 +17,7 @@ from opsloom.plans.derived import derive, derived_sql
 from opsloom.plans.sqltext import TRIM, lit, sql_list, tokens_sql
 from opsloom.session import scratch_dir
 from opsloom.sources import files as S
+from opsloom.sources import local as L
 
 FILES = derived_sql("files")
 CHAT = derived_sql("chat")
@@ -320,8 +321,8 @@ _NL = "chr(10)"
 
 #: documents a written file holds at most (of neighbouring ids)
 FILE_DOCS = 400
-#: files of one format that a task writes, about
-FILES_A_TASK = 64
+#: files of one format that a task writes, about, and documents; small tables are spread over the cores down to the least
+FILES_A_TASK, DOCS_A_TASK, LEAST_FILES = 512, 10_000, 64
 
 
 def _load_sql() -> str:
@@ -338,20 +339,30 @@ def _load_sql() -> str:
     """
 
 
-@query("load_written_files", _load_sql())
-def load_written_files(spark, sf_dir):
-    """Text, CSV, JSON and XML files of at most 400 documents, written to the shared folder and loaded; a file that cannot be loaded comes out with its reason.
+def _write_files(docs, root, cut):
+    """By the tasks themselves, each row as Spark's writers of the formats write it."""
+
+    def lines(rows, line, *order):
+        return rows.select(*L.group_names(*cut), *order, line.alias("__line")).sortWithinPartitions(*cut, *order).select(*cut, "__line")
+
+    def ended(text):
+        return F.concat(F.coalesce(text, F.lit("")), F.lit("\n"))
+
+    row = ["doc_id", "lang", "n_chars"]
+    counted = docs.groupBy(*cut).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
+    # a row between the root's tags, which are left out again
+    xml = F.to_xml(F.struct(F.struct("doc_id", "lang").alias("doc")), {"rowTag": "docs"})
+    head, tail = "<docs>\n", "</docs>"
+    row_xml = F.substring(xml, F.lit(len(head) + 1), F.length(xml) - len(head) - len(tail))
+    L.write_groups(lines(docs, ended(F.col("text")), "doc_id"), f"{root}/txt", ".txt")
+    L.write_groups(lines(docs, ended(F.to_csv(F.struct(*row))), "doc_id"), f"{root}/csv", ".csv", head=",".join(row) + "\n")
+    L.write_groups(lines(counted, ended(F.to_json(F.struct("documents", "first")))), f"{root}/json", ".json")
+    L.write_groups(lines(docs, row_xml, "doc_id"), f"{root}/xml", ".xml", head, tail)
 
-    A source of any size is many files, written by many tasks: as many as the
-    number of files asks for, as narrow rows are as many files as wide ones.
-    Folders of parts hold those of their sources, so a listing spreads over the
-    parts, and all scans share it.
-    """
-    cut = ["part", "source"]
-    docs = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS))
-    writers = max(1, -(-docs.select(*cut).distinct().count() // FILES_A_TASK))
-    docs = docs.repartition(writers, *cut).sortWithinPartitions(*cut, "doc_id")
-    path = scratch_dir(spark, "files")
+
+def _write_files_elsewhere(docs, path, cut):
+    """By Spark's writers."""
+    docs = docs.sortWithinPartitions(*cut, "doc_id")
 
     def written(rows):
         # tasks put their files in place themselves; the folder is new and read only when all have
@@ -362,6 +373,28 @@ def load_written_files(spark, sf_dir):
     counted = docs.groupBy(*cut).agg(F.count("*").alias("documents"), F.min("doc_id").alias("first"))
     written(counted).json(f"{path}/json")
     written(docs.select(*cut, "doc_id", "lang")).xml(f"{path}/xml", rowTag="doc", rootTag="docs", declaration="")
+
+
+@query("load_written_files", _load_sql())
+def load_written_files(spark, sf_dir):
+    """Text, CSV, JSON and XML files of at most 400 documents, written to the shared folder and loaded; a file that cannot be loaded comes out with its reason.
+
+    A source of any size is many files, written by many tasks: as many as the
+    number of files and of documents asks for, as narrow rows are as many files
+    as wide ones.  Folders of parts hold those of their sources, so a listing
+    spreads over the parts, and all scans share it.
+    """
+    cut = ["part", "source"]
+    docs = table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS))
+    told = docs.groupBy(*cut).count().agg(F.count("*").alias("files"), F.coalesce(F.sum("count"), F.lit(0)).alias("docs")).first()
+    spread = min(spark.sparkContext.defaultParallelism, -(-told["files"] // LEAST_FILES))
+    writers = max(1, spread, -(-told["files"] // FILES_A_TASK), -(-told["docs"] // DOCS_A_TASK))
+    path = scratch_dir(spark, "files")
+    root = L.local_path(spark, path)
+    if root is not None:
+        _write_files(docs.repartition(writers, *cut), root, cut)
+    else:
+        _write_files_elsewhere(docs.repartition(writers, *cut), path, cut)
     listed = S.list_files(spark, path)
     known = F.coalesce(*[F.try_element_at("metadata", F.lit(n)) for n in ("line_count", "row_count", "top_level_keys", "root_tag")])
     read = S.read_files(spark, path, files=listed)

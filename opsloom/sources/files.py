@@ -3,7 +3,8 @@
 Text formats are decoded and described in the JVM.  CSV, JSON, XML, PDF and
 DOCX go through one Arrow batch function, as their exact text forms need a
 parser.  Each group is its own scan, limited to its extensions at listing
-time, so no file is read twice and unsupported files are never opened.
+time, so no file is read twice and unsupported files are never opened.  Files of
+a mounted file system are listed and read by the tasks (``sources/local.py``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterable
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.functions import pandas_udf
 
 from opsloom.functions.text import count_newlines, document_id
+from opsloom.sources import local
 
 # --- fixed values -----------------------------------------------------------
 EXTENSION_TYPES = {
@@ -196,10 +199,15 @@ MAX_FILE_BYTES = 1 << 30
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files of known types below a folder (or one file), listed once however many scans follow.
+    """The files of known types below a folder (or one file).
 
     Content is read by the scans that use it, and of the files they choose.
+    The listing of a mounted file system is no more than a plan for the tasks
+    of the scans; that of any other is made here, once however many scans follow.
     """
+    root = local.local_path(spark, path)
+    if root is not None and os.path.exists(root):
+        return local.list_below(spark, root, list(EXTENSION_TYPES))
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -208,9 +216,15 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _by_tasks(files: DataFrame) -> bool:
+    """Whether a listing is one of :func:`opsloom.sources.local.list_below`."""
+    return "content" not in files.columns
+
+
 def _chosen(files: DataFrame, types: Iterable[str]) -> DataFrame:
     # a condition on the name alone decides which files a scan opens
-    named = files.where(extension_type(F.col("_metadata.file_name")).isin(sorted(types)))
+    name = F.col("path" if _by_tasks(files) else "_metadata.file_name")
+    named = files.where(extension_type(name).isin(sorted(types)))
     return named.withColumn("source_path", F.regexp_replace("path", r"^file:(?://)?(?=/)", ""))
 
 
@@ -225,9 +239,8 @@ def scan_files(
     """
     listed = list_files(spark, path) if files is None else files
     chosen = _chosen(listed, types).where(F.col("length") <= max_bytes)
-    return chosen.select("source_path", F.col("content").alias("raw")).withColumn(
-        "__kind", extension_type(F.col("source_path"))
-    )
+    read = local.contents(chosen) if _by_tasks(listed) else chosen.select("source_path", F.col("content").alias("raw"))
+    return read.withColumn("__kind", extension_type(F.col("source_path")))
 
 
 def rejected_files(
@@ -238,7 +251,8 @@ def rejected_files(
     unread = extension_type(F.col("source_path")).isin(UNREAD_TYPES)
     reason = F.when(unread, "type is not read").when(F.col("length") > max_bytes, "larger than the limit")
     # by name and size alone, so that all other files end at the listing
-    apart = extension_type(F.col("_metadata.file_name")).isin(UNREAD_TYPES) | (F.col("_metadata.file_size") > max_bytes)
+    name, size = ("path", "length") if _by_tasks(listed) else ("_metadata.file_name", "_metadata.file_size")
+    apart = extension_type(F.col(name)).isin(UNREAD_TYPES) | (F.col(size) > max_bytes)
     found = _chosen(listed.where(apart), set(EXTENSION_TYPES.values())).select("source_path", "length")
     return found.withColumn("reason", reason).where(F.col("reason").isNotNull())
 

@@ -3,8 +3,10 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from opsloom.sources import files as S
+from opsloom.sources import local
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -125,3 +127,84 @@ def test_files_are_read_with_their_reasons(spark, tmp_path):
     assert rows["a.txt"].content == "one\ntwo" and rows["a.txt"].reason is None and rows["a.txt"].length == 8
     assert rows["b.txt"].content is None and rows["b.txt"].reason == "not valid UTF-8"
     assert rows["c.xml"].reason is None and rows[".JSON"].reason.startswith("JSONDecodeError")
+
+
+ODD = [
+    (0, "en", 3, "a", "one\ntwo"), (1, None, None, "a", None), (2, "", 0, "a", ""), (3, "a&b<c>\"'", 1, "a", "\r\nx\r"), (399, " x\r\ny ", 1, "a", "é😀"),
+    (400, "a,b", 2, "b/c d=%", "x"), (400, 'q"u', 2, "b/c d=%", "x"), (5, "l", 1, None, "none"), (None, "n", 1, "a", "no id"), (None, None, None, "a", "no row"),
+    (801, "#\x7f", 9, "e:[x]", "y" * 70_000),
+]
+
+
+@pytest.fixture
+def odd(spark, tmp_path):
+    docs = spark.createDataFrame(ODD, "doc_id long, lang string, n_chars long, source string, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def _loaded(spark, folder):
+    from opsloom.plans import all_queries
+
+    return sorted(map(str, all_queries()[0]["load_written_files"](spark, folder).collect()))
+
+
+def test_files_written_and_read_by_tasks_are_those_of_the_writers(spark, odd, monkeypatch):
+    """Every file system but the mounted one is left to Spark, with the same rows."""
+    own = _loaded(spark, odd)
+    monkeypatch.setattr(local, "local_path", lambda *a: None)
+    assert own == _loaded(spark, odd) and len(own) == 20
+
+
+def test_no_writer_or_listing_of_hadoop_for_mounted_files(spark, odd, monkeypatch):
+    from pyspark.sql import DataFrameReader
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    def fail(*a, **k):
+        raise AssertionError("a process for each file, and a listing in the driver")
+
+    for name in ("text", "csv", "json", "xml"):
+        monkeypatch.setattr(DataFrameWriter, name, fail)
+    monkeypatch.setattr(DataFrameReader, "format", fail)
+    assert _loaded(spark, odd)
+
+
+def test_a_task_reads_a_bounded_number_of_files(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        (tmp_path / f"d{i % 3}" / f"e{i % 5}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"d{i % 3}" / f"e{i % 5}" / f"f{i}.txt").write_text("x" * (i + 1))
+    monkeypatch.setattr(local, "FILES_A_TASK", 3)
+    listed = S.list_files(spark, f"{tmp_path}")
+    read = S.scan_files(spark, str(tmp_path), ["txt"], files=listed)
+    held = [r["count"] for r in read.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 40 and read.rdd.getNumPartitions() == 14
+    assert sorted(len(r.raw) for r in read.collect()) == list(range(1, 41))
+    monkeypatch.setattr(local, "FILES_A_TASK", 512)
+    monkeypatch.setattr(local, "BYTES_A_TASK", 110)
+    assert S.scan_files(spark, str(tmp_path), ["txt"], files=listed).rdd.getNumPartitions() == 8
+
+
+def test_listings_leave_out_what_spark_leaves_out(spark, tmp_path):
+    for name in ("a.txt", "_SUCCESS.txt", "_x=1.txt", ".b.txt", "c.txt._COPYING_", "_metadata.txt", "D.TXT", "e.exe", "é f%20#.md", ".txt"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty.txt").write_text("")
+    for name in ("_tmp", ".git", "k=v", "_k=v", "x y", "_metadata", "z._COPYING_"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "in.csv").write_text("a\n")
+    (tmp_path / "gone.txt").symlink_to(tmp_path / "nothing")
+    (tmp_path / "link").symlink_to(tmp_path / "k=v")
+    own = {(r.path, r.length) for r in S.list_files(spark, f"{tmp_path}/").collect()}
+    spark_own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", S._glob(S.EXTENSION_TYPES.values()))
+    assert own == {(r.path.removeprefix("file:"), r.length) for r in spark_own.load(str(tmp_path)).select("path", "length").collect()}
+    (one,) = S.list_files(spark, f"file://{tmp_path}/a.txt").collect()
+    assert (one.path, one.length) == (f"{tmp_path}/a.txt", 5)
+    # a pattern of paths is Spark's
+    assert {r.source_path for r in S.load_documents(spark, f"{tmp_path}/*.txt").collect()} >= {f"{tmp_path}/a.txt"}
+
+
+def test_a_repeated_task_puts_its_file_in_the_same_place(spark, tmp_path):
+    rows = spark.createDataFrame([("g", "1\n"), ("g", "2\n"), ("h/i", "3\n")], "k string, l string").coalesce(1)
+    for _ in range(2):
+        local.write_groups(rows, str(tmp_path), ".txt", "head\n", "tail")
+    files = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert files == {"k=g/part-00000.txt": "head\n1\n2\ntail", "k=h%2Fi/part-00000.txt": "head\n3\ntail"}
